@@ -217,7 +217,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold:
                     kept.append(text)
                     names.append(key)
             found = [np.unique(shingle_hashes(w, k)).astype(np.int64) for w in word_hashes(kept, True)]
-            yield pd.DataFrame({"text_key": names, "shingles": found}, columns=["text_key", "shingles"])
+            yield pd.DataFrame({"text_key": pd.Series(names, dtype=object), "shingles": pd.Series(found, dtype=object)})
 
     made = docs.select(F.col(text_col).alias("text")).mapInPandas(sets, "text_key binary, shingles array<long>")
     made = lasting(made.join(keys, "text_key").select("set_key", "shingles").dropDuplicates(["set_key"]))

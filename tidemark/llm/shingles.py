@@ -56,7 +56,7 @@ def word_hashes(texts: list[str | None], lower: bool) -> Iterator[np.ndarray]:
         yield from np.split(hashes, np.searchsorted(starts, ends[:-1]))
 
     for text in texts:
-        raw = (text or "").encode("utf-8", "surrogatepass")
+        raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
         if len(raw) > _PIECE:
             if held:
                 yield from flush()
