@@ -6,14 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .jaccard_join import near_duplicates
+from .mixing import mix
+from .packing import pack_documents
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op4_source_mixing": op4_source_mixing,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
