@@ -43,7 +43,8 @@ def _sketch(texts: DataFrame, k: int) -> np.ndarray:
                 total[at.astype(np.int64)] += n.astype(np.uint32)
         parts = [(i, total[i * block : (i + 1) * block]) for i in range(size // block)]
         parts = [(i, x.tobytes()) for i, x in parts if x.any()]
-        yield pd.DataFrame({"block": [i for i, _ in parts], "counts": [x for _, x in parts]}, columns=["block", "counts"])
+        if parts:
+            yield pd.DataFrame(parts, columns=["block", "counts"])
 
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
@@ -51,7 +52,8 @@ def _sketch(texts: DataFrame, k: int) -> np.ndarray:
             for i, x in zip(frame["block"], frame["counts"]):
                 part = np.frombuffer(x, np.uint32).astype(np.uint64)
                 sums[i] = sums[i] + part if i in sums else part
-        yield pd.DataFrame({"block": list(sums), "counts": [np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in sums.values()]}, columns=["block", "counts"])
+        for i, x in sums.items():
+            yield pd.DataFrame({"block": [i], "counts": [np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes()]})
 
     parts = texts.select("text").mapInPandas(count, "block int, counts binary").repartition("block").mapInPandas(add, "block int, counts binary")
     levels = np.zeros(size, np.uint8)
