@@ -199,8 +199,9 @@ def _round(pieces: DataFrame, n: int, size: int, islands: int, epochs: int, gene
     dealt = lasting(dealt.withColumn("slot", (F.col("at") % block).cast("int")).drop("at"))
     each = dealt.groupBy("blk").agg(F.sort_array(F.collect_list(F.struct("slot", F.col("length").cast("int").alias("length")))).alias("x"))
     state = each.select("blk", F.col("x.length").alias("lengths"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.array().cast("array<array<int>>").alias("packings"))
-    # An island is one row; dealing them out by key lets all cores evolve.
-    state = state.repartition("blk", "island")
+    # An island is one row; dealing them out to a fixed number of tasks lets all cores evolve.
+    tasks = max(1, min(-(-n // block) * islands, 4000))
+    state = state.repartition(tasks, "blk", "island")
     schema = "blk long, lengths array<int>, island int, packings array<array<int>>, bins int, fit double"
 
     def epoch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,7 +219,7 @@ def _round(pieces: DataFrame, n: int, size: int, islands: int, epochs: int, gene
     for _ in range(epochs - 1):
         elite = state.select("blk", ((F.col("island") + 1) % islands).alias("island"), F.slice("packings", 1, 2).alias("elite"))
         state = state.join(elite, ["blk", "island"]).select("blk", "lengths", "island", F.concat(F.slice("packings", 1, max(1, members - 2)), "elite").alias("packings"))
-        state = lasting(state.mapInPandas(epoch, schema))
+        state = lasting(state.repartition(tasks, "blk", "island").mapInPandas(epoch, schema))
     best = state.groupBy("blk").agg(F.min_by(F.struct("lengths", F.element_at("packings", 1).alias("numbers")), F.struct("bins", -F.col("fit"), "island")).alias("b")).select("blk", "b.*")
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
