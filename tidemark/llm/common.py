@@ -85,3 +85,31 @@ def batches(frames: Iterator, column: str, most_chars: int = 4_000_000) -> Itera
                 size, lo = 0, i + 1
         if lo < len(frame):
             yield frame.iloc[lo:]
+
+
+def vector_sums(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, n, total): the number and the sum of the vectors of each key.
+
+    Each task sums what it reads, keys are then dealt out and summed as they stream in; no task holds a key's rows. The
+    keys of one task are held at a time, so they should be few (classes, languages).
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def add(frames: Iterator, counted: bool) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        n: dict = {}
+        sums: dict = {}
+        for frame in frames:
+            for k, v, c in zip(frame["k"], frame["v"], frame["n"] if counted else [1] * len(frame)):
+                k = None if k is None or k != k else k
+                v = np.asarray(v, float)
+                sums[k] = sums[k] + v if k in sums else v
+                n[k] = n.get(k, 0) + int(c)
+        for k, v in sums.items():
+            yield pd.DataFrame({"k": pd.Series([k], dtype=object), "n": [n[k]], "v": pd.Series([v], dtype=object)})
+
+    schema = f"k {kind}, n long, v array<double>"
+    first = df.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(lambda x: add(x, False), schema)
+    return first.repartition("k").mapInPandas(lambda x: add(x, True), schema).select(F.col("k").alias(key), "n", F.col("v").alias("total"))

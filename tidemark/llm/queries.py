@@ -3,28 +3,63 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import held_out, one_label, table
+from .divergence import quality_rules
 from .jaccard_join import near_duplicates
 from .mixing import mix
 from .packing import pack_documents
+from .quality import quality
+from .secrets import scan_secrets, spans_text
+from .toxicity import fit_toxicity, toxicity_score, usable_labels
+
+
+def _scored(df: DataFrame, parts: int, part: int) -> DataFrame:
+    return df.select("doc_id", held_out("doc_id", parts, part).alias("held_out"), "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, usable_labels(labels, held_out("doc_id", 5, 0)))
+    return _scored(docs.select("doc_id", toxicity_score(docs, model).alias("score")), 5, 0)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    number = lambda kind: F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.sha2(spans_text(F.col("base_spans")).cast("binary"), 256)
+    return found.select("doc_id", *map(number, ("assign", "access", "hex")), base.alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = one_label(table(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1)), "quality")
+    return _scored(quality(table(spark, sf_dir, "documents"), labels), 3, 1)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_secret_scans": op3_secret_scans,
     "op4_source_mixing": op4_source_mixing,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_quality_rules": op8_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
