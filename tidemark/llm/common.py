@@ -18,18 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lasting(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written to the shared checkpoint folder, with a lineage that ends there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one that the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``. Where none is named, a local master gets
-    a temporary one; a cluster has to name one, for a folder of one machine would not outlive it.
+    Where none is named, a local master gets a temporary one; a cluster has to name one, for a folder of one machine
+    would not outlive it.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not re.match(r"local(\[|$)", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def lasting(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written to the shared folder, with a lineage that ends there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
