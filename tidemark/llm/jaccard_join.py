@@ -13,6 +13,7 @@ first compared with one leader, the links found make components, and then only m
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import batches, components, lasting
 from .shingles import shingle_hashes, word_hashes
 
-_SKETCH_BITS, _BLOCK_BITS = 22, 16
+_SKETCH_BITS, _BLOCK_BITS = 24, 18
 
 
 def _digest(data: bytes) -> bytes:
@@ -31,7 +32,7 @@ def _digest(data: bytes) -> bytes:
 
 
 def _sketch(texts: DataFrame, k: int) -> np.ndarray:
-    """How often shingles of each of 2**22 hash buckets occur, as a level of 0 to 255; one array whatever the corpus."""
+    """How often shingles of each of 2**24 hash buckets occur, as a level of 0 to 255; one array whatever the corpus."""
     size = 1 << _SKETCH_BITS
     block = 1 << _BLOCK_BITS
 
@@ -42,7 +43,7 @@ def _sketch(texts: DataFrame, k: int) -> np.ndarray:
                 at, n = np.unique(shingle_hashes(words, k) >> np.uint64(64 - _SKETCH_BITS), return_counts=True)
                 total[at.astype(np.int64)] += n.astype(np.uint32)
         parts = [(i, total[i * block : (i + 1) * block]) for i in range(size // block)]
-        parts = [(i, x.tobytes()) for i, x in parts if x.any()]
+        parts = [(i, zlib.compress(x.tobytes(), 1)) for i, x in parts if x.any()]
         if parts:
             yield pd.DataFrame(parts, columns=["block", "counts"])
 
@@ -50,15 +51,15 @@ def _sketch(texts: DataFrame, k: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for frame in frames:
             for i, x in zip(frame["block"], frame["counts"]):
-                part = np.frombuffer(x, np.uint32).astype(np.uint64)
+                part = np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64)
                 sums[i] = sums[i] + part if i in sums else part
         for i, x in sums.items():
-            yield pd.DataFrame({"block": [i], "counts": [np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes()]})
+            yield pd.DataFrame({"block": [i], "counts": [zlib.compress(np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
 
     parts = texts.select("text").mapInPandas(count, "block int, counts binary").repartition("block").mapInPandas(add, "block int, counts binary")
     levels = np.zeros(size, np.uint8)
-    for row in parts.toLocalIterator():  # at most 64 rows of 256 kB
-        counts = np.frombuffer(row.counts, np.uint32)
+    for row in parts.toLocalIterator():  # at most 64 rows of 1 MB
+        counts = np.frombuffer(zlib.decompress(row.counts), np.uint32)
         levels[row.block * block : (row.block + 1) * block] = np.minimum(255, np.round(8 * np.log2(1.0 + counts)))
     return levels
 
@@ -109,58 +110,56 @@ def near_duplicates(docs: DataFrame, threshold: int = 90, k: int = 3, id_col: st
 
     # One row for each class of equal sets. Sets under 9 shingles can only link with equal ones.
     least = next(n for n in range(2, 10_000) if 100 * (n - 1) >= threshold * n) - 1 if threshold < 100 else 1 << 62
-    classes = lasting(
-        made.where(F.col("n_shingles") >= least).groupBy("set_key", "n_shingles", "grp").agg(F.min("text_key").alias("text_key"))
-    )
+    classes = lasting(made.where(F.col("n_shingles") >= least).select("set_key", "n_shingles", "grp").distinct())
     index = (
         made.where(F.col("n_shingles") >= least).select("grp", "n_shingles", "prefix").dropDuplicates(["grp"])
-        .select(F.explode("prefix").alias("token"), "grp", F.col("n_shingles").alias("n"))
+        .select(F.posexplode("prefix").alias("at", "token"), "grp", F.col("n_shingles").alias("n"))
     )
-    shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token")
+    # The first prefix shingle that two sets share stands at places i and j with n1 - i and n2 - j of the least overlap
+    # at least. ``most`` is the largest n2, times the threshold, that the place i allows; an entry is strong if it
+    # allows a set of its own size. The smaller set of a pair is strong, so weak entries never meet each other.
+    index = index.withColumn("most", F.expr(f"{100 + threshold} * (n - at) - {threshold} * n"))
+    shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.max(F.expr(f"most >= {threshold} * n")).alias("strong")).where("groups > 1 and strong").select("token")
     shared = lasting(index.join(shared, "token"))
 
     members = classes.select("grp", F.col("set_key").alias("cls"), F.col("n_shingles").alias("n"))
     heads = classes.groupBy("grp").agg(F.min("set_key").alias("head"), F.count(F.lit(1)).alias("size"))
 
-    # First comparisons: with the leader of each index entry of about the same size, and with the head of the group.
-    scale = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(threshold / 100))) if threshold < 100 else F.col("n")
-    entries = shared.withColumn("scale", scale)
-    leaders = entries.groupBy("token", "scale").agg(F.min(F.struct("n", "grp")).alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    stars = (
-        entries.join(leaders.select("token", "scale", "leader"), ["token", "scale"])
-        .where("grp <> leader.grp").select(F.col("grp"), F.col("leader.grp").alias("of")).distinct()
-    )
+    # First comparisons: with the leader of each index entry, which has the entry nearest to its front as a text that
+    # others are copies of has, and with the head of the group.
+    leaders = shared.where(f"most >= {threshold} * n").groupBy("token").agg(F.min(F.struct("at", "n", "grp", "most")).alias("leader"))
+    fits = f"grp <> leader.grp and most >= {threshold} * leader.n and leader.most >= {threshold} * n"
+    stars = shared.join(leaders, "token").where(fits).select(F.col("grp"), F.col("leader.grp").alias("of")).distinct()
     head = heads.select("grp", "head")
     stars = (
         stars.join(head, "grp").join(head.select(F.col("grp").alias("of"), F.col("head").alias("to")), "of")
         .select(F.least("head", "to").alias("a"), F.greatest("head", "to").alias("b"))
     )
     inner = members.join(heads.where("size > 1").select("grp", "head"), "grp").where("cls <> head").select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b"))
-    links = _verified(docs, classes, stars.unionByName(inner).distinct(), threshold, k, text_col)
+    links = _verified(docs, made, stars.unionByName(inner).distinct(), threshold, k, text_col)
     found = components(links, "a", "b")
 
     # The rest: members of the same entry, or of the same group, that are still in different components.
     placed = members.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    spread = placed.select("grp", "cls", "n", "component")
-    by_token = shared.select(F.col("token").cast("string").cast("binary").alias("entry"), "grp").join(spread, "grp")
-    by_group = spread.join(heads.where("size > 1").select("grp"), "grp").select(F.col("grp").alias("entry"), "grp", "cls", "n", "component")
-    spread = by_token.select("entry", "cls", "n", "component").unionByName(by_group.select("entry", "cls", "n", "component"))
-    parts = spread.groupBy("entry", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    mixed = parts.groupBy("entry").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("entry")
+    own = F.expr(f"{100} * n").alias("most")
+    by_token = shared.select(F.col("token").cast("string").cast("binary").alias("entry"), "grp", "most").join(placed.select("grp", "cls", "n", "component"), "grp")
+    by_group = placed.join(heads.where("size > 1").select("grp"), "grp").select(F.col("grp").alias("entry"), "cls", "n", "component", own)
+    spread = by_token.select("entry", "cls", "n", "component", "most").unionByName(by_group)
+    parts = spread.groupBy("entry", "component").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("most").alias("most"), F.max(F.expr(f"most >= {threshold} * n")).alias("strong")
+    )
+    mixed = parts.groupBy("entry").agg(F.count(F.lit(1)).alias("c"), F.max("strong").alias("s")).where("c > 1 and s").select("entry")
     parts = lasting(parts.join(mixed, "entry"))
-    left, right = (parts.select("entry", *(F.col(c).alias(f"{c}{i}") for c in ("component", "lo", "hi"))) for i in (1, 2))
-    meet = left.join(right, "entry").where(f"component1 < component2 and 100 * hi1 >= {threshold} * lo2 and 100 * hi2 >= {threshold} * lo1")
-    one, two = (spread.select("entry", *(F.col(c).alias(f"{c}{i}") for c in ("cls", "n", "component"))) for i in (1, 2))
+    left, right = (parts.select("entry", "strong", *(F.col(c).alias(f"{c}{i}") for c in ("component", "lo", "hi", "most"))) for i in (1, 2))
+    apart = f"component1 <> component2 and 100 * hi1 >= {threshold} * lo2 and 100 * hi2 >= {threshold} * lo1 and most1 >= {threshold} * lo2 and most2 >= {threshold} * lo1"
+    meet = left.where("strong").join(right.drop("strong"), "entry").where(apart)
+    one, two = (spread.select("entry", *(F.col(c).alias(f"{c}{i}") for c in ("cls", "n", "component", "most"))) for i in (1, 2))
     pairs = (
         meet.select("entry", "component1", "component2").join(one, ["entry", "component1"]).join(two, ["entry", "component2"])
-        .where(f"100 * least(n1, n2) >= {threshold} * greatest(n1, n2)")
-        .groupBy(F.least("cls1", "cls2").alias("a"), F.greatest("cls1", "cls2").alias("b"), F.least("n1", "n2").alias("lo"), F.greatest("n1", "n2").alias("hi"))
-        .agg(F.count(F.lit(1)).alias("both"), F.max(F.length("entry") == 16).alias("same"))
+        .where(f"100 * least(n1, n2) >= {threshold} * greatest(n1, n2) and most1 >= {threshold} * n2 and most2 >= {threshold} * n1")
+        .select(F.least("cls1", "cls2").alias("a"), F.greatest("cls1", "cls2").alias("b")).distinct()
     )
-    # A pair that shares ``both`` prefix shingles overlaps by at most those and all that stands behind one prefix.
-    behind = F.expr(f"(hi * {threshold} + 99) div 100 - 1")
-    pairs = pairs.where(F.col("same") | (F.col("both") + behind >= _needs("lo", "hi", threshold))).select("a", "b")
-    more = _verified(docs, classes, pairs, threshold, k, text_col)
+    more = _verified(docs, made, pairs, threshold, k, text_col)
     joined = (
         more.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
         .join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
@@ -180,16 +179,24 @@ def near_duplicates(docs: DataFrame, threshold: int = 90, k: int = 3, id_col: st
     )
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: int, k: int, text_col: str) -> DataFrame:
+def _verified(docs: DataFrame, made: DataFrame, pairs: DataFrame, threshold: int, k: int, text_col: str) -> DataFrame:
     """(a, b): the pairs of classes that are similar enough, by their whole sets.
 
-    One text of each class in question is read again. A Bloom filter of fixed size keeps most other texts from being
-    cut into words; the join behind it is exact.
+    Two sets overlap by at most what their prefixes share and all that stands behind a prefix; pairs that this rules out
+    go first. For the others one text of each class is read again. A Bloom filter of fixed size keeps most other texts
+    from being cut into words; the join behind it is exact.
     """
     spark = docs.sparkSession
     pairs = lasting(pairs)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
-    keys = lasting(classes.select("set_key", "text_key").join(needed, "set_key"))
+    known = made.join(needed, "set_key", "left_semi").groupBy("set_key").agg(F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
+    known = lasting(known)
+    a, b = (known.select(F.col("set_key").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefix").alias(f"p_{c}")) for c in "ab")
+    behind = F.expr("greatest(n_a - size(p_a), n_b - size(p_b))")
+    both = F.size(F.array_intersect("p_a", "p_b")) + behind
+    pairs = lasting(pairs.join(a, "a").join(b, "b").where(both >= _needs("n_a", "n_b", threshold)).select("a", "b"))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+    keys = lasting(known.select("set_key", "text_key").join(needed, "set_key"))
     bits = 1 << 24
 
     def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
