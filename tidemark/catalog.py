@@ -1,4 +1,6 @@
 """All queries over the relational tables, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import research, research_sql
+
+QUERIES: dict = {**research.QUERIES}
+ORACLE_SQL: dict = {**research_sql.ORACLE_SQL}
