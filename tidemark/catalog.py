@@ -1,6 +1,6 @@
 """All queries over the relational tables, and the SQL that gives the same rows."""
 
-from .plans import research, research_sql
+from .plans import research, research_sql, trading_queries
 
-QUERIES: dict = {**research.QUERIES}
-ORACLE_SQL: dict = {**research_sql.ORACLE_SQL}
+QUERIES: dict = {**research.QUERIES, **trading_queries.QUERIES}
+ORACLE_SQL: dict = {**research_sql.ORACLE_SQL, **trading_queries.ORACLE_SQL}

@@ -42,7 +42,7 @@ def split_fills(orders: DataFrame) -> DataFrame:
 def fill_violations(fills: DataFrame, orders: DataFrame) -> DataFrame:
     """fills with (violation): the first fact that does not fit the order's plan, or null."""
     w = Window.partitionBy("order_id").orderBy("fill_sequence", "execution_key")
-    plan = orders.select("order_id", F.col("quantity").alias("requested"), F.col("price").alias("reference"), "accepted_at")
+    plan = orders.select("order_id", F.col("quantity").alias("requested"), F.col("price").alias("reference"), F.col("accepted_at").alias("since"))
     rows = fills.withColumns({"expected": F.row_number().over(w), "running": F.sum("quantity").over(w.rowsBetween(Window.unboundedPreceding, 0))}).join(plan, "order_id")
     half = F.floor(F.col("requested") / 2)
     due = F.when(F.col("requested") == 1, F.col("requested")).when(F.col("expected") == 1, half).otherwise(F.col("requested") - half)
@@ -50,7 +50,7 @@ def fill_violations(fills: DataFrame, orders: DataFrame) -> DataFrame:
     violation = (
         F.when(F.col("expected") > most, "too_many_fills").when(F.col("fill_sequence") != F.col("expected"), "sequence_mismatch")
         .when(F.col("execution_key") != execution_key(F.col("order_id").cast("string"), F.col("expected")), "execution_key_mismatch").when(F.col("quantity") != due, "quantity_mismatch")
-        .when(F.col("price") != F.col("reference"), "price_mismatch").when(F.col("fee") != 0, "nonzero_fee").when(F.col("executed_at") < F.col("accepted_at"), "execution_precedes_acceptance")
+        .when(F.col("price") != F.col("reference"), "price_mismatch").when(F.col("fee") != 0, "nonzero_fee").when(F.col("executed_at") < F.col("since"), "execution_precedes_acceptance")
         .when(F.col("running") > F.col("requested"), "overfill")
     )
     return rows.select(*fills.columns, violation.alias("violation"))

@@ -47,14 +47,14 @@ def pit_latest_revision(spark, d):
     before = F.lag("close_price").over(Window.partitionBy(*pit.SERIES).orderBy("session_date"))
     made = last.withColumn("r", F.col("close_price") / before - 1)
     return made.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("sessions"), F.max("session_date").alias("last_session"), F.round(F.max_by("close_price", "session_date"), 6).alias("last_close"), F.round(F.max_by("r", "session_date"), 6).alias("one_day_return")
+        F.count(F.lit(1)).alias("sessions"), F.max("session_date").alias("last_session"), F.max_by("close_price", "session_date").alias("last_close"), F.round(F.max_by("r", "session_date"), 6).alias("one_day_return")
     )
 
 
 def pit_named_sessions(spark, d):
     wanted = spark.createDataFrame([(1, date(1999, 3, 15)), (2, date(1999, 3, 10)), (3, date(1999, 3, 12))], "position int, session_date date")
     found = pit.named_sessions(revisions(spark, d), ts(AS_OF), wanted)
-    return found.select("symbol", "position", "session_date", F.round("close_price", 6).alias("close_price"), "bar_key")
+    return found.select("symbol", "position", "session_date", "close_price", "bar_key")
 
 
 def features(spark, d):
@@ -66,7 +66,8 @@ def features(spark, d):
 
 def features_v1(spark, d):
     made = features(spark, d).select("run_id", "symbol", "session_date", "completed_bar_count", "quality_status", "quality_reason", "last_close", *PRICE_FEATURES, *VOLUME_FEATURES)
-    return rounded(rounded(made, 6, "last_close", *PRICE_FEATURES, *VOLUME_FEATURES[:2]), 7, VOLUME_FEATURES[2])
+    made = rounded(made, 6, *PRICE_FEATURES, *VOLUME_FEATURES[:2])
+    return made.withColumn(VOLUME_FEATURES[2], F.col(VOLUME_FEATURES[2]).cast("float"))
 
 
 def features_v2(spark, d):

@@ -194,12 +194,12 @@ def _with(ctes: str, body: str) -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "pit_latest_revision": _with(_BARS, """
-SELECT symbol, count(*) AS sessions, max(session_date) AS last_session, round(arg_max(c, session_date), 6) AS last_close, round(arg_max(r, session_date), 6) AS one_day_return
+SELECT symbol, count(*) AS sessions, max(session_date) AS last_session, arg_max(c, session_date) AS last_close, round(arg_max(r, session_date), 6) AS one_day_return
 FROM (SELECT *, c / lag(c) OVER (PARTITION BY symbol ORDER BY session_date) - 1 AS r FROM (SELECT * FROM known QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY session_date DESC) <= 21)) GROUP BY symbol"""),
     "pit_named_sessions": _with(_BARS, """
-SELECT symbol, CAST(p AS INTEGER) AS position, session_date, round(c, 6) AS close_price, bar_key FROM known
+SELECT symbol, CAST(p AS INTEGER) AS position, session_date, c AS close_price, bar_key FROM known
 JOIN (VALUES (1, DATE '1999-03-15'), (2, DATE '1999-03-10'), (3, DATE '1999-03-12')) w(p, session_date) USING (session_date)"""),
-    "features_v1": _with(_FEATURES, f"SELECT run_id, symbol, session_date, completed_bar_count, quality_status, quality_reason, {_round(['last_close', *_PRICES, *_VOLUMES[:2]], 6)}, {_round(_VOLUMES[2:], 7)} FROM features"),
+    "features_v1": _with(_FEATURES, f"SELECT run_id, symbol, session_date, completed_bar_count, quality_status, quality_reason, last_close, {_round([*_PRICES, *_VOLUMES[:2]], 6)}, CAST(average_dollar_volume_20 AS REAL) AS average_dollar_volume_20 FROM features"),
     "features_v2": _with(_FEATURES, f"SELECT symbol, session_date, 'READY' AS quality_status, {_round(_PRICES, 6)} FROM featured WHERE completed_bar_count = 21 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY session_date DESC) = 1"),
     "feature_quality_counts": _with(_FEATURES, "SELECT run_id, quality_status, count(*) AS items FROM features GROUP BY ALL"),
     "midrank_percentile": _with(_LONG, "SELECT run_id, symbol, feature, round(percentile, 9) AS percentile FROM ranks"),
