@@ -53,8 +53,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
 def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many documents of each length to take, so that their words come as near to ``budget`` as they can.
 
-    First the same share of each length, rounded down, then long documents while they fit with room to spare, then an
-    exact bounded knapsack for the gap, which is then under about two of the longest documents.
+    First the same share of each length, rounded down. Of these, short documents are given back, about two of the longest or
+    50,000 words, and long ones added while there is ample room, so that an exact bounded knapsack closes a gap of some
+    four of the longest documents with short ones at hand. A budget of less is met as nearly as any choice can.
     """
     whole = sum(n * c for n, c in zip(lengths, counts))
     if budget >= whole:
@@ -63,9 +64,17 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     gap = budget - sum(n * t for n, t in zip(lengths, taken))
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     longest = lengths[order[0]] if order else 0
+    slack = max(longest, 25_000)
+    spare = 2 * slack
+    for i in reversed(order):
+        if lengths[i] and spare > 0:
+            back = min(taken[i], -(-spare // lengths[i]))
+            taken[i] -= back
+            spare -= back * lengths[i]
+            gap += back * lengths[i]
     for i in order:
-        if lengths[i] and gap > 2 * longest:
-            more = min(counts[i] - taken[i], (gap - longest) // lengths[i])
+        if lengths[i] and gap > 4 * slack:
+            more = min(counts[i] - taken[i], (gap - 3 * slack) // lengths[i])
             taken[i] += more
             gap -= more * lengths[i]
     # Sums that can be reached, as the bits of one number; each step adds a power of two of equal documents.

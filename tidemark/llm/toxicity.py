@@ -115,11 +115,11 @@ def fit(rows: list[list[int]], labels: list[int], pairs: list[tuple[list[int], l
     return w, float(bias)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, most_features: int = 3000, ridge: float = 2e-5, fairness: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, most_features: int = 3000, ridge: float = 0.16, fairness: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """A model from ``labels`` (doc_id, label 0 or 1), of which at most ``most_rows``, by a hash of the id, are used.
 
     Features are those that occur in three toxic texts of the sample at least, by the largest chi-square. Without usable
-    labels every score is that of the bias alone. Null ids and labels other than 0 and 1 are left out.
+    labels every score is that of the bias alone. ``ridge`` is spread over the rows, so few rows give small weights. Null ids and labels other than 0 and 1 are left out.
     """
     few = lasting(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows))
     n_toxic, n_rows = (few.agg(F.sum("label"), F.count(F.lit(1))).first() or (0, 0))
@@ -160,7 +160,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, most
             x, y = (sorted(place[f] for f in features_of(t) if f in place) for t in (a, b))
             if x != y:
                 pairs.append((x, y))
-    w, bias = fit([row.own for row in rows], [row.label for row in rows], pairs, len(place), ridge, fairness)
+    w, bias = fit([row.own for row in rows], [row.label for row in rows], pairs, len(place), ridge / len(rows), fairness)
     return ToxicityModel({f: float(w[i]) for f, i in place.items() if w[i] > 0}, bias)
 
 
