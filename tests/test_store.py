@@ -62,3 +62,21 @@ def test_reports_are_replaced_whole(tmp_path):
     assert first == write_reports(str(tmp_path), "Readiness", {"blockers": ["A"], "facts": {"items": 3}})
     assert json.loads((tmp_path / "report.json").read_text())["facts"]["items"] == 3 and "| items | 3 |" in (tmp_path / "report.md").read_text()
     assert sorted(p.name for p in tmp_path.iterdir()) == ["SHA256SUMS", "report.json", "report.md"]
+
+
+def test_exact_snapshots_have_the_known_key_and_digest(spark):
+    from datetime import timedelta
+    from decimal import Decimal
+
+    from tidemark.operators.exact import feature_snapshots
+
+    rows = []
+    for i in range(21):
+        close, at = Decimal(100 + i), datetime(2026, 1, 1, 23) + timedelta(i)
+        rows.append(("UNIT_SOURCE", f"bar-{i:03d}", "v1", "AAPL", "USD", "SPLIT_ADJUSTED", date(2026, 1, 1) + timedelta(i), at - timedelta(hours=1), at, close - Decimal("0.5"), close + 2, close - 2, close, 1000 + 10 * i))
+    names = "source_code string, source_record_key string, source_version string, symbol string, currency string, adjustment_basis string, session_date date, observed_at timestamp, available_at timestamp, open_price decimal(38,18), high_price decimal(38,18), low_price decimal(38,18), close_price decimal(38,18), volume long"
+    bars = sources.content_digest(spark.createDataFrame(rows, names).repartition(3))
+    found = feature_snapshots(bars, datetime(2027, 1, 1, 23), 3).first()
+    assert found.snapshot_key == "feature-snapshot:v1:e71831fdd8f47692183dc623651999be70458e4d19fe50415af2d4118f5e60d0"
+    assert found.content_digest == "fccd188eb3200bc40113f77f0056d8b78335653ca02af769df507e3dbd94155a"
+    assert feature_snapshots(bars.limit(20), datetime(2027, 1, 1, 23), 3).count() == 0
