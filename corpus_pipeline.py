@@ -27,12 +27,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near copies. Rows that repeat an id and its text become one.
 
-    Rows without an id cannot be told apart and stay.
+    Rows without an id cannot be told apart and stay. Extra columns pass.
     """
     groups = near_duplicates(docs)
-    own = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = docs.join(own, "doc_id").select(*docs.columns, "n")
-    once = kept.where("n = 1").drop("n").unionByName(kept.where("n > 1").drop("n").dropDuplicates(["doc_id", "text"]))
+    own = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_stage_id")).agg(F.count(F.lit(1)).alias("_stage_n"))
+    kept = docs.join(own, docs["doc_id"] == own["_stage_id"]).drop("_stage_id")
+    once = kept.where("_stage_n = 1").drop("_stage_n").unionByName(kept.where("_stage_n > 1").drop("_stage_n").dropDuplicates(["doc_id", "text"]))
     return once.unionByName(docs.where("doc_id is null"))
 
 
@@ -44,10 +44,11 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("?"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
-    keyed = docs.withColumn("row_key", key)
-    taken = mix(keyed, id_col="row_key").where("taken > 0")
-    times = taken.groupBy("row_key").agg(F.max(F.expr("cast(taken div size as int)")).alias("times"))
-    return keyed.join(times, "row_key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    keyed = docs.withColumn("_stage_key", key)
+    taken = mix(keyed, id_col="_stage_key").where("taken > 0")
+    times = taken.groupBy("_stage_key").agg(F.max(F.expr("cast(taken div size as int)")).alias("_stage_times"))
+    copies = F.explode(F.sequence(F.lit(1), F.col("_stage_times"))).alias("_stage_copy")
+    return keyed.join(times, "_stage_key").select(*docs.columns, copies).drop("_stage_copy")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,10 +69,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written to the shared folder and read again."""
+    """All stages over ``documents``; what a stage returns is written to the shared folder and read again.
+
+    The rows of a stage go when those of the next are written; the last ones stay, for the result is read from them.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before is not None:
+            old = spark._jvm.org.apache.hadoop.fs.Path(before)
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        before = path
     return docs

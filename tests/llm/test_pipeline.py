@@ -56,3 +56,12 @@ def test_rows_that_repeat_or_have_no_id(spark):
     assert {r.text for r in mixed} <= {"a b c d e", "x y z"}
     assert corpus_pipeline.mixing(spark, single.limit(0), SF).count() == 0
     assert corpus_pipeline.one_of_each_group(spark, docs.limit(0), SF).count() == 0
+
+
+def test_extra_columns_with_clashing_names_pass(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "1 AS n", "'x' AS size", "2 AS id", "3 AS score", "4 AS times", "'k' AS row_key", "5 AS taken", "6 AS prefix")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        made = stage(spark, docs, SF)
+        assert made.columns == docs.columns, name
+        assert made.where("n = 1 and size = 'x' and id = 2 and times = 4 and row_key = 'k'").count() == made.count() > 0
+    assert corpus_pipeline.packing(spark, docs, SF).count() > 0
