@@ -99,6 +99,18 @@ def test_a_session_is_complete_at_its_close_and_grace(spark):
     assert found == [("NO_COMPLETED_SESSION", None), ("UNSUPPORTED_MIC", None), ("RESOLVED", date(2024, 1, 2)), ("RESOLVED", date(2024, 1, 3)), ("CALENDAR_OUT_OF_COVERAGE", None)]
 
 
+def test_lookups_by_day(spark):
+    days = spark.createDataFrame([(date(2024, 1, 15),), (date(2024, 1, 16),), (date(2018, 1, 1),), (date(2026, 12, 31),), (date(2027, 3, 1),), (None,)], "day date")
+    found = {r.day: (r.is_session, r.latest) for r in cal.session_lookup(days, cal.trading_sessions(spark)).collect()}
+    assert found == {date(2024, 1, 15): (False, date(2024, 1, 12)), date(2024, 1, 16): (True, date(2024, 1, 16)), date(2018, 1, 1): (False, None), date(2026, 12, 31): (True, date(2026, 12, 31)), date(2027, 3, 1): (False, None), None: (False, None)}
+    assert {r.latest for r in cal.session_lookup(days, cal.trading_sessions(spark), checked=False).where("day = '2027-03-01'").collect()} == {date(2026, 12, 31)}
+
+
+def test_a_day_of_grace_reaches_back_two_sessions(spark):
+    asked = spark.createDataFrame([("XNYS", datetime(2024, 1, 5, 15), 86400), ("XNYS", datetime(2024, 1, 5, 21), 86400)], "mic_code string, as_of timestamp, grace_seconds int")
+    assert [r.session_date for r in cal.completed_session(asked, cal.trading_sessions(spark)).orderBy("as_of").collect()] == [date(2024, 1, 3), date(2024, 1, 4)]
+
+
 @pytest.mark.parametrize("h", [1, 2, 3, 4, 5])
 def test_horizons_count_sessions_and_run_off_the_calendar(spark, h):
     c = cal.trading_sessions(spark).where("family = 'NYSE_CORE'")

@@ -98,22 +98,43 @@ def family_of(mic: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.upper(F.trim(mic)))
 
 
+def session_days(sessions: DataFrame) -> DataFrame:
+    """(family, day, last): each day from the first session on, with the last three sessions on or before it, newest first.
+
+    Some thousand rows whatever the data, so an equi-join by day finds a session without a search through the calendar.
+    """
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("family").orderBy("session_date")
+    own = F.struct("close_at", "session_date")
+    made = sessions.withColumns({"own": own, "one": F.lag(own, 1).over(w), "two": F.lag(own, 2).over(w), "until": F.lead("session_date").over(w)})
+    until = F.coalesce(F.date_sub("until", 1), F.lit(LAST))
+    return made.select("family", F.explode(F.sequence("session_date", until)).alias("day"), F.array_compact(F.array("own", "one", "two")).alias("last"))
+
+
+def last_session() -> date:
+    """The last session that the calendar covers."""
+    closed, day = {d for d, _ in closures(LAST.year)}, LAST
+    while day.weekday() > 4 or day in closed:
+        day -= timedelta(1)
+    return day
+
+
 def completed_session(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     """requests (mic_code, as_of, grace_seconds) with (outcome, session_date): the greatest session closed and past its grace.
 
-    Coverage is that of the New York date of ``as_of``. The calendar is small and fixed, so it goes to every task.
+    Coverage is that of the New York date of ``as_of``. A grace of up to a day reaches back two sessions at most, which
+    the days of the calendar hold.
     """
-    ids = requests.withColumn("family", family_of(F.col("mic_code"))).withColumn("ny_date", F.to_date(F.from_utc_timestamp("as_of", "America/New_York")))
-    cal = sessions.groupBy("family").agg(F.array_sort(F.collect_list(F.struct("close_at", "session_date"))).alias("days"))
-    joined = ids.join(F.broadcast(cal), "family", "left")
-    done = F.filter("days", lambda d: d["close_at"] + F.make_dt_interval(secs=F.col("grace_seconds")) <= F.col("as_of"))
-    last = F.try_element_at(done, F.lit(-1))["session_date"]
-    covered = F.col("ny_date").between(F.lit(FIRST), F.lit(LAST))
+    ids = requests.withColumn("family", family_of(F.col("mic_code"))).withColumn("day", F.to_date(F.from_utc_timestamp("as_of", "America/New_York")))
+    joined = ids.join(F.broadcast(session_days(sessions)), ["family", "day"], "left")
+    done = F.filter("last", lambda d: d["close_at"] + F.make_dt_interval(secs=F.col("grace_seconds")) <= F.col("as_of"))
+    found = F.try_element_at(done, F.lit(1))["session_date"]
     outcome = (
-        F.when(F.col("family").isNull(), "UNSUPPORTED_MIC").when(~covered, "CALENDAR_OUT_OF_COVERAGE")
-        .when(F.size(done) == 0, "NO_COMPLETED_SESSION").otherwise("RESOLVED")
+        F.when(F.col("family").isNull(), "UNSUPPORTED_MIC").when(~F.col("day").between(F.lit(FIRST), F.lit(LAST)), "CALENDAR_OUT_OF_COVERAGE")
+        .when(found.isNull(), "NO_COMPLETED_SESSION").otherwise("RESOLVED")
     )
-    return joined.select(*requests.columns, outcome.alias("outcome"), F.when(outcome == "RESOLVED", last).alias("session_date"))
+    return joined.select(*requests.columns, outcome.alias("outcome"), F.when(outcome == "RESOLVED", found).alias("session_date"))
 
 
 def session_lookup(dates: DataFrame, sessions: DataFrame, day: str = "day", checked: bool = True) -> DataFrame:
@@ -121,12 +142,10 @@ def session_lookup(dates: DataFrame, sessions: DataFrame, day: str = "day", chec
 
     Out of coverage ``latest`` is null; with ``checked`` false, days after the last session still get it.
     """
-    one = sessions.where(F.col("family") == "NASDAQ_CORE")
-    cal = one.agg(F.array_sort(F.collect_list("session_date")).alias("days"))
-    joined = dates.crossJoin(F.broadcast(cal))  # one row
-    latest = F.try_element_at(F.filter("days", lambda d: d <= F.col(day)), F.lit(-1))
-    inside = F.col(day).between(F.lit(FIRST), F.lit(LAST)) if checked else F.lit(True)
-    return joined.select(*dates.columns, F.array_contains("days", F.col(day)).alias("is_session"), F.when(inside, latest).alias("latest"))
+    days = session_days(sessions.where(F.col("family") == "NASDAQ_CORE")).select(F.col("day").alias("_day"), F.col("last")[0]["session_date"].alias("_latest"))
+    joined = dates.join(F.broadcast(days), F.col(day) == F.col("_day"), "left")
+    latest = F.col("_latest") if checked else F.when(F.col(day) > F.lit(LAST), F.lit(last_session())).otherwise(F.col("_latest"))
+    return joined.select(*dates.columns, F.coalesce(F.col("_latest") == F.col(day), F.lit(False)).alias("is_session"), latest.alias("latest"))
 
 
 #: Violations of a bar's session, in the order in which they are looked for.

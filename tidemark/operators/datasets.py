@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .features import PRICE_FEATURES
 from .outcomes import label
@@ -194,7 +193,3 @@ def order_violations(rows: DataFrame, listing: str = "dataset", within: str = "s
     """Rows whose ordinals are not those of the listing: none in a sound dataset."""
     again = numbered(rows.withColumnRenamed("ordinal", "_ordinal"), listing, [within])
     return again.where(F.col("ordinal") != F.col("_ordinal")).drop("_ordinal")
-
-
-def fold_window(parent: str, order: str) -> Window:
-    return Window.partitionBy(parent).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
