@@ -6,11 +6,14 @@ mourning are the only ones listed.
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import UTC, date, datetime, timedelta
+from functools import lru_cache
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+NEW_YORK = ZoneInfo("America/New_York")
 FIRST, LAST = date(2018, 1, 1), date(2026, 12, 31)
 #: Sessions of each year from 2018 (fixed values, against which the rules are checked).
 SESSIONS_PER_YEAR = (251, 252, 253, 252, 251, 250, 252, 250, 251)
@@ -73,23 +76,23 @@ def early_closes(year: int) -> list[tuple[date, str]]:
     return [(d, name) for d, name in found if d.weekday() < 5 and d not in closed and (eve or name != "INDEPENDENCE_DAY_EVE")]
 
 
+@lru_cache(maxsize=1)
+def _session_rows() -> tuple[tuple, ...]:
+    """(family, seq, session_date, kind, open_at, close_at) of all sessions: weekdays that are not closed."""
+    closed = {d for y in range(FIRST.year, LAST.year + 1) for d, _ in closures(y)}
+    early = {d for y in range(FIRST.year, LAST.year + 1) for d, _ in early_closes(y)}
+    days = [d for i in range((LAST - FIRST).days + 1) if (d := FIRST + timedelta(i)).weekday() < 5 and d not in closed]
+    at = lambda d, hour, minute=0: datetime(d.year, d.month, d.day, hour, minute, tzinfo=NEW_YORK).astimezone(UTC)
+    return tuple(
+        (family, seq, d, "EARLY_CLOSE" if d in early else "REGULAR", at(d, 9, 30), at(d, 13 if d in early else 16))
+        for family in sorted(set(FAMILIES.values())) for seq, d in enumerate(days, 1)
+    )
+
+
 def trading_sessions(spark: SparkSession, first: date = FIRST, last: date = LAST) -> DataFrame:
     """(family, seq, session_date, kind, open_at, close_at): both families, seq from 1 over all that is covered."""
-    years = range(FIRST.year, LAST.year + 1)
-    closed = spark.createDataFrame([x for y in years for x in closures(y)], "session_date date, reason string")
-    early = spark.createDataFrame([(*x, True) for y in years for x in early_closes(y)], "session_date date, reason string, early boolean")
-    days = spark.sql(f"SELECT explode(sequence(DATE'{FIRST}', DATE'{LAST}')) AS session_date").where("dayofweek(session_date) BETWEEN 2 AND 6")
-    days = days.join(F.broadcast(closed.select("session_date")), "session_date", "left_anti").join(F.broadcast(early.select("session_date", "early")), "session_date", "left")
-    from pyspark.sql.window import Window
-
-    seq = F.row_number().over(Window.orderBy("session_date"))  # some 2,262 rows, whatever the data
-    at = lambda clock: F.to_utc_timestamp(F.concat(F.col("session_date").cast("string"), F.lit(f" {clock}")).cast("timestamp"), "America/New_York")
-    made = days.withColumn("seq", seq).select(
-        "seq", "session_date", F.when(F.col("early"), F.lit("EARLY_CLOSE")).otherwise(F.lit("REGULAR")).alias("kind"),
-        at("09:30:00").alias("open_at"), F.when(F.col("early"), at("13:00:00")).otherwise(at("16:00:00")).alias("close_at"),
-    )
-    families = F.explode(F.array(*(F.lit(x) for x in sorted(set(FAMILIES.values()))))).alias("family")
-    return made.where(F.col("session_date").between(F.lit(first), F.lit(last))).select(families, "*")
+    rows = [r for r in _session_rows() if first <= r[2] <= last]
+    return spark.createDataFrame(rows, "family string, seq int, session_date date, kind string, open_at timestamp, close_at timestamp")
 
 
 def family_of(mic: Column) -> Column:

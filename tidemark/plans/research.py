@@ -216,9 +216,9 @@ def dataset_labels(spark, d):
 
 def lineage(spark, d):
     records = datasets.lineage_flags(scored_items(spark, d), outcome_revisions(spark, d), dataset_labels(spark, d), ts(DATASET_AS_OF), "EVENTS", "US", "P1", "L1")
-    included = dataset_rows(spark, d).select("scoring_item_id", F.lit(True).alias("_in")).join(dataset_labels(spark, d).where("label_policy_code = 'L1'").select("scoring_item_id").distinct(), "scoring_item_id", "left_semi")
-    records = records.join(included, "scoring_item_id", "left")
-    return records.withColumn("exclusion_reason", datasets.exclusion_reason(F.coalesce("_in", F.lit(False)), F.col("policy_matches")))
+    scored = (F.col("scoring_outcome") == "SCORED_READY") & F.col("overall_score").isNotNull() & F.col("source_rank").isNotNull()
+    included = F.col("policy_matches") & scored & F.col("has_policy_outcome") & F.col("has_matching_label")
+    return records.withColumn("exclusion_reason", datasets.exclusion_reason(included, F.col("policy_matches")))
 
 
 def exclusion_funnel(spark, d):

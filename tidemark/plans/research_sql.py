@@ -1,5 +1,7 @@
 """The research queries as SQL over the same tables."""
 
+from ..functions.calendar import FIRST, LAST, closures, early_closes
+
 _BARS = """
 lines AS (
   SELECT 'S' || l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS session_date, l_extendedprice / l_quantity / 10 AS price, l_quantity AS quantity,
@@ -192,7 +194,15 @@ def _with(ctes: str, body: str) -> str:
     return f"WITH {ctes.strip()}\n{body}"
 
 
+_YEARS = range(FIRST.year, LAST.year + 1)
+_CLOSED = ", ".join(f"DATE '{d}'" for y in _YEARS for d, _ in closures(y))
+_EARLY = ", ".join(f"DATE '{d}'" for y in _YEARS for d, _ in early_closes(y))
+
 ORACLE_SQL: dict[str, str] = {
+    "trading_sessions": f"""
+WITH days AS (SELECT CAST(unnest(generate_series(TIMESTAMP '{FIRST}', TIMESTAMP '{LAST}', INTERVAL 1 DAY)) AS DATE) AS d),
+sessions AS (SELECT d, CASE WHEN d IN ({_EARLY}) THEN 'EARLY_CLOSE' ELSE 'REGULAR' END AS kind FROM days WHERE isodow(d) <= 5 AND d NOT IN ({_CLOSED}))
+SELECT CAST(year(d) AS INTEGER) AS year, kind, count(*) AS sessions, min(d) AS first_session, max(d) AS last_session, CAST(sum(CASE WHEN kind = 'REGULAR' THEN 23400 ELSE 12600 END) AS BIGINT) AS open_seconds FROM sessions GROUP BY ALL""",
     "pit_latest_revision": _with(_BARS, """
 SELECT symbol, count(*) AS sessions, max(session_date) AS last_session, arg_max(c, session_date) AS last_close, round(arg_max(r, session_date), 6) AS one_day_return
 FROM (SELECT *, c / lag(c) OVER (PARTITION BY symbol ORDER BY session_date) - 1 AS r FROM (SELECT * FROM known QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY session_date DESC) <= 21)) GROUP BY symbol"""),
