@@ -80,7 +80,7 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def batches(frames: Iterator, column: str, most_chars: int = 4_000_000) -> Iterator:
+def batches(frames: Iterator, column: str, most_chars: int = 2_000_000) -> Iterator:
     """The pandas frames of a mapInPandas call, cut so that the texts of each hold about ``most_chars`` at most."""
     for frame in frames:
         size, lo = 0, 0

@@ -31,6 +31,20 @@ def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    """Counts as one compressed byte each, and the places and values of those above 254."""
+    large = np.flatnonzero(counts > 254).astype(np.uint32)
+    return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + large.tobytes() + counts[large].astype(np.uint32).tobytes(), 1)
+
+
+def _unpack(packed: bytes, n: int) -> np.ndarray:
+    raw = zlib.decompress(packed)
+    counts = np.frombuffer(raw, np.uint8, n).astype(np.uint32)
+    large, values = np.frombuffer(raw[n:], np.uint32).reshape(2, -1)
+    counts[large] = values
+    return counts
+
+
 def _sketch(texts: DataFrame, k: int) -> np.ndarray:
     """How often shingles of each of 2**24 hash buckets occur, as a level of 0 to 255; one array whatever the corpus."""
     size = 1 << _SKETCH_BITS
@@ -43,7 +57,7 @@ def _sketch(texts: DataFrame, k: int) -> np.ndarray:
                 at, n = np.unique(shingle_hashes(words, k) >> np.uint64(64 - _SKETCH_BITS), return_counts=True)
                 total[at.astype(np.int64)] += n.astype(np.uint32)
         parts = [(i, total[i * block : (i + 1) * block]) for i in range(size // block)]
-        parts = [(i, zlib.compress(x.tobytes(), 1)) for i, x in parts if x.any()]
+        parts = [(i, _pack(x)) for i, x in parts if x.any()]
         if parts:
             yield pd.DataFrame(parts, columns=["block", "counts"])
 
@@ -51,15 +65,15 @@ def _sketch(texts: DataFrame, k: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for frame in frames:
             for i, x in zip(frame["block"], frame["counts"]):
-                part = np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64)
+                part = _unpack(x, block).astype(np.uint64)
                 sums[i] = sums[i] + part if i in sums else part
         for i, x in sums.items():
-            yield pd.DataFrame({"block": [i], "counts": [zlib.compress(np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
+            yield pd.DataFrame({"block": [i], "counts": [_pack(np.minimum(x, 2**32 - 1).astype(np.uint32))]})
 
     parts = texts.select("text").mapInPandas(count, "block int, counts binary").repartition("block").mapInPandas(add, "block int, counts binary")
     levels = np.zeros(size, np.uint8)
     for row in parts.toLocalIterator():  # at most 64 rows of 1 MB
-        counts = np.frombuffer(zlib.decompress(row.counts), np.uint32)
+        counts = _unpack(row.counts, block)
         levels[row.block * block : (row.block + 1) * block] = np.minimum(255, np.round(8 * np.log2(1.0 + counts)))
     return levels
 
@@ -110,17 +124,20 @@ def near_duplicates(docs: DataFrame, threshold: int = 90, k: int = 3, id_col: st
 
     # One row for each class of equal sets. Sets under 9 shingles can only link with equal ones.
     least = next(n for n in range(2, 10_000) if 100 * (n - 1) >= threshold * n) - 1 if threshold < 100 else 1 << 62
-    classes = lasting(made.where(F.col("n_shingles") >= least).select("set_key", "n_shingles", "grp").distinct())
+    # A group goes by 64 bits of its key from here on. Should two groups share them, they are compared as one, and
+    # nothing is lost.
+    short = F.conv(F.substring(F.hex("grp"), 1, 16), 16, -10).cast("long").alias("grp")
+    classes = lasting(made.where(F.col("n_shingles") >= least).select("set_key", "n_shingles", short).distinct())
     index = (
         made.where(F.col("n_shingles") >= least).select("grp", "n_shingles", "prefix").dropDuplicates(["grp"])
-        .select(F.posexplode("prefix").alias("at", "token"), "grp", F.col("n_shingles").alias("n"))
+        .select(F.posexplode("prefix").alias("at", "token"), short, F.col("n_shingles").cast("int").alias("n"))
     )
     # The first prefix shingle that two sets share stands at places i and j with n1 - i and n2 - j of the least overlap
     # at least. ``most`` is the largest n2, times the threshold, that the place i allows; an entry is strong if it
     # allows a set of its own size. The smaller set of a pair is strong, so weak entries never meet each other.
-    index = index.withColumn("most", F.expr(f"{100 + threshold} * (n - at) - {threshold} * n"))
-    shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.max(F.expr(f"most >= {threshold} * n")).alias("strong")).where("groups > 1 and strong").select("token")
-    shared = lasting(index.join(shared, "token"))
+    most = F.expr(f"{100 + threshold}L * (n - at) - {threshold} * n")
+    shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.max(most >= threshold * F.col("n")).alias("strong")).where("groups > 1 and strong").select("token")
+    shared = lasting(index.join(shared, "token")).withColumn("n", F.col("n").cast("long")).withColumn("most", most)
 
     members = classes.select("grp", F.col("set_key").alias("cls"), F.col("n_shingles").alias("n"))
     heads = classes.groupBy("grp").agg(F.min("set_key").alias("head"), F.count(F.lit(1)).alias("size"))
@@ -143,7 +160,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 90, k: int = 3, id_col: st
     placed = members.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     own = F.expr(f"{100} * n").alias("most")
     by_token = shared.select(F.col("token").cast("string").cast("binary").alias("entry"), "grp", "most").join(placed.select("grp", "cls", "n", "component"), "grp")
-    by_group = placed.join(heads.where("size > 1").select("grp"), "grp").select(F.col("grp").alias("entry"), "cls", "n", "component", own)
+    by_group = placed.join(heads.where("size > 1").select("grp"), "grp").select(F.concat(F.lit("g"), F.col("grp").cast("string")).cast("binary").alias("entry"), "cls", "n", "component", own)
     spread = by_token.select("entry", "cls", "n", "component", "most").unionByName(by_group)
     parts = spread.groupBy("entry", "component").agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("most").alias("most"), F.max(F.expr(f"most >= {threshold} * n")).alias("strong")
@@ -229,7 +246,7 @@ def _verified(docs: DataFrame, made: DataFrame, pairs: DataFrame, threshold: int
             yield pd.DataFrame({"text_key": pd.Series(names, dtype=object), "shingles": pd.Series(found, dtype=object)})
 
     made = docs.select(F.col(text_col).alias("text")).mapInPandas(sets, "text_key binary, shingles array<long>")
-    made = lasting(made.join(keys, "text_key").select("set_key", "shingles").dropDuplicates(["set_key"]))
+    made = lasting(made.dropDuplicates(["text_key"]).join(keys, "text_key").select("set_key", "shingles"))
     a, b = (made.select(F.col("set_key").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab")
     both = pairs.join(a, "a").join(b, "b").withColumn("o", F.size(F.array_intersect("a_set", "b_set")).cast("long"))
     ok = both.where(F.expr(f"100 * o >= {threshold} * (size(a_set) + size(b_set) - o)"))

@@ -12,7 +12,7 @@ import numpy as np
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _powers: list[np.ndarray] = []
 
 
