@@ -296,7 +296,7 @@ def bar_identities(spark, d):
     """Keys and digests of revisions by canonical JSON."""
     rows = revisions(spark, d)
     text = canonical_json(source_code=F.col("source_code"), source_record_key=F.concat_ws("|", "symbol", F.col("session_date").cast("string")), source_version=F.substring_index("bar_key", "|", -1))
-    return rows.where(F.dayofmonth("session_date") == 5).select("bar_key", F.concat(F.lit("daily-market-bar:v1:"), digest(text)).alias("key"))
+    return rows.select("bar_key", F.concat(F.lit("daily-market-bar:v1:"), digest(text)).alias("key"))
 
 
 QUERIES: Queries = {

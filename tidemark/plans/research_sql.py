@@ -285,5 +285,5 @@ FROM placed p JOIN cal x ON x.seq BETWEEN p.seq + 1 AND p.seq + 3 JOIN ebars b O
     "universe_keys": """
 SELECT 'N' || s_nationkey AS universe, count(*) AS members, 'universe:v1:' || sha256('[' || string_agg('{"mic":"XNYS","symbol":"S' || s_suppkey || '"}', ',' ORDER BY 'S' || s_suppkey) || ']') AS universe_key FROM supplier GROUP BY 1""",
     "bar_identities": _with(_BARS, """
-SELECT bar_key, 'daily-market-bar:v1:' || sha256('{"source_code":"LINEITEM","source_record_key":"' || symbol || '|' || session_date || '","source_version":"' || revision || '"}') AS key FROM revisions WHERE day(session_date) = 5"""),
+SELECT bar_key, 'daily-market-bar:v1:' || sha256('{"source_code":"LINEITEM","source_record_key":"' || symbol || '|' || session_date || '","source_version":"' || revision || '"}') AS key FROM revisions"""),
 }
