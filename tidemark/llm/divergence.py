@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -84,13 +85,16 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(whole[:, 0] > 0, np.sqrt(np.clip((part(p) + part(q)) / 2, 0, 1)), 0.0)
 
 
-def quality_rules(docs: DataFrame, most_class: float = 0.3, most_words: float = 0.42, least_chars: int = 200, least_words: int = 40, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def quality_rules(docs: DataFrame, most_class: float = 0.3, most_words: float = 0.42, least_chars: int = 200, least_words: int = 40, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", at_once: int = 2000) -> DataFrame:
     """(id, counts, base_failed, class_distance, word_distance, kept) for each row.
 
     The base rules fail a text of under 10 words, or with over 20 % of its words in repeated runs of five. Of the others
     those stay that are within both distances of the nearest language; a text under ``least_chars`` characters in words
     is not held to the class distance, one under ``least_words`` words not to that of words. Rows without a language
     count towards none, but are judged alike. Without any language nothing is too far. Null texts count as empty.
+
+    Every language is a reference, however many there are: ``at_once`` of them are held at a time, and each such block
+    is a pass over the histograms that lowers the least distances of the one before.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -108,20 +112,31 @@ def quality_rules(docs: DataFrame, most_class: float = 0.3, most_words: float =
     )
     made = lasting(made)
     bad = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    references = vector_sums(made.where(F.col("lang").isNotNull() & ~bad), "lang", "h").orderBy(F.desc("n"), "lang").limit(200).collect()
-    held = docs.sparkSession.sparkContext.broadcast([np.asarray(r.total) for r in references])  # at most 200 languages
-
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if not len(frame):
-                continue
-            h = np.stack(frame["h"].to_numpy())
-            near = np.zeros((2, len(frame)))
-            for i, part in enumerate((slice(0, N_CLASSES), slice(N_CLASSES, WIDTH))):
-                far = [distance(h[:, part], r[part]) for r in held.value]
-                near[i] = np.min(far, axis=0) if far else 0.0
-            yield frame.drop(columns=["h", "lang"]).assign(class_distance=near[0], word_distance=near[1])
-
-    judged = made.mapInPandas(judge, f"id {kind}, {counts}, class_distance double, word_distance double")
+    references = vector_sums(made.where(F.col("lang").isNotNull() & ~bad), "lang", "h")
+    references = lasting(references.select("total"))
+    n_references = references.count()
+
+    def judge(held, last: bool):
+        def nearer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if not len(frame):
+                    continue
+                h = np.stack(frame["h"].to_numpy())
+                near = frame[["class_distance", "word_distance"]].to_numpy().T.copy()
+                for i, part in enumerate((slice(0, N_CLASSES), slice(N_CLASSES, WIDTH))):
+                    for r in held.value:
+                        np.minimum(near[i], distance(h[:, part], r[part]), out=near[i])
+                yield (frame.drop(columns="h") if last else frame).assign(class_distance=near[0], word_distance=near[1])
+
+        return nearer
+
+    start = F.lit(float("inf") if n_references else 0.0)
+    judged = made.drop("lang").withColumns({"class_distance": start, "word_distance": start})
+    for i, block in enumerate(batched(references.coalesce(16).toLocalIterator(), at_once)):
+        held = docs.sparkSession.sparkContext.broadcast([np.asarray(r.total) for r in block])  # about 1 KB a language
+        last = (i + 1) * at_once >= n_references
+        names = f"id {kind}, {counts}, {'' if last else 'h array<double>, '}class_distance double, word_distance double"
+        judged = (lasting(judged) if i else judged).mapInPandas(judge(held, last), names)
+    judged = judged.drop("h")
     far = ((F.col("word_chars") >= least_chars) & (F.col("class_distance") > most_class)) | ((F.col("n_words") >= least_words) & (F.col("word_distance") > most_words))
     return judged.withColumn("base_failed", bad).withColumn("kept", ~bad & ~far).withColumnRenamed("id", id_col)
