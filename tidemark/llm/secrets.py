@@ -23,7 +23,9 @@ KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: From the length of the shortest labelled credential on.
+LEAST = 12
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
 PLAIN = re.compile(r"[A-Za-z]{10,64}")
 
 
@@ -31,7 +33,7 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, secret) of the fixed patterns by start, then kind; leftmost and not overlapping within a kind."""
     found = []
     if "=" in text or ":" in text:
-        found += [("assign", *m.span(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+        found += [("assign", *m.span(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST]
     if "AKIA" in text:
         found += [("access", *m.span(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     found += [("hex", *m.span(), m[0]) for m in HEX.finditer(text)]
@@ -192,6 +194,20 @@ def fit_formats(docs: DataFrame, text_col: str = "text", examples: int = 300, lo
     return {kind: learn(sorted(strings), alpha) for kind, strings in rows.items() if strings}
 
 
+def outside(start: int, end: int, base: list) -> Iterator[tuple[int, int]]:
+    """The parts of a run that no base span (sorted by start) covers and that are long enough for a candidate."""
+    for _, a, b in base:
+        if b <= start:
+            continue
+        if a >= end:
+            break
+        if a - start >= LEAST:
+            yield start, a
+        start = b
+    if end - start >= LEAST:
+        yield start, end
+
+
 def all_spans(text: str, models: dict[str, tuple], least: float) -> tuple[list, list]:
     """(base spans, all spans): those of the patterns, and with them the runs that fit a format, as (kind, start, end)."""
     base = [x[:3] for x in base_spans(text)]
@@ -199,12 +215,11 @@ def all_spans(text: str, models: dict[str, tuple], least: float) -> tuple[list,
     formats = [m for kind, m in models.items() if kind != "plain"]
     if formats and "plain" in models:
         for m in CANDIDATE.finditer(text):
-            a, b = m.span()
-            if any(s < b and a < e for _, s, e in base):
-                continue
-            plain = log_likelihood(models["plain"], m[0])
-            if max(log_likelihood(f, m[0]) for f in formats) - plain >= least * (b - a):
-                found.append(("format", a, b))
+            for a, b in outside(*m.span(), base):
+                part = text[a:b]
+                plain = log_likelihood(models["plain"], part)
+                if max(log_likelihood(f, part) for f in formats) - plain >= least * (b - a):
+                    found.append(("format", a, b))
     return base, sorted(base + found, key=lambda x: (x[1], KINDS.index(x[0]))) if found else base
 
 
@@ -214,8 +229,8 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 def scan_secrets(docs: DataFrame, models: dict[str, tuple] | None = None, least: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base_spans, spans) for each row: spans of secrets in code points, end exclusive, by start, then kind.
 
-    ``spans`` holds those of the fixed patterns and, as kind ``format``, the runs of 16 and more credential characters
-    outside them whose log-likelihood under a learned format is above that under ordinary words by ``least`` a
+    ``spans`` holds those of the fixed patterns and, as kind ``format``, the runs of 12 and more credential characters
+    outside them (what a pattern leaves of a run counts as a run) whose log-likelihood under a learned format is above that under ordinary words by ``least`` a
     character. A null or empty text has no spans. Without labelled credentials there are no formats.
     """
     models = fit_formats(docs, text_col) if models is None else models
