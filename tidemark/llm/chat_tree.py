@@ -59,14 +59,29 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return [(re.sub("%(..)", lambda x: chr(int(x[1], 16)), m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
+def _key():
+    """The tree's id in a struct, which is never null itself, so that joins match null ids too."""
+    return F.struct("tree_id").alias("tree_id")
+
+
+def _whole_ids(df: DataFrame, make, columns: str) -> DataFrame:
+    """mapInPandas with tree_id as the first column. Numbers go as texts, for pandas rounds long ones beside a null."""
+    kind = df.schema["tree_id"].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        return df.mapInPandas(make, f"tree_id {kind}, {columns}")
+    made = df.withColumn("tree_id", F.col("tree_id").cast("string")).mapInPandas(make, f"tree_id string, {columns}")
+    return made.withColumn("tree_id", F.col("tree_id").cast(kind))
+
+
 def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """(tree_id, branch, depth, node_id): the ``branches`` best paths of each tree from its root to a leaf.
 
     ``nodes`` has tree_id, node_id, parent_id (null at a root) and score (null: 0); node ids are unique within a tree.
     A path is as good as the mean score of its nodes; ties go to the smaller leaf id. Self-joins by pointer doubling
-    find in about log2(depth) rounds the ancestors of every leaf; a parent that is missing makes its child a root.
+    find in about log2(depth) rounds the ancestors of every leaf; a parent that is missing makes its child a root. A null
+    tree_id is the name of a tree like any other.
     """
-    nodes = nodes.select("tree_id", "node_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    nodes = nodes.select(_key(), "node_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     have = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.lit(1).alias("known"))
     nodes = lasting(nodes.join(have, ["tree_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("known") == 1, F.col("parent_id"))).drop("known"))
     # jumps[k]: the ancestor 2**k steps up and the sum of scores on the way, the node's own included.
@@ -94,7 +109,7 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("worth"), "leaf"))
     chosen = worth.withColumn("branch", rank).where(F.col("branch") <= branches)
     return paths.join(chosen.select("tree_id", "leaf", "top", "branch"), ["tree_id", "leaf"]).select(
-        "tree_id", "branch", (F.col("top") - F.col("above")).alias("depth"), "node_id"
+        F.col("tree_id.tree_id").alias("tree_id"), "branch", (F.col("top") - F.col("above")).alias("depth"), "node_id"
     )
 
 
@@ -104,9 +119,9 @@ def format_trees(nodes: DataFrame, branches: int = 1) -> DataFrame:
     ``nodes`` also has role and text; nulls count as empty. Trees without a root (cycles) give nothing. An empty table
     gives an empty table.
     """
-    paths = best_paths(nodes, branches)
-    turns = paths.join(nodes.select("tree_id", "node_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), ["tree_id", "node_id"])
-    each = turns.groupBy("tree_id", "branch").agg(F.sort_array(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
+    paths = best_paths(nodes, branches).withColumn("tree_id", _key())
+    turns = paths.join(nodes.select(_key(), "node_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), ["tree_id", "node_id"])
+    each = turns.groupBy(F.col("tree_id.tree_id").alias("tree_id"), "branch").agg(F.sort_array(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -114,8 +129,7 @@ def format_trees(nodes: DataFrame, branches: int = 1) -> DataFrame:
             spans = pd.Series([[{"start": a, "end": b} for a, b in x] for _, x in made], dtype=object, index=frame.index)
             yield frame[["tree_id", "branch"]].assign(formatted=[x for x, _ in made], loss_spans=spans)
 
-    kind = each.schema["tree_id"].dataType.simpleString()
-    return each.mapInPandas(write, f"tree_id {kind}, branch int, formatted string, loss_spans array<struct<start:int,end:int>>")
+    return _whole_ids(each, write, "branch int, formatted string, loss_spans array<struct<start:int,end:int>>")
 
 
 def thread_nodes(messages: DataFrame) -> DataFrame:
@@ -145,5 +159,4 @@ def read_back(formatted: DataFrame, learned: str = "assistant") -> DataFrame:
             made.insert(0, "tree_id", frame["tree_id"].to_numpy())
             yield made
 
-    kind = formatted.schema["tree_id"].dataType.simpleString()
-    return formatted.mapInPandas(read, f"tree_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _whole_ids(formatted, read, "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
