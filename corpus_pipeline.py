@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, shared_folder, table
+from tidemark.llm.common import WORD, held_out, shared_folder, table
 from tidemark.llm.jaccard_join import near_duplicates
 from tidemark.llm.mixing import mix
 from tidemark.llm.packing import pack_documents
@@ -25,15 +25,24 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies. Rows that repeat an id and its text become one.
+    """The row of the smallest id, then text key, of each group of near copies: runs of three words, 90 % alike.
 
-    Rows without an id cannot be told apart and stay. Extra columns pass.
+    Rows are told apart by their texts, so groups hold rows of one id with other texts, and rows without an id, which
+    stand for a group only if it has no others. Texts without words are in no group: rows that repeat an id and its
+    text become one, those without an id stay. Extra columns pass.
     """
-    groups = near_duplicates(docs)
-    own = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_stage_id")).agg(F.count(F.lit(1)).alias("_stage_n"))
-    kept = docs.join(own, docs["doc_id"] == own["_stage_id"]).drop("_stage_id")
+    blank = F.coalesce(~F.col("text").rlike(WORD), F.lit(True))
+    keyed = docs.where(~blank).withColumn("_stage_key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    named = near_duplicates(keyed, threshold=90, k=3, id_col="_stage_key").select("_stage_key", "component_id").distinct()
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col("_stage_key").alias("key"))
+    texts = keyed.groupBy("_stage_key").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
+    best = texts.join(named, "_stage_key").groupBy("component_id").agg(F.min(F.struct("first", "n")).alias("best"))
+    best = best.select(F.col("best.first.key").alias("_stage_of"), F.col("best.first.id").alias("_stage_id"), F.col("best.n").alias("_stage_n"))
+    own = (F.col("_stage_key") == F.col("_stage_of")) & F.col("doc_id").eqNullSafe(F.col("_stage_id"))
+    kept = keyed.join(best, own).drop("_stage_key", "_stage_of", "_stage_id")
     once = kept.where("_stage_n = 1").drop("_stage_n").unionByName(kept.where("_stage_n > 1").drop("_stage_n").dropDuplicates(["doc_id", "text"]))
-    return once.unionByName(docs.where("doc_id is null"))
+    empty = docs.where(blank)
+    return once.unionByName(empty.where("doc_id is not null").dropDuplicates(["doc_id", "text"])).unionByName(empty.where("doc_id is null"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
