@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from decimal import ROUND_HALF_EVEN, Context, Decimal, localcontext
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CONTEXT = Context(prec=38, rounding=ROUND_HALF_EVEN)
 
@@ -28,19 +30,31 @@ def sha256(text: str) -> str:
 
 
 def fold_positions(fills: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """(keys, position_version, position_quantity, average_cost) after each fill: a fold that rounds to 18 places at every step."""
+    """(keys, position_version, position_quantity, average_cost) after each fill: a fold that rounds to 18 places at every step.
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        quantity, cost, rows = 0, Decimal(0), []
-        with localcontext(Context(prec=80, rounding=ROUND_HALF_EVEN)):
-            for n, (q, p) in enumerate(zip(*(frame.sort_values(order)[c] for c in ("quantity", "price"))), 1):
-                cost = ((quantity * cost + int(q) * Decimal(p)) / (quantity + int(q))).quantize(Decimal(1).scaleb(-18))
-                quantity += int(q)
-                rows.append((*(frame[k].iloc[0] for k in keys), n, quantity, cost))
-        return pd.DataFrame(rows, columns=[*keys, "position_version", "position_quantity", "average_cost"])
+    Fills stream by in order; only the quantity and cost of one position are held between batches.
+    """
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, n, quantity, cost = None, 0, 0, Decimal(0)
+        for frame in frames:
+            rows = []
+            with localcontext(Context(prec=80, rounding=ROUND_HALF_EVEN)):
+                for *key, q, p in zip(*(frame[c] for c in (*keys, "quantity", "price"))):
+                    key = [None if k is None or k != k else k for k in key]
+                    if key != last:
+                        last, n, quantity, cost = key, 0, 0, Decimal(0)
+                    cost = ((quantity * cost + int(q) * Decimal(p)) / (quantity + int(q))).quantize(Decimal(1).scaleb(-18))
+                    quantity += int(q)
+                    n += 1
+                    rows.append((*key, n, quantity, cost))
+            if rows:
+                yield pd.DataFrame(rows, columns=[*keys, "position_version", "position_quantity", "average_cost"])
 
     kinds = ", ".join(f"{k} {fills.schema[k].dataType.simpleString()}" for k in keys)
-    return fills.groupBy(*keys).applyInPandas(fold, f"{kinds}, position_version int, position_quantity long, average_cost decimal(38,18)")
+    dealt = fills.select(*dict.fromkeys([*keys, *order, "quantity", "price"])).repartition(*keys)
+    dealt = dealt.sortWithinPartitions(*keys, *(F.col(c).asc_nulls_last() for c in order))
+    return dealt.mapInPandas(fold, f"{kinds}, position_version int, position_quantity long, average_cost decimal(38,18)")
 
 
 FEATURE_SET = ("US_EQUITY_DAILY_TECHNICAL", "v1")
