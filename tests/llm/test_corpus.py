@@ -59,8 +59,8 @@ def test_a_long_text_hashes_like_its_parts():
     assert len(long) == 200_000 and (long[:5] == part).all() and (long[-5:] == part).all()
 
 
-def brute_components(rows, threshold=90):
-    sets = {i: shingles(t) for i, t in rows}
+def brute_components(rows, threshold=90, k=3):
+    sets = {i: shingles(t, k) for i, t in rows}
     low = {i: i for i in sets}
 
     def top(i):
@@ -77,8 +77,8 @@ def brute_components(rows, threshold=90):
     return {i: (len(sets[i]), top(i)) for i in ids}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_join_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "k", "threshold"), [(0, 3, 90), (1, 3, 90), (2, 3, 90), (3, 5, 80), (4, 5, 80), (5, 2, 60)])
+def test_join_against_brute_force(spark, seed, k, threshold):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(400)]
     passage = rng.choices(vocabulary, k=30)
@@ -90,15 +90,26 @@ def test_join_against_brute_force(spark, seed):
             for _ in range(rng.choice([0, 0, 1, 1, 2, 5])):
                 copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
             texts.append(" ".join(copy[: len(copy) - rng.choice([0, 0, 1])]).upper() if rng.random() < 0.2 else " ".join(copy))
-    found = jaccard_join.near_duplicates(docs(spark, texts)).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(list(enumerate(texts)))
+    found = jaccard_join.near_duplicates(docs(spark, texts), threshold, k).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(list(enumerate(texts)), threshold, k)
 
 
 def test_a_chain_of_near_copies_is_one_group(spark):
     base = [f"w{i}" for i in range(300)]
     texts = [" ".join(f"x{j}" if j in range(0, 6 * i, 6) and i else w for j, w in enumerate(base)) for i in range(12)]
-    found = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs(spark, texts)).collect()}
-    assert found == {i: c for i, (_, c) in brute_components(list(enumerate(texts))).items()}
+    for k, threshold in ((3, 90), (5, 80)):
+        found = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs(spark, texts), threshold, k).collect()}
+        assert found == {i: c for i, (_, c) in brute_components(list(enumerate(texts)), threshold, k).items()}
+
+
+def test_the_join_takes_five_words_and_four_fifths_by_itself(spark):
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base), " ".join("x" if i in (20, 70) else w for i, w in enumerate(base)), " ".join("x" if i in (20, 45, 70) else w for i, w in enumerate(base))]
+    assert [len(shingles(texts[0], 5) & shingles(t, 5)) / len(shingles(texts[0], 5) | shingles(t, 5)) >= 0.8 for t in texts[1:]] == [True, False]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs(spark, texts)).collect()}
+    assert found == brute_components(list(enumerate(texts)), 80, 5)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs(spark, texts), threshold=90, k=3).collect()}
+    assert found == brute_components(list(enumerate(texts)))
 
 
 def test_join_keeps_repeated_and_nameless_rows_and_an_empty_table(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +33,47 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def lasting(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written to the shared folder, with a lineage that ends there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows of ``df``, written to the shared folder, with a lineage that ends there.
+
+    The shuffle files of that job go as soon as its rows are written, for nothing reads them again.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan made under the setting
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of ``lasting`` tables that nothing reads any more."""
+    for df in tables:
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def map_whole(df: DataFrame, make: Callable[[Iterator], Iterator], columns: str, key: str = "id") -> DataFrame:
+    """mapInPandas with ``key`` as the first column of what it gives, then ``columns``.
+
+    A numeric key goes through pandas as a text, for beside a null pandas would hold long integers as doubles and round
+    them. Its values come back in their own type.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    if kind not in _NUMBERS:
+        return df.mapInPandas(make, f"{key} {kind}, {columns}")
+    made = df.withColumn(key, F.col(key).cast("string")).mapInPandas(make, f"{key} string, {columns}")
+    return made.withColumn(key, F.col(key).cast(kind))
 
 
 def held_out(column: str, parts: int, part: int):
@@ -53,7 +90,7 @@ def one_label(labels: DataFrame, column: str) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): connected components of undirected edges; the component is the smallest node in it.
 
     Each round takes the smallest label among a node's neighbours and then the label of that label, so a chain of
@@ -61,23 +98,23 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v")))
     both = lasting(both.where("u <> v").distinct())
-    labels = lasting(both.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("node"), F.least("u", "least").alias("component")))
-    for _ in range(most_rounds):
+    labels = lasting(both.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("node"), F.least("u", "least").alias("component"), F.lit(None).alias("was")))
+    while True:
+        here = labels.select("node", "component")
         near = (
-            both.join(labels.select(F.col("node").alias("v"), "component"), "v")
+            both.join(here.select(F.col("node").alias("v"), "component"), "v")
             .groupBy("u").agg(F.min("component").alias("near"))
         )
-        nearer = labels.join(near, labels.node == near.u, "left").select(
+        nearer = here.join(near, here.node == near.u, "left").select(
             "node", F.least("component", "near").alias("to"), F.col("component").alias("was")
         )
-        jump = labels.select(F.col("node").alias("to"), F.col("component").alias("on"))
-        new = nearer.join(jump, "to", "left").select("node", F.least("to", "on").alias("component"), "was")
-        new = lasting(new)
-        changed = new.where("component <> was").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        jump = here.select(F.col("node").alias("to"), F.col("component").alias("on"))
+        new = lasting(nearer.join(jump, "to", "left").select("node", F.least("to", "on").alias("component"), "was"))
+        forget(labels)
+        labels = new
+        if not labels.where("component <> was").limit(1).count():
+            forget(both)
+            return labels.select("node", "component")
 
 
 def batches(frames: Iterator, column: str, most_chars: int = 2_000_000) -> Iterator:
@@ -99,8 +136,6 @@ def vector_sums(df: DataFrame, key: str, vector: str) -> DataFrame:
     Each task sums what it reads, keys are then dealt out and summed as they stream in; no task holds a key's rows. The
     keys of one task are held at a time, so they should be few (classes, languages).
     """
-    kind = df.schema[key].dataType.simpleString()
-
     def add(frames: Iterator, counted: bool) -> Iterator:
         import numpy as np
         import pandas as pd
@@ -109,13 +144,12 @@ def vector_sums(df: DataFrame, key: str, vector: str) -> DataFrame:
         sums: dict = {}
         for frame in frames:
             for k, v, c in zip(frame["k"], frame["v"], frame["n"] if counted else [1] * len(frame)):
-                k = None if k is None or k != k else k
                 v = np.asarray(v, float)
                 sums[k] = sums[k] + v if k in sums else v
                 n[k] = n.get(k, 0) + int(c)
         for k, v in sums.items():
             yield pd.DataFrame({"k": pd.Series([k], dtype=object), "n": [n[k]], "v": pd.Series([v], dtype=object)})
 
-    schema = f"k {kind}, n long, v array<double>"
-    first = df.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(lambda x: add(x, False), schema)
-    return first.repartition("k").mapInPandas(lambda x: add(x, True), schema).select(F.col("k").alias(key), "n", F.col("v").alias("total"))
+    columns = "n long, v array<double>"
+    first = map_whole(df.select(F.col(key).alias("k"), F.col(vector).alias("v")), lambda x: add(x, False), columns, "k")
+    return map_whole(first.repartition("k"), lambda x: add(x, True), columns, "k").select(F.col("k").alias(key), "n", F.col("v").alias("total"))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, components, lasting
+from .common import batches, components, forget, lasting, map_whole
 from .shingles import shingle_hashes, word_hashes
 
 _SKETCH_BITS, _BLOCK_BITS = 24, 18
@@ -83,9 +83,7 @@ def _needs(n1: str, n2: str, threshold: int):
     return F.expr(f"({threshold} * ({n1} + {n2}) + {99 + threshold}) div {100 + threshold}")
 
 
-
-
-def near_duplicates(docs: DataFrame, threshold: int = 90, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, set_key, component_id) for each row of ``docs``: groups of near copies by exact Jaccard similarity.
 
     Words are lower-cased in A-Z. A document's set holds its distinct runs of ``k`` words; with fewer words, the whole
@@ -98,49 +96,54 @@ def near_duplicates(docs: DataFrame, threshold: int = 90, k: int = 3, id_col: st
     levels = spark.sparkContext.broadcast(_sketch(docs.select(F.col(text_col).alias("text")), k))
 
     def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[bytes] = set()
         for frame in batches(frames, "text"):
             rows = []
             for text, words in zip(frame["text"], word_hashes(list(frame["text"]), True)):
                 found = np.unique(shingle_hashes(words, k))
                 n = len(found)
-                if not n:
-                    rows.append((None, 0, None, None, None))
+                key = _digest(found.tobytes()) if n else None
+                if not n or key in seen:
+                    rows.append((n, key, 0, None, None))
                     continue
+                seen.add(key)
                 level = levels.value[(found >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64)]
                 keep = n - (n * threshold + 99) // 100 + 1
                 order = np.argsort((level.astype(np.uint64) << np.uint64(56)) | (found >> np.uint64(8)), kind="stable")[:keep]
                 prefix = found[order].astype(np.int64)
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                rows.append((_digest(found.tobytes()), n, _digest(n.to_bytes(8, "little") + prefix.tobytes()), prefix, _digest(raw)))
-            made = pd.DataFrame(rows, columns=["set_key", "n_shingles", "grp", "prefix", "text_key"])
+                # A group goes by 64 bits of the digest of its size and prefix. Should two groups share them, they are
+                # compared as one, and nothing is lost.
+                grp = int.from_bytes(_digest(n.to_bytes(8, "little") + prefix.tobytes())[:8], "little", signed=True)
+                rows.append((n, key, grp, prefix, _digest(text.encode("utf-8", "surrogatepass"))))
+            made = pd.DataFrame(rows, columns=["n_shingles", "set_key", "grp", "prefix", "text_key"])
             made.insert(0, "doc", frame["doc"].to_numpy())
             yield made
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    made = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInPandas(
-        describe, f"doc {kind}, set_key binary, n_shingles long, grp binary, prefix array<long>, text_key binary"
-    )
+    # The wide columns stand in the first row of a set in each task only, so copies are folded before any shuffle.
+    made = map_whole(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), describe, "n_shingles long, set_key binary, grp long, prefix array<long>, text_key binary", "doc")
     made = lasting(made)
+    # One row for each class of equal sets.
+    wide = made.where("prefix is not null").groupBy("set_key").agg(F.first("n_shingles").alias("n"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix"), F.min("text_key").alias("text_key"))
+    classes = lasting(wide)
+    rows = lasting(made.select("doc", "n_shingles", "set_key"))
+    forget(made)
 
-    # One row for each class of equal sets. Sets under 9 shingles can only link with equal ones.
+    # Sets under this size can only link with equal ones.
     least = next(n for n in range(2, 10_000) if 100 * (n - 1) >= threshold * n) - 1 if threshold < 100 else 1 << 62
-    # A group goes by 64 bits of its key from here on. Should two groups share them, they are compared as one, and
-    # nothing is lost.
-    short = F.conv(F.substring(F.hex("grp"), 1, 16), 16, -10).cast("long").alias("grp")
-    classes = lasting(made.where(F.col("n_shingles") >= least).select("set_key", "n_shingles", short).distinct())
     index = (
-        made.where(F.col("n_shingles") >= least).select("grp", "n_shingles", "prefix").dropDuplicates(["grp"])
-        .select(F.posexplode("prefix").alias("at", "token"), short, F.col("n_shingles").cast("int").alias("n"))
+        classes.where(F.col("n") >= least).select("grp", "n", "prefix").dropDuplicates(["grp"])
+        .select(F.posexplode("prefix").alias("at", "token"), "grp", F.col("n").cast("int").alias("n"))
     )
     # The first prefix shingle that two sets share stands at places i and j with n1 - i and n2 - j of the least overlap
     # at least. ``most`` is the largest n2, times the threshold, that the place i allows; an entry is strong if it
     # allows a set of its own size. The smaller set of a pair is strong, so weak entries never meet each other.
     most = F.expr(f"{100 + threshold}L * (n - at) - {threshold} * n")
-    shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.max(most >= threshold * F.col("n")).alias("strong")).where("groups > 1 and strong").select("token")
-    shared = lasting(index.join(shared, "token")).withColumn("n", F.col("n").cast("long")).withColumn("most", most)
+    often = index.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.max(most >= threshold * F.col("n")).alias("strong")).where("groups > 1 and strong").select("token")
+    kept = lasting(index.join(often, "token"))
+    shared = kept.withColumn("n", F.col("n").cast("long")).withColumn("most", most)
 
-    members = classes.select("grp", F.col("set_key").alias("cls"), F.col("n_shingles").alias("n"))
-    heads = classes.groupBy("grp").agg(F.min("set_key").alias("head"), F.count(F.lit(1)).alias("size"))
+    members = classes.where(F.col("n") >= least).select("grp", F.col("set_key").alias("cls"), "n")
+    heads = lasting(members.groupBy("grp").agg(F.min("cls").alias("head"), F.count(F.lit(1)).alias("size")))
 
     # First comparisons: with the leader of each index entry, which has the entry nearest to its front as a text that
     # others are copies of has, and with the head of the group.
@@ -153,51 +156,57 @@ def near_duplicates(docs: DataFrame, threshold: int = 90, k: int = 3, id_col: st
         .select(F.least("head", "to").alias("a"), F.greatest("head", "to").alias("b"))
     )
     inner = members.join(heads.where("size > 1").select("grp", "head"), "grp").where("cls <> head").select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b"))
-    links = _verified(docs, made, stars.unionByName(inner).distinct(), threshold, k, text_col)
+    links = _verified(docs, classes, stars.unionByName(inner).distinct(), threshold, k, text_col)
     found = components(links, "a", "b")
+    forget(links)
 
     # The rest: members of the same entry, or of the same group, that are still in different components.
     placed = members.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    own = F.expr(f"{100} * n").alias("most")
+    placed = lasting(placed)
+    own = F.expr("100 * n").alias("most")
     by_token = shared.select(F.col("token").cast("string").cast("binary").alias("entry"), "grp", "most").join(placed.select("grp", "cls", "n", "component"), "grp")
     by_group = placed.join(heads.where("size > 1").select("grp"), "grp").select(F.concat(F.lit("g"), F.col("grp").cast("string")).cast("binary").alias("entry"), "cls", "n", "component", own)
     spread = by_token.select("entry", "cls", "n", "component", "most").unionByName(by_group)
     parts = spread.groupBy("entry", "component").agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("most").alias("most"), F.max(F.expr(f"most >= {threshold} * n")).alias("strong")
     )
-    mixed = parts.groupBy("entry").agg(F.count(F.lit(1)).alias("c"), F.max("strong").alias("s")).where("c > 1 and s").select("entry")
-    parts = lasting(parts.join(mixed, "entry"))
+    sides = lasting(parts)
+    mixed = sides.groupBy("entry").agg(F.count(F.lit(1)).alias("c"), F.max("strong").alias("s")).where("c > 1 and s").select("entry")
+    parts = lasting(sides.join(mixed, "entry"))
+    forget(sides)
     left, right = (parts.select("entry", "strong", *(F.col(c).alias(f"{c}{i}") for c in ("component", "lo", "hi", "most"))) for i in (1, 2))
     apart = f"component1 <> component2 and 100 * hi1 >= {threshold} * lo2 and 100 * hi2 >= {threshold} * lo1 and most1 >= {threshold} * lo2 and most2 >= {threshold} * lo1"
-    meet = left.where("strong").join(right.drop("strong"), "entry").where(apart)
+    meet = lasting(left.where("strong").join(right.drop("strong"), "entry").where(apart).select("entry", "component1", "component2"))
     one, two = (spread.select("entry", *(F.col(c).alias(f"{c}{i}") for c in ("cls", "n", "component", "most"))) for i in (1, 2))
     pairs = (
-        meet.select("entry", "component1", "component2").join(one, ["entry", "component1"]).join(two, ["entry", "component2"])
+        meet.join(one, ["entry", "component1"]).join(two, ["entry", "component2"])
         .where(f"100 * least(n1, n2) >= {threshold} * greatest(n1, n2) and most1 >= {threshold} * n2 and most2 >= {threshold} * n1")
         .select(F.least("cls1", "cls2").alias("a"), F.greatest("cls1", "cls2").alias("b")).distinct()
     )
-    more = _verified(docs, made, pairs, threshold, k, text_col)
+    more = _verified(docs, classes, pairs, threshold, k, text_col)
+    forget(kept, placed, parts, meet, heads, classes)
     joined = (
         more.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
         .join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
         .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     )
+    joined = lasting(joined)
+    forget(more)
     above = components(joined, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("top"))
     of_class = found.join(above, "component", "left").select(F.col("node").alias("set_key"), F.coalesce("top", "component").alias("cc"))
     lone = above.select(F.col("component").alias("set_key"), F.col("top").alias("cc")).join(found.select(F.col("node").alias("set_key")), "set_key", "left_anti")
-    of_class = lasting(of_class.unionByName(lone))
 
-    lows = made.where("set_key is not null").groupBy("set_key").agg(F.min("doc").alias("low"))
-    lows = lows.join(of_class, "set_key", "left").withColumn("cc", F.coalesce("cc", "set_key"))
+    lows = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc").alias("low"))
+    lows = lows.join(of_class.unionByName(lone), "set_key", "left").withColumn("cc", F.coalesce("cc", "set_key"))
+    lows = lasting(lows)
+    forget(joined)
     smallest = lows.groupBy("cc").agg(F.min("low").alias("component_id"))
     ids = lows.join(smallest, "cc").select("set_key", "component_id")
-    return made.select(F.col("doc").alias(id_col), "n_shingles", "set_key").join(ids, "set_key", "left").select(
-        id_col, "n_shingles", "set_key", F.coalesce("component_id", id_col).alias("component_id")
-    )
+    return rows.join(ids, "set_key", "left").select(F.col("doc").alias(id_col), "n_shingles", "set_key", F.coalesce("component_id", "doc").alias("component_id"))
 
 
-def _verified(docs: DataFrame, made: DataFrame, pairs: DataFrame, threshold: int, k: int, text_col: str) -> DataFrame:
-    """(a, b): the pairs of classes that are similar enough, by their whole sets.
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: int, k: int, text_col: str) -> DataFrame:
+    """(a, b): the pairs of ``classes`` (set_key, n, prefix, text_key) that are similar enough, by their whole sets.
 
     Two sets overlap by at most what their prefixes share and all that stands behind a prefix; pairs that this rules out
     go first. For the others one text of each class is read again. A Bloom filter of fixed size keeps most other texts
@@ -206,14 +215,15 @@ def _verified(docs: DataFrame, made: DataFrame, pairs: DataFrame, threshold: int
     spark = docs.sparkSession
     pairs = lasting(pairs)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
-    known = made.join(needed, "set_key", "left_semi").groupBy("set_key").agg(F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
-    known = lasting(known)
+    known = lasting(classes.join(needed, "set_key", "left_semi"))
     a, b = (known.select(F.col("set_key").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefix").alias(f"p_{c}")) for c in "ab")
     behind = F.expr("greatest(n_a - size(p_a), n_b - size(p_b))")
     both = F.size(F.array_intersect("p_a", "p_b")) + behind
-    pairs = lasting(pairs.join(a, "a").join(b, "b").where(both >= _needs("n_a", "n_b", threshold)).select("a", "b"))
+    asked, pairs = pairs, lasting(pairs.join(a, "a").join(b, "b").where(both >= _needs("n_a", "n_b", threshold)).select("a", "b"))
+    forget(asked)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
     keys = lasting(known.select("set_key", "text_key").join(needed, "set_key"))
+    forget(known)
     bits = 1 << 24
 
     def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,9 +255,11 @@ def _verified(docs: DataFrame, made: DataFrame, pairs: DataFrame, threshold: int
             found = [np.unique(shingle_hashes(w, k)).astype(np.int64) for w in word_hashes(kept, True)]
             yield pd.DataFrame({"text_key": pd.Series(names, dtype=object), "shingles": pd.Series(found, dtype=object)})
 
-    made = docs.select(F.col(text_col).alias("text")).mapInPandas(sets, "text_key binary, shingles array<long>")
-    made = lasting(made.dropDuplicates(["text_key"]).join(keys, "text_key").select("set_key", "shingles"))
-    a, b = (made.select(F.col("set_key").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab")
+    whole = docs.select(F.col(text_col).alias("text")).mapInPandas(sets, "text_key binary, shingles array<long>")
+    whole = lasting(whole.dropDuplicates(["text_key"]).join(keys, "text_key").select("set_key", "shingles"))
+    a, b = (whole.select(F.col("set_key").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab")
     both = pairs.join(a, "a").join(b, "b").withColumn("o", F.size(F.array_intersect("a_set", "b_set")).cast("long"))
     ok = both.where(F.expr(f"100 * o >= {threshold} * (size(a_set) + size(b_set) - o)"))
-    return lasting(ok.select("a", "b"))
+    ok = lasting(ok.select("a", "b"))
+    forget(pairs, keys, whole)
+    return ok
