@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, lasting, vector_sums
+from .common import batches, lasting, map_whole, vector_sums
 
 _UPPER, _LOWER, _DIGIT = np.arange(65, 91), np.arange(97, 123), np.arange(48, 58)
 _SYMBOL = np.frombuffer(b"#*$%&|<>", np.uint8)
@@ -50,6 +50,14 @@ def statistics(text: str | None) -> np.ndarray:
     ])
 
 
+def forward(factor: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Solves factor z = row for each row by forward substitution; the factor is lower triangular."""
+    z = np.empty((len(factor), len(rows)))
+    for i in range(len(factor)):
+        z[i] = (rows[:, i] - factor[i, :i] @ z[:i]) / factor[i, i]
+    return z
+
+
 @dataclass
 class QualityModel:
     """Means, Cholesky factors of shrunk covariances and log-priors of the two classes."""
@@ -64,8 +72,7 @@ class QualityModel:
             return np.full(len(x), 1 / (1 + math.exp(-self.offsets[0])))
         logs = []
         for mean, factor, offset in zip(self.means, self.factors, self.offsets):
-            z = np.linalg.solve(factor, (x - mean).T)
-            logs.append(offset - 0.5 * (z**2).sum(axis=0))
+            logs.append(offset - 0.5 * (forward(factor, x - mean) ** 2).sum(axis=0))
         return 1 / (1 + np.exp(-np.clip(logs[1] - logs[0], -500, 500)))
 
 
@@ -76,8 +83,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for frame in batches(frames, "text"):
             yield pd.DataFrame({"doc_id": frame["doc_id"], "x": pd.Series([statistics(t) for t in frame["text"]], dtype=object, index=frame.index)})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(measure, f"doc_id {kind}, x array<double>")
+    return map_whole(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), measure, "x array<double>", "doc_id")
 
 
 def fit_quality(stats: DataFrame, labels: DataFrame, shrink: float = 0.15, floor: float = 1e-4) -> QualityModel:
@@ -124,14 +130,14 @@ def quality_scores(stats: DataFrame, model: QualityModel) -> DataFrame:
             if len(frame):
                 yield pd.DataFrame({"doc_id": frame["doc_id"], "score": held.value.scores(np.stack(frame["x"].to_numpy()))})
 
-    return stats.mapInPandas(score, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double")
+    return map_whole(stats, score, "score double", "doc_id")
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for each row, by a model of the labels given (doc_id, label).
 
     Null and empty texts get a score like any other. Rows with equal ids are each scored by their own text; a label
-    counts for each of them. An empty table gives an empty table.
+    counts for each of them. Null ids, and ids of any value, pass unchanged. An empty table gives an empty table.
     """
     stats = lasting(document_statistics(docs, id_col, text_col))
     return quality_scores(stats, fit_quality(stats, labels))
