@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, lasting, vector_sums
+from .common import batches, lasting, map_whole, vector_sums
 
 COMMON_WORDS = tuple(dict.fromkeys(
     "the of and to in is it that for was on are as with be at this have from or by not but they he she we you his her an which all one there so if out up can".split()
@@ -91,13 +91,13 @@ def quality_rules(docs: DataFrame, most_class: float = 0.3, most_words: float =
     The base rules fail a text of under 10 words, or with over 20 % of its words in repeated runs of five. Of the others
     those stay that are within both distances of the nearest language; a text under ``least_chars`` characters in words
     is not held to the class distance, one under ``least_words`` words not to that of words. Rows without a language
-    count towards none, but are judged alike. Without any language nothing is too far. Null texts count as empty.
+    count towards none, but are judged alike. Without any language nothing is too far. Null texts count as empty. Rows
+    that repeat stay and are judged alike, null ids pass unchanged, of languages that are equally near any gives the same
+    distance, and an empty table gives an empty table.
 
     Every language is a reference, however many there are: ``at_once`` of them are held at a time, and each such block
     is a pass over the histograms that lowers the least distances of the one before.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames, "text"):
             rows = [measures(t) for t in frame["text"]]
@@ -107,10 +107,8 @@ def quality_rules(docs: DataFrame, most_class: float = 0.3, most_words: float =
             yield made
 
     counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-    made = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInPandas(
-        measure, f"id {kind}, {counts}, lang string, h array<double>"
-    )
-    made = lasting(made)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    made = lasting(map_whole(texts, measure, f"{counts}, lang string, h array<double>"))
     bad = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     references = vector_sums(made.where(F.col("lang").isNotNull() & ~bad), "lang", "h")
     references = lasting(references.select("total"))
@@ -135,8 +133,8 @@ def quality_rules(docs: DataFrame, most_class: float = 0.3, most_words: float =
     for i, block in enumerate(batched(references.coalesce(16).toLocalIterator(), at_once)):
         held = docs.sparkSession.sparkContext.broadcast([np.asarray(r.total) for r in block])  # about 1 KB a language
         last = (i + 1) * at_once >= n_references
-        names = f"id {kind}, {counts}, {'' if last else 'h array<double>, '}class_distance double, word_distance double"
-        judged = (lasting(judged) if i else judged).mapInPandas(judge(held, last), names)
+        names = f"{counts}, {'' if last else 'h array<double>, '}class_distance double, word_distance double"
+        judged = map_whole(lasting(judged) if i else judged, judge(held, last), names)
     judged = judged.drop("h")
     far = ((F.col("word_chars") >= least_chars) & (F.col("class_distance") > most_class)) | ((F.col("n_words") >= least_words) & (F.col("word_distance") > most_words))
     return judged.withColumn("base_failed", bad).withColumn("kept", ~bad & ~far).withColumnRenamed("id", id_col)
