@@ -7,6 +7,7 @@ characters is then scored by its likelihood under these formats against that und
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import defaultdict
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, lasting
+from .common import batches, forget, lasting, map_whole
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -26,7 +27,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: From the length of the shortest labelled credential on.
 LEAST = 12
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
-PLAIN = re.compile(r"[A-Za-z]{10,64}")
+PLAIN = re.compile(r"[A-Za-z]{10,}")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -85,6 +86,8 @@ class Automaton:
             if not n or not m:
                 continue
             most = bound * (n**-0.5 + m**-0.5)
+            if most >= 1:  # so few strings can't tell the states apart, and behind them come fewer still
+                continue
             if abs(self.ended[a] / n - self.ended[b] / m) > most:
                 return False
             for s in self.went[a].keys() | self.went[b].keys():
@@ -111,26 +114,33 @@ class Automaton:
 
     def merge(self, alpha: float) -> Automaton:
         """Merges compatible states, nearest to the start first, until all that are left differ."""
-        red = [0]
+        red, members, first = [0], {0}, 0
         while True:
-            edge = next(((r, s, t) for r in red for s, t in sorted(self.to[r].items()) if t not in red), None)
+            # States are looked through in order; what is done with one stays done until a merge adds to an older one.
+            edge = next(((i, s, t) for i in range(first, len(red)) for s, t in sorted(self.to[red[i]].items()) if t not in members), None)
             if edge is None:
-                return self
-            r, s, t = edge
+                if not first:
+                    return self
+                first = 0
+                continue
+            first, s, t = edge
             into = next((x for x in red if self.compatible(x, t, alpha)), None)
             if into is None:
                 red.append(t)
+                members.add(t)
             else:
-                self.to[r][s] = into
+                self.to[red[first]][s] = into
                 self.fold(into, t)
+                first = 0
 
     def frozen(self) -> tuple[list[dict[str, float]], list[dict[str, int]], list[float]]:
         """Smoothed log-probabilities of symbols and ends, and the moves, of the states that can be reached."""
-        order, at = [0], 0
-        while at < len(order):
-            order += [t for t in self.to[order[at]].values() if t not in order]
-            at += 1
-        place = {x: i for i, x in enumerate(order)}
+        order, place = [0], {0: 0}
+        for x in order:
+            for t in self.to[x].values():
+                if t not in place:
+                    place[t] = len(order)
+                    order.append(t)
         logs, moves, ends = [], [], []
         for x in order:
             whole = math.log(self.passed[x] + 0.05 * _SYMBOLS)
@@ -167,30 +177,42 @@ def log_likelihood(model: tuple, string: str) -> float:
     return total + ends[at]
 
 
-def fit_formats(docs: DataFrame, text_col: str = "text", examples: int = 300, longest: int = 96, alpha: float = 0.05) -> dict[str, tuple]:
+def _at(kind: str, secret: str) -> int:
+    """The place of a string in the order by which examples are taken."""
+    return int.from_bytes(hashlib.blake2b(f"{kind}:{secret}".encode(), digest_size=7).digest(), "big")
+
+
+def fit_formats(docs: DataFrame, text_col: str = "text", examples: int = 300, alpha: float = 0.05) -> dict[str, tuple]:
     """Formats by kind, and ``plain`` for ordinary words, from at most ``examples`` distinct labelled strings of a kind.
 
-    The patterns run over all whole texts. Which of the strings found are taken, if there are more, follows a hash;
-    examples of more than ``longest`` characters are left out of the training, not out of the scan.
+    The patterns run over all whole texts, and words are all runs of ten and more letters. Which of the strings found are
+    taken, if there are more, follows a hash; strings of any length are. A task hands on the first by hash of what it
+    finds, which are all that can be among the first of all.
     """
 
     def label(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, dict[str, int]] = {kind: {} for kind in ("assign", "access", "hex", "plain")}
         for frame in batches(frames, "text"):
-            found = set()
+            found: dict[str, set[str]] = {kind: set() for kind in held}
             for text in frame["text"]:
                 if isinstance(text, str):
-                    found |= {(kind, secret) for kind, _, _, secret in base_spans(text) if len(secret) <= longest}
-                    if word := PLAIN.search(text):
-                        found.add(("plain", word[0]))
-            if found:
-                yield pd.DataFrame(sorted(found), columns=["kind", "secret"])
-
-    found = docs.select(F.col(text_col).alias("text")).mapInPandas(label, "kind string, secret string").distinct()
-    found = lasting(found.withColumn("at", F.xxhash64("secret")))
+                    for kind, _, _, secret in base_spans(text):
+                        found[kind].add(secret)
+                    found["plain"].update(PLAIN.findall(text))
+            for kind, strings in found.items():
+                both = held[kind] | {x: _at(kind, x) for x in strings if x not in held[kind]}
+                held[kind] = dict(sorted(both.items(), key=lambda x: (x[1], x[0]))[:examples])
+        rows = [(kind, at, x) for kind, strings in held.items() for x, at in strings.items()]
+        if rows:
+            yield pd.DataFrame(rows, columns=["kind", "at", "secret"])
+
+    found = docs.select(F.col(text_col).alias("text")).mapInPandas(label, "kind string, at long, secret string").distinct()
+    found = lasting(found)
     rows = {}
     for kind in ("assign", "access", "hex", "plain"):
         few = found.where(F.col("kind") == kind).orderBy("at", "secret").limit(examples)
         rows[kind] = [row.secret for row in few.collect()]
+    forget(found)
     return {kind: learn(sorted(strings), alpha) for kind, strings in rows.items() if strings}
 
 
@@ -230,8 +252,9 @@ def scan_secrets(docs: DataFrame, models: dict[str, tuple] | None = None, least:
     """(id, base_spans, spans) for each row: spans of secrets in code points, end exclusive, by start, then kind.
 
     ``spans`` holds those of the fixed patterns and, as kind ``format``, the runs of 12 and more credential characters
-    outside them (what a pattern leaves of a run counts as a run) whose log-likelihood under a learned format is above that under ordinary words by ``least`` a
-    character. A null or empty text has no spans. Without labelled credentials there are no formats.
+    outside them (what a pattern leaves of a run counts as a run) whose log-likelihood under a learned format is above
+    that under ordinary words by ``least`` a character. A null or empty text has no spans. Without labelled credentials
+    there are no formats. Null ids and rows that repeat stay, and an empty table gives an empty table.
     """
     models = fit_formats(docs, text_col) if models is None else models
     held = docs.sparkSession.sparkContext.broadcast(models)  # a few hundred examples a kind at most
@@ -242,8 +265,8 @@ def scan_secrets(docs: DataFrame, models: dict[str, tuple] | None = None, least:
             dicts = [[[{"kind": k, "start": a, "end": b} for k, a, b in spans] for spans in pair] for pair in both]
             yield pd.DataFrame({"id": frame["id"], "base_spans": pd.Series([x for x, _ in dicts], dtype=object, index=frame.index), "spans": pd.Series([y for _, y in dicts], dtype=object, index=frame.index)})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(scan, f"id {kind}, base_spans {SPANS}, spans {SPANS}").withColumnRenamed("id", id_col)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return map_whole(texts, scan, f"base_spans {SPANS}, spans {SPANS}").withColumnRenamed("id", id_col)
 
 
 def redact_secrets(docs: DataFrame, models: dict[str, tuple] | None = None, least: float = 1.0, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
