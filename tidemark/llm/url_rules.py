@@ -14,13 +14,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_whole
+
 _LABEL, _AFTER = "\x01", "\x02"
 
 
+def lowered(text: Column) -> Column:
+    """A-Z lower-cased, and nothing else."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def url_host(url: Column) -> Column:
     """What follows the first :// up to /, ?, # or the end, A-Z lower-cased; '' without one."""
-    host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    return F.coalesce(lowered(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
 
 
 def url_path(url: Column) -> Column:
@@ -60,42 +66,26 @@ class Sweep:
         return max(fits)[2:] if fits else None
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", most_broadcast: int = 100_000, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict) for each page. ``rules``: (host, path, verdict), verdict allow or block.
 
     Without a rule that fits, ``rule`` is null and the verdict is ``default``. A null url, or one without ://, has an
-    empty host and path and fits no rule. Rules with a null host or path are left out; of equal rules a block holds.
-    Up to ``most_broadcast`` rules go to every task, which sweeps batches of pages in order, and pages are not moved.
-    More rules and the pages are both dealt out by ranges of keys, a rule to each range that its interval meets and
-    pages of one frequent key over all ranges that begin with it, and each range is swept as it streams in.
+    empty host and path and fits no rule. Of rules that fit the longest, host and path together, wins; of equally long
+    ones that of the longer host; of equal rules a block holds. Hosts of rules are lower-cased in A-Z like those of
+    pages, and rules with a null host or path are left out. Pages that repeat stay and are judged alike, null ids pass
+    unchanged, and an empty table gives an empty table.
+
+    Rules and pages are dealt out by ranges of keys: a rule goes to each range that its interval meets, a page to its
+    own, or, where one frequent key holds several ranges, to any of those. Each range is swept as it streams in.
     """
-    kind = pages.schema[id_col].dataType.simpleString()
     url = F.col(url_col)
     pages = pages.select(F.col(id_col).alias("id"), url_host(url).alias("host"), url_path(url).alias("path"))
     pages = pages.withColumn("key", host_key(F.col("host")))
-    rules = rules.where("host is not null and path is not null").select(F.lower("host").alias("host"), "path", "verdict")
+    rules = rules.where("host is not null and path is not null").select(lowered(F.col("host")).alias("host"), "path", "verdict")
     rules = rules.withColumn("key", host_key(F.col("host")))
-    schema = f"id {kind}, host string, path string, rule string, verdict string"
-    count = rules.limit(most_broadcast + 1).count()
-
-    if count <= most_broadcast:
-        held = pages.sparkSession.sparkContext.broadcast(sorted(tuple(r) for r in rules.select("key", "host", "path", "verdict").collect()))
-
-        def sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                frame = frame.sort_values("key", kind="stable")
-                state, at, found = Sweep(), 0, []
-                for key, path in zip(frame["key"], frame["path"]):
-                    while at < len(held.value) and held.value[at][0] <= key:
-                        state.open(*held.value[at])
-                        at += 1
-                    found.append(state.judge(key, path) or (None, default))
-                yield frame[["id", "host", "path"]].assign(rule=pd.Series([r for r, _ in found], dtype=object, index=frame.index), verdict=[v for _, v in found])
-
-        return pages.mapInPandas(sweep, schema).withColumnRenamed("id", id_col)
 
     parts = max(2, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sample = [r.key for r in pages.select("key").orderBy(F.xxhash64("id", "key"), "key").limit(20 * parts).collect()]  # bounded by parts
+    sample = [r.key for r in pages.select("key").orderBy(F.xxhash64("id", "path"), "key").limit(20 * parts).collect()]  # bounded by parts
     splits = sorted(sample)[20::20]
 
     @F.pandas_udf("array<int>")
@@ -105,6 +95,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", most_
     pages = pages.withColumn("r", ranges("key", "key")).withColumn("range", (F.col("r")[0] + F.pmod(F.xxhash64("id", "path"), F.col("r")[1] - F.col("r")[0] + 1)).cast("int"))
     upper = F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.lit(_AFTER))
     rules = rules.withColumn("r", ranges("key", upper)).withColumn("range", F.explode(F.sequence(F.col("r")[0], F.col("r")[1])))
+    kind = pages.schema["id"].dataType.simpleString()
     both = pages.select("range", "key", F.lit(1).alias("page"), "id", "host", "path", F.lit(None).cast("string").alias("verdict")).unionByName(
         rules.select("range", "key", F.lit(0).alias("page"), F.lit(None).cast(kind).alias("id"), "host", "path", "verdict")
     )
@@ -124,4 +115,4 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", most_
             made = frame.loc[frame["page"] == 1, ["id", "host", "path"]]
             yield made.assign(rule=pd.Series([r for r, _ in found], dtype=object, index=made.index), verdict=pd.Series([v for _, v in found], dtype=object, index=made.index))
 
-    return both.mapInPandas(stream, schema).withColumnRenamed("id", id_col)
+    return map_whole(both, stream, "host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
