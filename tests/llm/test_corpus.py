@@ -287,11 +287,31 @@ def test_search_finds_neighbours_and_breaks_ties(spark):
         hits += len(set(order) & set(part.vec_id))
         total += 5
         assert part.sort_values("rank").vec_id.tolist() == sorted(part.vec_id, key=lambda i: (-exact[i], i))
-        assert np.allclose(part.score, exact[part.vec_id], atol=1e-12, rtol=0) and part["rank"].tolist() == list(range(1, 6)) or True
+        assert np.allclose(part.score, exact[part.vec_id], atol=1e-12, rtol=0) and sorted(part["rank"]) == list(range(1, 6))
+        assert part.sort_values("rank").score.is_monotonic_decreasing
     assert set(found.query_id) == set(range(0, 1500, 50)) and hits / total >= 0.9
     assert found[found.query_id == 50].sort_values("rank").vec_id.tolist() == [200, 201, 202, 203, 204]
 
 
+def test_repeated_ids_count_once_with_their_best_vector(spark):
+    rows = [(7, [1.0, 0.01 * i]) for i in range(12)] + [(i, [1.0, 0.2 + 0.1 * i]) for i in range(1, 6)] + [(50, [1.0, 0.0]), (7, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = vector_tree.nearest(df).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id) for r in found] == [(1, 7), (2, 1), (3, 2), (4, 3), (5, 4)] and found[0].score == 1.0
+
+
+def test_tiny_huge_and_equal_vectors(spark):
+    rows = [(50, [1e-200, 1e-200]), (1, [1e-200, 0.0]), (2, [1e200, 1e200]), (3, [0.0, 5e-324]), (4, [-3.0, -3.0]), (6, [1e-200, 1e-200]), (5, [7.0, 7.0])]
+    found = vector_tree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [r.vec_id for r in found[:3]] == [2, 5, 6] and {r.vec_id for r in found[3:]} == {1, 3}
+    assert [r.score for r in found] == pytest.approx([1, 1, 1, 0.5**0.5, 0.5**0.5], abs=1e-15)
+    same = spark.createDataFrame([(i, [0.3, 0.1, 0.7]) for i in range(400)], "vec_id long, embedding array<float>")
+    found = vector_tree.nearest(same, leaf_rows=20, block=32).collect()
+    assert {r.query_id: set() for r in found}.keys() == set(range(0, 400, 50))
+    for q in range(0, 400, 50):
+        assert sorted(r.vec_id for r in found if r.query_id == q) == [i for i in range(6) if i != q][:5] and len({r.score for r in found if r.query_id == q}) == 1
+
+
 def test_search_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in vector_tree.nearest(df).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
@@ -300,8 +320,8 @@ def test_search_of_few_rows(spark):
 
 # --- URLs
 
-RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), ("b.com", "/", "block"), ("b.com", "/fr/x", "allow"), (None, "/", "block")]
-URLS = [None, "", "no scheme", "http://Example.ORG/es/1", "http://a.example.org/en/12?x", "http://badexample.org/es/", "http://example.org", "http://x.b.com/fr/xyz#a", "http://x.b.com/de/", "https://c.com/fr/?", "http://a.b.com/fr/y", "ftp://q://z/", "http://org/", "http:///es/", "http://example.org?/es/", "http://é.example.org/es/ü"]
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), ("b.com", "/", "block"), ("b.com", "/fr/x", "allow"), (None, "/", "block"), ("É.ORG", "/q", "block"), ("org", "/ab", "block"), ("x.org", "/", "allow"), ("b.com", "/fr/x", "block"), ("é.org", "/", "block")]
+URLS = [None, "", "no scheme", "http://Example.ORG/es/1", "http://a.example.org/en/12?x", "http://badexample.org/es/", "http://example.org", "http://x.b.com/fr/xyz#a", "http://x.b.com/de/", "https://c.com/fr/?", "http://a.b.com/fr/y", "ftp://q://z/", "http://org/", "http:///es/", "http://example.org?/es/", "http://é.example.org/es/ü", "http://É.org/q1", "http://é.org/q", "http://a.x.org/abc", "http://org/abc", "HTTP://B.COM/fr/x/y"]
 
 
 def brute_rule(url):
@@ -311,17 +331,32 @@ def brute_rule(url):
         host = re.match(r"[^/?#]*", rest, re.S)[0]
         path = re.match(r"[^?#]*", rest[len(host) :], re.S)[0]
         host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
-    fits = [(len(h + p), len(h), h + p, v) for h, p, v in RULES if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    low = [(re.sub("[A-Z]", lambda m: m[0].lower(), h), p, v) for h, p, v in RULES if h]
+    fits = [(len(h + p), len(h), h + p, v) for h, p, v in low if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return (host, path, *(max(fits)[2:] if fits else (None, "allow")))
 
 
-@pytest.mark.parametrize("most", [100, 0])
-def test_rules_by_sweep(spark, most):
-    pages = spark.createDataFrame(list(enumerate(URLS * 3)), "page_id long, url string")
+def test_rules_by_sweep(spark):
+    pages = spark.createDataFrame([*enumerate(URLS * 3), (None, URLS[3]), (None, URLS[3]), (2**53 + 1, URLS[4])], "page_id long, url string").coalesce(1)
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
-    found = url_rules.judge_urls(pages, rules, most_broadcast=most).collect()
-    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in found} == {i: brute_rule(u) for i, u in enumerate(URLS * 3)}
-    assert url_rules.judge_urls(pages.limit(0), rules, most_broadcast=most).count() == 0
+    found = url_rules.judge_urls(pages, rules).collect()
+    expected = [(r.page_id, *brute_rule(r.url)) for r in pages.collect()]
+    assert sorted((tuple(r[c] for c in ("page_id", "host", "path", "rule", "verdict")) for r in found), key=repr) == sorted(expected, key=repr)
+    assert url_rules.judge_urls(pages.limit(0), rules).count() == 0
+    assert {r.verdict for r in url_rules.judge_urls(pages, rules.limit(0), "block").collect()} == {"block"}
+
+
+def test_many_rules_and_one_frequent_host(spark):
+    rng = random.Random(9)
+    rules = [(".".join(rng.choices("abc", k=rng.randint(1, 4))), "/" + "".join(rng.choices("xy", k=rng.randint(0, 3))), rng.choice(["allow", "block"])) for _ in range(300)]
+    rules = [r for r in dict((r[:2], r) for r in rules).values()]
+    urls = ["http://" + ".".join(rng.choices("abcd", k=rng.randint(1, 5))) + "/" + "".join(rng.choices("xyz", k=rng.randint(0, 4))) for _ in range(600)] + ["http://a.b.c/xy"] * 600
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = url_rules.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    assert len(found) == len(urls)
+    for r in found:
+        fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        assert (r.rule, r.verdict) == (max(fits)[2:] if fits else (None, "allow"))
 
 
 # --- quality
@@ -412,12 +447,38 @@ def test_best_branches_of_a_tree(spark):
     assert chat_tree.format_trees(df.limit(0)).count() == 0
 
 
+def test_branches_against_brute_force(spark):
+    rng = random.Random(12)
+    rows, expected = [], {}
+    for t in range(25):
+        n = rng.randint(1, 40)
+        parents = {i: (rng.randrange(i) if i and rng.random() < 0.95 else None) for i in range(n)}
+        scores = {i: rng.choice([None, float(rng.randint(-8, 8))]) for i in range(n)}
+        rows += [(t, i, parents[i], scores[i], "user", f"{t} {i}") for i in range(n)]
+        paths = []
+        for leaf in set(parents) - set(parents.values()):
+            path = [leaf]
+            while parents[path[-1]] is not None:
+                path.append(parents[path[-1]])
+            paths.append((-sum(scores[i] or 0.0 for i in path) / len(path), leaf, path[::-1]))
+        expected[t] = [p for _, _, p in sorted(paths)[:3]]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "tree_id long, node_id long, parent_id long, score double, role string, text string")
+    found = defaultdict(lambda: defaultdict(list))
+    for r in chat_tree.best_paths(df, branches=3).orderBy("tree_id", "branch", "depth").collect():
+        found[r.tree_id][r.branch].append(r.node_id)
+    assert {t: [found[t][b] for b in sorted(found[t])] for t in expected} == expected
+    whole = {(r.tree_id, r.branch): chat_tree.read_turns(r.formatted) for r in chat_tree.format_trees(df, branches=3).collect()}
+    assert whole == {(t, b): [("user", f"{t} {i}") for i in p] for t, x in expected.items() for b, p in enumerate(x, 1)}
+
+
 def test_conversations_are_read_back(spark):
     rows = [(1, t, "assistant" if t % 2 else "user", f"text {t} </s>") for t in range(40)] + [(2, 0, None, None), (2, 0, "assistant", "b"), (2, 0, "assistant", "b"), (2, None, "assistant", "a"), (None, 3, "assistant", "n")]
     found = {r.tree_id: r for r in chat_tree.read_back(chat_tree.format_trees(chat_tree.thread_nodes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect()}
     turns = [("assistant", "a"), ("", ""), ("assistant", "b"), ("assistant", "b")]
     assert found[2].n_turns == 4 and found[2].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
     assert found[2].loss_sha256 == hashlib.sha256(b"abb").hexdigest() and found[2].loss_chars == 3 and found[1].n_turns == 40
+    assert set(found) == {1, 2, None} and (found[None].n_turns, found[None].loss_chars) == (1, 1)
 
 
 # --- packing

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import lasting
+from .common import lasting, map_whole
 
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 #: Control strings of this and other templates, and the escape sign; each gets an escape sign behind its first character.
@@ -64,34 +64,26 @@ def _key():
     return F.struct("tree_id").alias("tree_id")
 
 
-def _whole_ids(df: DataFrame, make, columns: str) -> DataFrame:
-    """mapInPandas with tree_id as the first column. Numbers go as texts, for pandas rounds long ones beside a null."""
-    kind = df.schema["tree_id"].dataType.simpleString()
-    if kind not in ("tinyint", "smallint", "int", "bigint"):
-        return df.mapInPandas(make, f"tree_id {kind}, {columns}")
-    made = df.withColumn("tree_id", F.col("tree_id").cast("string")).mapInPandas(make, f"tree_id string, {columns}")
-    return made.withColumn("tree_id", F.col("tree_id").cast(kind))
-
-
 def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """(tree_id, branch, depth, node_id): the ``branches`` best paths of each tree from its root to a leaf.
 
     ``nodes`` has tree_id, node_id, parent_id (null at a root) and score (null: 0); node ids are unique within a tree.
     A path is as good as the mean score of its nodes; ties go to the smaller leaf id. Self-joins by pointer doubling
-    find in about log2(depth) rounds the ancestors of every leaf; a parent that is missing makes its child a root. A null
-    tree_id is the name of a tree like any other.
+    carry in about log2(depth) rounds the sum of scores from every leaf to its root, one row a leaf, and only the paths
+    that are chosen by it are unfolded into nodes. A parent that is missing makes its child a root. A null tree_id is the
+    name of a tree like any other. Trees without a root (cycles) give nothing.
     """
     nodes = nodes.select(_key(), "node_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     have = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.lit(1).alias("known"))
     nodes = lasting(nodes.join(have, ["tree_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("known") == 1, F.col("parent_id"))).drop("known"))
-    # jumps[k]: the ancestor 2**k steps up and the sum of scores on the way, the node's own included.
-    jumps = [nodes.where("parent_id is not null").select("tree_id", "node_id", F.col("parent_id").alias("up"))]
+    # jumps[k]: the ancestor 2**k steps up, and the sum of scores on the way, the node's own included and the ancestor's not.
+    jumps = [nodes.where("parent_id is not null").select("tree_id", "node_id", F.col("parent_id").alias("up"), "score")]
     largest = nodes.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0
     endless = None
     while True:
         last = jumps[-1]
-        step = last.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("next"))
-        far = lasting(last.join(step, ["tree_id", "up"]).select("tree_id", "node_id", F.col("next").alias("up")))
+        step = last.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"))
+        far = lasting(last.join(step, ["tree_id", "up"]).select("tree_id", "node_id", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score")))
         if not far.limit(1).count():
             break
         if 1 << len(jumps) > largest:  # a node with more ancestors than its tree has nodes stands below a cycle
@@ -99,25 +91,32 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
             break
         jumps.append(far)
     inner = nodes.where("parent_id is not null").select("tree_id", F.col("parent_id").alias("node_id")).distinct()
-    leaves = nodes.join(inner, ["tree_id", "node_id"], "left_anti").select("tree_id", F.col("node_id").alias("leaf"), "node_id", F.lit(0).cast("long").alias("above"))
-    paths = leaves if endless is None else leaves.join(endless, ["tree_id", "node_id"], "left_anti")
+    leaves = nodes.join(inner, ["tree_id", "node_id"], "left_anti").select("tree_id", F.col("node_id").alias("leaf"), F.col("node_id").alias("at"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("top"))
+    if endless is not None:
+        leaves = leaves.join(endless.select("tree_id", F.col("node_id").alias("at")), ["tree_id", "at"], "left_anti").select("tree_id", "leaf", "at", "sum", "top")
     for k in range(len(jumps) - 1, -1, -1):
-        up = paths.join(jumps[k], ["tree_id", "node_id"]).select("tree_id", "leaf", F.col("up").alias("node_id"), (F.col("above") + (1 << k)).alias("above"))
-        paths = lasting(paths.unionByName(up))
-    scored = paths.join(nodes.select("tree_id", "node_id", "score"), ["tree_id", "node_id"])
-    worth = scored.groupBy("tree_id", "leaf").agg(F.avg("score").alias("worth"), F.max("above").alias("top"))
+        jump = jumps[k].select("tree_id", F.col("node_id").alias("at"), "up", F.col("score").alias("more"))
+        up = F.col("up").isNotNull()
+        leaves = leaves.join(jump, ["tree_id", "at"], "left").select(
+            "tree_id", "leaf", F.coalesce("up", "at").alias("at"), F.when(up, F.col("sum") + F.col("more")).otherwise(F.col("sum")).alias("sum"), F.when(up, F.col("top") + (1 << k)).otherwise(F.col("top")).alias("top")
+        )
+    roots = nodes.select("tree_id", F.col("node_id").alias("at"), "score")
+    worth = leaves.join(roots, ["tree_id", "at"]).withColumn("worth", (F.col("sum") + F.col("score")) / (F.col("top") + 1))
     rank = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("worth"), "leaf"))
-    chosen = worth.withColumn("branch", rank).where(F.col("branch") <= branches)
-    return paths.join(chosen.select("tree_id", "leaf", "top", "branch"), ["tree_id", "leaf"]).select(
-        F.col("tree_id.tree_id").alias("tree_id"), "branch", (F.col("top") - F.col("above")).alias("depth"), "node_id"
-    )
+    chosen = lasting(worth.withColumn("branch", rank).where(F.col("branch") <= branches).select("tree_id", "branch", "leaf", "top"))
+    paths = chosen.select("tree_id", "branch", F.col("leaf").alias("node_id"), F.col("top").alias("depth"))
+    for k in range(len(jumps) - 1, -1, -1):
+        up = paths.join(jumps[k].select("tree_id", "node_id", "up"), ["tree_id", "node_id"]).select("tree_id", "branch", F.col("up").alias("node_id"), (F.col("depth") - (1 << k)).alias("depth"))
+        paths = lasting(paths.unionByName(up))
+    return paths.select(F.col("tree_id.tree_id").alias("tree_id"), "branch", "depth", "node_id")
 
 
 def format_trees(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """(tree_id, branch, formatted, loss_spans): one formatted conversation for each chosen path.
 
     ``nodes`` also has role and text; nulls count as empty. Trees without a root (cycles) give nothing. An empty table
-    gives an empty table.
+    gives an empty table. A conversation is one row, so its turns meet in one task and have to fit its memory; what a
+    tree holds beside the chosen branches does not.
     """
     paths = best_paths(nodes, branches).withColumn("tree_id", _key())
     turns = paths.join(nodes.select(_key(), "node_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), ["tree_id", "node_id"])
@@ -129,7 +128,7 @@ def format_trees(nodes: DataFrame, branches: int = 1) -> DataFrame:
             spans = pd.Series([[{"start": a, "end": b} for a, b in x] for _, x in made], dtype=object, index=frame.index)
             yield frame[["tree_id", "branch"]].assign(formatted=[x for x, _ in made], loss_spans=spans)
 
-    return _whole_ids(each, write, "branch int, formatted string, loss_spans array<struct<start:int,end:int>>")
+    return map_whole(each, write, "branch int, formatted string, loss_spans array<struct<start:int,end:int>>", "tree_id")
 
 
 def thread_nodes(messages: DataFrame) -> DataFrame:
@@ -159,4 +158,4 @@ def read_back(formatted: DataFrame, learned: str = "assistant") -> DataFrame:
             made.insert(0, "tree_id", frame["tree_id"].to_numpy())
             yield made
 
-    return _whole_ids(formatted, read, "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_whole(formatted, read, "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long", "tree_id")
