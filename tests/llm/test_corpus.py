@@ -493,13 +493,9 @@ def test_ids_are_those_of_tokenizers(text):
     assert packing.encoder(path)(text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
-def test_ids_of_real_documents(spark):
-    from tokenizers import Tokenizer
-
-    whole = Tokenizer.from_file(packing.default_tokenizer())
-    encode = packing.encoder(packing.default_tokenizer())
-    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
-        assert encode(r.text) == whole.encode(r.text, add_special_tokens=False).ids
+def test_ids_of_all_documents_are_those_of_tokenizers(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    assert packing.unequal(d.repartition(4)) == 0 and packing.unequal(d.limit(0)) == 0
 
 
 def test_packed_pieces_are_whole_and_gapless(spark):
