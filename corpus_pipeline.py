@@ -25,7 +25,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of the smallest id, then text key, of each group of near copies: runs of three words, 90 % alike.
+    """The row of the smallest id, then text key, of each group of near copies: runs of five words, 80 % alike or more.
 
     Rows are told apart by their texts, so groups hold rows of one id with other texts, and rows without an id, which
     stand for a group only if it has no others. Texts without words are in no group: rows that repeat an id and its
@@ -33,7 +33,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     blank = F.coalesce(~F.col("text").rlike(WORD), F.lit(True))
     keyed = docs.where(~blank).withColumn("_stage_key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    named = near_duplicates(keyed, threshold=90, k=3, id_col="_stage_key").select("_stage_key", "component_id").distinct()
+    named = near_duplicates(keyed, id_col="_stage_key").select("_stage_key", "component_id").distinct()
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col("_stage_key").alias("key"))
     texts = keyed.groupBy("_stage_key").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
     best = texts.join(named, "_stage_key").groupBy("component_id").agg(F.min(F.struct("first", "n")).alias("best"))
