@@ -24,7 +24,7 @@ def test_every_stage_does_its_work(spark):
     assert clean.columns == COLUMNS and {r.doc_id for r in rows} == {i for i, s in scores.items() if s < 0.5}
 
     single = corpus_pipeline.one_of_each_group(spark, clean, SF)
-    groups = brute_components([(r.doc_id, r.text) for r in rows])
+    groups = brute_components([(r.doc_id, r.text) for r in rows], 80, 5)
     assert single.columns == COLUMNS and Counter(r.doc_id for r in single.collect()) == Counter(i for i, (_, c) in groups.items() if i == c)
 
     masked = corpus_pipeline.secret_scans(spark, single, SF)
