@@ -185,7 +185,7 @@ def _at(kind: str, secret: str) -> int:
 def fit_formats(docs: DataFrame, text_col: str = "text", examples: int = 300, alpha: float = 0.05) -> dict[str, tuple]:
     """Formats by kind, and ``plain`` for ordinary words, from at most ``examples`` distinct labelled strings of a kind.
 
-    The patterns run over all whole texts, and words are all runs of ten and more letters. Which of the strings found are
+    The patterns run over all whole texts, and words are all runs of ten and more letters outside labelled ones. Which of the strings found are
     taken, if there are more, follows a hash; strings of any length are. A task hands on the first by hash of what it
     finds, which are all that can be among the first of all.
     """
@@ -196,9 +196,12 @@ def fit_formats(docs: DataFrame, text_col: str = "text", examples: int = 300, al
             found: dict[str, set[str]] = {kind: set() for kind in held}
             for text in frame["text"]:
                 if isinstance(text, str):
-                    for kind, _, _, secret in base_spans(text):
+                    at = 0
+                    for kind, a, b, secret in base_spans(text):
                         found[kind].add(secret)
-                    found["plain"].update(PLAIN.findall(text))
+                        found["plain"].update(PLAIN.findall(text[at:a]) if a > at else ())
+                        at = max(at, b)
+                    found["plain"].update(PLAIN.findall(text[at:] if at else text))
             for kind, strings in found.items():
                 both = held[kind] | {x: _at(kind, x) for x in strings if x not in held[kind]}
                 held[kind] = dict(sorted(both.items(), key=lambda x: (x[1], x[0]))[:examples])

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, lasting, one_label
+from .common import batches, forget, lasting, one_label
 
 #: Terms that name groups; the terms of a line can stand for each other.
 IDENTITY_TERMS = (
@@ -89,8 +89,12 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-out))
 
 
-def fit(rows: list[list[int]], labels: list[int], pairs: list[tuple[list[int], list[int]]], n_features: int, ridge: float, fairness: float, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights (none negative) and bias. ``pairs``: feature numbers of a text and of its counterfactual."""
+def fit(rows: list[list[int]], labels: list[int], pairs: list[tuple[list[int], list[int]]], ridge: np.ndarray, fairness: float, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights (none negative) and bias of the least loss.
+
+    The loss is the mean cross-entropy, half the sum of squared weights times their ``ridge``, and half the mean squared
+    gap between the scores (before the logistic) of a text and its counterfactual, the ``pairs``, times ``fairness``.
+    """
     def sparse(lists):
         return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([f for x in lists for f in x], dtype=np.int64)
 
@@ -98,6 +102,7 @@ def fit(rows: list[list[int]], labels: list[int], pairs: list[tuple[list[int], l
     at, cols = sparse(rows)
     at_a, cols_a = sparse([a for a, _ in pairs])
     at_b, cols_b = sparse([b for _, b in pairs])
+    n_features = len(ridge)
     w, bias = np.zeros(n_features), -2.0
     moment, square = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for step in range(1, steps + 1):
@@ -115,18 +120,22 @@ def fit(rows: list[list[int]], labels: list[int], pairs: list[tuple[list[int], l
     return w, float(bias)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, most_features: int = 3000, ridge: float = 0.16, fairness: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, ridge: float = 0.08, fairness: float = 1.0, doubt: float = 20.0, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """A model from ``labels`` (doc_id, label 0 or 1), of which at most ``most_rows``, by a hash of the id, are used.
 
-    Features are those that occur in three toxic texts of the sample at least, by the largest chi-square. Without usable
-    labels every score is that of the bias alone. ``ridge`` is spread over the rows, so few rows give small weights. Null ids and labels other than 0 and 1 are left out.
+    A labelled id gives one row: where documents repeat it, the one of the smallest text, so a repeated id adds nothing.
+    Every feature that is more frequent in toxic rows than in clean ones is in the model; others could only get a weight
+    of 0. A weight is held the more to 0 the less its feature was seen: the ridge grows by the square of ``doubt`` over
+    the number of its toxic rows. Without usable labels every score is that of the bias alone. ``ridge`` is spread over the rows, so
+    few rows give small weights. Null ids and labels other than 0 and 1 are left out.
     """
     few = lasting(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows))
-    n_toxic, n_rows = (few.agg(F.sum("label"), F.count(F.lit(1))).first() or (0, 0))
+    # At most most_rows rows of two numbers go to every task.
+    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "doc_id")
+    sample = lasting(sample.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label"))
+    n_toxic, n_rows = sample.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
     if not n_toxic or n_toxic == n_rows:
-        return ToxicityModel({}, float(np.log((n_toxic or 0) + 0.5) - np.log((n_rows or 0) - (n_toxic or 0) + 0.5)))
-    # At most most_rows rows of two numbers.
-    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "doc_id").select("text", "label")
+        return ToxicityModel({}, float(np.log(n_toxic + 0.5) - np.log(n_rows - n_toxic + 0.5)))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         toxic, clean = Counter(), Counter()
@@ -138,11 +147,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, most
             yield pd.DataFrame({"feature": names, "toxic": [toxic[x] for x in names], "clean": [clean[x] for x in names]})
 
     counts = sample.mapInPandas(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    rate = F.col("toxic") / float(n_toxic) - F.col("clean") / float(n_rows - n_toxic)
-    both = F.col("toxic") + F.col("clean")
-    gain = F.when(rate > 0, rate * rate / (both * (n_rows + 1.0 - both)))
-    chosen = counts.where((F.col("toxic") >= 3) & (rate > 0)).withColumn("gain", gain).orderBy(F.desc("gain"), "feature").limit(most_features)
-    place = {row.feature: i for i, row in enumerate(chosen.collect())}
+    chosen = counts.where(F.col("toxic") / float(n_toxic) > F.col("clean") / float(n_rows - n_toxic)).orderBy("feature").select("feature", "toxic")
+    chosen = [(row.feature, row.toxic) for row in chosen.collect()]  # features of the sample's toxic rows
+    place = {name: i for i, (name, _) in enumerate(chosen)}
     held = docs.sparkSession.sparkContext.broadcast(place)
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,7 +159,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, most
             others = [[s for step in (1, 2) if (s := swapped(x, step)) is not None] for x in texts]
             yield pd.DataFrame({"label": frame["label"].to_numpy(), "own": pd.Series([numbers(x) for x in texts], dtype=object), "swaps": pd.Series([[numbers(s) for s in x] for x in others], dtype=object)})
 
-    rows = sample.mapInPandas(encode, "label int, own array<int>, swaps array<array<int>>").collect()
+    rows = sample.mapInPandas(encode, "label int, own array<int>, swaps array<array<int>>").collect()  # most_rows at most
+    forget(few, sample)
     pairs = [(row.own, s) for row in rows for s in row.swaps if s != row.own]
     # A neutral mention of each group against one of another, whether or not the sample has one.
     for line in IDENTITY_TERMS:
@@ -160,13 +168,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, most
             x, y = (sorted(place[f] for f in features_of(t) if f in place) for t in (a, b))
             if x != y:
                 pairs.append((x, y))
-    w, bias = fit([row.own for row in rows], [row.label for row in rows], pairs, len(place), ridge / len(rows), fairness)
+    ridges = ridge / len(rows) * (1 + (doubt / np.array([n for _, n in chosen], float)) ** 2)
+    w, bias = fit([row.own for row in rows], [row.label for row in rows], pairs, ridges, fairness)
     return ToxicityModel({f: float(w[i]) for f, i in place.items() if w[i] > 0}, bias)
 
 
 def toxicity_score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Column:
-    """The score of each whole text; a null text scores as an empty one."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most most_features weights
+    """The score of each whole text; a null text scores as an empty one.
+
+    It depends on the text alone, so rows that repeat get equal scores, and no id is read.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)  # features of the sample's toxic rows
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
