@@ -81,7 +81,7 @@ def test_a_later_revision_changes_nothing_before_it_is_known(spark):
 
 def test_midranks_share_ties_and_one_value_is_in_the_middle(spark):
     df = spark.createDataFrame([("a", "A", 2.0), ("a", "B", 2.0), ("a", "C", 3.0), ("a", "D", 4.0), ("b", "A", 9.0), ("b", "N", None)], "run string, s string, v double")
-    found = {(r.run, r.s): r.p for r in df.withColumn("p", scoring.midrank_percentile(F.col("v"), [F.col("run")])).collect()}
+    found = {(r.run, r.s): r.p for r in scoring.midrank_percentile(df, "v", ["run"], "p").collect()}
     assert found[("a", "A")] == found[("a", "B")] == pytest.approx(1 / 6) and found[("a", "C")] == pytest.approx(2 / 3)
     assert (found[("a", "D")], found[("b", "A")], found[("b", "N")]) == (1.0, 0.5, None)
 

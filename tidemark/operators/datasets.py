@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .features import PRICE_FEATURES
 from .outcomes import label
-from .pit import best_outcomes, numbered
+from .pit import LISTINGS, best_outcomes, numbered
 
 #: Reasons for leaving an item out, in report order (fixed values).
 EXCLUSIONS = (
@@ -20,7 +20,7 @@ FLAGS = ("has_any_outcome", "has_as_of_outcome", "has_provider_outcome", "has_ca
 
 
 def calibration_dataset(items: DataFrame, outcomes: DataFrame, as_of: Column, **policy: str) -> DataFrame:
-    """The dataset's rows in order: scored-ready items with their best outcome known at ``as_of``, labelled.
+    """The dataset's rows with their places from 1 over the whole dataset: scored-ready items with their best outcome known at ``as_of``, labelled.
 
     ``policy`` holds equalities on outcome columns (provider_code and so on). Bounds and policies apply before the best
     revision is chosen.
@@ -29,8 +29,8 @@ def calibration_dataset(items: DataFrame, outcomes: DataFrame, as_of: Column, **
     for column, value in policy.items():
         known = known.where(F.col(column) == value)
     ready = items.where("scoring_outcome = 'SCORED_READY' and overall_score is not null and source_rank is not null")
-    rows = best_outcomes(known).join(ready, "scoring_item_id").withColumn("label", label(F.col("return_rate"))).withColumn("dataset", F.lit(1))
-    return numbered(rows, "dataset", ["source_session_date"]).drop("dataset")
+    rows = best_outcomes(known).join(ready, "scoring_item_id").withColumn("label", label(F.col("return_rate")))
+    return numbered(rows, "dataset", [])
 
 
 def dataset_summary(rows: DataFrame) -> DataFrame:
@@ -62,17 +62,21 @@ def included_facts(rows: DataFrame) -> DataFrame:
     )
 
 
+#: The least counts of each tier of readiness (fixed values).
+TIERS = {
+    "DATA_INSUFFICIENT": {"items": 300, "sessions": 60, "replay_items": 150, "replay_sessions": 20},
+    "CLASS_IMBALANCED": {"positive": 60, "not_positive": 60, "replay_positive": 30, "replay_not_positive": 30},
+    "PROSPECTIVE_INSUFFICIENT": {"prospective_items": 100, "prospective_sessions": 20, "prospective_positive": 20, "prospective_not_positive": 20},
+}
+
+
 def readiness(facts: DataFrame, contract_valid: Column | None = None) -> DataFrame:
     """facts with (readiness): the first tier that fails, else DATA_READY."""
     valid = F.lit(True) if contract_valid is None else contract_valid
-    under = lambda **least: F.expr(" or ".join(f"{k} < {v}" for k, v in least.items()))
-    status = (
-        F.when(~valid | (F.col("null_scores") > 0) | (F.col("invalid_scores") > 0) | (F.col("duplicates") > 0), "SOURCE_INELIGIBLE")
-        .when(under(items=300, sessions=60, replay_items=150, replay_sessions=20), "DATA_INSUFFICIENT")
-        .when(under(positive=60, not_positive=60, replay_positive=30, replay_not_positive=30), "CLASS_IMBALANCED")
-        .when(under(prospective_items=100, prospective_sessions=20, prospective_positive=20, prospective_not_positive=20), "PROSPECTIVE_INSUFFICIENT")
-        .otherwise("DATA_READY")
-    )
+    status = F.when(~valid | (F.col("null_scores") > 0) | (F.col("invalid_scores") > 0) | (F.col("duplicates") > 0), "SOURCE_INELIGIBLE")
+    for tier, least in TIERS.items():
+        status = status.when(F.expr(" or ".join(f"{k} < {v}" for k, v in least.items())), tier)
+    status = status.otherwise("DATA_READY")
     return facts.withColumn("readiness", status)
 
 
@@ -137,6 +141,7 @@ def upstream_facts(records: DataFrame) -> DataFrame:
 
 
 def provider_distribution(records: DataFrame) -> DataFrame:
+    """(provider_code, six counts) of the lineage: items, their feature quality, incomplete volumes, and what is included."""
     return records.groupBy("provider_code").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("feature_quality_status") == "READY").alias("ready"), F.count_if(F.col("feature_quality_status") == "DEGRADED").alias("degraded"),
         F.count_if(F.col("pipeline_outcome") == "DATA_INSUFFICIENT").alias("insufficient"), F.count_if(F.array_contains("quality_reason_codes", "VOLUME_DATA_INCOMPLETE")).alias("volume_incomplete"),
@@ -189,7 +194,17 @@ def horizon_groups(datasets: DataFrame) -> DataFrame:
     return datasets.groupBy("horizon").agg(F.count(F.lit(1)).alias("datasets"), F.sum("items").alias("items"), F.array_join(F.sort_array(F.collect_list("dataset_id")), ",").alias("dataset_ids"))
 
 
-def order_violations(rows: DataFrame, listing: str = "dataset", within: str = "source_session_date") -> DataFrame:
-    """Rows whose ordinals are not those of the listing: none in a sound dataset."""
-    again = numbered(rows.withColumnRenamed("ordinal", "_ordinal"), listing, [within])
-    return again.where(F.col("ordinal") != F.col("_ordinal")).drop("_ordinal")
+def order_violations(rows: DataFrame, listing: str = "dataset", ordinal: str = "ordinal") -> DataFrame:
+    """(rule, rows) of a numbered table: none in a sound one.
+
+    Ordinals run from 1 to the number of rows, each comes once, and each row stands behind the one before it in the
+    listing's order. Neighbours are found by a join on the ordinal, not by numbering anew.
+    """
+    key = F.struct(*LISTINGS[listing])
+    here = rows.select(F.col(ordinal).alias("o"), key.alias("k"))
+    facts = here.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o").alias("d"), F.min("o").alias("lo"), F.max("o").alias("hi"))
+    gaps = F.when(F.col("n") == 0, 0).when((F.col("lo") == 1) & (F.col("hi") == F.col("n")), F.lit(0)).otherwise(1).cast("long")
+    told = facts.select(F.explode(F.array(F.struct(F.lit("REPEATED_ORDINAL").alias("rule"), (F.col("n") - F.col("d")).alias("rows")), F.struct(F.lit("NOT_FROM_1_TO_N").alias("rule"), gaps.alias("rows")))).alias("x")).select("x.*")
+    after = here.select((F.col("o") - 1).alias("o"), F.col("k").alias("next"))
+    wrong = here.join(after, "o").where(F.col("k") >= F.col("next")).agg(F.lit("OUT_OF_ORDER").alias("rule"), F.count(F.lit(1)).alias("rows"))
+    return told.unionByName(wrong).where("rows > 0")

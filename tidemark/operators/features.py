@@ -20,16 +20,17 @@ def technical_features(bars: DataFrame) -> DataFrame:
     """bars with the features of each session and (completed_bar_count, quality_status, quality_reason).
 
     Needs one revision of each session. With fewer than 21 sessions the row is DATA_INSUFFICIENT and has no features;
-    a null among the 21 volumes, or 20 that are zero, makes it DEGRADED, without volume features. All windows share one
-    partitioning and order, so a series is shuffled and sorted once.
+    a null among the 21 volumes, or 20 that are zero, makes it DEGRADED, without volume features. Bars should be sound; a
+    rate to a price of zero is null. All windows share one partitioning and order, so a series is shuffled and sorted once.
     """
     w = Window.partitionBy(*SERIES).orderBy("session_date")
     last = lambda n: w.rowsBetween(1 - n, 0)
     prior = w.rowsBetween(-20, -1)
     close = F.col("close_price")
+    rate = lambda x, y: F.try_divide(x, F.col(y)) - 1
     made = bars.withColumn("_before", F.lag("close_price").over(w))
     made = made.withColumns({
-        "_return": close / F.col("_before") - 1,
+        "_return": rate(close, "_before"),
         "_range": F.greatest(F.col("high_price") - F.col("low_price"), F.abs(F.col("high_price") - F.col("_before")), F.abs(F.col("low_price") - F.col("_before"))),
         "_dollars": close * F.col("volume"),
     })
@@ -44,12 +45,12 @@ def technical_features(bars: DataFrame) -> DataFrame:
     full = F.col("_n") >= 21
     sound = full & (F.col("_volumes") >= 21) & (F.col("_mean20") != 0)
     price = {
-        "one_day_return": close / F.col("_before") - 1, "five_day_return": close / F.col("_five") - 1, "twenty_day_return": close / F.col("_twenty") - 1,
-        "latest_gap_return": F.col("open_price") / F.col("_before") - 1, "latest_intraday_return": close / F.col("open_price") - 1,
-        "latest_range_rate": (F.col("high_price") - F.col("low_price")) / F.col("_before"),
-        "close_vs_sma5": close / F.col("_sma5") - 1, "close_vs_sma10": close / F.col("_sma10") - 1, "close_vs_sma20": close / F.col("_sma20") - 1,
-        "realized_volatility_20d": F.col("_deviation"), "atr14_rate": F.col("_true") / close,
-        "distance_from_prior_20d_high": close / F.col("_high") - 1, "distance_from_prior_20d_low": close / F.col("_low") - 1,
+        "one_day_return": rate(close, "_before"), "five_day_return": rate(close, "_five"), "twenty_day_return": rate(close, "_twenty"),
+        "latest_gap_return": rate(F.col("open_price"), "_before"), "latest_intraday_return": rate(close, "open_price"),
+        "latest_range_rate": F.try_divide(F.col("high_price") - F.col("low_price"), F.col("_before")),
+        "close_vs_sma5": rate(close, "_sma5"), "close_vs_sma10": rate(close, "_sma10"), "close_vs_sma20": rate(close, "_sma20"),
+        "realized_volatility_20d": F.col("_deviation"), "atr14_rate": F.try_divide(F.col("_true"), close),
+        "distance_from_prior_20d_high": rate(close, "_high"), "distance_from_prior_20d_low": rate(close, "_low"),
     }
     volume = {
         "volume_ratio_5_to_20": F.try_divide(F.col("_mean5"), F.col("_mean20")),

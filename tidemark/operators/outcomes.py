@@ -31,18 +31,20 @@ def forward_outcomes(items: DataFrame, bars: DataFrame, calendar: DataFrame, hor
 
     The ladder, first match: SOURCE_ITEM_NOT_ELIGIBLE, SOURCE_CHAIN_INVALID (also for a day that is no session),
     CALENDAR_OUT_OF_COVERAGE, NOT_MATURED (before the last close and its grace), FUTURE_BARS_INCOMPLETE,
-    FUTURE_BAR_CONTRACT_INVALID (the return outside the excursions), OUTCOME_CREATED.
+    FUTURE_BAR_CONTRACT_INVALID (a price or the reference not above zero, or the return outside the excursions),
+    OUTCOME_CREATED. Bars that no item looks ahead to are left out before revisions are compared.
     """
     items = future_sessions(items, calendar, horizon)
     matured = as_of >= F.col("terminal_close") + F.make_dt_interval(secs=F.lit(grace_seconds))
     wanted = items.where("eligible and chain_valid and known and covered").where(matured).select(
         "item_id", "source_code", "symbol", "adjustment_basis", "reference_close", F.explode("expected").alias("session_date")
     )
-    paths = wanted.join(known_bars(bars, as_of), ["source_code", "symbol", "adjustment_basis", "session_date"])
+    key = ["source_code", "symbol", "adjustment_basis", "session_date"]
+    paths = wanted.join(known_bars(bars.join(wanted.select(*key), key, "left_semi"), as_of), key)
+    rate = lambda x: F.when((F.min("low_price") > 0) & (F.max("reference_close") > 0), F.try_divide(x, F.max("reference_close")) - 1)
     rates = paths.groupBy("item_id").agg(
         F.count(F.lit(1)).alias("bar_count"),
-        (F.max_by("close_price", "session_date") / F.max("reference_close") - 1).alias("return_rate"),
-        (F.max("high_price") / F.max("reference_close") - 1).alias("mfe_rate"), (F.min("low_price") / F.max("reference_close") - 1).alias("mae_rate"),
+        rate(F.max_by("close_price", "session_date")).alias("return_rate"), rate(F.max("high_price")).alias("mfe_rate"), rate(F.min("low_price")).alias("mae_rate"),
         F.max("available_at").alias("latest_input_available_at"),
     )
     joined = items.join(rates, "item_id", "left")
@@ -51,7 +53,7 @@ def forward_outcomes(items: DataFrame, bars: DataFrame, calendar: DataFrame, hor
     outcome = (
         F.when(~F.col("eligible"), "SOURCE_ITEM_NOT_ELIGIBLE").when(~F.col("chain_valid") | ~F.col("known"), "SOURCE_CHAIN_INVALID")
         .when(~F.col("covered"), "CALENDAR_OUT_OF_COVERAGE").when(~matured, "NOT_MATURED").when(n < horizon, "FUTURE_BARS_INCOMPLETE")
-        .when(~ordered, "FUTURE_BAR_CONTRACT_INVALID").otherwise("OUTCOME_CREATED")
+        .when(~F.coalesce(ordered, F.lit(False)), "FUTURE_BAR_CONTRACT_INVALID").otherwise("OUTCOME_CREATED")
     )
     made = joined.withColumn("outcome", outcome)
     created = F.col("outcome") == "OUTCOME_CREATED"

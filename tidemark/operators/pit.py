@@ -92,6 +92,20 @@ LISTINGS = {
 
 
 def numbered(df: DataFrame, listing: str, within: list[str]) -> DataFrame:
-    """df with (ordinal): places from 1 within each parent, in the order of the listing."""
-    order = [F.col(c) for c in LISTINGS[listing]]
-    return df.withColumn("ordinal", F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
+    """df with (ordinal): places from 1 within each parent, or, without ``within``, over the whole table.
+
+    A parent may be large, so no task orders it whole: rows are ordered within each value of the listing's first column,
+    and start behind the counts of the values before it. Only those counts, one row for each value, are summed in order.
+    """
+    first, *rest = LISTINGS[listing]
+    if not rest:
+        return df.withColumn("ordinal", F.row_number().over(Window.partitionBy(*within).orderBy(first)))
+    part = [*within, first]
+    here = Window.partitionBy(*within).orderBy(F.col(first).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(here), F.lit(0)))
+    starts = starts.select(*(F.col(c).alias(f"_{c}") for c in part), "_start")
+    placed = df.withColumn("_place", F.row_number().over(Window.partitionBy(*part).orderBy(*(F.col(c) for c in rest))))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in part]
+    joined = placed.join(starts, same)
+    return joined.withColumn("ordinal", (F.col("_start") + F.col("_place")).cast("int")).drop("_start", "_place", *(f"_{c}" for c in part))

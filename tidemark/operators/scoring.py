@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from .features import PRICE_FEATURES, VOLUME_FEATURES
 
+#: The features of each component, and the weights of components (fixed values).
 GROUPS = {
     "momentum": ("one_day_return", "five_day_return", "twenty_day_return"),
     "trend": ("close_vs_sma5", "close_vs_sma10", "close_vs_sma20"),
@@ -19,27 +20,33 @@ GROUPS = {
 WEIGHTS = {"momentum": 25, "trend": 25, "breakout": 20, "price_action": 10, "stability": 10, "volume": 10}
 
 
-def midrank_percentile(value: Column, population: list[Column]) -> Column:
-    """((mean rank) - 1) / (n - 1) within a population: ties share, and one value alone is at 0.5. Null for null."""
-    there = Window.partitionBy(*population, value.isNull())
-    rank = F.rank().over(there.orderBy(value))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*population, value))
-    n = F.count(F.lit(1)).over(there)
-    found = F.when(n == 1, F.lit(0.5)).otherwise((rank - 1 + (ties - 1) / F.lit(2.0)) / F.nullif(n - 1, F.lit(0)))
-    return F.when(value.isNotNull(), found)
+def midrank_percentile(items: DataFrame, value: str, population: list[str], into: str = "percentile") -> DataFrame:
+    """items with ((mean rank) - 1) / (n - 1) of ``value`` in its population: ties share, and one value alone is at 0.5.
+
+    Null for null. Equal values are counted first, partly before any shuffle, and only the counts of distinct values are
+    summed in order, so ties cost nothing; items join their value's place.
+    """
+    w = Window.partitionBy(*population)
+    counts = items.where(F.col(value).isNotNull()).groupBy(*population, value).agg(F.count(F.lit(1)).alias("_ties"))
+    below = F.coalesce(F.sum("_ties").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = F.sum("_ties").over(w)
+    place = F.when(n == 1, F.lit(0.5)).otherwise(F.try_divide(below + (F.col("_ties") - 1) / F.lit(2.0), n - 1))
+    found = counts.select(*(F.col(c).alias(f"_{c}") for c in population), F.col(value).alias("_value"), place.alias(into))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in population]
+    return items.join(found, [*same, F.col(value) == F.col("_value")], "left").drop("_value", *(f"_{c}" for c in population))
 
 
 def feature_percentiles(items: DataFrame, run: str = "run_id") -> DataFrame:
     """(run, symbol, feature, percentile): prices among READY and DEGRADED items, volumes among READY ones alone.
 
-    Features are rows here, so one shuffle by run and feature ranks them all, however large a run is.
+    Features are rows here, so all are ranked at once, however large a run is.
     """
     usable = items.where(F.col("quality_status").isin("READY", "DEGRADED"))
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in (*PRICE_FEATURES, *VOLUME_FEATURES)))).alias("x")
     long = usable.select(run, "symbol", "quality_status", pairs).select(run, "symbol", "quality_status", "x.*")
     volume = F.col("feature").isin(*VOLUME_FEATURES)
     long = long.where(F.col("value").isNotNull() & (~volume | (F.col("quality_status") == "READY")))
-    return long.select(run, "symbol", "feature", midrank_percentile(F.col("value"), [F.col(run), F.col("feature")]).alias("percentile"))
+    return midrank_percentile(long, "value", [run, "feature"]).select(run, "symbol", "feature", "percentile")
 
 
 def component_scores(items: DataFrame, run: str = "run_id") -> DataFrame:
@@ -78,6 +85,28 @@ def scoring_outcome(item_outcome: Column, has_snapshot: Column, source_matches:
     )
 
 
+#: Names that the values of a snapshot have to have, and no others (fixed values).
+SNAPSHOT_VALUES = ("adjustment_basis", "completed_bar_count", "last_close", *PRICE_FEATURES, *VOLUME_FEATURES)
+
+
+def prepared_items(items: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """items with (scoring_outcome): each item's snapshot, if it is there, has to be the one that the run asked for.
+
+    items: (feature_snapshot_id, symbol, item_outcome, feature_quality, horizon, as_of, provider_code, ...); snapshots:
+    (feature_snapshot_id, symbol, horizon, as_of, quality_status, source_codes, feature_values).
+    """
+    theirs = snapshots.select("feature_snapshot_id", *(F.col(c).alias(f"_{c}") for c in ("symbol", "horizon", "as_of", "quality_status", "source_codes", "feature_values")))
+    made = items.join(theirs, "feature_snapshot_id", "left")
+    same = [F.col("_symbol") == F.col("symbol"), F.col("_horizon") == F.col("horizon"), F.col("_as_of") == F.col("as_of"), F.col("_quality_status") == F.col("feature_quality"), F.forall("_source_codes", lambda c: c == F.col("provider_code"))]
+    matches = F.lit(True)
+    for x in same:
+        matches = matches & F.coalesce(x, F.lit(False))
+    names = F.map_keys("_feature_values")
+    whole = (F.size(names) == len(SNAPSHOT_VALUES)) & (F.size(F.array_except(F.array(*map(F.lit, SNAPSHOT_VALUES)), names)) == 0)
+    outcome = scoring_outcome(F.col("item_outcome"), F.col("_symbol").isNotNull(), matches, F.coalesce(whole, F.lit(False)), F.coalesce("_quality_status", F.lit("")))
+    return made.withColumn("scoring_outcome", outcome).drop(*(f"_{c}" for c in ("symbol", "horizon", "as_of", "quality_status", "source_codes", "feature_values")))
+
+
 def run_status(items: DataFrame, run: str = "run_id") -> DataFrame:
     """(run, items, scored, skipped, status) from the outcomes of a run's items."""
     scored = F.count_if(F.col("scoring_outcome").isin("SCORED_READY", "SCORED_DEGRADED"))

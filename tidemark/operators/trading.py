@@ -15,8 +15,11 @@ ORDER_MOVES = (("ACCEPTED", "PARTIALLY_FILLED"), ("ACCEPTED", "FILLED"), ("PARTI
 
 
 def sized(decisions: DataFrame, notional: int = 1000) -> DataFrame:
-    """decisions (price) with (quantity, notional, intent_status): as many whole shares as the notional buys; none is REJECTED."""
-    quantity = F.floor(F.lit(notional) / F.col("price")).cast("long")
+    """decisions (price) with (quantity, notional, intent_status): as many whole shares as the notional buys; none is REJECTED.
+
+    A price that is null or not above zero buys none.
+    """
+    quantity = F.coalesce(F.when(F.col("price") > 0, F.floor(F.try_divide(F.lit(notional), F.col("price"))).cast("long")), F.lit(0).cast("long"))
     return decisions.withColumn("quantity", quantity).withColumns({
         "intent_status": F.when(F.col("quantity") < 1, "REJECTED").otherwise("CREATED"), "notional": F.col("price") * F.col("quantity"),
     })
@@ -76,7 +79,8 @@ def running_positions(fills: DataFrame, keys: list[str], *order: str) -> DataFra
 def position_exits(positions: DataFrame) -> DataFrame:
     """positions (average_cost_price, current_price, opened_at, snapshot_observed_at) with (return_rate, exits, reasons).
 
-    At a loss of 5 % or more, a gain of 10 % or more, or after six hours, all inclusive and tested without division.
+    At a loss of 5 % or more, a gain of 10 % or more, or after six hours, all inclusive and tested without division. A
+    cost of zero has no return rate.
     """
     cost, now = F.col("average_cost_price"), F.col("current_price")
     lit = lambda x: F.lit(Decimal(x))
@@ -84,7 +88,7 @@ def position_exits(positions: DataFrame) -> DataFrame:
     reasons = ordered_codes(F.array(
         F.when(now - cost <= lit("-0.05") * cost, F.lit("STOP_LOSS")), F.when(now - cost >= lit("0.10") * cost, F.lit("TAKE_PROFIT")), F.when(old, F.lit("TIME_EXIT"))
     ))
-    return positions.withColumns({"reasons": reasons, "return_rate": now.cast("double") / cost.cast("double") - 1}).withColumn("exits", F.size("reasons") > 0)
+    return positions.withColumns({"reasons": reasons, "return_rate": F.try_divide(now.cast("double"), cost.cast("double")) - 1}).withColumn("exits", F.size("reasons") > 0)
 
 
 def traced(fills: DataFrame, orders: DataFrame, intents: DataFrame, decisions: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def features(spark, d):
 def features_v1(spark, d):
     made = features(spark, d).select("run_id", "symbol", "session_date", "completed_bar_count", "quality_status", "quality_reason", "last_close", *PRICE_FEATURES, *VOLUME_FEATURES)
     made = rounded(made, 6, *PRICE_FEATURES, *VOLUME_FEATURES[:2])
-    return made.withColumn(VOLUME_FEATURES[2], F.col(VOLUME_FEATURES[2]).cast("float"))
+    return rounded(made, 7, VOLUME_FEATURES[2])
 
 
 def features_v2(spark, d):
@@ -95,10 +95,32 @@ def relative_rank(spark, d):
     return scoring.ranked(scoring.component_scores(_items(spark, d))).select("run_id", "symbol", "quality_status", "overall_score", F.col("rank").cast("int").alias("rank"))
 
 
+def _feature_snapshots(spark, d):
+    """Snapshots of the runs' features. Some are lost, some were made for another horizon, some lack a value."""
+    made = features(spark, d).where("quality_status <> 'DATA_INSUFFICIENT'").withColumn("number", F.substring("symbol", 2, 20).cast("int"))
+    values = F.create_map(*(x for c in scoring.SNAPSHOT_VALUES for x in (F.lit(c), F.col(c).cast("string"))))
+    return made.where("number % 7 <> 0").select(
+        F.concat_ws("|", "run_id", "symbol").alias("feature_snapshot_id"), "symbol", F.when(F.col("number") % 11 == 0, 5).otherwise(HORIZON).alias("horizon"), F.col("run_id").alias("as_of"),
+        F.when(F.col("number") % 13 == 0, "UNKNOWN").otherwise(F.col("quality_status")).alias("quality_status"), F.array("source_code").alias("source_codes"),
+        F.when(F.col("number") % 17 == 0, F.map_filter(values, lambda k, v: k != "atr14_rate")).otherwise(values).alias("feature_values"),
+    )
+
+
+def _run_items(spark, d):
+    quality = F.when((F.col("quality_status") != "DATA_INSUFFICIENT") & (F.substring("symbol", 2, 20).cast("int") % 13 == 0), "UNKNOWN").otherwise(F.col("quality_status"))
+    return features(spark, d).select(
+        "run_id", "symbol", F.when(F.col("quality_status") != "DATA_INSUFFICIENT", F.concat_ws("|", "run_id", "symbol")).alias("feature_snapshot_id"), F.col("quality_status").alias("item_outcome"), quality.alias("feature_quality"),
+        F.lit(HORIZON).alias("horizon"), F.col("run_id").alias("as_of"), F.col("source_code").alias("provider_code"),
+    )
+
+
+def prepared_scoring_items(spark, d):
+    """What becomes of each item of the runs, with the snapshots that are there."""
+    return scoring.prepared_items(_run_items(spark, d), _feature_snapshots(spark, d)).select("run_id", "symbol", "scoring_outcome")
+
+
 def scoring_run_status(spark, d):
-    made = features(spark, d)
-    outcome = scoring.scoring_outcome(F.col("quality_status"), F.lit(True), F.lit(True), F.lit(True), F.col("quality_status"))
-    return scoring.run_status(made.withColumn("scoring_outcome", outcome))
+    return scoring.run_status(prepared_scoring_items(spark, d))
 
 
 def trading_sessions(spark, d):
@@ -107,8 +129,8 @@ def trading_sessions(spark, d):
     )
 
 
-def month_calendar(spark):
-    return cal.trading_sessions(spark, date(2024, 1, 1), date(2024, 2, 16)).where("family = 'NASDAQ_CORE'")
+def core_calendar(spark):
+    return cal.trading_sessions(spark).where("family = 'NASDAQ_CORE'")
 
 
 def completed_session(spark, d):
@@ -131,7 +153,7 @@ def bar_calendar_violations(spark, d):
 
 
 def outcome_items(spark, d):
-    bars = event_bars(read(spark, d, "events")).where("session_date between '2024-01-02' and '2024-01-24'")
+    bars = event_bars(read(spark, d, "events"))
     number = F.substring("symbol", 2, 20).cast("int")
     wait = F.when(number % 2 == 1, F.expr("interval 40 hours")).otherwise(F.expr("interval 32 hours"))
     return bars.select(
@@ -142,7 +164,7 @@ def outcome_items(spark, d):
 
 def outcomes_made(spark, d):
     items = outcome_items(spark, d)
-    return outcomes.forward_outcomes(items, event_bars(read(spark, d, "events")), month_calendar(spark), HORIZON, ts(OBSERVED), 900)
+    return outcomes.forward_outcomes(items, event_bars(read(spark, d, "events")), core_calendar(spark), HORIZON, ts(OBSERVED), 900)
 
 
 def forward_outcomes(spark, d):
@@ -160,9 +182,9 @@ def observation_summary(spark, d):
 
 def scored_items(spark, d):
     """Items of the outcomes' sessions with relative scores in their session, and the qualities that an audit reads."""
-    items = outcome_items(spark, d).withColumn("move", F.round(F.col("close_price") / F.col("open_price") - 1, 9))
-    p = scoring.midrank_percentile(F.col("move"), [F.col("session_date")])
-    items = items.withColumn("overall_score", F.round(100 * p, 6))
+    items = outcome_items(spark, d).withColumn("move", F.round(F.try_divide("close_price", "open_price") - 1, 9))
+    items = scoring.midrank_percentile(items, "move", ["session_date"], "p")
+    items = items.withColumn("overall_score", F.round(100 * F.col("p"), 6))
     rank = F.row_number().over(Window.partitionBy("session_date").orderBy(F.desc("overall_score"), "symbol"))
     status = F.when(F.col("volume") >= 2, "READY").otherwise("DEGRADED")
     reasons = F.when(F.col("volume") < 2, F.array(F.when(F.col("number") % 2 == 0, "VOLUME_DATA_INCOMPLETE").otherwise("VOLUME_DATA_UNUSABLE"))).otherwise(F.array().cast("array<string>"))
@@ -272,17 +294,17 @@ def latest_outcome_as_of(spark, d):
 
 def path_revision_digest(spark, d):
     """A digest over the ordered bars of each item's path."""
-    items = outcomes.future_sessions(outcome_items(spark, d).select("item_id", "symbol", "session_date"), month_calendar(spark), HORIZON).where("known and covered")
+    items = outcomes.future_sessions(outcome_items(spark, d).select("item_id", "symbol", "session_date"), core_calendar(spark), HORIZON).where("known and covered")
     paths = items.select("item_id", "symbol", F.explode("expected").alias("session_date")).join(event_bars(read(spark, d, "events")).select("symbol", "session_date", "bar_key"), ["symbol", "session_date"])
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("session_date", "bar_key"))), lambda x: x["bar_key"])
     return paths.groupBy("item_id").agg(digest(F.to_json(ordered)).alias("path_digest"))
 
 
 def order_violations(spark, d):
-    """Rows of the dataset that are out of order: none."""
-    rows = dataset_rows(spark, d)
-    bad = datasets.order_violations(rows.withColumn("day", F.col("source_session_date")), "dataset", "day")
-    return bad.agg(F.count(F.lit(1)).alias("violations"))
+    """What is found in a dataset of whose places some were swapped and some repeated."""
+    o = F.col("ordinal")
+    rows = dataset_rows(spark, d).withColumn("ordinal", F.when(o % 50 == 10, o + 1).when(o % 50 == 11, o - 1).when(o % 50 == 20, o + 1).otherwise(o))
+    return datasets.order_violations(rows)
 
 
 def universe_keys(spark, d):
@@ -302,7 +324,7 @@ def bar_identities(spark, d):
 QUERIES: Queries = {
     f.__name__: f
     for f in (
-        pit_latest_revision, pit_named_sessions, features_v1, features_v2, feature_quality_counts, midrank_percentile, component_scores, relative_rank, scoring_run_status,
+        pit_latest_revision, pit_named_sessions, features_v1, features_v2, feature_quality_counts, midrank_percentile, component_scores, relative_rank, scoring_run_status, prepared_scoring_items,
         trading_sessions, completed_session, session_lookup, bar_calendar_violations, forward_outcomes, outcome_labels, observation_summary, calibration_dataset, dataset_summary,
         readiness_audit, exclusion_funnel, upstream_facts, provider_distribution, price_only_eligibility, price_only_reasons, horizon_groups, readiness_percentages,
         latest_outcome_as_of, path_revision_digest, order_violations, universe_keys, bar_identities,

@@ -10,7 +10,7 @@ lines AS (
 ),
 days AS (
   SELECT symbol, session_date, arg_min(price, k) AS o, max(price) AS h, min(price) AS l, arg_max(price, k) AS c, CAST(sum(quantity) AS BIGINT) AS v
-  FROM lines GROUP BY symbol, session_date
+  FROM lines GROUP BY symbol, session_date HAVING min(price) > 0
 ),
 revisions AS (
   SELECT symbol, session_date, r AS revision, o * x AS o, h * x AS h, l * x AS l, c * x AS c, CASE WHEN dayofyear(session_date) % 97 <> 0 THEN v END AS v,
@@ -55,6 +55,13 @@ featured AS (
 features AS (SELECT * FROM featured QUALIFY row_number() OVER (PARTITION BY run_id, symbol ORDER BY session_date DESC) = 1)"""
 )
 
+_PREPARED = """,
+prepared AS (
+  SELECT run_id, symbol, CASE WHEN quality_status = 'DATA_INSUFFICIENT' THEN 'SOURCE_ITEM_NOT_SCORABLE' WHEN number % 7 = 0 THEN 'FEATURE_SNAPSHOT_MISSING' WHEN number % 11 = 0 THEN 'FEATURE_SOURCE_MISMATCH'
+    WHEN number % 13 = 0 THEN 'FEATURE_QUALITY_UNSUPPORTED' WHEN number % 17 = 0 THEN 'FEATURE_CONTRACT_INVALID' WHEN quality_status = 'READY' THEN 'SCORED_READY' ELSE 'SCORED_DEGRADED' END AS scoring_outcome
+  FROM (SELECT *, CAST(substr(symbol, 2) AS INTEGER) AS number FROM features)
+)"""
+
 _PRICES = "one_day_return five_day_return twenty_day_return latest_gap_return latest_intraday_return latest_range_rate close_vs_sma5 close_vs_sma10 close_vs_sma20 realized_volatility_20d atr14_rate distance_from_prior_20d_high distance_from_prior_20d_low".split()
 _VOLUMES = "volume_ratio_5_to_20 latest_volume_to_avg20 average_dollar_volume_20".split()
 _GROUP = {"one_day_return": "momentum", "five_day_return": "momentum", "twenty_day_return": "momentum", "close_vs_sma5": "trend", "close_vs_sma10": "trend", "close_vs_sma20": "trend", "distance_from_prior_20d_high": "breakout", "distance_from_prior_20d_low": "breakout", "latest_gap_return": "price_action", "latest_intraday_return": "price_action", "latest_range_rate": "stability", "realized_volatility_20d": "stability", "atr14_rate": "stability"} | dict.fromkeys(_VOLUMES, "volume")
@@ -96,17 +103,28 @@ scores AS (
 )
 
 _EVENTS = """
-ebars AS (
+edays AS (
   SELECT 'EVENTS' AS source_code, 'U' || user_id AS symbol, user_id AS number, CAST(ts AS DATE) AS session_date, arg_min(value, ts) AS o, max(value) AS h, min(value) AS l, arg_max(value, ts) AS c, count(*) AS v
   FROM events GROUP BY user_id, CAST(ts AS DATE)
-)"""
+),
+ebars AS (SELECT * FROM edays WHERE l > 0)"""
+
+_YEARS = range(FIRST.year, LAST.year + 1)
+_CLOSED = ", ".join(f"DATE '{d}'" for y in _YEARS for d, _ in closures(y))
+_EARLY = ", ".join(f"DATE '{d}'" for y in _YEARS for d, _ in early_closes(y))
 
-_CAL = """
-closed AS (SELECT unnest([DATE '2024-01-01', DATE '2024-01-15']) AS d),
+#: All sessions; New York is four hours behind from the second Sunday of March to the first of November, else five.
+_CAL = f"""
+days AS (
+  SELECT CAST(d AS DATE) AS d, make_date(year(d), 3, 8) AS m, make_date(year(d), 11, 1) AS n
+  FROM (SELECT unnest(generate_series(TIMESTAMP '{FIRST}', TIMESTAMP '{LAST}', INTERVAL 1 DAY)) AS d)
+),
+hours AS (
+  SELECT d, CASE WHEN d >= m + CAST((7 - dayofweek(m)) % 7 AS INTEGER) AND d < n + CAST((7 - dayofweek(n)) % 7 AS INTEGER) THEN 4 ELSE 5 END AS h
+  FROM days WHERE isodow(d) <= 5 AND d NOT IN ({_CLOSED})
+),
 cal AS (
-  SELECT row_number() OVER (ORDER BY d) AS seq, d, d + INTERVAL '14 hours 30 minutes' AS open_at, d + INTERVAL '21 hours' AS close_at
-  FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-16', INTERVAL 1 DAY)) AS DATE) AS d)
-  WHERE isodow(d) <= 5 AND d NOT IN (SELECT d FROM closed)
+  SELECT row_number() OVER (ORDER BY d) AS seq, d, d + INTERVAL '9 hours 30 minutes' + to_hours(h) AS open_at, d + to_hours(CASE WHEN d IN ({_EARLY}) THEN 13 ELSE 16 END + h) AS close_at FROM hours
 )"""
 
 _OUTCOMES = (
@@ -117,7 +135,7 @@ _OUTCOMES = (
 items AS (
   SELECT symbol || '|' || session_date AS item_id, source_code, symbol, number, session_date, c AS reference_close, o, c, v, v >= 2 AS eligible, number % 11 <> 0 AS chain_valid,
     session_date + to_hours(CASE WHEN number % 2 = 1 THEN 40 ELSE 32 END) AS scored_at
-  FROM ebars WHERE session_date BETWEEN DATE '2024-01-02' AND DATE '2024-01-24'
+  FROM ebars
 ),
 placed AS (
   SELECT i.*, s.seq, f.d AS f1, f.open_at AS first_open, t.d AS terminal_date, t.close_at AS terminal_close
@@ -164,7 +182,7 @@ best AS (
 ),
 dataset AS (
   SELECT s.*, b.outcome_id, b.return_rate, b.observation_mode, CASE WHEN b.return_rate > 0 THEN 'POSITIVE' ELSE 'NOT_POSITIVE' END AS label,
-    CAST(row_number() OVER (PARTITION BY source_session_date ORDER BY source_rank, symbol, outcome_id) AS INTEGER) AS ordinal
+    CAST(row_number() OVER (ORDER BY source_session_date, source_rank, symbol, outcome_id) AS INTEGER) AS ordinal
   FROM best b JOIN sitems s USING (scoring_item_id) WHERE policy_matches AND quality = 'READY' AND overall_score IS NOT NULL
 ),
 labels_made AS (SELECT outcome_id, scoring_item_id, CASE WHEN number % 7 = 0 THEN 'L0' ELSE 'L1' END AS lp FROM orev WHERE number % 5 <> 0),
@@ -194,10 +212,6 @@ def _with(ctes: str, body: str) -> str:
     return f"WITH {ctes.strip()}\n{body}"
 
 
-_YEARS = range(FIRST.year, LAST.year + 1)
-_CLOSED = ", ".join(f"DATE '{d}'" for y in _YEARS for d, _ in closures(y))
-_EARLY = ", ".join(f"DATE '{d}'" for y in _YEARS for d, _ in early_closes(y))
-
 ORACLE_SQL: dict[str, str] = {
     "trading_sessions": f"""
 WITH days AS (SELECT CAST(unnest(generate_series(TIMESTAMP '{FIRST}', TIMESTAMP '{LAST}', INTERVAL 1 DAY)) AS DATE) AS d),
@@ -209,28 +223,29 @@ FROM (SELECT *, c / lag(c) OVER (PARTITION BY symbol ORDER BY session_date) - 1
     "pit_named_sessions": _with(_BARS, """
 SELECT symbol, CAST(p AS INTEGER) AS position, session_date, c AS close_price, bar_key FROM known
 JOIN (VALUES (1, DATE '1999-03-15'), (2, DATE '1999-03-10'), (3, DATE '1999-03-12')) w(p, session_date) USING (session_date)"""),
-    "features_v1": _with(_FEATURES, f"SELECT run_id, symbol, session_date, completed_bar_count, quality_status, quality_reason, last_close, {_round([*_PRICES, *_VOLUMES[:2]], 6)}, CAST(average_dollar_volume_20 AS REAL) AS average_dollar_volume_20 FROM features"),
+    "features_v1": _with(_FEATURES, f"SELECT run_id, symbol, session_date, completed_bar_count, quality_status, quality_reason, last_close, {_round([*_PRICES, *_VOLUMES[:2]], 6)}, round(average_dollar_volume_20, 7) AS average_dollar_volume_20 FROM features"),
     "features_v2": _with(_FEATURES, f"SELECT symbol, session_date, 'READY' AS quality_status, {_round(_PRICES, 6)} FROM featured WHERE completed_bar_count = 21 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY session_date DESC) = 1"),
     "feature_quality_counts": _with(_FEATURES, "SELECT run_id, quality_status, count(*) AS items FROM features GROUP BY ALL"),
     "midrank_percentile": _with(_LONG, "SELECT run_id, symbol, feature, round(percentile, 9) AS percentile FROM ranks"),
     "component_scores": _with(_SCORES, "SELECT * FROM scores"),
     "relative_rank": _with(_SCORES, """
 SELECT run_id, symbol, quality_status, overall_score, CAST(row_number() OVER (PARTITION BY run_id ORDER BY quality_status = 'READY' DESC, overall_score DESC, momentum_score DESC, trend_score DESC, mic_code, symbol) AS INTEGER) AS rank FROM scores"""),
-    "scoring_run_status": _with(_FEATURES, """
-SELECT run_id, count(*) AS items, count(*) FILTER (quality_status <> 'DATA_INSUFFICIENT') AS scored, count(*) FILTER (quality_status = 'DATA_INSUFFICIENT') AS skipped,
-  CASE WHEN count(*) FILTER (quality_status <> 'DATA_INSUFFICIENT') = 0 THEN 'NO_SCORABLE_ITEMS' WHEN count(*) FILTER (quality_status = 'DATA_INSUFFICIENT') > 0 THEN 'COMPLETED_WITH_UNSCORABLE' ELSE 'COMPLETED' END AS status
-FROM features GROUP BY run_id"""),
+    "prepared_scoring_items": _with(_FEATURES + _PREPARED, "SELECT run_id, symbol, scoring_outcome FROM prepared"),
+    "scoring_run_status": _with(_FEATURES + _PREPARED, """
+SELECT run_id, count(*) AS items, count(*) FILTER (starts_with(scoring_outcome, 'SCORED')) AS scored, count(*) FILTER (NOT starts_with(scoring_outcome, 'SCORED')) AS skipped,
+  CASE WHEN count(*) FILTER (starts_with(scoring_outcome, 'SCORED')) = 0 THEN 'NO_SCORABLE_ITEMS' WHEN bool_or(NOT starts_with(scoring_outcome, 'SCORED')) THEN 'COMPLETED_WITH_UNSCORABLE' ELSE 'COMPLETED' END AS status
+FROM prepared GROUP BY run_id"""),
     "completed_session": _with(_CAL, """
 , ask AS (SELECT event_id, user_id % 10 = 0 AS unsupported, ts FROM events)
-SELECT event_id, CASE WHEN unsupported THEN 'UNSUPPORTED_MIC' ELSE 'RESOLVED' END AS outcome,
-  CASE WHEN NOT unsupported THEN coalesce((SELECT max(d) FROM cal WHERE close_at + INTERVAL 60 SECOND <= ts), DATE '2023-12-29') END AS session_date FROM ask"""),
+SELECT event_id, CASE WHEN unsupported THEN 'UNSUPPORTED_MIC' ELSE 'RESOLVED' END AS outcome, CASE WHEN NOT unsupported THEN d END AS session_date
+FROM ask ASOF LEFT JOIN (SELECT d, close_at + INTERVAL 60 SECOND AS done FROM cal) ON ts >= done"""),
     "session_lookup": _with(_CAL, """
-SELECT day, day IN (SELECT d FROM cal) AS is_session, coalesce((SELECT max(d) FROM cal WHERE d <= day), DATE '2023-12-29') AS latest FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)"""),
+SELECT day, day IN (SELECT d FROM cal) AS is_session, (SELECT max(d) FROM cal WHERE d <= day) AS latest FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)"""),
     "bar_calendar_violations": _with(_EVENTS + "," + _CAL, """
 , b AS (SELECT symbol, session_date, v, date_diff('day', DATE '2024-01-01', session_date) AS arrival FROM ebars),
 feed AS (SELECT * FROM b UNION ALL SELECT symbol, session_date, v, arrival + 100 FROM b WHERE day(session_date) = 10 UNION ALL SELECT symbol, DATE '2023-12-29', v, arrival + 100 FROM b WHERE day(session_date) = 11),
 marked AS (SELECT *, row_number() OVER (PARTITION BY symbol, session_date ORDER BY arrival) > 1 AS again, lag(session_date) OVER (PARTITION BY symbol ORDER BY arrival) AS before FROM feed)
-SELECT CASE WHEN v = 1 THEN 'UNSUPPORTED_MIC' WHEN session_date > DATE '2024-01-26' THEN 'AFTER_COMPLETED_CUTOFF' WHEN again THEN 'DUPLICATE_SESSION' WHEN session_date NOT IN (SELECT d FROM cal UNION SELECT DATE '2023-12-29') THEN 'ON_NON_TRADING_DAY'
+SELECT CASE WHEN v = 1 THEN 'UNSUPPORTED_MIC' WHEN session_date > DATE '2024-01-26' THEN 'AFTER_COMPLETED_CUTOFF' WHEN again THEN 'DUPLICATE_SESSION' WHEN session_date NOT IN (SELECT d FROM cal) THEN 'ON_NON_TRADING_DAY'
   WHEN session_date < before THEN 'SEQUENCE_INCONSISTENT' ELSE 'NONE' END AS violation, count(*) AS bars FROM marked GROUP BY 1"""),
     "forward_outcomes": _with(_OUTCOMES, """
 SELECT item_id, source_code, symbol, session_date, terminal_date, outcome, CASE WHEN outcome = 'OUTCOME_CREATED' THEN round(return_rate, 9) END AS return_rate, CASE WHEN outcome = 'OUTCOME_CREATED' THEN round(mfe_rate, 9) END AS mfe_rate,
@@ -281,7 +296,12 @@ SELECT scoring_item_id, outcome_id AS outcome_key FROM orev WHERE li <= TIMESTAM
     "path_revision_digest": _with(_OUTCOMES, """
 SELECT p.item_id, sha256('[' || string_agg('"' || b.symbol || '|' || b.session_date || '"', ',' ORDER BY b.session_date) || ']') AS path_digest
 FROM placed p JOIN cal x ON x.seq BETWEEN p.seq + 1 AND p.seq + 3 JOIN ebars b ON b.symbol = p.symbol AND b.session_date = x.d WHERE p.terminal_date IS NOT NULL GROUP BY p.item_id"""),
-    "order_violations": "SELECT 0::BIGINT AS violations",
+    "order_violations": _with(_DATASET, """
+, bent AS (SELECT ordinal AS k, CASE WHEN ordinal % 50 = 10 THEN ordinal + 1 WHEN ordinal % 50 = 11 THEN ordinal - 1 WHEN ordinal % 50 = 20 THEN ordinal + 1 ELSE ordinal END AS o FROM dataset)
+SELECT * FROM (
+  SELECT 'REPEATED_ORDINAL' AS rule, count(*) - count(DISTINCT o) AS rows FROM bent UNION ALL SELECT 'NOT_FROM_1_TO_N', CASE WHEN count(*) = 0 OR min(o) = 1 AND max(o) = count(*) THEN 0 ELSE 1 END FROM bent
+  UNION ALL SELECT 'OUT_OF_ORDER', count(*) FROM bent a JOIN bent b ON b.o = a.o + 1 WHERE a.k >= b.k
+) WHERE rows > 0"""),
     "universe_keys": """
 SELECT 'N' || s_nationkey AS universe, count(*) AS members, 'universe:v1:' || sha256('[' || string_agg('{"mic":"XNYS","symbol":"S' || s_suppkey || '"}', ',' ORDER BY 'S' || s_suppkey) || ']') AS universe_key FROM supplier GROUP BY 1""",
     "bar_identities": _with(_BARS, """

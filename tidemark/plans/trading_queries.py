@@ -134,7 +134,7 @@ def fill_violations(spark, d):
 
 def positions_running_avg(spark, d):
     made = trading.running_positions(fills(spark, d), ["filter_set", "symbol"], "session_date", "fill_sequence")
-    return rounded(made.select("order_id", "fill_sequence", "position_version", "position_quantity", "average_cost"), 6, "average_cost")
+    return rounded(made.select("order_id", "fill_sequence", "position_version", "position_quantity", "average_cost"), 9, "average_cost")
 
 
 def position_exits(spark, d):
@@ -252,26 +252,63 @@ def recommendation_violations(spark, d):
     return made.groupBy(F.coalesce("violation", F.lit("NONE")).alias("violation")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def ingest_time_series(spark, d):
-    """Bars parsed from time-series answers that are made of users' bars; some answers fail."""
-    b = sources.event_bars(read(spark, d, "events"))
+def time_series_answers(spark, d):
+    """Answers of a provider that are made of users' days; some were refused, some are not what was asked for or repeat a day."""
+    b = sources.event_days(read(spark, d, "events"))
     text = lambda c: F.col(c).cast("decimal(20,2)").cast("string").alias(c.split("_")[0])
     value = F.struct(F.col("session_date").cast("string").alias("datetime"), text("open_price"), text("high_price"), text("low_price"), text("close_price"), F.col("volume").cast("string").alias("volume"))
     made = b.groupBy("symbol").agg(F.collect_list(value).alias("values"))
-    status = F.when(F.col("symbol").endswith("3"), "error").otherwise("ok").alias("status")
-    body = F.to_json(F.struct(status, F.struct(F.when(F.col("symbol").endswith("7"), "X").otherwise(F.col("symbol")).alias("symbol")).alias("meta"), "values"))
-    asked = made.select("symbol", F.to_date(F.lit("2024-01-26")).alias("cutoff"), ts("2024-01-27 00:00:00").alias("observed_at"), body.alias("body"))
-    found = sources.parse_time_series(asked, 10)
+    ends = lambda x: F.col("symbol").endswith(x)
+    meta = F.struct(
+        F.when(ends("7"), "X").otherwise(F.col("symbol")).alias("symbol"), F.when(ends("9"), "1week").otherwise("1day").alias("interval"), F.lit("USD").alias("currency"),
+        F.lit("XNYS").alias("mic_code"), F.lit("NYSE").alias("exchange"), F.lit("America/New_York").alias("exchange_timezone"),
+    ).alias("meta")
+    values = F.when(ends("5"), F.concat("values", F.slice("values", 1, 1))).otherwise(F.col("values")).alias("values")
+    body = F.to_json(F.struct(F.when(ends("3"), "error").otherwise("ok").alias("status"), meta, values))
+    return made.select("symbol", F.lit("XNYS").alias("mic_code"), F.to_date(F.lit("2024-01-26")).alias("cutoff"), ts("2024-01-27 00:00:00").alias("observed_at"), body.alias("body"))
+
+
+def ingest_time_series(spark, d):
+    """Bars parsed from the answers that can be used."""
+    found = sources.parse_time_series(time_series_answers(spark, d), 10)
     return found.select("symbol", "session_date", *(F.col(c).cast("double").alias(c) for c in ("open_price", "high_price", "low_price", "close_price")), F.col("volume"))
 
 
-def ingest_pages(spark, d):
-    """Bars parsed from pages whose instants lie in the night of New York."""
-    b = sources.event_bars(read(spark, d, "events")).where("low_price > 0")
+def source_versions(spark, d):
+    """Record keys and versions of the parsed bars: the version is a digest of what was mapped."""
+    return sources.parse_time_series(time_series_answers(spark, d), 10).select("symbol", "session_date", "source_record_key", "source_version")
+
+
+def page_answers(spark, d):
+    """Pages whose instants lie in the night of New York; some hold a bar whose prices do not fit."""
+    b = sources.event_days(read(spark, d, "events"))
     at = F.concat(F.col("session_date").cast("string"), F.lit("T03:00:00Z"))
-    bar = F.struct(at.alias("t"), F.col("open_price").alias("o"), F.when(F.dayofmonth("session_date") == 9, F.col("low_price") / 2).otherwise(F.col("high_price")).alias("h"), F.col("low_price").alias("l"), F.col("close_price").alias("c"), F.col("volume").alias("v"))
-    pages = b.groupBy("symbol").agg(F.collect_list(bar).alias("bars")).select("symbol", ts("2024-02-01 00:00:00").alias("observed_at"), F.to_json(F.struct("symbol", "bars")).alias("body"))
-    return sources.parse_pages(pages).select("symbol", "session_date", "close_price", "volume")
+    high = F.when((F.dayofmonth("session_date") == 9) & F.col("symbol").endswith("4"), F.col("low_price") / 2).otherwise(F.col("high_price"))
+    bar = F.struct(at.alias("t"), F.col("open_price").alias("o"), high.alias("h"), F.col("low_price").alias("l"), F.col("close_price").alias("c"), F.col("volume").alias("v"))
+    return b.groupBy("symbol").agg(F.collect_list(bar).alias("bars")).select(
+        "symbol", F.lit("XNYS").alias("mic_code"), F.to_date(F.lit("2024-01-27")).alias("cutoff"), ts("2024-02-01 00:00:00").alias("observed_at"), F.to_json(F.struct("symbol", "bars")).alias("body")
+    )
+
+
+def ingest_pages(spark, d):
+    """Bars parsed from the pages that can be used."""
+    return sources.parse_pages(page_answers(spark, d), 12).select("symbol", "session_date", F.col("close_price").cast("double").alias("close_price"), "volume")
+
+
+def ingest_problems(spark, d):
+    """How many answers of either provider are refused, and for what."""
+    read_ = {"series": sources.read_time_series(time_series_answers(spark, d)), "pages": sources.read_pages(page_answers(spark, d))}
+    made = None
+    for name, df in read_.items():
+        one = df.groupBy(F.lit(name).alias("provider"), F.coalesce("problem", F.lit("NONE")).alias("problem")).agg(F.count(F.lit(1)).alias("answers"))
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
+def bar_rejections(spark, d):
+    """Days that make no bar, by the rule they break."""
+    days = sources.event_days(read(spark, d, "events"))
+    return days.groupBy(F.coalesce(sources.bar_problem(), F.lit("NONE")).alias("problem")).agg(F.count(F.lit(1)).alias("days"))
 
 
 def universe_listing(spark, d):
@@ -280,10 +317,10 @@ def universe_listing(spark, d):
 
 
 def position_folds(spark, d):
-    """Average costs with 18 places, rounded at every fill: only sums of quantities are given, for SQL has no such fold."""
+    """Average costs with 18 places, rounded at every fill, of each position's last fill; six places of them are given."""
     f = fills(spark, d).select("filter_set", "symbol", "session_date", "fill_sequence", "quantity", F.col("price").cast("decimal(38,18)").alias("price"))
     made = exact.fold_positions(f, ["filter_set", "symbol"], ["session_date", "fill_sequence"])
-    return made.groupBy("filter_set", "symbol").agg(F.max("position_version").alias("fills"), F.max("position_quantity").alias("quantity"))
+    return made.groupBy("filter_set", "symbol").agg(F.max("position_version").alias("fills"), F.max("position_quantity").alias("quantity"), F.round(F.max_by("average_cost", "position_version").cast("double"), 9).alias("average_cost"))
 
 
 QUERIES: dict = {
@@ -291,13 +328,23 @@ QUERIES: dict = {
     for f in (
         filter_checks, filter_evaluations, filter_pass_summary, entry_decisions, trade_intents, paper_orders, paper_fills, fill_violations, positions_running_avg, position_exits, trade_lineage,
         position_events_currency, provider_comparison, session_sets, pipeline_attempts, pipeline_run_status, budget_assessment, create_or_get_status, ingest_counts, current_orders, order_moves,
-        recommendation_violations, ingest_time_series, ingest_pages, universe_listing, position_folds,
+        recommendation_violations, ingest_time_series, source_versions, ingest_pages, ingest_problems, bar_rejections, universe_listing, position_folds,
     )
 }
 
 _TWO = """
-p AS (SELECT 'U' || user_id AS symbol, CAST(ts AS DATE) AS d, arg_max(value, ts) AS c FROM events WHERE event_id % 3 <> 0 GROUP BY ALL),
-v AS (SELECT 'U' || user_id AS symbol, CAST(ts AS DATE) AS d, arg_max(value, ts) AS c FROM events WHERE event_id % 3 <> 1 GROUP BY ALL)"""
+p AS (SELECT 'U' || user_id AS symbol, CAST(ts AS DATE) AS d, arg_max(value, ts) AS c FROM events WHERE event_id % 3 <> 0 GROUP BY user_id, CAST(ts AS DATE) HAVING min(value) > 0),
+v AS (SELECT 'U' || user_id AS symbol, CAST(ts AS DATE) AS d, arg_max(value, ts) AS c FROM events WHERE event_id % 3 <> 1 GROUP BY user_id, CAST(ts AS DATE) HAVING min(value) > 0)"""
+
+_ANSWERS = """,
+rated AS (SELECT *, CAST(o AS DECIMAL(20, 2)) AS o2, CAST(h AS DECIMAL(20, 2)) AS h2, CAST(l AS DECIMAL(20, 2)) AS l2, CAST(c AS DECIMAL(20, 2)) AS c2 FROM edays),
+answers AS (
+  SELECT symbol, CASE WHEN symbol LIKE '%3' THEN 'PROVIDER_REJECTED_REQUEST' WHEN symbol LIKE '%7' OR symbol LIKE '%9' THEN 'RESPONSE_SCHEMA_INVALID' WHEN symbol LIKE '%5' OR min(l2) <= 0 THEN 'RESPONSE_VALUE_INVALID' ELSE 'NONE' END AS problem
+  FROM rated GROUP BY symbol
+),
+series AS (
+  SELECT r.* FROM rated r JOIN answers a USING (symbol) WHERE a.problem = 'NONE' AND session_date <= DATE '2024-01-26' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY session_date DESC) <= 10
+)"""
 
 _RUNS = """
 raw AS (
@@ -316,6 +363,13 @@ attempted AS (
   FROM stops s LEFT JOIN first_stop f USING (run_id)
 )"""
 
+
+
+def _plain(x: str) -> str:
+    """A decimal as text without zeros at the end."""
+    return rf"regexp_replace(regexp_replace(CAST({x} AS VARCHAR), '0+$', ''), '\.$', '')"
+
+
 ORACLE_SQL: dict[str, str] = {
     "filter_checks": _with(SNAPSHOT_SQL, "SELECT candidate_id, price_range, opening_change_min, entry_change_max, breakout_triggered, volume_present, price_reason FROM checks"),
     "filter_evaluations": _with(SNAPSHOT_SQL, """
@@ -331,7 +385,7 @@ SELECT o_orderkey AS order_id, CASE WHEN o_custkey % 7 = 0 THEN 'REJECTED_CURREN
     "fill_violations": _with(SNAPSHOT_SQL, """
 SELECT CASE WHEN day(session_date) = 3 AND fill_sequence = 2 THEN 'quantity_mismatch' WHEN day(session_date) = 4 THEN 'nonzero_fee' WHEN day(session_date) = 6 THEN 'execution_precedes_acceptance' ELSE 'none' END AS violation, count(*) AS fills FROM fills GROUP BY 1"""),
     "positions_running_avg": _with(SNAPSHOT_SQL, """
-SELECT order_id, CAST(fill_sequence AS INTEGER) AS fill_sequence, CAST(row_number() OVER w AS INTEGER) AS position_version, CAST(sum(quantity) OVER w AS BIGINT) AS position_quantity, round(sum(price * quantity) OVER w / sum(quantity) OVER w, 6) AS average_cost
+SELECT order_id, CAST(fill_sequence AS INTEGER) AS fill_sequence, CAST(row_number() OVER w AS INTEGER) AS position_version, CAST(sum(quantity) OVER w AS BIGINT) AS position_quantity, round(sum(price * quantity) OVER w / sum(quantity) OVER w, 9) AS average_cost
 FROM fills WINDOW w AS (PARTITION BY filter_set, symbol ORDER BY session_date, fill_sequence)"""),
     "position_exits": _with(_EVENTS, """
 , x AS (SELECT symbol || '|' || session_date AS position_id, array_to_string(list_filter([CASE WHEN c - o <= -0.05::DOUBLE * o THEN 'STOP_LOSS' END, CASE WHEN c - o >= 0.10::DOUBLE * o THEN 'TAKE_PROFIT' END, CASE WHEN v % 8 >= 6 THEN 'TIME_EXIT' END], lambda y: y IS NOT NULL), ',') AS reasons, c / o - 1 AS r FROM ebars)
@@ -376,11 +430,20 @@ v AS (SELECT unnest(CASE WHEN len(f) = 0 THEN ['NONE'] ELSE f END) AS violation
   CASE WHEN plan AND k % 17 = 0 THEN 'PRICE_ORDER' END, CASE WHEN plan AND k % 43 = 0 THEN 'PROBABILITY' END, CASE WHEN plan AND (k % 10) / 10.0::DOUBLE + (k % 7) / 10.0::DOUBLE > 1 THEN 'PROBABILITY_SUM' END,
   CASE WHEN plan AND k % 29 = 0 THEN 'EXPECTED_VALUE' END, CASE WHEN plan AND k % 6 + 1 > 5 THEN 'HOLDING' END, CASE WHEN act AND k % 47 = 0 THEN 'SOURCE_NOT_READY' END], lambda x: x IS NOT NULL) AS f FROM r))
 SELECT violation, count(*) AS rows FROM v GROUP BY violation""",
-    "ingest_time_series": _with(_EVENTS, """
-SELECT symbol, session_date, CAST(CAST(o AS DECIMAL(20, 2)) AS DOUBLE) AS open_price, CAST(CAST(h AS DECIMAL(20, 2)) AS DOUBLE) AS high_price, CAST(CAST(l AS DECIMAL(20, 2)) AS DOUBLE) AS low_price, CAST(CAST(c AS DECIMAL(20, 2)) AS DOUBLE) AS close_price, CAST(NULL AS BIGINT) AS volume
-FROM ebars WHERE session_date <= DATE '2024-01-26' AND symbol NOT LIKE '%3' AND symbol NOT LIKE '%7' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY session_date DESC) <= 10"""),
-    "ingest_pages": _with(_EVENTS, "SELECT symbol, session_date - 1 AS session_date, c AS close_price, v AS volume FROM ebars WHERE l > 0 AND day(session_date) <> 9"),
+    "ingest_time_series": _with(_EVENTS + _ANSWERS, """
+SELECT symbol, session_date, CAST(o2 AS DOUBLE) AS open_price, CAST(h2 AS DOUBLE) AS high_price, CAST(l2 AS DOUBLE) AS low_price, CAST(c2 AS DOUBLE) AS close_price, CAST(NULL AS BIGINT) AS volume FROM series"""),
+    "source_versions": _with(_EVENTS + _ANSWERS, f"""
+, t AS (SELECT symbol, session_date, {", ".join(f"{_plain(f'{x}2')} AS {x}" for x in "ohlc")} FROM (SELECT symbol, session_date, o2, h2, l2, c2 FROM series))
+SELECT symbol, session_date, 'XNYS.' || symbol || '.' || strftime(session_date, '%Y%m%d') || '.SPLITS' AS source_record_key, sha256('{{"adjustment_mode":"SPLITS","close":"' || c || '","high":"' || h || '","low":"' || l
+  || '","mapping_version":"twelve-data-time-series-v1","mic_code":"XNYS","open":"' || o || '","session_date":"' || session_date || '","symbol":"' || symbol || '","volume":null}}') AS source_version FROM t"""),
+    "ingest_pages": _with(_EVENTS, """
+SELECT symbol, session_date - 1 AS session_date, c AS close_price, v AS volume FROM edays
+WHERE symbol NOT IN (SELECT symbol FROM edays WHERE l <= 0 OR (symbol LIKE '%4' AND day(session_date) = 9)) AND session_date - 1 <= DATE '2024-01-27' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY session_date DESC) <= 12"""),
+    "ingest_problems": _with(_EVENTS + _ANSWERS, """
+, p AS (SELECT symbol, bool_or(l <= 0 OR (symbol LIKE '%4' AND day(session_date) = 9)) AS bad FROM edays GROUP BY symbol)
+SELECT 'series' AS provider, problem, count(*) AS answers FROM answers GROUP BY problem UNION ALL SELECT 'pages', CASE WHEN bad THEN 'RESPONSE_VALUE_INVALID' ELSE 'NONE' END, count(*) FROM p GROUP BY 2"""),
+    "bar_rejections": _with(_EVENTS, "SELECT CASE WHEN l > 0 THEN 'NONE' ELSE 'NONPOSITIVE_PRICE' END AS problem, count(*) AS days FROM edays GROUP BY 1"),
     "universe_listing": """
 SELECT 'N' || s_nationkey AS mic_code, 'S' || s_suppkey AS symbol, s_nationkey % 5 AS universe, CAST(row_number() OVER (PARTITION BY s_nationkey % 5 ORDER BY 'N' || s_nationkey, 'S' || s_suppkey) AS INTEGER) AS ordinal FROM supplier""",
-    "position_folds": _with(SNAPSHOT_SQL, "SELECT filter_set, symbol, CAST(count(*) AS INTEGER) AS fills, CAST(sum(quantity) AS BIGINT) AS quantity FROM fills GROUP BY ALL"),
+    "position_folds": _with(SNAPSHOT_SQL, "SELECT filter_set, symbol, CAST(count(*) AS INTEGER) AS fills, CAST(sum(quantity) AS BIGINT) AS quantity, round(sum(price * quantity) / sum(quantity), 9) AS average_cost FROM fills GROUP BY ALL"),
 }

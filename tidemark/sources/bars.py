@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.canonical import canonical_json, digest, plain_decimal, rfc3339, semantic_key
 from ..operators.pit import new_rows
@@ -22,44 +22,118 @@ class Capabilities:
     adjusted_volume: bool
 
 
+#: Source codes, limits and names of mappings of two providers (fixed values).
 TIME_SERIES = Capabilities("TWELVE_DATA_TIME_SERIES", 5_000, False)
-PAGED_BARS = Capabilities("ALPACA_BARS", 10_000, True)
+PAGED_BARS = Capabilities("ALPACA_IEX_STOCK_BARS", 10_000, True)
+TIME_SERIES_MAPPING, PAGED_MAPPING, PAGED_FEED = "twelve-data-time-series-v1", "alpaca-stock-bars-v1", "iex"
 
-_SERIES = "struct<status:string,meta:struct<symbol:string,interval:string,currency:string>,values:array<struct<datetime:string,open:string,high:string,low:string,close:string,volume:string>>>"
-_PAGE = "struct<symbol:string,bars:array<struct<t:string,o:double,h:double,l:double,c:double,v:bigint>>,next_page_token:string>"
+_SERIES = (
+    "struct<status:string,meta:struct<symbol:string,interval:string,currency:string,mic_code:string,exchange:string,exchange_timezone:string>,"
+    "values:array<struct<datetime:string,open:string,high:string,low:string,close:string,volume:string>>>"
+)
+_PAGE = "struct<symbol:string,bars:array<struct<t:string,o:decimal(38,18),h:decimal(38,18),l:decimal(38,18),c:decimal(38,18),v:bigint>>,next_page_token:string>"
+_PRICES = ("open_price", "high_price", "low_price", "close_price")
 
 
-def parse_time_series(payloads: DataFrame, keep: int, adjustment: str = "SPLIT_ADJUSTED") -> DataFrame:
-    """Bars of time-series answers. payloads: (symbol asked for, cutoff date, observed_at, body JSON).
+def check_request(provider: Capabilities, rows: int) -> None:
+    """A request for no rows, or for more than the provider gives, is refused before anything is fetched."""
+    if not 1 <= rows <= provider.most_rows:
+        raise ValueError(f"{provider.source_code} gives 1 to {provider.most_rows} rows, not {rows}")
 
-    An answer counts if its status is ok, its symbol is the one asked for and no session comes twice; rows behind the
-    cutoff go and the last ``keep`` stay. Volumes stay only for RAW bars; availability is the time of observation.
-    """
-    rows = payloads.withColumn("j", F.from_json("body", _SERIES)).where((F.col("j.status") == "ok") & (F.col("j.meta.symbol") == F.col("symbol")))
-    days = F.transform("j.values", lambda v: v["datetime"])
-    rows = rows.where(F.size(F.array_distinct(days)) == F.size(days))
-    kept = F.filter(F.transform("j.values", lambda v: F.struct(F.to_date(v["datetime"]).alias("session_date"), v["open"].alias("o"), v["high"].alias("h"), v["low"].alias("l"), v["close"].alias("c"), v["volume"].alias("v"))), lambda v: v["session_date"] <= F.col("cutoff"))
-    kept = F.slice(F.reverse(F.array_sort(kept)), 1, keep)
-    price = lambda c: F.col(f"b.{c}").cast("decimal(38,18)")
-    return rows.select("symbol", "observed_at", F.explode(kept).alias("b")).select(
-        F.lit(TIME_SERIES.source_code).alias("source_code"), "symbol", F.lit(adjustment).alias("adjustment_basis"), F.col("b.session_date").alias("session_date"),
-        price("o").alias("open_price"), price("h").alias("high_price"), price("l").alias("low_price"), price("c").alias("close_price"),
-        (F.col("b.v").cast("long") if adjustment == "RAW" else F.lit(None).cast("long")).alias("volume"), "observed_at", F.col("observed_at").alias("available_at"),
+
+def bar_problem(get=F.col) -> Column:
+    """The first rule that a bar breaks, or null: all prices are above zero, the high is highest and the low lowest, the volume is not negative."""
+    o, h, low, c, v = (get(x) for x in (*_PRICES, "volume"))
+    return (
+        F.when(F.coalesce(F.least(o, h, low, c) <= 0, F.lit(True)) | o.isNull() | h.isNull() | low.isNull() | c.isNull(), "NONPOSITIVE_PRICE")
+        .when(h < F.greatest(o, low, c), "HIGH_TOO_LOW").when(low > F.least(o, h, c), "LOW_TOO_HIGH").when(v < 0, "NEGATIVE_VOLUME")
     )
 
 
-def parse_pages(pages: DataFrame, adjustment: str = "SPLIT_ADJUSTED") -> DataFrame:
-    """Bars of paged answers (symbol, observed_at, body JSON): a UTC instant belongs to its New York date; bars whose prices do not fit go."""
-    rows = pages.withColumn("j", F.from_json("body", _PAGE)).where(F.col("j.symbol") == F.col("symbol")).select("symbol", "observed_at", F.explode("j.bars").alias("b"))
-    day = F.to_date(F.from_utc_timestamp(F.to_timestamp("b.t"), "America/New_York"))
-    fits = (F.col("b.h") >= F.greatest("b.o", "b.c", "b.l")) & (F.col("b.l") <= F.least("b.o", "b.c")) & (F.col("b.l") > 0)
-    return rows.where(fits).select(
-        F.lit(PAGED_BARS.source_code).alias("source_code"), "symbol", F.lit(adjustment).alias("adjustment_basis"), day.alias("session_date"),
-        F.col("b.o").alias("open_price"), F.col("b.h").alias("high_price"), F.col("b.l").alias("low_price"), F.col("b.c").alias("close_price"),
-        F.col("b.v").alias("volume"), "observed_at", F.col("observed_at").alias("available_at"),
+def sound_bars(bars: DataFrame) -> DataFrame:
+    """Bars that break no rule. What is left out can be counted by ``bar_problem``."""
+    return bars.where(bar_problem().isNull())
+
+
+def _named_bars(rows: DataFrame, problem: Column, provider: Capabilities, adjustment: str) -> DataFrame:
+    """rows (payload's columns, _bars) with (problem): what an answer is refused for, else null."""
+    twice = F.size(F.array_distinct(F.transform("_bars", lambda b: b["session_date"]))) < F.size("_bars")
+    undated = F.exists("_bars", lambda b: b["session_date"].isNull())
+    broken = F.exists("_bars", lambda b: bar_problem(lambda c: b[c]).isNotNull())
+    return rows.withColumn("problem", problem.when(F.coalesce(twice | undated | broken, F.lit(False)), "RESPONSE_VALUE_INVALID"))
+
+
+def read_time_series(payloads: DataFrame, adjustment: str = "SPLIT_ADJUSTED") -> DataFrame:
+    """payloads (symbol asked for, mic_code, cutoff date, observed_at, body JSON) with (problem, _bars).
+
+    An answer is refused as a whole, by name: PROVIDER_REJECTED_REQUEST if its status is not ok, RESPONSE_SCHEMA_INVALID
+    if its head is not that of the request, RESPONSE_VALUE_INVALID for a session that comes twice or is no date, a price
+    that is no positive number or out of order, or a volume that is no number. Volumes stay only for RAW bars.
+    """
+    same = lambda c, x: F.upper(F.trim(F.col(f"_j.meta.{c}"))).eqNullSafe(F.upper(x))
+    rows = payloads.withColumn("_j", F.from_json("body", _SERIES))
+    price = lambda x: x.try_cast("decimal(38,18)")
+    number = lambda v: F.when(v["volume"].isNull() | (v["volume"] == ""), F.lit(0)).when(v["volume"].rlike("^[0-9]+$"), v["volume"].try_cast("long")).otherwise(F.lit(-1))
+    kept = lambda v: number(v) if adjustment == "RAW" or TIME_SERIES.adjusted_volume else F.when(number(v) < 0, number(v))
+    bars = F.transform("_j.values", lambda v: F.struct(
+        F.when(F.length(F.trim(v["datetime"])) == 10, F.trim(v["datetime"]).try_cast("date")).alias("session_date"), price(v["open"]).alias("open_price"), price(v["high"]).alias("high_price"),
+        price(v["low"]).alias("low_price"), price(v["close"]).alias("close_price"), kept(v).alias("volume"),
+    ))
+    head = same("symbol", F.col("symbol")) & same("currency", F.lit("USD")) & same("mic_code", F.col("mic_code")) & same("interval", F.lit("1day")) & same("exchange_timezone", F.lit("America/New_York"))
+    head = head & (F.length(F.trim(F.coalesce(F.col("_j.meta.exchange"), F.lit("")))) > 0) & F.col("_j.values").isNotNull()
+    problem = F.when(F.coalesce(F.col("_j.status") != "ok", F.lit(True)), "PROVIDER_REJECTED_REQUEST").when(~F.coalesce(head, F.lit(False)), "RESPONSE_SCHEMA_INVALID")
+    return _named_bars(rows.withColumn("_bars", bars), problem, TIME_SERIES, adjustment).drop("_j")
+
+
+def read_pages(pages: DataFrame) -> DataFrame:
+    """pages (symbol, mic_code, cutoff date, observed_at, body JSON) with (problem, _bars), each page refused as a whole.
+
+    A UTC instant belongs to its New York date. Prices are decimals of 18 places.
+    """
+    rows = pages.withColumn("_j", F.from_json("body", _PAGE))
+    at = lambda b: F.when(b["t"].rlike(r"(Z|[+-]00:00)$"), F.try_to_timestamp(b["t"]))
+    bars = F.transform("_j.bars", lambda b: F.struct(
+        F.to_date(F.from_utc_timestamp(at(b), "America/New_York")).alias("session_date"), b["o"].alias("open_price"), b["h"].alias("high_price"), b["l"].alias("low_price"), b["c"].alias("close_price"), F.coalesce(b["v"], F.lit(-1)).alias("volume"),
+    ))
+    head = F.upper(F.trim(F.col("_j.symbol"))).eqNullSafe(F.col("symbol")) & F.col("_j.bars").isNotNull()
+    return _named_bars(rows.withColumn("_bars", bars), F.when(~head, "RESPONSE_SCHEMA_INVALID"), PAGED_BARS, "").drop("_j")
+
+
+def _unfolded(read: DataFrame, provider: Capabilities, adjustment: str, keep: int | None, mode: str, mark: str, content: dict) -> DataFrame:
+    """The bars of answers without a problem: those up to the cutoff, of each answer's symbol the last ``keep``."""
+    rows = read.where("problem is null").select("symbol", "mic_code", "cutoff", "observed_at", F.explode("_bars").alias("b")).select("symbol", "mic_code", "cutoff", "observed_at", "b.*")
+    rows = rows.where("session_date <= cutoff")
+    if keep is not None:
+        check_request(provider, keep)
+        rows = rows.withColumn("_back", F.row_number().over(Window.partitionBy("symbol", "mic_code", "observed_at").orderBy(F.desc("session_date")))).where(F.col("_back") <= keep)
+    text = lambda c: plain_decimal(F.col(c))
+    version = digest(canonical_json(
+        close=text("close_price"), high=text("high_price"), low=text("low_price"), mic_code=F.col("mic_code"), open=text("open_price"), session_date=F.col("session_date").cast("string"), symbol=F.col("symbol"), volume=F.col("volume"),
+        **{k: F.lit(v) for k, v in content.items()},
+    ))
+    key = F.concat_ws(".", "mic_code", "symbol", F.date_format("session_date", "yyyyMMdd"), F.lit(mark))
+    return rows.select(
+        F.lit(provider.source_code).alias("source_code"), key.alias("source_record_key"), version.alias("source_version"), "symbol", F.lit("USD").alias("currency"), F.lit(adjustment).alias("adjustment_basis"),
+        "session_date", *_PRICES, "volume", "observed_at", F.col("observed_at").alias("available_at"),
     )
 
 
+def parse_time_series(payloads: DataFrame, keep: int, adjustment: str = "SPLIT_ADJUSTED") -> DataFrame:
+    """Bars of time-series answers that ``read_time_series`` finds no problem in: the last ``keep`` up to the cutoff.
+
+    Availability is the time of observation. The source version is a digest of the content that was mapped, without the
+    time of fetching.
+    """
+    mode = "SPLITS" if adjustment == "SPLIT_ADJUSTED" else "NONE"
+    return _unfolded(read_time_series(payloads, adjustment), TIME_SERIES, adjustment, keep, mode, mode, {"adjustment_mode": mode, "mapping_version": TIME_SERIES_MAPPING})
+
+
+def parse_pages(pages: DataFrame, keep: int | None = None, adjustment: str = "SPLIT_ADJUSTED") -> DataFrame:
+    """Bars of pages that ``read_pages`` finds no problem in, up to the cutoff; of each symbol's pages the last ``keep``."""
+    mode = "SPLIT" if adjustment == "SPLIT_ADJUSTED" else "RAW"
+    return _unfolded(read_pages(pages), PAGED_BARS, adjustment, keep, mode, f"{PAGED_FEED.upper()}.{mode}", {"adjustment": mode, "feed": PAGED_FEED, "mapping_version": PAGED_MAPPING})
+
+
 def fetch_pages(fetch: Callable[[str | None], tuple[str, str | None]], most_pages: int = 100) -> Iterator[str]:
     """The bodies of a paged answer. A loader's loop on the driver: one request after the other, as tokens come."""
     seen, token = set(), None
@@ -110,11 +184,11 @@ def lookup(spark: SparkSession, path: str, **keys: str) -> DataFrame:
 
 
 def lineitem_revisions(lineitem: DataFrame) -> DataFrame:
-    """Bars of suppliers from order lines; on days 5, 10, ... a revision follows two days later with prices 1 % higher.
+    """Sound bars of suppliers from order lines; on days 5, 10, ... a revision follows two days later with prices 1 % higher.
 
     Volumes of days 97, 194, ... of a year are not known.
     """
-    price = (F.col("l_extendedprice") / F.col("l_quantity") / 10).alias("price")
+    price = (F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")) / 10).alias("price")
     key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     lines = lineitem.select(F.concat(F.lit("S"), "l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("session_date"), price, F.col("l_quantity").alias("quantity"), key.alias("key"))
     bars = lines.groupBy("symbol", "session_date").agg(
@@ -122,7 +196,7 @@ def lineitem_revisions(lineitem: DataFrame) -> DataFrame:
     )
     step = lambda n, x: F.struct(F.lit(n).alias("revision"), F.lit(x).alias("x"))
     factor = F.explode(F.when(F.dayofmonth("session_date") % 5 == 0, F.array(step(1, 1.0), step(2, 1.01))).otherwise(F.array(step(1, 1.0))))
-    rows = bars.withColumn("f", factor)
+    rows = sound_bars(bars).withColumn("f", factor)
     moved = lambda c: (F.col(c) * F.col("f.x")).alias(c)
     available = F.col("session_date").cast("timestamp") + F.when(F.col("f.revision") == 1, F.expr("interval 23 hours")).otherwise(F.expr("interval 71 hours"))
     return rows.select(
@@ -132,8 +206,8 @@ def lineitem_revisions(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def event_bars(events: DataFrame, source: str = "EVENTS") -> DataFrame:
-    """Bars of users from the values of their events, in the order of time; volume is the number of events."""
+def event_days(events: DataFrame, source: str = "EVENTS") -> DataFrame:
+    """Days of users from the values of their events, in the order of time, as bars that may break rules; volume is the number of events."""
     bars = events.groupBy(F.concat(F.lit("U"), "user_id").alias("symbol"), F.to_date("ts").alias("session_date")).agg(
         F.min_by("value", "ts").alias("open_price"), F.max("value").alias("high_price"), F.min("value").alias("low_price"), F.max_by("value", "ts").alias("close_price"), F.count(F.lit(1)).alias("volume")
     )
@@ -143,7 +217,6 @@ def event_bars(events: DataFrame, source: str = "EVENTS") -> DataFrame:
     )
 
 
-
-
-
-
+def event_bars(events: DataFrame, source: str = "EVENTS") -> DataFrame:
+    """The sound ones of ``event_days``: a day with a price of zero or less makes no bar."""
+    return sound_bars(event_days(events, source))
