@@ -130,16 +130,16 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, id_col: st
 
     # Sets under this size can only link with equal ones.
     least = next(n for n in range(2, 10_000) if 100 * (n - 1) >= threshold * n) - 1 if threshold < 100 else 1 << 62
-    index = (
-        classes.where(F.col("n") >= least).select("grp", "n", "prefix").dropDuplicates(["grp"])
-        .select(F.posexplode("prefix").alias("at", "token"), "grp", F.col("n").cast("int").alias("n"))
-    )
+    groups = lasting(classes.where(F.col("n") >= least).select("grp", "n", "prefix").dropDuplicates(["grp"]))
+    index = groups.select(F.posexplode("prefix").alias("at", "token"), "grp", F.col("n").cast("int").alias("n"))
     # The first prefix shingle that two sets share stands at places i and j with n1 - i and n2 - j of the least overlap
     # at least. ``most`` is the largest n2, times the threshold, that the place i allows; an entry is strong if it
     # allows a set of its own size. The smaller set of a pair is strong, so weak entries never meet each other.
     most = F.expr(f"{100 + threshold}L * (n - at) - {threshold} * n")
     often = index.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.max(most >= threshold * F.col("n")).alias("strong")).where("groups > 1 and strong").select("token")
+    often = lasting(often)  # on its own, so that the entries of a frequent token can be split in the join
     kept = lasting(index.join(often, "token"))
+    forget(groups, often)
     shared = kept.withColumn("n", F.col("n").cast("long")).withColumn("most", most)
 
     members = classes.where(F.col("n") >= least).select("grp", F.col("set_key").alias("cls"), "n")
@@ -148,6 +148,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, id_col: st
     # First comparisons: with the leader of each index entry, which has the entry nearest to its front as a text that
     # others are copies of has, and with the head of the group.
     leaders = shared.where(f"most >= {threshold} * n").groupBy("token").agg(F.min(F.struct("at", "n", "grp", "most")).alias("leader"))
+    leaders = lasting(leaders)
     fits = f"grp <> leader.grp and most >= {threshold} * leader.n and leader.most >= {threshold} * n"
     stars = shared.join(leaders, "token").where(fits).select(F.col("grp"), F.col("leader.grp").alias("of")).distinct()
     head = heads.select("grp", "head")
@@ -184,7 +185,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, id_col: st
         .select(F.least("cls1", "cls2").alias("a"), F.greatest("cls1", "cls2").alias("b")).distinct()
     )
     more = _verified(docs, classes, pairs, threshold, k, text_col)
-    forget(kept, placed, parts, meet, heads, classes)
+    forget(kept, leaders, placed, parts, meet, heads, classes)
     joined = (
         more.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
         .join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
