@@ -201,3 +201,82 @@ def test_a_store_appends_and_looks_up(spark, tmp_path):
     assert {r.status: r.bars for r in counts.collect()} == {"ALREADY_EXISTS": 3, "CREATED": 2}
     sources.append(new.select(*bars(spark, 1).columns), path)
     assert sources.lookup(spark, path, symbol="AAPL").count() == 5
+
+
+def test_zero_prices_make_classified_rows_and_no_failure(spark):
+    day = datetime(2026, 1, 5)
+    bar = lambda i, low, close: ("S", "A", "SPLIT_ADJUSTED", (day + timedelta(i)).date(), close, max(close, 1.0), low, close, 5, day + timedelta(i, hours=23), f"b{i}")
+    names = "source_code string, symbol string, adjustment_basis string, session_date date, open_price double, high_price double, low_price double, close_price double, volume long, available_at timestamp, bar_key string"
+    b = spark.createDataFrame([bar(0, 1.0, 1.0), bar(1, 0.0, 0.0), bar(2, 1.0, 2.0), bar(3, 1.0, 3.0)], names)
+    problems = {r.bar_key: r.p for r in b.select("bar_key", sources.bar_problem().alias("p")).collect()}
+    assert problems == {"b0": None, "b1": "NONPOSITIVE_PRICE", "b2": None, "b3": None} and sources.sound_bars(b).count() == 3
+    item = lambda k, i, close: (k, "S", "A", "SPLIT_ADJUSTED", (day + timedelta(i)).date(), close, True, True, day)
+    items = spark.createDataFrame([item("zero", 1, 0.0), item("over a zero", 0, 1.0), item("fine", 2, 2.0)], "item_id string, source_code string, symbol string, adjustment_basis string, session_date date, reference_close double, eligible boolean, chain_valid boolean, scored_at timestamp")
+    c = cal.trading_sessions(spark).where("family = 'NYSE_CORE'")
+    found = {r.item_id: (r.outcome, r.return_rate) for r in outcomes.forward_outcomes(items, b, c, 1, F.lit("2026-02-01").cast("timestamp")).collect()}
+    assert found == {"zero": ("FUTURE_BAR_CONTRACT_INVALID", None), "over a zero": ("FUTURE_BAR_CONTRACT_INVALID", None), "fine": ("OUTCOME_CREATED", 0.5)}
+    sized = trading.sized(spark.createDataFrame([(0.0,), (None,), (-1.0,), (10.0,)], "price double")).collect()
+    assert [(r.quantity, r.intent_status) for r in sized] == [(0, "REJECTED")] * 3 + [(100, "CREATED")]
+    p = spark.createDataFrame([(0.0, 1.0, day, day)], "average_cost_price double, current_price double, opened_at timestamp, snapshot_observed_at timestamp")
+    assert trading.position_exits(p).first().return_rate is None
+    flat = bars(spark, 21).withColumn("close_price", F.lit(0.0)).withColumn("open_price", F.lit(0.0)).withColumn("low_price", F.lit(0.0))
+    last = technical_features(flat).orderBy(F.desc("session_date")).first()
+    assert last.one_day_return is None and last.atr14_rate is None and last.quality_status == "READY"
+
+
+def test_answers_are_refused_by_name(spark):
+    import json
+
+    meta = {"symbol": "a ", "interval": "1day", "currency": "USD", "mic_code": "XNYS", "exchange": "NYSE", "exchange_timezone": "America/New_York"}
+    value = {"datetime": "2024-01-03", "open": "1.5", "high": "2", "low": "1", "close": "2", "volume": "7"}
+    good = {"status": "ok", "meta": meta, "values": [value, value | {"datetime": "2024-01-02"}, value | {"datetime": "2024-01-09"}]}
+    cases = {
+        "good": (good, None), "status": (good | {"status": "error"}, "PROVIDER_REJECTED_REQUEST"), "no json": ("x", "PROVIDER_REJECTED_REQUEST"), "meta": (good | {"meta": meta | {"interval": "1h"}}, "RESPONSE_SCHEMA_INVALID"),
+        "currency": (good | {"meta": meta | {"currency": "EUR"}}, "RESPONSE_SCHEMA_INVALID"), "values": (good | {"values": None}, "RESPONSE_SCHEMA_INVALID"), "twice": (good | {"values": [value, value]}, "RESPONSE_VALUE_INVALID"),
+        "date": (good | {"values": [value | {"datetime": "2024-1-3"}]}, "RESPONSE_VALUE_INVALID"), "zero": (good | {"values": [value | {"low": "0"}]}, "RESPONSE_VALUE_INVALID"), "word": (good | {"values": [value | {"open": "x"}]}, "RESPONSE_VALUE_INVALID"),
+        "order": (good | {"values": [value | {"high": "1.4"}]}, "RESPONSE_VALUE_INVALID"), "volume": (good | {"values": [value | {"volume": "-1"}]}, "RESPONSE_VALUE_INVALID"), "none": (good | {"values": []}, None),
+    }
+    rows = [(k, "A", "XNYS", date(2024, 1, 5), datetime(2024, 1, 6), json.dumps(body) if isinstance(body, dict) else body) for k, (body, _) in cases.items()]
+    asked = spark.createDataFrame(rows, "name string, symbol string, mic_code string, cutoff date, observed_at timestamp, body string")
+    assert {r.name: r.problem for r in sources.read_time_series(asked).collect()} == {k: p for k, (_, p) in cases.items()}
+    found = sources.parse_time_series(asked, 1).collect()
+    assert [(r.session_date, r.close_price, r.volume, r.source_record_key) for r in found] == [(date(2024, 1, 3), D(2), None, "XNYS.A.20240103.SPLITS")]
+    raw = sources.parse_time_series(asked.where("name = 'good'"), 5, "RAW").orderBy("session_date").collect()
+    assert [(r.session_date.day, r.volume) for r in raw] == [(2, 7), (3, 7)]
+    with pytest.raises(ValueError):
+        sources.parse_time_series(asked, 5001)
+    page = {"symbol": "A", "bars": [{"t": "2024-01-03T05:00:00Z", "o": 1.5, "h": 2, "l": 1, "c": 2, "v": 3}, {"t": "2024-01-04T04:59:59Z", "o": 1.5, "h": 2, "l": 1, "c": 2, "v": 3}]}
+    later = page | {"bars": [page["bars"][0], page["bars"][1] | {"t": "2024-01-04T05:00:00Z"}]}
+    rows = [(k, "A", "XNYS", date(2024, 1, 5), datetime(2024, 1, 6), json.dumps(p)) for k, p in {"twice": page, "good": later, "other": later | {"symbol": "B"}}.items()]
+    pages = spark.createDataFrame(rows, asked.schema)
+    assert {r.name: r.problem for r in sources.read_pages(pages).collect()} == {"twice": "RESPONSE_VALUE_INVALID", "good": None, "other": "RESPONSE_SCHEMA_INVALID"}
+    assert [r.session_date.day for r in sources.parse_pages(pages).orderBy("session_date").collect()] == [3, 4]
+
+
+def test_places_run_over_the_whole_table_and_disorder_is_found(spark):
+    data = [(date(2024, 1, d), "r", k, "XNYS", s, f"{d}{k}{s}") for d in (3, 2, 9) for k in (2, 1) for s in "ba"]
+    df = spark.createDataFrame(data, "source_session_date date, scoring_run_id string, source_rank int, mic_code string, symbol string, outcome_id string").repartition(3)
+    made = pit.numbered(df, "dataset", [])
+    assert [r.outcome_id for r in made.orderBy("ordinal").collect()] == [x[-1] for x in sorted(data)] and [r.ordinal for r in made.orderBy("ordinal").collect()] == list(range(1, 13))
+    assert datasets.order_violations(made).count() == 0 and datasets.order_violations(made.limit(0)).count() == 0
+    o = F.col("ordinal")
+    assert {r.rule: r.rows for r in datasets.order_violations(made.withColumn("ordinal", F.when(o == 5, 6).when(o == 6, 5).otherwise(o))).collect()} == {"OUT_OF_ORDER": 1}
+    assert {r.rule for r in datasets.order_violations(made.withColumn("ordinal", F.when(o == 12, 11).otherwise(o))).collect()} == {"REPEATED_ORDINAL", "NOT_FROM_1_TO_N"}
+
+
+def test_uuids_calendars_and_nested_texts(spark):
+    import uuid
+
+    names = ["urn:a:client-order:v1:1", "", "é", None]
+    found = [r.u for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(canonical.uuid5_url(F.col("n")).alias("u")).collect()]
+    assert found == [None if n is None else str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names]
+    with pytest.raises(ValueError):
+        cal.resolve("US_EQUITY_CORE", "latest")
+    with pytest.raises(ValueError):
+        cal.sessions_between(spark, date(2025, 12, 31), date(2026, 1, 5), version="2026.v1")
+    assert cal.count_violations(cal.trading_sessions(spark)).count() == 0
+    assert canonical.redact({"a": [{"Bearer-x": 1, "b": ({"dsn": 2},)}], "CANO": None}) == {"a": [{"Bearer-x": "<redacted>", "b": [{"dsn": "<redacted>"}]}], "CANO": "<redacted>"}
+    texts = spark.createDataFrame([('{"token": 1, "x": [1]}',), ("no json",), (None,)], "t string").select(canonical.redacted_json(F.col("t")).alias("r")).collect()
+    assert [r.r for r in texts] == ['{"token":"<redacted>","x":[1]}', None, None]
+    with pytest.raises(ValueError):
+        canonical.record_key("bar", x=F.lit(1))

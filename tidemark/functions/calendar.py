@@ -95,6 +95,33 @@ def trading_sessions(spark: SparkSession, first: date = FIRST, last: date = LAST
     return spark.createDataFrame(rows, "family string, seq int, session_date date, kind string, open_at timestamp, close_at timestamp")
 
 
+#: Calendar code and version -> the days it covers (fixed values).
+CALENDARS = {("US_EQUITY_CORE", "2026.v1"): (date(2026, 1, 1), date(2026, 12, 31)), ("US_EQUITY_CORE", "2018-2026.v1"): (FIRST, LAST)}
+
+
+def resolve(code: str, version: str) -> tuple[date, date]:
+    """The coverage of exactly this calendar and version; no other stands in for one that is not known."""
+    if (code, version) not in CALENDARS:
+        raise ValueError(f"CALENDAR_VERSION_UNSUPPORTED: {code} {version}")
+    return CALENDARS[code, version]
+
+
+def sessions_between(spark: SparkSession, first: date, last: date, code: str = "US_EQUITY_CORE", version: str = "2018-2026.v1") -> DataFrame:
+    """Sessions from ``first`` to ``last``, both included, which have to lie within the calendar's coverage."""
+    start, end = resolve(code, version)
+    if not start <= first <= last <= end:
+        raise ValueError(f"CALENDAR_OUT_OF_COVERAGE: {first} to {last} is not within {start} to {end}")
+    return trading_sessions(spark, first, last)
+
+
+def count_violations(sessions: DataFrame) -> DataFrame:
+    """(family, year, sessions, expected) of the years whose number of sessions is not the fixed one."""
+    expected = F.create_map(*(x for i, n in enumerate(SESSIONS_PER_YEAR) for x in (F.lit(FIRST.year + i), F.lit(n))))
+    counts = sessions.groupBy("family", F.year("session_date").alias("year")).agg(F.count(F.lit(1)).alias("sessions"))
+    made = counts.withColumn("expected", F.try_element_at(expected, F.col("year")).cast("long"))
+    return made.where(~F.col("sessions").eqNullSafe(F.col("expected")))
+
+
 def family_of(mic: Column) -> Column:
     """The calendar family of an exchange code; null for one that is not supported."""
     pairs = [x for k, v in FAMILIES.items() for x in (F.lit(k), F.lit(v))]
