@@ -13,6 +13,7 @@ from ..functions.canonical import canonical_json, digest
 from ..operators import datasets, outcomes, pit, scoring
 from ..operators.features import PRICE_FEATURES, VOLUME_FEATURES, price_features, technical_features
 from ..sources.bars import event_bars, lineitem_revisions
+from .session import written
 
 AS_OF = "2001-06-15 12:00:00"
 OBSERVED = "2024-01-25 22:00:00"
@@ -231,13 +232,15 @@ def readiness_audit(spark, d):
     return datasets.readiness(facts).withColumn("positive_share", datasets.percentage(F.col("positive"), F.col("items")))
 
 
-def dataset_labels(spark, d):
-    made = outcome_revisions(spark, d).withColumn("number", F.substring_index(F.substring("scoring_item_id", 2, 40), "|", 1).cast("int"))
+def dataset_labels(spark, d, made=None):
+    made = (outcome_revisions(spark, d) if made is None else made).withColumn("number", F.substring_index(F.substring("scoring_item_id", 2, 40), "|", 1).cast("int"))
     return made.where("number % 5 <> 0").select("outcome_id", "scoring_item_id", F.when(F.col("number") % 7 == 0, "L0").otherwise("L1").alias("label_policy_code"))
 
 
 def lineage(spark, d):
-    records = datasets.lineage_flags(scored_items(spark, d), outcome_revisions(spark, d), dataset_labels(spark, d), ts(DATASET_AS_OF), "EVENTS", "US", "P1", "L1")
+    """Items with the flags of their outcomes and labels. Outcomes are written once, as a store has them, and read twice."""
+    made = written(outcome_revisions(spark, d))
+    records = datasets.lineage_flags(scored_items(spark, d), made, dataset_labels(spark, d, made), ts(DATASET_AS_OF), "EVENTS", "US", "P1", "L1")
     scored = (F.col("scoring_outcome") == "SCORED_READY") & F.col("overall_score").isNotNull() & F.col("source_rank").isNotNull()
     included = F.col("policy_matches") & scored & F.col("has_policy_outcome") & F.col("has_matching_label")
     return records.withColumn("exclusion_reason", datasets.exclusion_reason(included, F.col("policy_matches")))

@@ -10,6 +10,7 @@ from ..operators import compare, exact, filters, pit, runs, trading
 from ..sources import bars as sources
 from .research import known, read, rounded, ts
 from .research_sql import _BARS, _EVENTS, _with
+from .session import written
 
 SNAPSHOT_SQL = (
     _BARS
@@ -148,11 +149,11 @@ def position_exits(spark, d):
 
 def trade_lineage(spark, d):
     """How far fills can be traced back when some orders and intents are lost."""
-    o = orders(spark, d)
-    lost = o.where(F.dayofmonth("session_date") != 8)
-    i = intents(spark, d).where(F.dayofmonth("session_date") != 9).select("intent_id", F.concat_ws("|", "candidate_id", "filter_set").alias("decision_id"))
-    dec = decisions(spark, d).select(F.concat_ws("|", "candidate_id", "filter_set").alias("decision_id"), "candidate_id")
-    found = trading.traced(fills(spark, d).select("order_id", "fill_sequence"), lost, i, dec, snapshots(spark, d).select("candidate_id", "symbol"))
+    o = written(orders(spark, d))  # read by each side of the chain
+    decided = F.concat_ws("|", "candidate_id", "filter_set").alias("decision_id")
+    i = o.where(F.dayofmonth("session_date") != 9).select("intent_id", decided)
+    made = trading.split_fills(o.select("order_id", "quantity")).select("order_id", "fill_sequence")
+    found = trading.traced(made, o.where(F.dayofmonth("session_date") != 8), i, o.select(decided, "candidate_id"), o.select("candidate_id", "symbol").distinct())
     return found.groupBy(F.coalesce("missing", F.lit("COMPLETE")).alias("missing")).agg(F.count(F.lit(1)).alias("fills"), F.count("symbol").alias("symbols"))
 
 
