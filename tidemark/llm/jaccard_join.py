@@ -173,8 +173,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, id_col: st
     )
     sides = lasting(parts)
     mixed = sides.groupBy("entry").agg(F.count(F.lit(1)).alias("c"), F.max("strong").alias("s")).where("c > 1 and s").select("entry")
+    mixed = lasting(mixed)
     parts = lasting(sides.join(mixed, "entry"))
-    forget(sides)
+    forget(sides, mixed)
     left, right = (parts.select("entry", "strong", *(F.col(c).alias(f"{c}{i}") for c in ("component", "lo", "hi", "most"))) for i in (1, 2))
     apart = f"component1 <> component2 and 100 * hi1 >= {threshold} * lo2 and 100 * hi2 >= {threshold} * lo1 and most1 >= {threshold} * lo2 and most2 >= {threshold} * lo1"
     meet = lasting(left.where("strong").join(right.drop("strong"), "entry").where(apart).select("entry", "component1", "component2"))

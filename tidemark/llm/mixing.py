@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,8 +78,10 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
             more = min(counts[i] - taken[i], (gap - 3 * slack) // lengths[i])
             taken[i] += more
             gap -= more * lengths[i]
-    # Sums that can be reached, as the bits of one number; each step adds a power of two of equal documents.
+    # Sums that can be reached, as the bits of one number; each step adds a power of two of equal documents. Of each sum
+    # only the step that first reached it is kept: the sum without that step was reached before.
     reach, steps = 1, []
+    first = np.full(gap + longest + 1, -1, np.int32)
     room = (1 << gap + longest + 1) - 1
     for i in order:
         n, left, block = lengths[i], counts[i] - taken[i], 1
@@ -87,8 +90,12 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
         left = min(left, (gap + longest) // n)
         while left > 0:
             block = min(block, left)
-            steps.append((i, block, reach))
-            reach |= reach << n * block & room
+            moved = reach << n * block & room
+            new = moved ^ (moved & reach)
+            if new:
+                first[_ones(new)] = len(steps)
+                steps.append((i, block))
+                reach |= new
             left -= block
             block *= 2
         if reach >> gap & 1:
@@ -97,13 +104,21 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     above = reach >> gap + 1
     best = gap + 1 + ((above & -above).bit_length() - 1) if above else None
     at = best if best is not None and best - gap < gap - below else below
-    for i, block, had in reversed(steps):
-        if not had >> at & 1:
-            taken[i] += block
-            at -= lengths[i] * block
+    while at:
+        i, block = steps[first[at]]
+        taken[i] += block
+        at -= lengths[i] * block
     return taken
 
 
+def _ones(number: int) -> np.ndarray:
+    """The places of the ones in a number's bits."""
+    raw = np.frombuffer(number.to_bytes((number.bit_length() + 7) // 8, "little"), np.uint8)
+    at = np.flatnonzero(raw)
+    bits = np.unpackbits(raw[at][:, None], axis=1, bitorder="little").astype(bool)
+    return (at[:, None] * 8 + np.arange(8))[bits]
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, source, size, source_size, target, taken) for each row: how many words of it the mix takes, repeats counted.
 
