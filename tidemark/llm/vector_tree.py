@@ -227,7 +227,8 @@ def _searched(indexed: DataFrame, queries: DataFrame, held, visits: int, k: int,
                 leaf = list(itertools.islice(held.value.visits(unit), visits))
                 yield pd.DataFrame({"leaf": leaf, "query_id": i, "q": pd.Series([v] * len(leaf), dtype=object)})
 
-    probes = lasting(queries.mapInPandas(probe, "leaf long, query_id long, q array<double>"))
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a walk through the tree costs more than a row's size tells
+    probes = lasting(queries.repartition(parts, "id").mapInPandas(probe, "leaf long, query_id long, q array<double>"))
     # A leaf's rows and the queries that visit it are both dealt into blocks, so neither a large leaf nor a popular one
     # meets in one task.
     asked = probes.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).alias("q_blocks"))
