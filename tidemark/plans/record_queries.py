@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import json
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import calendar as cal
 from ..functions import canonical
-from ..operators import chains, filters, outcomes, pit, trading
+from ..operators import chains, exact, filters, pit, trading
 from ..sources import bars as sources
 from . import tables
-from .research import DATASET_AS_OF, HORIZON, dataset_labels, dataset_rows, outcome_items, outcome_revisions, read, revisions, scored_items, ts
-from .research_sql import _BARS, _CAL, _CLOSED, _DATASET, _EARLY, _EVENTS, _with
+from .research import HORIZON, dataset_labels, dataset_rows, outcome_items, outcome_revisions, read, revisions, scored_items, ts
+from .research_sql import _BARS, _CAL, _DATASET, _EARLY, _EVENTS, _FEATURES, _with
 from .session import new_path, written
 from .trading_queries import SNAPSHOT_SQL, decisions, evaluations, fills, orders, snapshots
 
@@ -273,6 +273,19 @@ def leaking_names(spark, d):
     return spark.createDataFrame([(n,) for n in canonical.leaking_columns(names)], "name string")
 
 
+def exact_snapshots(spark, d):
+    """Exact snapshots of every symbol with 21 known sessions: their keys, their quality, and what the exact values come to."""
+    b = pit.latest_sessions(revisions(spark, d), ts("2001-06-15 12:00:00"), 21)
+    price = lambda c: F.col(c).cast("decimal(38,18)").alias(c)
+    b = b.select(
+        "source_code", F.concat_ws("|", "symbol", F.col("session_date").cast("string")).alias("source_record_key"), F.substring_index("bar_key", "|", -1).alias("source_version"), "symbol", F.lit("USD").alias("currency"), "adjustment_basis", "session_date",
+        F.col("available_at").alias("observed_at"), "available_at", *map(price, ("open_price", "high_price", "low_price", "close_price")), "volume",
+    )
+    made = exact.feature_snapshots(sources.content_digest(b), datetime(2001, 6, 15, 12), HORIZON)
+    number = lambda c: F.round(F.get_json_object("feature_values", f"$.{c}").cast("double"), 6).alias(c)
+    return made.select("symbol", "snapshot_key", "quality_status", F.length("content_digest").alias("digest_chars"), *map(number, ("one_day_return", "realized_volatility_20d", "atr14_rate", "volume_ratio_5_to_20")))
+
+
 # --- calendar, stores and rules
 
 
@@ -351,7 +364,7 @@ QUERIES: dict = {
     for f in (
         projection_sources, fill_sources, exit_sources, decision_sources, outcome_sources, lineage_records, outcome_chain, source_violations, input_violations, retry_requests, lineage_listing, candidate_listing,
         evaluation_listing, decision_listing, fill_listing, recommendation_listing, outcome_listing, label_listing, item_listing, record_keys, readable_keys, decimal_texts, normal_codes, redacted_texts, leaking_names,
-        calendar_guard, sessions_between, calendar_versions, fetched_pages, stored_lookup, changed_records, record_violations,
+        calendar_guard, sessions_between, calendar_versions, fetched_pages, stored_lookup, changed_records, record_violations, exact_snapshots,
     )
 }
 
@@ -432,6 +445,10 @@ SELECT * FROM (VALUES ('US_EQUITY_CORE', '2018-2026.v1', DATE '2018-01-01', DATE
     "fetched_pages": "SELECT CAST((row_number() OVER (ORDER BY n_nationkey) - 1) // 10 AS INTEGER) AS page, n_nationkey, n_name FROM nation",
     "stored_lookup": _with(_EVENTS, "SELECT symbol || '|' || session_date AS bar_key, session_date, c AS close_price FROM ebars WHERE symbol = 'U7'"),
     "changed_records": _with(_BARS, "SELECT session_date, count(*) AS rows FROM revisions WHERE day(session_date) = 7 GROUP BY 1"),
+    "exact_snapshots": _with(_FEATURES, """
+SELECT symbol, 'feature-snapshot:v1:' || sha256('{"as_of":"2001-06-15T12:00:00Z","feature_set_code":"US_EQUITY_DAILY_TECHNICAL","feature_set_version":"v1","horizon_trading_days":3,"symbol":"' || symbol || '"}') AS snapshot_key, quality_status,
+  64::INTEGER AS digest_chars, round(one_day_return, 6) AS one_day_return, round(realized_volatility_20d, 6) AS realized_volatility_20d, round(atr14_rate, 6) AS atr14_rate, round(volume_ratio_5_to_20, 6) AS volume_ratio_5_to_20
+FROM featured WHERE completed_bar_count = 21 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY session_date DESC) = 1"""),
     "record_violations": """
 SELECT * FROM (
   SELECT 'paper_positions' AS table_name, '(status = ''OPEN'') = (quantity > 0 and closed_at is null)' AS rule, count(*) FILTER (o_orderkey % 7 = 0) AS rows FROM orders
