@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -89,30 +89,42 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-out))
 
 
-def fit(rows: list[list[int]], labels: list[int], pairs: list[tuple[list[int], list[int]]], ridge: np.ndarray, fairness: float, steps: int = 400) -> tuple[np.ndarray, float]:
+def _matrix(lists: Sequence[Sequence[int]]):
+    """(sums, back): of weights over each list of features, and of a number for each list over its features."""
+    sizes = np.array([len(x) for x in lists], np.int64)
+    cols = np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in lists)])
+    full = np.flatnonzero(sizes)
+    starts = np.concatenate([[0], np.cumsum(sizes[full])])[:-1].astype(np.int64)
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(sizes))
+        if len(full):
+            out[full] = np.add.reduceat(w[cols], starts)
+        return out
+
+    return sums, lambda off, n: np.bincount(cols, np.repeat(off, sizes), minlength=n)
+
+
+def fit(rows: Sequence[Sequence[int]], labels: Sequence[int], pairs: Sequence[tuple[Sequence[int], Sequence[int]]], ridge: np.ndarray, fairness: float, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights (none negative) and bias of the least loss.
 
     The loss is the mean cross-entropy, half the sum of squared weights times their ``ridge``, and half the mean squared
-    gap between the scores (before the logistic) of a text and its counterfactual, the ``pairs``, times ``fairness``.
+    gap between the scores (before the logistic) of a text and its counterfactual, times ``fairness``. ``pairs`` hold
+    the features that only the one or only the other has.
     """
-    def sparse(lists):
-        return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([f for x in lists for f in x], dtype=np.int64)
-
     y = np.asarray(labels, float)
-    at, cols = sparse(rows)
-    at_a, cols_a = sparse([a for a, _ in pairs])
-    at_b, cols_b = sparse([b for _, b in pairs])
     n_features = len(ridge)
+    own, back = _matrix(rows)
+    first, first_back = _matrix([a for a, _ in pairs])
+    second, second_back = _matrix([b for _, b in pairs])
     w, bias = np.zeros(n_features), -2.0
     moment, square = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for step in range(1, steps + 1):
-        z = bias + np.bincount(at, w[cols], minlength=len(y))
-        off = (1 / (1 + np.exp(-z)) - y) / max(1, len(y))
-        grad = np.bincount(cols, off[at], minlength=n_features) + ridge * w
+        off = (1 / (1 + np.exp(-bias - own(w))) - y) / max(1, len(y))
+        grad = back(off, n_features) + ridge * w
         if pairs:
-            d = np.bincount(at_a, w[cols_a], minlength=len(pairs)) - np.bincount(at_b, w[cols_b], minlength=len(pairs))
-            d *= fairness / len(pairs)
-            grad += np.bincount(cols_a, d[at_a], minlength=n_features) - np.bincount(cols_b, d[at_b], minlength=n_features)
+            gap = (first(w) - second(w)) * fairness / len(pairs)
+            grad += first_back(gap, n_features) - second_back(gap, n_features)
         grad = np.append(grad, off.sum())
         moment, square = 0.9 * moment + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         move = 0.05 * moment / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.999**step)) + 1e-9)
@@ -148,29 +160,36 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, ridg
 
     counts = sample.mapInPandas(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     chosen = counts.where(F.col("toxic") / float(n_toxic) > F.col("clean") / float(n_rows - n_toxic)).orderBy("feature").select("feature", "toxic")
-    chosen = [(row.feature, row.toxic) for row in chosen.collect()]  # features of the sample's toxic rows
-    place = {name: i for i, (name, _) in enumerate(chosen)}
+    chosen = chosen.toArrow()  # features of the sample's toxic rows
+    names, seen = chosen["feature"].to_pylist(), chosen["toxic"].to_numpy().astype(float)
+    place = {name: i for i, name in enumerate(names)}
     held = docs.sparkSession.sparkContext.broadcast(place)
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = lambda text: sorted(held.value[f] for f in features(text) if f in held.value)
+        numbers = lambda text: np.array(sorted(held.value[f] for f in features(text) if f in held.value), "<i4")
         for frame in batches(frames, "text"):
-            texts = [x if isinstance(x, str) else "" for x in frame["text"]]
-            others = [[s for step in (1, 2) if (s := swapped(x, step)) is not None] for x in texts]
-            yield pd.DataFrame({"label": frame["label"].to_numpy(), "own": pd.Series([numbers(x) for x in texts], dtype=object), "swaps": pd.Series([[numbers(s) for s in x] for x in others], dtype=object)})
-
-    rows = sample.mapInPandas(encode, "label int, own array<int>, swaps array<array<int>>").collect()  # most_rows at most
+            own, lost, new = [], [], []
+            for text in frame["text"]:
+                text = text if isinstance(text, str) else ""
+                own.append(numbers(text))
+                others = [numbers(s) for step in (1, 2) if (s := swapped(text, step)) is not None]
+                lost.append([np.setdiff1d(own[-1], x).tobytes() for x in others])
+                new.append([np.setdiff1d(x, own[-1]).tobytes() for x in others])
+            yield pd.DataFrame({"label": frame["label"].to_numpy(), "own": pd.Series([x.tobytes() for x in own], dtype=object), "lost": pd.Series(lost, dtype=object), "new": pd.Series(new, dtype=object)})
+
+    rows = sample.mapInPandas(encode, "label int, own binary, lost array<binary>, new array<binary>").collect()  # most_rows at most
     forget(few, sample)
-    pairs = [(row.own, s) for row in rows for s in row.swaps if s != row.own]
+    back = lambda raw: np.frombuffer(raw, "<i4")
+    pairs = [(back(a), back(b)) for row in rows for a, b in zip(row.lost, row.new) if a != b]
     # A neutral mention of each group against one of another, whether or not the sample has one.
     for line in IDENTITY_TERMS:
         for a, b in zip(line, (*line[1:], line[0])):
-            x, y = (sorted(place[f] for f in features_of(t) if f in place) for t in (a, b))
+            x, y = ({place[f] for f in features_of(t) if f in place} for t in (a, b))
             if x != y:
-                pairs.append((x, y))
-    ridges = ridge / len(rows) * (1 + (doubt / np.array([n for _, n in chosen], float)) ** 2)
-    w, bias = fit([row.own for row in rows], [row.label for row in rows], pairs, ridges, fairness)
-    return ToxicityModel({f: float(w[i]) for f, i in place.items() if w[i] > 0}, bias)
+                pairs.append((sorted(x - y), sorted(y - x)))
+    ridges = ridge / len(rows) * (1 + (doubt / seen) ** 2)
+    w, bias = fit([back(row.own) for row in rows], [row.label for row in rows], pairs, ridges, fairness)
+    return ToxicityModel({names[i]: float(w[i]) for i in np.flatnonzero(w > 0)}, bias)
 
 
 def toxicity_score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Column:
