@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import calendar as cal
 from ..functions.canonical import canonical_json, digest
-from ..operators import datasets, outcomes, pit, scoring
+from ..operators import chains, datasets, outcomes, pit, scoring
 from ..operators.features import PRICE_FEATURES, VOLUME_FEATURES, price_features, technical_features
 from ..sources.bars import event_bars, lineitem_revisions
 from .session import written
@@ -154,13 +154,21 @@ def bar_calendar_violations(spark, d):
 
 
 def outcome_items(spark, d):
+    """Scored items of every user and day, and whether they agree with the pipeline item and snapshot that they came from.
+
+    The three are tables of their own here; the pipeline items of some users name another snapshot.
+    """
     bars = event_bars(read(spark, d, "events"))
     number = F.substring("symbol", 2, 20).cast("int")
     wait = F.when(number % 2 == 1, F.expr("interval 40 hours")).otherwise(F.expr("interval 32 hours"))
-    return bars.select(
-        F.col("bar_key").alias("item_id"), "source_code", "symbol", "adjustment_basis", "session_date", F.col("close_price").alias("reference_close"), (F.col("volume") >= 2).alias("eligible"),
-        (number % 11 != 0).alias("chain_valid"), (F.col("session_date").cast("timestamp") + wait).alias("scored_at"), "open_price", "close_price", "volume", number.alias("number"),
-    )
+    items = written(bars.select(
+        F.col("bar_key").alias("item_id"), F.concat(F.lit("p"), "bar_key").alias("pipeline_item_id"), F.concat(F.lit("s"), "bar_key").alias("feature_snapshot_id"), "source_code", "symbol", "adjustment_basis", "session_date", F.col("close_price").alias("reference_close"),
+        (F.col("volume") >= 2).alias("eligible"), (F.col("session_date").cast("timestamp") + wait).alias("scored_at"), "open_price", "close_price", "volume", number.alias("number"), F.when(F.col("volume") >= 2, "READY").otherwise("DEGRADED").alias("quality"), F.lit(HORIZON).alias("horizon"),
+    ))
+    named = F.when(F.col("number") % 11 == 0, F.lit("another")).otherwise(F.col("feature_snapshot_id")).alias("feature_snapshot_id")
+    pipeline_items = items.select("pipeline_item_id", named, "symbol", "session_date")
+    snapshots = items.select("feature_snapshot_id", "symbol", "quality", "horizon")
+    return chains.with_chain(items, pipeline_items, snapshots).drop("pipeline_item_id", "feature_snapshot_id", "quality", "horizon")
 
 
 def outcomes_made(spark, d):
