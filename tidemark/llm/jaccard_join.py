@@ -122,6 +122,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, id_col: st
     # The wide columns stand in the first row of a set in each task only, so copies are folded before any shuffle.
     made = map_whole(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), describe, "n_shingles long, set_key binary, grp long, prefix array<long>, text_key binary", "doc")
     made = lasting(made)
+    levels.destroy()
     # One row for each class of equal sets.
     wide = made.where("prefix is not null").groupBy("set_key").agg(F.first("n_shingles").alias("n"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix"), F.min("text_key").alias("text_key"))
     classes = lasting(wide)
@@ -259,6 +260,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold:
 
     whole = docs.select(F.col(text_col).alias("text")).mapInPandas(sets, "text_key binary, shingles array<long>")
     whole = lasting(whole.dropDuplicates(["text_key"]).join(keys, "text_key").select("set_key", "shingles"))
+    held.destroy()
     a, b = (whole.select(F.col("set_key").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab")
     both = pairs.join(a, "a").join(b, "b").withColumn("o", F.size(F.array_intersect("a_set", "b_set")).cast("long"))
     ok = both.where(F.expr(f"100 * o >= {threshold} * (size(a_set) + size(b_set) - o)"))

@@ -161,12 +161,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, ridg
     counts = sample.mapInPandas(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     chosen = counts.where(F.col("toxic") / float(n_toxic) > F.col("clean") / float(n_rows - n_toxic)).orderBy("feature").select("feature", "toxic")
     chosen = chosen.toArrow()  # features of the sample's toxic rows
-    names, seen = chosen["feature"].to_pylist(), chosen["toxic"].to_numpy().astype(float)
-    place = {name: i for i, name in enumerate(names)}
-    held = docs.sparkSession.sparkContext.broadcast(place)
+    place = {name: i for i, name in enumerate(chosen["feature"].to_pylist())}
+    held = docs.sparkSession.sparkContext.broadcast((place, chosen["toxic"].to_numpy()))
+    del chosen, place
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = lambda text: np.array(sorted(held.value[f] for f in features(text) if f in held.value), "<i4")
+        place, _ = held.value
+        numbers = lambda text: np.array(sorted(place[f] for f in features(text) if f in place), "<i4")
         for frame in batches(frames, "text"):
             own, lost, new = [], [], []
             for text in frame["text"]:
@@ -177,19 +178,30 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, ridg
                 new.append([np.setdiff1d(x, own[-1]).tobytes() for x in others])
             yield pd.DataFrame({"label": frame["label"].to_numpy(), "own": pd.Series([x.tobytes() for x in own], dtype=object), "lost": pd.Series(lost, dtype=object), "new": pd.Series(new, dtype=object)})
 
-    rows = sample.mapInPandas(encode, "label int, own binary, lost array<binary>, new array<binary>").collect()  # most_rows at most
+    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, seen = held.value
+        back = lambda raw: np.frombuffer(raw, "<i4")
+        rows, labels, pairs = [], [], []
+        for frame in frames:
+            rows += map(back, frame["own"])
+            labels += frame["label"].tolist()
+            pairs += [(back(a), back(b)) for x, y in zip(frame["lost"], frame["new"]) for a, b in zip(x, y) if a != b]
+        # A neutral mention of each group against one of another, whether or not the sample has one.
+        for line in IDENTITY_TERMS:
+            for a, b in zip(line, (*line[1:], line[0])):
+                x, y = ({place[f] for f in features_of(t) if f in place} for t in (a, b))
+                if x != y:
+                    pairs.append((sorted(x - y), sorted(y - x)))
+        w, bias = fit(rows, labels, pairs, ridge / n_rows * (1 + (doubt / seen.astype(float)) ** 2), fairness)
+        names = [(name, float(w[i])) for name, i in place.items() if w[i] > 0]
+        yield pd.DataFrame([*names, (None, bias)], columns=["feature", "weight"])
+
+    # The model is fitted in one task, for the sample has most_rows rows at most; the order of rows is fixed.
+    coded = sample.mapInPandas(encode, "label int, own binary, lost array<binary>, new array<binary>").repartition(1).sortWithinPartitions("label", "own")
+    found = {row.feature: row.weight for row in coded.mapInPandas(learn, "feature string, weight double").collect()}
     forget(few, sample)
-    back = lambda raw: np.frombuffer(raw, "<i4")
-    pairs = [(back(a), back(b)) for row in rows for a, b in zip(row.lost, row.new) if a != b]
-    # A neutral mention of each group against one of another, whether or not the sample has one.
-    for line in IDENTITY_TERMS:
-        for a, b in zip(line, (*line[1:], line[0])):
-            x, y = ({place[f] for f in features_of(t) if f in place} for t in (a, b))
-            if x != y:
-                pairs.append((sorted(x - y), sorted(y - x)))
-    ridges = ridge / len(rows) * (1 + (doubt / seen) ** 2)
-    w, bias = fit([back(row.own) for row in rows], [row.label for row in rows], pairs, ridges, fairness)
-    return ToxicityModel({names[i]: float(w[i]) for i in np.flatnonzero(w > 0)}, bias)
+    held.destroy()
+    return ToxicityModel(found, found.pop(None))
 
 
 def toxicity_score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Column:
