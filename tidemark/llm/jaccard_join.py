@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, id_col: st
     lows = lows.join(of_class.unionByName(lone), "set_key", "left").withColumn("cc", F.coalesce("cc", "set_key"))
     lows = lasting(lows)
     forget(joined)
-    smallest = lows.groupBy("cc").agg(F.min("low").alias("component_id"))
+    smallest = lasting(lows.groupBy("cc").agg(F.min("low").alias("component_id")))
     ids = lows.join(smallest, "cc").select("set_key", "component_id")
     return rows.join(ids, "set_key", "left").select(F.col("doc").alias(id_col), "n_shingles", "set_key", F.coalesce("component_id", "doc").alias("component_id"))
 
