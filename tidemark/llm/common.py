@@ -34,21 +34,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH, _MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def lasting(df: DataFrame) -> DataFrame:
     """The rows of ``df``, written to the shared folder, with a lineage that ends there.
 
-    The shuffle files of that job go as soon as its rows are written, for nothing reads them again.
+    The shuffle files of that job go as soon as its rows are written, for nothing reads them again. Python tasks of the
+    job get 2,000 rows at a time at most, which keeps the texts that a worker holds few.
     """
     spark = df.sparkSession
     shared_folder(spark)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    rows = int(spark.conf.get(_BATCH, "0"))
+    wanted = {_CLEANUP: "true", _BATCH: str(min(rows, _MOST_ROWS) if rows > 0 else _MOST_ROWS)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
-        return df.select("*").checkpoint(eager=True)  # a plan made under the setting
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        return df.select("*").checkpoint(eager=True)  # a plan made under the settings
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def forget(*tables: DataFrame) -> None:

@@ -51,13 +51,14 @@ def _sketch(texts: DataFrame, k: int) -> np.ndarray:
     block = 1 << _BLOCK_BITS
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size, np.uint32)
+        total = np.zeros(size, np.uint16)  # a count stops at 65,535 in a task, which changes no more than the order
         for frame in batches(frames, "text"):
             for words in word_hashes(list(frame["text"]), True):
                 at, n = np.unique(shingle_hashes(words, k) >> np.uint64(64 - _SKETCH_BITS), return_counts=True)
-                total[at.astype(np.int64)] += n.astype(np.uint32)
+                at = at.astype(np.int64)
+                total[at] = np.minimum(total[at] + n, 65_535)
         parts = [(i, total[i * block : (i + 1) * block]) for i in range(size // block)]
-        parts = [(i, _pack(x)) for i, x in parts if x.any()]
+        parts = [(i, _pack(x.astype(np.uint32))) for i, x in parts if x.any()]
         if parts:
             yield pd.DataFrame(parts, columns=["block", "counts"])
 
