@@ -132,7 +132,8 @@ def _descend(forest: Forest, level: int, paths: DataFrame, emit, schema: str, mo
 
     nodes = forest.tables[level].select("tree", "i", "n", "node", *more)
     blocks = nodes.groupBy("tree", F.expr(f"i div {fanout**depth}").alias("block"))
-    return blocks.cogroup(paths.groupBy("tree", "i")).applyInPandas(together, schema)
+    buckets = paths.withColumns({"_tree": F.col("tree").alias("_tree"), "_bucket": F.col("i").alias("_bucket")}).drop("tree", "i")  # a lone node's path is of its own table
+    return blocks.cogroup(buckets.groupBy("_tree", "_bucket")).applyInPandas(together, schema)
 
 
 def _to_leaves(forest: Forest, paths: DataFrame, emit, schema: str, more: list[str], carried: list[str]) -> DataFrame:
