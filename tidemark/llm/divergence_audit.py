@@ -171,7 +171,7 @@ def source_divergence(docs: DataFrame, least_docs: int = 10, top: int = 10, lang
     kept = lasting(found.select("lang", "term", "whole_n"))
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("size"), F.sum("whole_n").alias("whole_total"))
     chunks = F.expr(f"cast(pmod(xxhash64(term), (size + {chunk - 1}) div {chunk}) as int)")  # dealt out evenly, without an order over the language
-    placed = kept.join(langs, "lang").withColumn("chunk", chunks)
+    placed = kept.join(langs, "lang").withColumn("chunk", chunks).repartition("lang", "chunk")  # a join's partitioning by language would do for the window
     placed = placed.withColumn("place", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")))
     used = lasting(counts.where("n > 0").select("lang", "source", "term", "n").join(placed, ["lang", "term"]))
 
