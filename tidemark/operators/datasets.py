@@ -208,3 +208,23 @@ def order_violations(rows: DataFrame, listing: str = "dataset", ordinal: str = "
     after = here.select((F.col("o") - 1).alias("o"), F.col("k").alias("next"))
     wrong = here.join(after, "o").where(F.col("k") >= F.col("next")).agg(F.lit("OUT_OF_ORDER").alias("rule"), F.count(F.lit(1)).alias("rows"))
     return told.unionByName(wrong).where("rows > 0")
+
+
+#: Levels of an audit, from the grouping of (provider_code, source_session_date, horizon): a bit is 1 where a column is summed over.
+AUDIT_LEVELS = {3: "PROVIDER", 5: "SESSION", 6: "HORIZON", 1: "PROVIDER_SESSION", 7: "TOTAL"}
+
+
+def audit_levels(records: DataFrame) -> DataFrame:
+    """(level, provider_code, source_session_date, horizon, counts) of the lineage, for all levels in one pass.
+
+    A column is null where its level sums over it; a value that is null itself is told from that by ``level``. Each record
+    is read once, and its partial sums for all levels are made before anything is shuffled. An empty lineage has no
+    rows, no TOTAL either.
+    """
+    p, s, h = "provider_code", "source_session_date", "horizon"
+    level = F.create_map(*(x for k, v in AUDIT_LEVELS.items() for x in (F.lit(k), F.lit(v))))
+    counts = records.groupingSets([[p], [s], [h], [p, s], []], p, s, h).agg(
+        F.grouping_id(p, s, h).cast("int").alias("_level"), F.count(F.lit(1)).alias("total"), F.count_if(F.col("feature_quality_status") == "READY").alias("ready"), F.count_if(F.col("feature_quality_status") == "DEGRADED").alias("degraded"),
+        F.count_if(F.array_contains("quality_reason_codes", "VOLUME_DATA_INCOMPLETE")).alias("volume_incomplete"), F.count_if(F.col("exclusion_reason").isNull()).alias("included"), F.countDistinct("symbol").alias("symbols"),
+    )
+    return counts.select(level[F.col("_level")].alias("level"), p, s, h, "total", "ready", "degraded", "volume_incomplete", "included", "symbols")

@@ -68,3 +68,20 @@ def price_features(bars: DataFrame) -> DataFrame:
     """The second feature set: prices alone, READY wherever 21 sessions are complete."""
     made = technical_features(bars).where("quality_status <> 'DATA_INSUFFICIENT'").drop("quality_reason", *VOLUME_FEATURES)
     return made.withColumn("quality_status", F.lit("READY"))
+
+
+def day_windows(bars: DataFrame, days: tuple[int, ...] = (7, 30)) -> DataFrame:
+    """bars with features over the last days of the calendar, not the last sessions, for each of ``days``.
+
+    sessions_{n}d and mean_close_{n}d are over the days from n - 1 days back to the session itself; prior_high_{n}d and
+    prior_low_{n}d over the n days before it. Days without a session, holidays and gaps, take no place: a window may hold
+    fewer sessions, or none before the session, which gives null highs and lows. gap_days is the number of days since the
+    session before, null for the first. Needs one revision of each session. All windows share one shuffle and one sort.
+    """
+    series = f"partition by {', '.join(SERIES)} order by session_date"
+    made = {"gap_days": F.expr(f"datediff(session_date, lag(session_date) over ({series}))")}
+    for n in days:
+        here = f"over ({series} range between interval {n - 1} days preceding and current row)"
+        before = f"over ({series} range between interval {n} days preceding and interval 1 days preceding)"
+        made |= {f"sessions_{n}d": F.expr(f"count(*) {here}"), f"mean_close_{n}d": F.expr(f"avg(close_price) {here}"), f"prior_high_{n}d": F.expr(f"max(high_price) {before}"), f"prior_low_{n}d": F.expr(f"min(low_price) {before}")}
+    return bars.withColumns(made)

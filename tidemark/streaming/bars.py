@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.pit import new_rows
+from ..sources.store import exists, ingest_months
 
 
 def read_bars(spark: SparkSession, path: str, schema: str, files: int = 100) -> DataFrame:
@@ -17,15 +18,17 @@ def read_bars(spark: SparkSession, path: str, schema: str, files: int = 100) ->
 def append_new(stream: DataFrame, store: str, checkpoint: str, keys: tuple[str, ...] = ("bar_key",), trigger: dict | None = None) -> StreamingQuery:
     """Appends each batch's rows of identities that the store lacks; the first row of an identity stays.
 
-    A batch that is run again after a failure finds its rows in the store and adds nothing.
+    Bars with a session date and a source go to a store by month, of which a batch reads its own months; other rows are
+    compared with the whole store. A batch that is run again after a failure finds its rows in the store and adds nothing.
     """
+    by_month = {"session_date", "source_code", "available_at"} <= set(stream.columns)
 
     def append(batch: DataFrame, _: int) -> None:
+        if by_month:
+            ingest_months(batch, store, keys, ("available_at",))
+            return
         spark = batch.sparkSession
-        jvm = spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(store)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        fresh = new_rows(batch, spark.read.parquet(store), list(keys)) if there else batch.dropDuplicates(list(keys))
+        fresh = new_rows(batch, spark.read.parquet(store), list(keys)) if exists(spark, store) else batch.dropDuplicates(list(keys))
         fresh.write.mode("append").parquet(store)
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
