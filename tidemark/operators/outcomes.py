@@ -41,6 +41,11 @@ def forward_outcomes(items: DataFrame, bars: DataFrame, calendar: DataFrame, hor
     )
     key = ["source_code", "symbol", "adjustment_basis", "session_date"]
     paths = wanted.join(known_bars(bars.join(wanted.select(*key), key, "left_semi"), as_of), key)
+    return outcomes_of_paths(items, paths, horizon, matured)
+
+
+def outcomes_of_paths(items: DataFrame, paths: DataFrame, horizon: int, matured: Column) -> DataFrame:
+    """The outcomes of items as ``future_sessions`` gives them, from their paths (item_id, reference_close, a known bar a session)."""
     rate = lambda x: F.when((F.min("low_price") > 0) & (F.max("reference_close") > 0), F.try_divide(x, F.max("reference_close")) - 1)
     rates = paths.groupBy("item_id").agg(
         F.count(F.lit(1)).alias("bar_count"),
