@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
@@ -312,20 +311,6 @@ def calendar_versions(spark, d):
     return spark.createDataFrame(rows, "code string, version string, first date, last date")
 
 
-def fetched_pages(spark, d):
-    """Nations as a paged service gives them, ten a page, fetched by token and parsed."""
-    names = [(r.n_nationkey, r.n_name) for r in read(spark, d, "nation").orderBy("n_nationkey").limit(1000).collect()]  # a service of a page or two
-
-    def fetch(token):
-        at = int(token or 0)
-        after = str(at + 10) if at + 10 < len(names) else None
-        return json.dumps({"rows": [{"key": k, "name": n} for k, n in names[at : at + 10]], "next_page_token": after}), after
-
-    pages = spark.createDataFrame([(i, body) for i, body in enumerate(sources.fetch_pages(fetch))], "page int, body string")
-    parsed = pages.withColumn("j", F.from_json("body", "struct<rows:array<struct<key:int,name:string>>,next_page_token:string>"))
-    return parsed.select("page", F.explode("j.rows").alias("r")).select("page", F.col("r.key").alias("n_nationkey"), F.col("r.name").alias("n_name"))
-
-
 def stored_lookup(spark, d):
     """Bars that were appended to a store in two runs, read again by key."""
     b = written(sources.event_bars(read(spark, d, "events")))
@@ -364,7 +349,7 @@ QUERIES: dict = {
     for f in (
         projection_sources, fill_sources, exit_sources, decision_sources, outcome_sources, lineage_records, outcome_chain, source_violations, input_violations, retry_requests, lineage_listing, candidate_listing,
         evaluation_listing, decision_listing, fill_listing, recommendation_listing, outcome_listing, label_listing, item_listing, record_keys, readable_keys, decimal_texts, normal_codes, redacted_texts, leaking_names,
-        calendar_guard, sessions_between, calendar_versions, fetched_pages, stored_lookup, changed_records, record_violations, exact_snapshots,
+        calendar_guard, sessions_between, calendar_versions, stored_lookup, changed_records, record_violations, exact_snapshots,
     )
 }
 
@@ -442,7 +427,6 @@ SELECT c_custkey, '{"API-Token":"<redacted>","name":"' || c_name || '","My Accou
 SELECT d AS session_date, CASE WHEN d IN ({_EARLY}) THEN 'EARLY_CLOSE' ELSE 'REGULAR' END AS kind, CAST(epoch(close_at) - epoch(open_at) AS BIGINT) AS seconds, CAST(hour(open_at) AS INTEGER) AS open_hour FROM cal WHERE d BETWEEN DATE '2024-06-28' AND DATE '2024-12-31'"""),
     "calendar_versions": """
 SELECT * FROM (VALUES ('US_EQUITY_CORE', '2018-2026.v1', DATE '2018-01-01', DATE '2026-12-31'), ('US_EQUITY_CORE', '2026.v1', DATE '2026-01-01', DATE '2026-12-31'), ('US_EQUITY_CORE', '2027.v1', NULL, NULL), ('UK_EQUITY_CORE', '2026.v1', NULL, NULL)) v(code, version, first, last)""",
-    "fetched_pages": "SELECT CAST((row_number() OVER (ORDER BY n_nationkey) - 1) // 10 AS INTEGER) AS page, n_nationkey, n_name FROM nation",
     "stored_lookup": _with(_EVENTS, "SELECT symbol || '|' || session_date AS bar_key, session_date, c AS close_price FROM ebars WHERE symbol = 'U7'"),
     "changed_records": _with(_BARS, "SELECT session_date, count(*) AS rows FROM revisions WHERE day(session_date) = 7 GROUP BY 1"),
     "exact_snapshots": _with(_FEATURES, """

@@ -1,4 +1,4 @@
-"""Queries that run streams over the relational tables to their end, each with the SQL of the answer at once."""
+"""Queries that run streams to their end or fetch pages on executors, each with the SQL of the answer at once."""
 
 from __future__ import annotations
 
@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.outcomes import future_sessions, outcomes_of_paths
 from ..operators.pit import first_of
+from ..sources import bars as sources
 from ..sources.bars import event_bars
+from ..sources.pages import read_service, write_service
 from ..streaming import outcomes as streams
 from .research import HORIZON, OBSERVED, core_calendar, outcome_items, read, rounded, ts
 from .research_sql import ORACLE_SQL as RESEARCH_SQL
-from .research_sql import _OUTCOMES, _with
+from .research_sql import _EVENTS, _OUTCOMES, _with
 from .session import new_path, written
 
 
@@ -72,7 +75,59 @@ def streamed_outcomes(spark, d):
     return rounded(outcomes_of_paths(asked, paths, HORIZON, matured), 9, "return_rate", "mfe_rate", "mae_rate")
 
 
-QUERIES: dict = {f.__name__: f for f in (revised_outcomes, streamed_outcomes)}
+PAGE = 5
+
+
+def _service(spark, d):
+    """A service of users' days, five a page. Some last pages name an old token, some second ones repeat a day, some third ones are of another symbol."""
+    b = sources.event_days(read(spark, d, "events"))
+    own = Window.partitionBy("symbol")
+    at = F.row_number().over(own.orderBy("session_date")) - 1
+    bar = F.struct(F.concat(F.col("session_date").cast("string"), F.lit("T12:00:00Z")).alias("t"), F.col("open_price").alias("o"), F.col("high_price").alias("h"), F.col("low_price").alias("l"), F.col("close_price").alias("c"), F.col("volume").alias("v"))
+    rows = b.select("symbol", F.floor(at / PAGE).cast("int").alias("page"), F.floor((F.count(F.lit(1)).over(own) - 1) / PAGE).cast("int").alias("last"), F.min(F.struct("session_date", bar.alias("bar"))).over(own)["bar"].alias("head"), "session_date", bar.alias("bar"))
+    pages = rows.groupBy("symbol", "page", "last").agg(F.array_sort(F.collect_list("bar")).alias("bars"), F.first("head").alias("head"))
+    n, page = F.substring("symbol", 2, 20).cast("int"), F.col("page")
+    bars = F.when((n % 11 == 0) & (page == 1), F.concat("bars", F.array("head"))).otherwise(F.col("bars")).alias("bars")
+    after = F.when(page < F.col("last"), (page + 1).cast("string")).when((n % 13 == 0) & (page > 0), "1").alias("next_page_token")
+    body = F.to_json(F.struct(F.when((n % 7 == 0) & (page == 2), "OTHER").otherwise(F.col("symbol")).alias("symbol"), bars, after))
+    path = new_path(spark, "service")
+    write_service(pages.select("symbol", F.when(page > 0, page.cast("string")).alias("token"), body.alias("body")), path)
+    return path
+
+
+def _paged(spark, d):
+    return read_service(spark, _service(spark, d)).select("*", F.lit("XNYS").alias("mic_code"), F.to_date(F.lit("2024-01-27")).alias("cutoff"), ts("2024-02-01 00:00:00").alias("observed_at"))
+
+
+def paged_bars(spark, d):
+    """Bars of the symbols whose pages can be used, fetched by token on executors, a task a symbol."""
+    return sources.parse_paged(_paged(spark, d), 12).select("symbol", "session_date", F.col("close_price").cast("double").alias("close_price"), "volume")
+
+
+def paged_problems(spark, d):
+    """How many symbols' pages are refused, and for what."""
+    return sources.read_paged(_paged(spark, d)).groupBy(F.coalesce("problem", F.lit("NONE")).alias("problem")).agg(F.count(F.lit(1)).alias("symbols"))
+
+
+def fetched_pages(spark, d):
+    """Nations as a paged service gives them, ten a page, fetched by token on an executor and parsed."""
+    place = F.row_number().over(Window.orderBy("n_nationkey")) - 1  # a service of one small table
+    rows = read(spark, d, "nation").select(F.floor(place / 10).cast("int").alias("page"), F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")).alias("r"))
+    pages = rows.groupBy("page").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    last = F.max("page").over(Window.partitionBy())
+    body = F.to_json(F.struct("rows", F.when(F.col("page") < last, (F.col("page") + 1).cast("string")).alias("next_page_token")))
+    path = new_path(spark, "service")
+    write_service(pages.select(F.lit("NATIONS").alias("symbol"), F.when(F.col("page") > 0, F.col("page").cast("string")).alias("token"), body.alias("body")), path)
+    parsed = read_service(spark, path).withColumn("j", F.from_json("body", "struct<rows:array<struct<key:int,name:string>>,next_page_token:string>"))
+    return parsed.select("page", F.explode("j.rows").alias("r")).select("page", F.col("r.key").alias("n_nationkey"), F.col("r.name").alias("n_name"))
+
+
+QUERIES: dict = {f.__name__: f for f in (revised_outcomes, streamed_outcomes, paged_bars, paged_problems, fetched_pages)}
+
+_PAGED = _EVENTS + """,
+paged AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY session_date) - 1) // 5 AS page, (count(*) OVER (PARTITION BY symbol) - 1) // 5 AS last FROM edays),
+pages AS (SELECT symbol, number, page, last, CASE WHEN number % 7 = 0 AND page = 2 THEN 'RESPONSE_SCHEMA_INVALID' WHEN bool_or(l <= 0) OR (number % 11 = 0 AND page = 1) THEN 'RESPONSE_VALUE_INVALID' END AS problem FROM paged GROUP BY symbol, number, page, last),
+answers AS (SELECT symbol, coalesce(arg_min(problem, page) FILTER (problem IS NOT NULL), CASE WHEN any_value(number) % 13 = 0 AND max(last) > 0 THEN 'PAGINATION_INVALID' END, 'NONE') AS problem FROM pages GROUP BY symbol)"""
 
 ORACLE_SQL: dict[str, str] = {
     "revised_outcomes": _with(_OUTCOMES, """
@@ -92,4 +147,8 @@ whole AS (
 )
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY t) AS INTEGER) AS revision, path_digest, round(ret, 9) AS return_rate, round(mfe, 9) AS mfe_rate, round(mae, 9) AS mae_rate, li AS latest_input_available_at FROM whole"""),
     "streamed_outcomes": RESEARCH_SQL["forward_outcomes"],
+    "paged_bars": _with(_PAGED, """
+SELECT symbol, session_date, c AS close_price, v AS volume FROM edays WHERE symbol IN (SELECT symbol FROM answers WHERE problem = 'NONE') AND session_date <= DATE '2024-01-27' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY session_date DESC) <= 12"""),
+    "paged_problems": _with(_PAGED, "SELECT problem, count(*) AS symbols FROM answers GROUP BY problem"),
+    "fetched_pages": "SELECT CAST((row_number() OVER (ORDER BY n_nationkey) - 1) // 10 AS INTEGER) AS page, n_nationkey, n_name FROM nation",
 }

@@ -134,6 +134,30 @@ def parse_pages(pages: DataFrame, keep: int | None = None, adjustment: str = "SP
     return _unfolded(read_pages(pages), PAGED_BARS, adjustment, keep, mode, f"{PAGED_FEED.upper()}.{mode}", {"adjustment": mode, "feed": PAGED_FEED, "mapping_version": PAGED_MAPPING})
 
 
+def read_paged(pages: DataFrame) -> DataFrame:
+    """pages (symbol, page, body, problem, mic_code, cutoff, observed_at) as one answer a symbol with (problem, _bars).
+
+    A symbol's pages are read in order and refused together: for the first page that ``read_pages`` finds a problem in or
+    that repeats a session of the pages before it (RESPONSE_VALUE_INVALID), else for what broke the pages off.
+    """
+    named = pages.withColumnRenamed("problem", "_fetched")
+    read = read_pages(named).withColumn("problem", F.when(F.col("_fetched").isNull(), F.col("problem")))
+    days = F.transform("_bars", lambda b: b["session_date"])
+    one = F.struct("page", "problem", F.coalesce(days, F.array().cast("array<date>")).alias("days"), "_bars")
+    made = read.groupBy("symbol", "mic_code", "cutoff", "observed_at").agg(F.array_sort(F.collect_list(one)).alias("_pages"), F.max("_fetched").alias("_fetched"))
+    start = F.struct(F.array().cast("array<date>").alias("days"), F.lit(None).cast("string").alias("problem"))
+    again = lambda seen, p: F.when(F.arrays_overlap(seen["days"], p["days"]), F.lit("RESPONSE_VALUE_INVALID"))
+    last = F.aggregate("_pages", start, lambda seen, p: F.struct(F.concat(seen["days"], p["days"]).alias("days"), F.coalesce(seen["problem"], p["problem"], again(seen, p)).alias("problem")))
+    bars = F.flatten(F.transform(F.filter("_pages", lambda p: p["_bars"].isNotNull()), lambda p: p["_bars"]))
+    return made.select("symbol", "mic_code", "cutoff", "observed_at", F.coalesce(last["problem"], "_fetched").alias("problem"), bars.alias("_bars"))
+
+
+def parse_paged(pages: DataFrame, keep: int | None = None, adjustment: str = "SPLIT_ADJUSTED") -> DataFrame:
+    """Bars of the symbols that ``read_paged`` finds no problem in: the last ``keep`` of each up to the cutoff."""
+    mode = "SPLIT" if adjustment == "SPLIT_ADJUSTED" else "RAW"
+    return _unfolded(read_paged(pages), PAGED_BARS, adjustment, keep, mode, f"{PAGED_FEED.upper()}.{mode}", {"adjustment": mode, "feed": PAGED_FEED, "mapping_version": PAGED_MAPPING})
+
+
 def fetch_pages(fetch: Callable[[str | None], tuple[str, str | None]], most_pages: int = 100) -> Iterator[str]:
     """The bodies of a paged answer. A loader's loop on the driver: one request after the other, as tokens come."""
     seen, token = set(), None
