@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, datasets
+from ..functions import payloads
+from ..operators import asof, datasets, sketches
 from ..operators.features import day_windows
 from ..sources import bars as sources
 from ..sources.store import MONTH, ingest_months
-from .research import lineage, read, revisions, rounded
-from .research_sql import _BARS, _DATASET, _EVENTS, _with
+from . import sql_functions
+from .research import AS_OF, HORIZON, OBSERVED, core_calendar, known, lineage, outcome_items, read, revisions, rounded
+from .research_sql import _BARS, _DATASET, _EVENTS, _OUTCOMES, _with
 from .session import new_path, written
 
 
@@ -67,7 +69,61 @@ def lineage_levels(spark, d):
     return datasets.audit_levels(records)
 
 
-QUERIES: dict = {f.__name__: f for f in (decision_bars, decision_sessions, decision_history, monthly_ingest, day_features, lineage_levels)}
+def sketched_months(spark, d):
+    """Distinct symbols and bars and close quantiles of every month and of all, from stored sketches, against the exact values."""
+    rows = written(known(spark, d).select(F.date_format("session_date", "yyyy-MM").alias("month"), "symbol", "bar_key", "close_price"))
+    distinct, quantiles = {"symbols": "symbol", "bars": "bar_key"}, {"closes": "close_price"}
+    path = new_path(spark, "sketches")
+    sketches.run_sketches(rows, ["month"], distinct, quantiles).write.parquet(path)
+    stored, at = spark.read.parquet(path), {"closes": (0.1, 0.5, 0.9)}
+    whole = lambda df, n: df.select(*(["month"] if "month" in df.columns else [F.lit("ALL").alias("month")]), "name", F.col("at").alias("quantile"), "within", n.alias("rows"))
+    monthly = sketches.estimates(stored, ["month"], list(distinct), at)
+    of_all = sketches.estimates(sketches.merged(stored, [], list(distinct), list(quantiles)), [], list(distinct), at)
+    judged = sketches.within_bound(rows, monthly, ["month"], distinct, quantiles).join(stored.select("month", "rows"), "month")
+    total = F.lit(stored.agg(F.sum("rows")).first()[0])
+    return whole(judged, F.col("rows")).unionByName(whole(sketches.within_bound(rows, of_all, [], distinct, quantiles), total))
+
+
+EVENT_SHAPE = {"id": "BIGINT", "type": "STRING", "value": "DECIMAL|DOUBLE|BIGINT", "props": {"k": "BIGINT"}, "tags": [{"n": "BIGINT"}], "note?": "STRING"}
+
+
+def event_bodies(spark, d):
+    """Events as JSON texts; some have members that were not agreed, some lack one, some have one of another kind, some are no JSON."""
+    e = read(spark, d, "events")
+    k = F.col("event_id")
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    parts = [
+        F.concat(F.lit('"id":'), k), F.when(k % 10 != 4, F.concat(F.lit('"type":'), text("event_type"))), F.concat(F.lit('"value":'), F.when(k % 10 == 5, text(F.lit("1.5"))).when(k % 10 == 6, "null").otherwise("2.25")),
+        F.concat(F.lit('"props":'), F.when(k % 7 == 0, F.lit('{"kk":1}')).when(k % 11 == 0, "[]").otherwise(F.col("props"))), F.concat(F.lit('"tags":'), F.when(k % 13 == 0, '[{"n":1},{"m":2},{"m":3}]').otherwise('[{"n":1}]')),
+        F.when(k % 10 == 3, F.lit('"extra":true')), F.when(k % 10 == 8, F.lit('"note":"x"')),
+    ]
+    body = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.when(k % 50 == 0, "").otherwise("}"))
+    return e.select("event_id", body.alias("body"))
+
+
+def payload_drift(spark, d):
+    """What in the events' bodies is not as agreed, by member."""
+    return payloads.drift_report(event_bodies(spark, d), EVENT_SHAPE)
+
+
+def _registered(spark, d):
+    return sql_functions.register(spark, revisions(spark, d), outcome_items(spark, d), core_calendar(spark), "research_")
+
+
+def sql_known_bars(spark, d):
+    """Known bars of the last sessions, asked for in SQL."""
+    _registered(spark, d)
+    return spark.sql(f"SELECT symbol, session_date, bar_key, position, close_price FROM research_last_sessions(TIMESTAMP '{AS_OF}', 5)")
+
+
+def sql_outcomes(spark, d):
+    """Outcomes of two horizons, asked for in SQL over the event bars."""
+    sql_functions.register(spark, sources.event_bars(read(spark, d, "events")), outcome_items(spark, d), core_calendar(spark), "events_")
+    made = spark.sql(" UNION ALL ".join(f"SELECT {h} AS horizon, item_id, terminal_date, return_rate FROM events_outcomes_of_horizon(TIMESTAMP '{OBSERVED}', {h}, 900)" for h in (1, HORIZON)))
+    return rounded(made, 9, "return_rate")
+
+
+QUERIES: dict = {f.__name__: f for f in (decision_bars, decision_sessions, decision_history, monthly_ingest, day_features, lineage_levels, sketched_months, payload_drift, sql_known_bars, sql_outcomes)}
 
 _ASKED = _BARS + """,
 asked AS (
@@ -116,4 +172,35 @@ SELECT symbol, session_date, CAST(date_diff('day', lag(session_date) OVER (PARTI
 , leveled AS (SELECT *, CAST(source_rank % 3 + 1 AS INTEGER) AS horizon FROM reasoned)
 {_at_level("PROVIDER", "provider_code")} UNION ALL {_at_level("SESSION", "source_session_date")} UNION ALL {_at_level("HORIZON", "horizon")}
 UNION ALL {_at_level("PROVIDER_SESSION", "provider_code", "source_session_date")} UNION ALL {_at_level("TOTAL")}"""),
+    "sketched_months": _with(_BARS, """
+, m AS (SELECT strftime(session_date, '%Y-%m') AS month, count(*) AS rows FROM known GROUP BY 1 UNION ALL SELECT 'ALL', count(*) FROM known)
+SELECT month, name, CAST(q AS DOUBLE) AS quantile, true AS within, rows FROM m, (VALUES ('symbols', NULL), ('bars', NULL), ('closes', 0.1), ('closes', 0.5), ('closes', 0.9)) n(name, q)"""),
+    "payload_drift": """
+WITH parts AS (
+  SELECT event_id AS k, '{' || concat_ws(',', '"id":' || event_id, CASE WHEN event_id % 10 <> 4 THEN '"type":"' || event_type || '"' END, '"value":' || CASE event_id % 10 WHEN 5 THEN '"1.5"' WHEN 6 THEN 'null' ELSE '2.25' END,
+    '"props":' || CASE WHEN event_id % 7 = 0 THEN '{"kk":1}' WHEN event_id % 11 = 0 THEN '[]' ELSE props END, '"tags":' || CASE WHEN event_id % 13 = 0 THEN '[{"n":1},{"m":2},{"m":3}]' ELSE '[{"n":1}]' END,
+    CASE WHEN event_id % 10 = 3 THEN '"extra":true' END, CASE WHEN event_id % 10 = 8 THEN '"note":"x"' END) || CASE WHEN event_id % 50 = 0 THEN '' ELSE '}' END AS body FROM events
+),
+valid AS (SELECT k, CAST(body AS JSON) AS j FROM parts WHERE json_valid(body)),
+objects AS (
+  SELECT k, '$' AS path, j, ['id', 'type', 'value', 'props', 'tags'] AS must, ['note'] AS may FROM valid
+  UNION ALL SELECT k, '$.props', j->'props', ['k'], [] FROM valid WHERE json_type(j->'props') = 'OBJECT'
+  UNION ALL SELECT k, '$.tags[]', unnest(CAST(j->'tags' AS JSON[])), ['n'], [] FROM valid
+),
+members AS (SELECT k, path, j, must, may, unnest(json_keys(j)) AS name FROM objects),
+names AS (SELECT *, CASE json_type(j->name) WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'VARCHAR' THEN 'STRING' WHEN 'NULL' THEN 'VOID' WHEN 'DOUBLE' THEN 'DECIMAL' ELSE json_type(j->name) END AS kind FROM members),
+found AS (
+  SELECT k, '$' AS path, 'NOT_JSON' AS finding, NULL AS kind FROM parts WHERE NOT json_valid(body)
+  UNION ALL SELECT k, path || '.' || name, 'UNKNOWN_MEMBER', kind FROM names WHERE NOT list_contains(must || may, name)
+  UNION ALL SELECT k, path || '.' || name, 'MISSING_MEMBER', NULL FROM (SELECT k, path, j, unnest(must) AS name FROM objects) WHERE NOT list_contains(json_keys(j), name)
+  UNION ALL SELECT k, path || '.' || name, 'WRONG_KIND', kind FROM names
+  WHERE (name, kind) NOT IN (('id', 'BIGINT'), ('type', 'STRING'), ('value', 'DECIMAL'), ('props', 'OBJECT'), ('tags', 'ARRAY'), ('note', 'STRING'), ('k', 'BIGINT'), ('n', 'BIGINT')) AND list_contains(must || may, name)
+)
+SELECT path, finding, kind, count(DISTINCT k) AS bodies, count(*) AS places FROM found GROUP BY path, finding, kind""",
+    "sql_known_bars": _with(_BARS, """
+SELECT symbol, session_date, bar_key, CAST(row_number() OVER (PARTITION BY symbol ORDER BY session_date) AS INTEGER) AS position, c AS close_price FROM (SELECT * FROM known QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY session_date DESC) <= 5)"""),
+    "sql_outcomes": _with(_OUTCOMES, """
+SELECT 3 AS horizon, item_id, terminal_date, round(return_rate, 9) AS return_rate FROM created
+UNION ALL SELECT 1, p.item_id, t.d, round(b.c / p.reference_close - 1, 9) FROM placed p JOIN cal t ON t.seq = p.seq + 1 JOIN ebars b ON b.symbol = p.symbol AND b.session_date = t.d
+WHERE eligible AND chain_valid AND TIMESTAMP '2024-01-25 22:00:00' >= t.close_at + INTERVAL 15 MINUTE AND b.session_date + INTERVAL 23 HOUR <= TIMESTAMP '2024-01-25 22:00:00'"""),
 }
