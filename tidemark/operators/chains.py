@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scoring import snapshot_problem
+
 
 @dataclass(frozen=True)
 class Hop:
@@ -20,20 +22,24 @@ class Hop:
     missing: str
 
 
-def followed(rows: DataFrame, hops: list[Hop], rules: Mapping[str, Column]) -> DataFrame:
-    """rows with the columns of each hop (prefix_column) and (problem): the first hop without a row, else the first rule that fails.
+def _failed(problem: Column, rules: Mapping[str, Column]) -> Column:
+    """problem, else the first rule that does not hold; one that is null does not."""
+    for name, holds in rules.items():
+        problem = F.coalesce(problem, F.when(~F.coalesce(holds, F.lit(False)), name))
+    return problem
+
+
+def followed(rows: DataFrame, hops: list[Hop], rules: Mapping[str, Column], before: Mapping[str, Column] | None = None) -> DataFrame:
+    """rows with the columns of each hop (prefix_column) and (problem): the first rule of ``before`` that fails, else the first hop without a row, else the first rule that fails.
 
     Keys are unique in their tables, so each row stays one row. A rule that is null fails.
     """
-    made, missing = rows, F.lit(None).cast("string")
+    made, missing = rows, _failed(F.lit(None).cast("string"), before or {})
     for hop in hops:
         theirs = hop.table.select(*(F.col(c).alias(f"{hop.prefix}_{c}") for c in hop.table.columns), F.lit(True).alias(f"_{hop.prefix}"))
         made = made.join(theirs, F.col(hop.of) == F.col(f"{hop.prefix}_{hop.key}"), "left")
         missing = F.coalesce(missing, F.when(F.col(f"_{hop.prefix}").isNull(), hop.missing))
-    problem = missing
-    for name, holds in rules.items():
-        problem = F.coalesce(problem, F.when(~F.coalesce(holds, F.lit(False)), name))
-    return made.withColumn("problem", problem).drop(*(f"_{hop.prefix}" for hop in hops))
+    return made.withColumn("problem", _failed(missing, rules)).drop(*(f"_{hop.prefix}" for hop in hops))
 
 
 def _entry_hops(intents: DataFrame, decisions: DataFrame, intent_of: str) -> list[Hop]:
@@ -62,23 +68,32 @@ def projection_sources(fills: DataFrame, orders: DataFrame, intents: DataFrame,
 
 
 def fill_sources(orders: DataFrame, intents: DataFrame, decisions: DataFrame, candidates: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """orders (order_id, intent_id, status, accepted_at) with (problem): whether a next fill can be made from their snapshots."""
+    """orders (order_id, intent_id, broker_code, status, accepted_at) with (problem): whether a next fill can be made from their snapshots.
+
+    The order itself comes first, its broker and status; then what it came from, the snapshot's symbol, the shape of what
+    was asked for, and its acceptance. intents: (intent_id, decision_id, symbol, currency, side, order_type, limit_price,
+    time_in_force, requested_quantity).
+    """
     c = F.col
+    shape = (
+        (c("intent_currency") == "USD") & (c("intent_side") == "BUY") & (c("intent_order_type") == "MARKET") & c("intent_limit_price").isNull() & (c("intent_time_in_force") == "DAY") & (c("intent_requested_quantity") > 0)
+    )
     return followed(orders, [*_entry_hops(intents, decisions, "intent_id"), *_market_hops(candidates, snapshots)], {
-        "symbol_mismatch": c("intent_symbol") == c("snapshot_symbol"), "acceptance_missing": c("accepted_at").isNotNull(), "order_not_fillable": c("status").isin("ACCEPTED", "PARTIALLY_FILLED"),
-    })
+        "symbol_mismatch": c("intent_symbol") == c("snapshot_symbol"), "accepted_request_shape_mismatch": shape, "acceptance_missing": c("accepted_at").isNotNull(),
+    }, {"unsupported_broker": c("broker_code") == "INTERNAL_PAPER", "order_not_fillable": c("status").isin("ACCEPTED", "PARTIALLY_FILLED")})
 
 
 #: How old a snapshot may be when an exit is asked for, and how far ahead of the clock (fixed values).
 OLDEST, AHEAD = "interval 5 minutes", "interval 30 seconds"
 
 
-def exit_sources(asked: DataFrame, positions: DataFrame, events: DataFrame, fills: DataFrame, orders: DataFrame, intents: DataFrame, decisions: DataFrame, snapshots: DataFrame, currency: str = "USD", strategies: tuple[str, ...] = ()) -> DataFrame:
+def exit_sources(asked: DataFrame, positions: DataFrame, events: DataFrame, fills: DataFrame, orders: DataFrame, intents: DataFrame, decisions: DataFrame, snapshots: DataFrame, currency: str = "USD", strategies: Mapping[str, str] | None = None) -> DataFrame:
     """asked (position_id, snapshot_id, asked_at) with (problem): the event of a position's version, back to its entry decision.
 
-    positions: (position_id, strategy_id, symbol, currency, status, quantity, average_cost, version, updated_at,
-    closed_at); events: (position_id, sequence_no, fill_id, event_type, quantity_after, average_cost_after,
-    occurred_at); fills: (fill_id, order_id, executed_at); decisions: (decision_id, strategy_id, action).
+    positions: (position_id, strategy_id, symbol, currency, status, quantity, average_cost, realized_pnl, version,
+    updated_at, closed_at); events: (position_id, sequence_no, fill_id, event_type, quantity_after, average_cost_after,
+    realized_pnl_after, occurred_at); fills: (fill_id, order_id, executed_at); decisions: (decision_id, strategy_id,
+    strategy_version, action). ``strategies`` names the version of each strategy that has a policy for exits.
     """
     c = F.col
     keyed = events.withColumn("key", F.struct("position_id", F.col("sequence_no").cast("long")))
@@ -89,10 +104,13 @@ def exit_sources(asked: DataFrame, positions: DataFrame, events: DataFrame, fill
         Hop(keyed, "event", "key", "_event_key", "position_event_missing"), Hop(fills, "fill", "fill_id", "event_fill_id", "paper_fill_missing"), Hop(orders, "order", "order_id", "fill_order_id", "paper_order_missing"),
         Hop(intents, "intent", "intent_id", "order_intent_id", "trade_intent_missing"), Hop(decisions, "decision", "decision_id", "intent_decision_id", "entry_decision_missing"),
     ]
+    known = F.lit(strategies is None)
+    for strategy, version in (strategies or {}).items():
+        known = known | (c("decision_strategy_id") == strategy) & (c("decision_strategy_version") == version)
     rules = {
-        "unsupported_strategy_version": c("decision_strategy_id").isin(*strategies) if strategies else F.lit(True),
+        "unsupported_strategy_version": known,
         "position_not_open": (c("position_status") == "OPEN") & (c("position_quantity") > 0) & c("position_closed_at").isNull() & (c("position_version") > 0),
-        "position_event_mismatch": (c("event_quantity_after") == c("position_quantity")) & (c("event_average_cost_after") == c("position_average_cost")) & (c("event_occurred_at") <= c("position_updated_at")) & c("event_event_type").isin("OPENED", "INCREASED"),
+        "position_event_mismatch": (c("event_quantity_after") == c("position_quantity")) & (c("event_average_cost_after") == c("position_average_cost")) & (c("event_realized_pnl_after") == c("position_realized_pnl")) & (c("event_occurred_at") <= c("position_updated_at")) & c("event_event_type").isin("OPENED", "INCREASED"),
         "source_identity_mismatch": c("event_occurred_at") == c("fill_executed_at"),
         "strategy_source_mismatch": (c("decision_action") == "ENTER_LONG") & (c("decision_strategy_id") == c("position_strategy_id")) & (c("intent_symbol") == c("position_symbol")) & (c("intent_currency") == c("position_currency")),
         "unsupported_currency": c("position_currency") == currency, "symbol_mismatch": c("snapshot_symbol") == c("position_symbol"),
@@ -153,6 +171,46 @@ def with_chain(items: DataFrame, pipeline_items: DataFrame, snapshots: DataFrame
     return made.withColumn("chain_valid", same & F.coalesce(c("reference_close") > 0, F.lit(False))).drop(*(x for x in made.columns if x.startswith(("_p_", "_s_"))))
 
 
+#: What a pipeline run has to be for outcomes to be measured on it (fixed values).
+OUTCOME_PIPELINE = {
+    "pipeline_code": "US_EQUITY_DAILY_FEATURE_BATCH", "pipeline_version": "v1", "feature_set_code": "US_EQUITY_DAILY_TECHNICAL", "feature_set_version": "v1", "provider_code": "TWELVE_DATA_TIME_SERIES",
+    "calendar_code": "US_EQUITY_CORE", "calendar_version": "2026.v1", "adjustment_basis": "SPLIT_ADJUSTED",
+}
+
+
+def outcome_source_chain(items: DataFrame, runs: DataFrame, pipelines: DataFrame, pipeline_items: DataFrame, snapshots: DataFrame, identity: Mapping[str, str] = OUTCOME_PIPELINE) -> DataFrame:
+    """items with (problem, reference_close): whether all records that an outcome is measured on belong together, and the close that it is measured from.
+
+    items: (scoring_run_id, pipeline_run_id, pipeline_item_id, feature_snapshot_id, symbol, mic_code, scoring_outcome,
+    source_quality_status); runs: (scoring_run_id, pipeline_run_id); pipelines: (pipeline_run_id, the columns of
+    ``identity``, horizon, as_of, completed_session_date); pipeline_items: (pipeline_item_id, pipeline_run_id, outcome,
+    feature_quality_status, feature_snapshot_id, symbol, mic_code, completed_session_date); snapshots:
+    (feature_snapshot_id, symbol, horizon, as_of and what ``scoring.snapshot_problem`` reads). Items outside SCORED_READY
+    and SCORED_DEGRADED have no chain. The first link or equality that does not hold is named; a null never agrees.
+    """
+    c = F.col
+    hops = [
+        Hop(pipelines, "pipeline", "pipeline_run_id", "pipeline_run_id", "pipeline_run_missing"), Hop(snapshots, "snapshot", "feature_snapshot_id", "feature_snapshot_id", "feature_snapshot_missing"),
+        Hop(runs, "run", "scoring_run_id", "scoring_run_id", "scoring_run_missing"), Hop(pipeline_items, "item", "pipeline_item_id", "pipeline_item_id", "pipeline_item_missing"),
+    ]
+    same = F.lit(True)
+    for column, value in identity.items():
+        same = same & (c(f"pipeline_{column}") == value)
+    expected = F.when(c("scoring_outcome") == "SCORED_READY", "READY").when(c("scoring_outcome") == "SCORED_DEGRADED", "DEGRADED")
+    reference = F.try_element_at(c("snapshot_feature_values"), F.lit("last_close")).try_cast("decimal(38,18)")
+    rules = {
+        "pipeline_identity_mismatch": same, "completed_session_missing": c("pipeline_completed_session_date").isNotNull(), "run_link_mismatch": c("run_pipeline_run_id") == c("pipeline_pipeline_run_id"),
+        "pipeline_item_of_another_run": c("item_pipeline_run_id") == c("pipeline_pipeline_run_id"), "item_outcome_mismatch": c("item_outcome") == expected, "item_quality_mismatch": c("item_feature_quality_status") == expected,
+        "item_snapshot_mismatch": c("item_feature_snapshot_id") == c("feature_snapshot_id"), "item_symbol_mismatch": c("item_symbol") == c("symbol"), "item_mic_mismatch": c("item_mic_code") == c("mic_code"),
+        "source_quality_mismatch": c("item_feature_quality_status") == c("source_quality_status"), "item_session_missing": c("item_completed_session_date").isNotNull(),
+        "feature_set_mismatch": (c("snapshot_feature_set_code") == c("pipeline_feature_set_code")) & (c("snapshot_feature_set_version") == c("pipeline_feature_set_version")), "horizon_mismatch": c("snapshot_horizon") == c("pipeline_horizon"),
+        "as_of_mismatch": c("snapshot_as_of") == c("pipeline_as_of"), "snapshot_symbol_mismatch": c("snapshot_symbol") == c("symbol"), "snapshot_quality_mismatch": c("snapshot_quality_status") == c("source_quality_status"),
+        "completed_session_mismatch": c("item_completed_session_date") == c("pipeline_completed_session_date"), "snapshot_contract_invalid": snapshot_problem(lambda x: c(f"snapshot_{x}")).isNull(), "reference_close_invalid": reference > 0,
+    }
+    made = followed(items, hops, rules)
+    return made.select(*items.columns, "problem", F.when(c("problem").isNull(), reference).alias("reference_close"))
+
+
 #: Forms of the keys and digests of dataset sources, and the exchanges they may come from (fixed values).
 OUTCOME_KEY, DIGEST, MICS = "^daily-feature-outcome:v1:[0-9a-f]{64}$", "^[0-9a-f]{64}$", ("XNGS", "XNGM", "XNCM", "XNYS", "XASE")
 
@@ -178,18 +236,21 @@ def source_violations(sources: DataFrame, as_of: Column, horizon: int, policy: M
     return followed(sources, [], rules)
 
 
-def input_violations(bars: DataFrame, runs: str, as_of: Column) -> DataFrame:
-    """(runs, problem) for each run of bars that features are to be made of; problem is the first rule that its bars break, or null.
+def input_violations(bars: DataFrame, asked: DataFrame, as_of: Column, run: str = "run") -> DataFrame:
+    """(run, problem) for each run of ``asked`` (run, symbol, source_code): the first rule that its bars break, or null.
 
-    A run has one symbol, one source, bars in USD, adjusted for splits, known at ``as_of``, and one bar a session.
+    Bars are of the symbol and the source that were asked for, in USD, adjusted for splits, known at ``as_of``, and one a
+    session. A run without bars breaks none of these.
     """
-    broken = lambda ok: F.count_if(~F.coalesce(ok, F.lit(False))) > 0
+    wanted = asked.select(run, F.col("symbol").alias("_symbol"), F.col("source_code").alias("_source"))
+    joined = wanted.join(bars.withColumn("_bar", F.lit(True)), run, "left")
+    broken = lambda ok: F.count_if(F.col("_bar") & ~F.coalesce(ok, F.lit(False))) > 0
     problem = (
-        F.when(F.countDistinct("symbol") > 1, "MIXED_SYMBOLS").when(F.countDistinct("source_code") > 1, "MIXED_SOURCES").when(broken(F.col("currency") == "USD"), "CURRENCY_NOT_USD")
+        F.when(broken(F.col("symbol") == F.col("_symbol")), "MIXED_SYMBOLS").when(broken(F.col("source_code") == F.col("_source")), "MIXED_SOURCES").when(broken(F.col("currency") == "USD"), "CURRENCY_NOT_USD")
         .when(broken(F.col("adjustment_basis") == "SPLIT_ADJUSTED"), "BASIS_NOT_SPLIT_ADJUSTED").when(broken(F.col("available_at") <= as_of), "BAR_NOT_KNOWN")
-        .when(F.countDistinct("session_date") < F.count(F.lit(1)), "DUPLICATE_SESSION")
+        .when(F.countDistinct("session_date") < F.count("_bar"), "DUPLICATE_SESSION")
     )
-    return bars.groupBy(runs).agg(problem.alias("problem"))
+    return joined.groupBy(run).agg(problem.alias("problem"))
 
 
 def answered(requests: DataFrame, stored: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -76,35 +76,64 @@ def ranked(scores: DataFrame, run: str = "run_id") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(run).orderBy(*order)))
 
 
-def scoring_outcome(item_outcome: Column, has_snapshot: Column, source_matches: Column, contract: Column, quality: Column) -> Column:
-    """What becomes of an item: the first failure that applies, or scored."""
-    return (
-        F.when(~item_outcome.isin("READY", "DEGRADED"), "SOURCE_ITEM_NOT_SCORABLE").when(~has_snapshot, "FEATURE_SNAPSHOT_MISSING")
-        .when(~source_matches, "FEATURE_SOURCE_MISMATCH").when(~quality.isin("READY", "DEGRADED"), "FEATURE_QUALITY_UNSUPPORTED")
-        .when(~contract, "FEATURE_CONTRACT_INVALID").when(quality == "READY", "SCORED_READY").otherwise("SCORED_DEGRADED")
-    )
+#: Names that the values of a snapshot have to have, and no others; reasons for which a snapshot may be degraded; the form of a number (fixed values).
+SNAPSHOT_VALUES = ("adjustment_basis", "completed_bar_count", "last_close", *PRICE_FEATURES, *VOLUME_FEATURES)
+DEGRADED_REASONS = ("VOLUME_DATA_INCOMPLETE", "VOLUME_DATA_UNUSABLE")
+NUMBER = r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?\z"
 
 
-#: Names that the values of a snapshot have to have, and no others (fixed values).
-SNAPSHOT_VALUES = ("adjustment_basis", "completed_bar_count", "last_close", *PRICE_FEATURES, *VOLUME_FEATURES)
+def snapshot_problem(get=F.col) -> Column:
+    """The first rule that a snapshot breaks, or null, from its feature_set_code, feature_set_version, quality_status, quality_reason_codes and feature_values.
+
+    Values are texts by name. The set's code and version come first, then the names, the basis, the number of bars, the
+    volumes and the reasons that go with the quality, and the form of all numbers. Volumes of a degraded one are null.
+    """
+    values, quality, reasons = get("feature_values"), get("quality_status"), get("quality_reason_codes")
+    value = lambda k: F.try_element_at(values, F.lit(k))
+    any_of = lambda tests: F.exists(F.array(*tests), lambda x: x)
+    names = F.map_keys(values)
+    whole = (F.size(names) == len(SNAPSHOT_VALUES)) & (F.size(F.array_except(F.array(*map(F.lit, SNAPSHOT_VALUES)), names)) == 0)
+    is_ = lambda x: F.coalesce(x, F.lit(False))
+    numbers = [x for x in SNAPSHOT_VALUES if x not in ("adjustment_basis", "completed_bar_count")]
+    odd = any_of([~is_(value(k).rlike(NUMBER)) & ~(F.lit(k in VOLUME_FEATURES) & value(k).isNull()) for k in numbers])
+    one_reason = (F.size(reasons) == 1) & is_(F.get(reasons, F.lit(0)).isin(*DEGRADED_REASONS))
+    ready, degraded = is_(quality == "READY"), is_(quality == "DEGRADED")
+    return (
+        F.when(~is_(get("feature_set_code") == "US_EQUITY_DAILY_TECHNICAL"), "FEATURE_SET_CODE_MISMATCH").when(~is_(get("feature_set_version") == "v1"), "FEATURE_SET_VERSION_MISMATCH")
+        .when(~is_(whole), "FEATURE_KEY_CONTRACT_INVALID").when(~is_(value("adjustment_basis") == "SPLIT_ADJUSTED"), "FEATURE_ADJUSTMENT_BASIS_INVALID")
+        .when(~is_(value("completed_bar_count") == "21"), "FEATURE_COMPLETED_BAR_COUNT_INVALID").when(ready & any_of([value(k).isNull() for k in VOLUME_FEATURES]), "FEATURE_READY_VOLUME_INCOMPLETE")
+        .when(~ready & ~(degraded & is_(one_reason)), "FEATURE_QUALITY_UNSUPPORTED").when(degraded & any_of([value(k).isNotNull() for k in VOLUME_FEATURES]), "FEATURE_DEGRADED_VOLUME_SHAPE_INVALID")
+        .when(odd, "FEATURE_NUMERIC_VALUE_INVALID")
+    )
 
 
 def prepared_items(items: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """items with (scoring_outcome): each item's snapshot, if it is there, has to be the one that the run asked for.
+    """items with (scoring_outcome, reason): each item's snapshot has to be there, to be the one that the run asked for, and to be sound.
 
     items: (feature_snapshot_id, symbol, item_outcome, feature_quality, horizon, as_of, provider_code, ...); snapshots:
-    (feature_snapshot_id, symbol, horizon, as_of, quality_status, source_codes, feature_values).
+    (feature_snapshot_id, symbol, horizon, as_of, source_codes and what ``snapshot_problem`` reads). The first failure
+    decides; a null never agrees. reason is null for what is scored.
     """
-    theirs = snapshots.select("feature_snapshot_id", *(F.col(c).alias(f"_{c}") for c in ("symbol", "horizon", "as_of", "quality_status", "source_codes", "feature_values")))
+    names = ("symbol", "horizon", "as_of", "source_codes", "feature_set_code", "feature_set_version", "quality_status", "quality_reason_codes", "feature_values")
+    theirs = snapshots.select("feature_snapshot_id", *(F.col(c).alias(f"_{c}") for c in names), F.lit(True).alias("_there"))
     made = items.join(theirs, "feature_snapshot_id", "left")
     same = [F.col("_symbol") == F.col("symbol"), F.col("_horizon") == F.col("horizon"), F.col("_as_of") == F.col("as_of"), F.col("_quality_status") == F.col("feature_quality"), F.forall("_source_codes", lambda c: c == F.col("provider_code"))]
     matches = F.lit(True)
     for x in same:
         matches = matches & F.coalesce(x, F.lit(False))
-    names = F.map_keys("_feature_values")
-    whole = (F.size(names) == len(SNAPSHOT_VALUES)) & (F.size(F.array_except(F.array(*map(F.lit, SNAPSHOT_VALUES)), names)) == 0)
-    outcome = scoring_outcome(F.col("item_outcome"), F.col("_symbol").isNotNull(), matches, F.coalesce(whole, F.lit(False)), F.coalesce("_quality_status", F.lit("")))
-    return made.withColumn("scoring_outcome", outcome).drop(*(f"_{c}" for c in ("symbol", "horizon", "as_of", "quality_status", "source_codes", "feature_values")))
+    scorable = F.coalesce(F.col("item_outcome").isin("READY", "DEGRADED"), F.lit(False))
+    problem = snapshot_problem(lambda c: F.col(f"_{c}"))
+    reason = (
+        F.when(~scorable, F.concat(F.lit("SOURCE_ITEM_"), F.coalesce("item_outcome", F.lit("UNKNOWN")))).when(F.col("_there").isNull(), "FEATURE_SNAPSHOT_MISSING")
+        .when(~matches, "FEATURE_SOURCE_MISMATCH").otherwise(problem)
+    )
+    made = made.withColumn("reason", reason)
+    reason = F.col("reason")
+    outcome = (
+        F.when(reason.isNull(), F.concat(F.lit("SCORED_"), "_quality_status")).when(~scorable, "SOURCE_ITEM_NOT_SCORABLE")
+        .when(reason.isin("FEATURE_SNAPSHOT_MISSING", "FEATURE_SOURCE_MISMATCH", "FEATURE_QUALITY_UNSUPPORTED"), reason).otherwise("FEATURE_CONTRACT_INVALID")
+    )
+    return made.withColumn("scoring_outcome", outcome).drop("_there", *(f"_{c}" for c in names))
 
 
 def run_status(items: DataFrame, run: str = "run_id") -> DataFrame:

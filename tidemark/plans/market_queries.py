@@ -10,8 +10,9 @@ from ..operators.features import day_windows
 from ..sources import bars as sources
 from ..sources.store import MONTH, ingest_months
 from . import sql_functions
-from .research import AS_OF, HORIZON, OBSERVED, core_calendar, known, lineage, outcome_items, read, revisions, rounded
+from .research import AS_OF, HORIZON, OBSERVED, core_calendar, dataset_rows, known, lineage, outcome_items, read, revisions, rounded
 from .research_sql import _BARS, _DATASET, _EVENTS, _OUTCOMES, _with
+from .research_sql import ORACLE_SQL as RESEARCH_SQL
 from .session import new_path, written
 
 
@@ -123,7 +124,25 @@ def sql_outcomes(spark, d):
     return rounded(made, 9, "return_rate")
 
 
-QUERIES: dict = {f.__name__: f for f in (decision_bars, decision_sessions, decision_history, monthly_ingest, day_features, lineage_levels, sketched_months, payload_drift, sql_known_bars, sql_outcomes)}
+def dataset_contracts(spark, d):
+    """A dataset as it was stored, with places swapped, and with labels changed: what of its contract holds, and what that leaves of its readiness."""
+    rows = written(dataset_rows(spark, d))
+    stored = datasets.content_digest(rows).first()[0]
+    o = F.col("ordinal")
+    variants = {
+        "STORED": rows, "SWAPPED": rows.withColumn("ordinal", F.when(o % 50 == 10, o + 1).when(o % 50 == 11, o - 1).otherwise(o)),
+        "RELABELED": rows.withColumn("label", F.when(o % 100 == 7, F.when(F.col("label") == "POSITIVE", "NOT_POSITIVE").otherwise("POSITIVE")).otherwise(F.col("label"))),
+    }
+    made = None
+    for name, table in variants.items():
+        valid = datasets.dataset_validity(table, stored)
+        facts = datasets.included_facts(table).select("*", F.lit(1).alias("one")).join(valid.select("*", F.lit(1).alias("one")), "one")  # one row each
+        one = datasets.readiness(facts, F.col("canonical_order_valid") & F.col("content_digest_valid")).select(F.lit(name).alias("variant"), "items", "canonical_order_valid", "content_digest_valid", "readiness")
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
+QUERIES: dict = {f.__name__: f for f in (dataset_contracts, decision_bars, decision_sessions, decision_history, monthly_ingest, day_features, lineage_levels, sketched_months, payload_drift, sql_known_bars, sql_outcomes)}
 
 _ASKED = _BARS + """,
 asked AS (
@@ -145,7 +164,23 @@ def _at_level(name: str, *columns: str) -> str:
     return f"SELECT '{name}' AS level, {picked}, {_COUNTS}" + (f" GROUP BY {', '.join(columns)}" if columns else "")
 
 
+_VARIANTS = _DATASET + """,
+stored AS (SELECT scoring_item_id, outcome_id, CAST(CAST(overall_score AS DECIMAL(20, 6)) AS VARCHAR) AS score, label, observation_mode, CAST(ordinal AS BIGINT) AS o, row_number() OVER (ORDER BY source_session_date, source_rank, symbol, outcome_id) AS place FROM dataset),
+variants AS (
+  SELECT 'STORED' AS variant, * FROM stored
+  UNION ALL SELECT 'SWAPPED', * REPLACE (CASE o % 50 WHEN 10 THEN least(o + 1, (SELECT max(x) FROM (SELECT o + 1 AS x FROM stored))) WHEN 11 THEN o - 1 ELSE o END AS o) FROM stored
+  UNION ALL SELECT 'RELABELED', * REPLACE (CASE WHEN o % 100 = 7 THEN CASE label WHEN 'POSITIVE' THEN 'NOT_POSITIVE' ELSE 'POSITIVE' END ELSE label END AS label) FROM stored
+),
+d0 AS (SELECT variant, o - 1 AS i, sha256('{"label":"' || label || '","observation_mode":"' || observation_mode || '","ordinal":' || o || ',"outcome_id":"' || outcome_id || '","overall_score":"' || score || '","scoring_item_id":"' || scoring_item_id || '"}') AS d FROM variants),
+d1 AS (SELECT variant, i // 4096 AS i, sha256(string_agg(d, '' ORDER BY i, d)) AS d FROM d0 GROUP BY variant, i // 4096), d2 AS (SELECT variant, i // 4096 AS i, sha256(string_agg(d, '' ORDER BY i, d)) AS d FROM d1 GROUP BY variant, i // 4096),
+d3 AS (SELECT variant, sha256(string_agg(d, '' ORDER BY i, d)) AS d FROM d2 GROUP BY variant),
+facts AS (SELECT variant, count(*) AS items, bool_and(o = place) AS ordered FROM variants GROUP BY variant)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "dataset_contracts": _with(_VARIANTS, f"""
+, ready AS (SELECT readiness FROM ({RESEARCH_SQL["readiness_audit"]}) r)
+SELECT variant, items, ordered AS canonical_order_valid, d = (SELECT d FROM d3 WHERE variant = 'STORED') AS content_digest_valid,
+  CASE WHEN ordered AND d = (SELECT d FROM d3 WHERE variant = 'STORED') THEN (SELECT readiness FROM ready) ELSE 'SOURCE_INELIGIBLE' END AS readiness FROM facts JOIN d3 USING (variant)"""),
     "decision_bars": _with(_ASKED, """
 SELECT request_id, asked_at, max(b.session_date) AS session_date, arg_max(b.bar_key, {'a': b.session_date, 'b': b.available_at, 'c': b.bar_key}) AS bar_key, arg_max(b.c, {'a': b.session_date, 'b': b.available_at, 'c': b.bar_key}) AS close_price
 FROM asked LEFT JOIN revisions b ON b.symbol = asked.symbol AND b.available_at <= asked_at GROUP BY request_id, asked_at"""),

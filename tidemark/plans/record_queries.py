@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import calendar as cal
 from ..functions import canonical
-from ..operators import chains, exact, filters, pit, trading
+from ..operators import chains, exact, filters, pit, scoring, trading
 from ..sources import bars as sources
 from . import tables
 from .research import HORIZON, dataset_labels, dataset_rows, outcome_items, outcome_revisions, read, revisions, scored_items, ts
@@ -54,32 +54,45 @@ def projection_sources(spark, d):
 
 
 def fill_sources(spark, d):
-    """Orders that wait for their next fill, by what keeps them from it."""
-    base, intents, decided, candidates, shots = _trade_tables(spark, d)
-    state = base.select("order_id", "intent_id", F.when(_day() == 18, "FILLED").otherwise("ACCEPTED").alias("status"), F.when(_day() != 19, F.col("accepted_at")).alias("accepted_at"))
-    return _counts(chains.fill_sources(state, intents.drop("session_date"), decided, candidates, shots), count="orders")
+    """Orders that wait for their next fill, by what keeps them from it; many have two faults."""
+    base = written(orders(spark, d).select("intent_id", "candidate_id", "symbol", "session_date", "quantity", "accepted_at").withColumns({"order_id": F.col("intent_id"), "d": _day(), "n": _number()}))
+    day, n = F.col("d"), F.col("n")
+    state = base.select(
+        "order_id", "intent_id", F.when(n % 7 == 3, "LIVE").otherwise("INTERNAL_PAPER").alias("broker_code"), F.when(~day.isin(9, 19), F.col("accepted_at")).alias("accepted_at"),
+        F.when(day == 18, "FILLED").when((day == 20) | (n % 10 == 9), "REJECTED").when(n % 5 == 0, "PARTIALLY_FILLED").otherwise("ACCEPTED").alias("status"),
+    )
+    intents = base.where(day != 9).select(
+        "intent_id", F.concat(F.lit("d"), "intent_id").alias("decision_id"), "symbol", F.when(day == 22, "EUR").otherwise("USD").alias("currency"), F.when(day == 13, "SELL").otherwise("BUY").alias("side"), F.when(day == 23, "LIMIT").otherwise("MARKET").alias("order_type"),
+        F.when(day == 24, 10.0).alias("limit_price"), F.when(day == 25, "GTC").otherwise("DAY").alias("time_in_force"), F.when(day == 26, 0).otherwise(F.col("quantity")).alias("requested_quantity"),
+    )
+    decided = base.where(day != 14).select(F.concat(F.lit("d"), "intent_id").alias("decision_id"), "candidate_id")
+    candidates = base.where(day != 15).select("candidate_id", F.concat(F.lit("s"), "candidate_id").alias("snapshot_id")).distinct()
+    shots = base.where(day != 16).select(F.concat(F.lit("s"), "candidate_id").alias("snapshot_id"), F.when((day == 17) | (day.isin(13, 22) & (n % 2 == 0)), "OTHER").otherwise(F.col("symbol")).alias("symbol")).distinct()
+    return _counts(chains.fill_sources(state, intents, decided, candidates, shots), count="orders")
 
 
 def exit_sources(spark, d):
-    """Positions whose exit is asked for, by what is wrong with the chain back to their entry."""
+    """Positions whose exit is asked for, by what is wrong with the chain back to their entry; many have two faults."""
     f = written(fills(spark, d).select("order_id", "intent_id", "symbol", "filter_set", "session_date", "fill_sequence", "quantity", "price", "executed_at", "execution_key"))
     run = written(trading.running_positions(f, ["filter_set", "symbol"], "session_date", "fill_sequence").withColumn("position_id", F.concat_ws("|", "filter_set", "symbol")))
     n = _number()
-    last = run.groupBy("position_id", "filter_set", "symbol").agg(
+    last = written(run.groupBy("position_id", "filter_set", "symbol").agg(
         F.max("position_version").alias("version"), F.max_by("position_quantity", "position_version").alias("quantity"), F.max_by("average_cost", "position_version").alias("average_cost"), F.max_by("executed_at", "position_version").alias("updated_at")
-    )
-    positions = last.select("position_id", F.col("filter_set").alias("strategy_id"), "symbol", F.lit("USD").alias("currency"), F.when(n % 13 == 0, "CLOSED").otherwise("OPEN").alias("status"), "quantity", "average_cost", "version", "updated_at", F.lit(None).cast("timestamp").alias("closed_at"))
+    ))
+    currency = F.when(n % 31 == 9, "EUR").otherwise("USD").alias("currency")
+    positions = last.where(n % 31 != 11).select("position_id", F.col("filter_set").alias("strategy_id"), "symbol", currency, F.when(n % 13 == 0, "CLOSED").otherwise("OPEN").alias("status"), "quantity", "average_cost", F.lit(0.0).alias("realized_pnl"), "version", "updated_at", F.lit(None).cast("timestamp").alias("closed_at"))
     events = run.join(last.select("position_id", F.col("version").alias("position_version"), F.lit(True).alias("is_last")), ["position_id", "position_version"], "left").where(~((n % 7 == 0) & F.coalesce("is_last", F.lit(False)))).select(
-        "position_id", F.col("position_version").alias("sequence_no"), F.col("execution_key").alias("fill_id"), F.lit("INCREASED").alias("event_type"), (F.col("position_quantity") + F.when(n % 11 == 0, 1).otherwise(0)).alias("quantity_after"), F.col("average_cost").alias("average_cost_after"), F.col("executed_at").alias("occurred_at"),
-    )
-    made = f.select(F.col("execution_key").alias("fill_id"), "order_id", "executed_at")
-    ordered = f.select("order_id", "intent_id").distinct()
-    intents = f.select("intent_id", F.concat(F.lit("d"), "intent_id").alias("decision_id"), "symbol", F.lit("USD").alias("currency")).distinct()
-    decided = f.select(F.concat(F.lit("d"), "intent_id").alias("decision_id"), F.col("filter_set").alias("strategy_id"), F.lit("ENTER_LONG").alias("action")).distinct()
-    seen = F.when(n % 19 == 0, F.col("updated_at") - F.expr("interval 1 hour")).otherwise(F.col("updated_at") + F.expr("interval 1 minute"))
-    shots = positions.select(F.col("position_id").alias("snapshot_id"), F.when(n % 17 == 0, "OTHER").otherwise(F.col("symbol")).alias("symbol"), seen.alias("observed_at"))
-    asked = positions.select("position_id", F.when(n % 29 == 0, "lost").otherwise(F.col("position_id")).alias("snapshot_id"), (F.col("updated_at") + F.when(n % 23 == 0, F.expr("interval 2 hours")).otherwise(F.expr("interval 2 minutes"))).alias("asked_at"))
-    return _counts(chains.exit_sources(asked, positions, events, made, ordered, intents, decided, shots, strategies=tuple(filters.FILTER_SETS)), count="positions")
+        "position_id", F.col("position_version").alias("sequence_no"), F.col("execution_key").alias("fill_id"), F.lit("INCREASED").alias("event_type"), (F.col("position_quantity") + F.when(n % 11 == 0, 1).otherwise(0)).alias("quantity_after"), F.col("average_cost").alias("average_cost_after"),
+        F.when(n % 31 == 6, 1.0).otherwise(0.0).alias("realized_pnl_after"), F.col("executed_at").alias("occurred_at"),
+    )
+    made = f.where(n % 31 != 1).select(F.col("execution_key").alias("fill_id"), "order_id", F.when(n % 31 == 7, F.col("executed_at") + F.expr("interval 1 minute")).otherwise(F.col("executed_at")).alias("executed_at"))
+    ordered = f.where(n % 31 != 2).select("order_id", "intent_id").distinct()
+    intents = f.where(n % 31 != 3).select("intent_id", F.concat(F.lit("d"), "intent_id").alias("decision_id"), "symbol", currency).distinct()
+    decided = f.where(n % 31 != 4).select(F.concat(F.lit("d"), "intent_id").alias("decision_id"), F.col("filter_set").alias("strategy_id"), F.when(n % 31 == 5, "v9").otherwise("v1").alias("strategy_version"), F.when(n % 31 == 8, "OBSERVE").otherwise("ENTER_LONG").alias("action")).distinct()
+    asked = last.select("position_id", F.when(n % 29 == 0, "lost").otherwise(F.col("position_id")).alias("snapshot_id"), (F.col("updated_at") + F.when(n % 23 == 0, F.expr("interval 2 hours")).otherwise(F.expr("interval 2 minutes"))).alias("asked_at"))
+    seen = F.col("updated_at") + F.when(n % 19 == 0, F.expr("interval -1 hour")).when(n % 31 == 10, F.expr("interval 3 hours")).otherwise(F.expr("interval 1 minute"))
+    shots = last.select(F.col("position_id").alias("snapshot_id"), F.when(n % 17 == 0, "OTHER").otherwise(F.col("symbol")).alias("symbol"), seen.alias("observed_at"))
+    return _counts(chains.exit_sources(asked, positions, events, made, ordered, intents, decided, shots, strategies=dict.fromkeys(filters.FILTER_SETS, "v1")), count="positions")
 
 
 def decision_sources(spark, d):
@@ -123,16 +136,43 @@ def lineage_records(spark, d):
     return made.groupBy("scoring_run_id").agg(F.count(F.lit(1)).alias("items"), F.count("snapshot_quality").alias("snapshots"))
 
 
+def _own_values():
+    """The values of a sound snapshot, made from the reference close and the quality of an item."""
+    n = F.col("number")
+    given = {c: F.lit("0.5") for c in scoring.SNAPSHOT_VALUES} | {c: F.when(F.col("quality") == "READY", "1.5") for c in scoring.VOLUME_FEATURES}
+    close = F.when(n % 59 == 0, "0").otherwise(F.col("reference_close").cast("decimal(20,2)").cast("string"))
+    given |= {"adjustment_basis": F.lit("SPLIT_ADJUSTED"), "completed_bar_count": F.when(n % 53 == 0, "20").otherwise("21"), "last_close": close}
+    return F.create_map(*(x for c, v in given.items() for x in (F.lit(c), v)))
+
+
 def outcome_chain(spark, d):
-    """Whether items agree with their pipeline item and snapshot, by what was changed in one of them."""
-    items = outcome_items(spark, d).select(
-        F.concat(F.lit("p"), "item_id").alias("pipeline_item_id"), F.concat(F.lit("s"), "item_id").alias("feature_snapshot_id"), "symbol", F.lit("READY").alias("quality"), F.lit(HORIZON).alias("horizon"), "session_date", "reference_close", "number"
-    )
+    """Scored items by the first link or equality of their chain that does not hold; many have two faults."""
+    items = outcome_items(spark, d).select(F.col("item_id").alias("key"), "symbol", "session_date", "reference_close", "number", F.when(F.col("volume") >= 2, "READY").otherwise("DEGRADED").alias("quality"))
     items = written(items)
-    p = items.where("number % 5 <> 0").select("pipeline_item_id", F.when(F.col("number") % 7 == 0, "x").otherwise(F.col("feature_snapshot_id")).alias("feature_snapshot_id"), "symbol", F.when(F.col("number") % 11 == 0, F.date_add("session_date", 1)).otherwise(F.col("session_date")).alias("session_date"))
-    s = items.where("number % 13 <> 0").select("feature_snapshot_id", "symbol", F.when(F.col("number") % 17 == 0, "DEGRADED").otherwise("READY").alias("quality"), F.when(F.col("number") % 19 == 0, 1).otherwise(HORIZON).alias("horizon"))
-    made = chains.with_chain(items, p, s)
-    return made.groupBy("session_date", "chain_valid").agg(F.count(F.lit(1)).alias("items"))
+    n, run = F.col("number"), F.col("session_date").cast("string")
+    bent = lambda prime, wrong, right: F.when(n % prime == 0, F.lit(wrong)).otherwise(right)
+    scored = items.select(
+        run.alias("scoring_run_id"), F.concat(F.lit("r"), F.when(n % 3 == 0, "B").otherwise("A"), run).alias("pipeline_run_id"), F.concat(F.lit("p"), "key").alias("pipeline_item_id"), F.concat(F.lit("s"), "key").alias("feature_snapshot_id"), "symbol", F.lit("XNYS").alias("mic_code"),
+        F.concat(F.lit("SCORED_"), "quality").alias("scoring_outcome"), "session_date", bent(47, "OTHER", F.col("quality")).alias("source_quality_status"),
+    )
+    days = written(items.select("session_date").distinct())
+    day = _day()
+    runs = days.where(~day.isin(4, 5)).select(run.alias("scoring_run_id"), F.concat(F.lit("r"), F.when(day % 2 == 0, "A").otherwise("B"), run).alias("pipeline_run_id"))
+    pipelines = days.select("session_date", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("feed")).where(~((day == 6) & (F.col("feed") == "B")))
+    pipelines = pipelines.select(
+        F.concat(F.lit("r"), "feed", run).alias("pipeline_run_id"), *(F.when((day == 7 + k) & (F.col("feed") == "A"), "OTHER").otherwise(v).alias(c) for k, (c, v) in enumerate(chains.OUTCOME_PIPELINE.items())), F.when(day == 15, 5).otherwise(HORIZON).alias("horizon"), run.alias("as_of"),
+        F.when(day != 16, F.when(day == 17, F.date_sub("session_date", 1)).otherwise(F.col("session_date"))).alias("completed_session_date"),
+    )
+    members = items.where("number % 7 <> 0").select(
+        F.concat(F.lit("p"), "key").alias("pipeline_item_id"), F.concat(F.lit("r"), F.when((n % 3 == 0) & (n % 5 != 0), "B").otherwise("A"), run).alias("pipeline_run_id"), bent(11, "DATA_INSUFFICIENT", F.col("quality")).alias("outcome"), bent(13, "OTHER", F.col("quality")).alias("feature_quality_status"),
+        bent(17, "another", F.concat(F.lit("s"), "key")).alias("feature_snapshot_id"), bent(19, "OTHER", F.col("symbol")).alias("symbol"), bent(23, "XNGS", F.lit("XNYS")).alias("mic_code"), F.when(n % 29 != 0, F.col("session_date")).alias("completed_session_date"),
+    )
+    shots = items.where("number % 31 <> 0").select(
+        F.concat(F.lit("s"), "key").alias("feature_snapshot_id"), bent(37, "OTHER", F.col("symbol")).alias("symbol"), F.when(n % 41 == 0, 1).otherwise(HORIZON).alias("horizon"), bent(43, "another", run).alias("as_of"), bent(61, "UNKNOWN", F.col("quality")).alias("quality_status"),
+        F.when(F.col("quality") == "DEGRADED", F.array(F.lit("VOLUME_DATA_INCOMPLETE"))).otherwise(F.array().cast("array<string>")).alias("quality_reason_codes"), F.lit("US_EQUITY_DAILY_TECHNICAL").alias("feature_set_code"), bent(67, "v2", F.lit("v1")).alias("feature_set_version"), _own_values().alias("feature_values"),
+    )
+    made = chains.outcome_source_chain(scored, runs, pipelines, members, shots)
+    return made.groupBy("session_date", F.coalesce("problem", F.lit("NONE")).alias("problem")).agg(F.count(F.lit(1)).alias("items"), F.round(F.sum("reference_close").cast("double"), 2).alias("reference"))
 
 
 def source_violations(spark, d):
@@ -151,15 +191,17 @@ def source_violations(spark, d):
 
 
 def input_violations(spark, d):
-    """Runs of bars that features may not be made of, by the first reason; some bars were changed."""
+    """Runs of bars that features may not be made of, by the first reason; some bars were changed, many runs have two faults."""
     b = sources.event_bars(read(spark, d, "events")).withColumn("number", _number()).withColumn("day", _day())
+    n, day = F.col("number"), F.col("day")
+    at = lambda prime, days, wrong, right: F.when((n % prime == 0) & day.isin(*days), wrong).otherwise(right)
     bent = b.select(
-        F.col("symbol").alias("run"), "day", F.when((F.col("number") % 7 == 0) & (F.col("day") == 9), "OTHER").otherwise(F.col("symbol")).alias("symbol"), F.when((F.col("number") % 11 == 0) & (F.col("day") == 10), "SECOND").otherwise(F.col("source_code")).alias("source_code"),
-        F.when((F.col("number") % 13 == 0) & (F.col("day") == 11), "EUR").otherwise("USD").alias("currency"), F.when((F.col("number") % 17 == 0) & (F.col("day") == 12), "RAW").otherwise(F.col("adjustment_basis")).alias("adjustment_basis"), "available_at", "session_date",
+        F.col("symbol").alias("run"), F.when(n % 7 == 0, "OTHER").otherwise(F.col("symbol")).alias("symbol"), at(11, (10, 20), F.lit("SECOND"), F.col("source_code")).alias("source_code"), at(13, (11, 21), F.lit("EUR"), F.lit("USD")).alias("currency"),
+        at(17, (12, 22), F.lit("RAW"), F.col("adjustment_basis")).alias("adjustment_basis"), at(5, (3, 8), F.col("available_at") + F.expr("interval 60 days"), F.col("available_at")).alias("available_at"), "session_date", "day",
     )
-    bent = bent.unionByName(bent.where("day = 13 and run like '%4'"))
-    found = chains.input_violations(bent.where("day <= 28 or run like '%9'"), "run", ts("2024-01-29 00:00:00"))
-    return _counts(found, count="runs")
+    bent = bent.unionByName(bent.where("day = 13 and run like '%4'")).where("not (run like '%8' and day > 15)")
+    asked = b.select(F.col("symbol").alias("run"), "symbol", F.lit("EVENTS").alias("source_code")).distinct().unionByName(spark.createDataFrame([("EMPTY", "EMPTY", "EVENTS")], "run string, symbol string, source_code string"))
+    return _counts(chains.input_violations(bent, asked, ts("2024-02-10 00:00:00")), count="runs")
 
 
 def retry_requests(spark, d):
@@ -360,12 +402,31 @@ ORACLE_SQL: dict[str, str] = {
 SELECT CASE day(session_date) WHEN 8 THEN 'paper_order_missing' WHEN 9 THEN 'trade_intent_missing' WHEN 14 THEN 'strategy_decision_missing' WHEN 15 THEN 'candidate_missing' WHEN 16 THEN 'market_snapshot_missing' WHEN 13 THEN 'unsupported_side'
   WHEN 12 THEN 'order_state_mismatch' WHEN 10 THEN 'source_value_mismatch' WHEN 17 THEN 'source_value_mismatch' ELSE 'NONE' END AS problem, count(*) AS fills FROM fills GROUP BY 1"""),
     "fill_sources": _with(SNAPSHOT_SQL, """
-SELECT CASE day(session_date) WHEN 9 THEN 'trade_intent_missing' WHEN 14 THEN 'strategy_decision_missing' WHEN 15 THEN 'candidate_missing' WHEN 16 THEN 'market_snapshot_missing' WHEN 17 THEN 'symbol_mismatch' WHEN 19 THEN 'acceptance_missing'
-  WHEN 18 THEN 'order_not_fillable' ELSE 'NONE' END AS problem, count(*) AS orders FROM intents WHERE quantity >= 1 GROUP BY 1"""),
+, o AS (SELECT intent_id, candidate_id, symbol, quantity, day(session_date) AS d, CAST(substr(symbol, 2) AS INTEGER) AS n FROM intents WHERE quantity >= 1),
+state AS (SELECT intent_id, n % 7 = 3 AS live, d NOT IN (9, 19) AS accepted, CASE WHEN d = 18 THEN 'FILLED' WHEN d = 20 OR n % 10 = 9 THEN 'REJECTED' WHEN n % 5 = 0 THEN 'PARTIALLY_FILLED' ELSE 'ACCEPTED' END AS status FROM o),
+ti AS (SELECT intent_id, 'd' || intent_id AS decision_id, symbol, CASE d WHEN 22 THEN 'EUR' ELSE 'USD' END AS currency, CASE d WHEN 13 THEN 'SELL' ELSE 'BUY' END AS side, CASE d WHEN 23 THEN 'LIMIT' ELSE 'MARKET' END AS kind, CASE d WHEN 24 THEN 10 END AS limit_price,
+  CASE d WHEN 25 THEN 'GTC' ELSE 'DAY' END AS tif, CASE d WHEN 26 THEN 0 ELSE quantity END AS requested FROM o WHERE d <> 9),
+td AS (SELECT 'd' || intent_id AS decision_id, candidate_id FROM o WHERE d <> 14), tc AS (SELECT DISTINCT candidate_id, 's' || candidate_id AS snapshot_id FROM o WHERE d <> 15),
+tm AS (SELECT DISTINCT 's' || candidate_id AS snapshot_id, CASE WHEN d = 17 OR d IN (13, 22) AND n % 2 = 0 THEN 'OTHER' ELSE symbol END AS symbol FROM o WHERE d <> 16)
+SELECT CASE WHEN live THEN 'unsupported_broker' WHEN status NOT IN ('ACCEPTED', 'PARTIALLY_FILLED') THEN 'order_not_fillable' WHEN ti.intent_id IS NULL THEN 'trade_intent_missing' WHEN td.decision_id IS NULL THEN 'strategy_decision_missing' WHEN tc.candidate_id IS NULL THEN 'candidate_missing'
+  WHEN tm.snapshot_id IS NULL THEN 'market_snapshot_missing' WHEN ti.symbol <> tm.symbol THEN 'symbol_mismatch' WHEN currency <> 'USD' OR side <> 'BUY' OR kind <> 'MARKET' OR limit_price IS NOT NULL OR tif <> 'DAY' OR requested <= 0 THEN 'accepted_request_shape_mismatch'
+  WHEN NOT accepted THEN 'acceptance_missing' ELSE 'NONE' END AS problem, count(*) AS orders
+FROM state LEFT JOIN ti USING (intent_id) LEFT JOIN td USING (decision_id) LEFT JOIN tc ON tc.candidate_id = td.candidate_id LEFT JOIN tm ON tm.snapshot_id = tc.snapshot_id GROUP BY 1"""),
     "exit_sources": _with(SNAPSHOT_SQL, """
-, p AS (SELECT DISTINCT filter_set, symbol, CAST(substr(symbol, 2) AS INTEGER) AS n FROM fills)
-SELECT CASE WHEN n % 29 = 0 THEN 'snapshot_missing' WHEN n % 7 = 0 THEN 'position_event_missing' WHEN n % 13 = 0 THEN 'position_not_open' WHEN n % 11 = 0 THEN 'position_event_mismatch' WHEN n % 17 = 0 THEN 'symbol_mismatch'
-  WHEN n % 19 = 0 THEN 'snapshot_precedes_position' WHEN n % 23 = 0 THEN 'snapshot_stale' ELSE 'NONE' END AS problem, count(*) AS positions FROM p GROUP BY 1"""),
+, f AS (SELECT *, CAST(substr(symbol, 2) AS INTEGER) AS n, filter_set || '|' || symbol AS pid, row_number() OVER (PARTITION BY filter_set, symbol ORDER BY session_date, fill_sequence) AS version, sum(quantity) OVER (PARTITION BY filter_set, symbol ORDER BY session_date, fill_sequence) AS held FROM fills),
+l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY pid ORDER BY version DESC) = 1),
+p AS (SELECT pid, symbol, filter_set, n, version, held, CASE WHEN n % 31 = 9 THEN 'EUR' ELSE 'USD' END AS currency, n % 13 <> 0 AS opened FROM l WHERE n % 31 <> 11),
+e AS (SELECT pid, version, order_id || '|' || fill_sequence AS fill_id, held + CASE WHEN n % 11 = 0 THEN 1 ELSE 0 END AS held, CASE WHEN n % 31 = 6 THEN 1 ELSE 0 END AS pnl FROM f WHERE NOT (n % 7 = 0 AND (pid, version) IN (SELECT pid, version FROM l))),
+pf AS (SELECT order_id || '|' || fill_sequence AS fill_id, order_id, n % 31 = 7 AS moved FROM f WHERE n % 31 <> 1), po AS (SELECT DISTINCT order_id, order_id AS intent_id FROM f WHERE n % 31 <> 2),
+ti AS (SELECT DISTINCT order_id AS intent_id, 'd' || order_id AS decision_id, symbol, CASE WHEN n % 31 = 9 THEN 'EUR' ELSE 'USD' END AS currency FROM f WHERE n % 31 <> 3),
+sd AS (SELECT DISTINCT 'd' || order_id AS decision_id, filter_set, CASE WHEN n % 31 = 5 THEN 'v9' ELSE 'v1' END AS version, CASE WHEN n % 31 = 8 THEN 'OBSERVE' ELSE 'ENTER_LONG' END AS action FROM f WHERE n % 31 <> 4),
+ask AS (SELECT pid, CASE WHEN n % 29 = 0 THEN 'lost' ELSE pid END AS sid, CASE WHEN n % 23 = 0 THEN 120 ELSE 2 END AS asked FROM l),
+ms AS (SELECT pid AS sid, CASE WHEN n % 17 = 0 THEN 'OTHER' ELSE symbol END AS symbol, CASE WHEN n % 19 = 0 THEN -60 WHEN n % 31 = 10 THEN 180 ELSE 1 END AS seen FROM l)
+SELECT CASE WHEN p.pid IS NULL THEN 'position_missing' WHEN ms.sid IS NULL THEN 'snapshot_missing' WHEN e.pid IS NULL THEN 'position_event_missing' WHEN pf.fill_id IS NULL THEN 'paper_fill_missing' WHEN po.order_id IS NULL THEN 'paper_order_missing' WHEN ti.intent_id IS NULL THEN 'trade_intent_missing'
+  WHEN sd.decision_id IS NULL THEN 'entry_decision_missing' WHEN sd.version <> 'v1' THEN 'unsupported_strategy_version' WHEN NOT opened THEN 'position_not_open' WHEN e.held <> p.held OR pnl <> 0 THEN 'position_event_mismatch' WHEN moved THEN 'source_identity_mismatch'
+  WHEN action <> 'ENTER_LONG' OR sd.filter_set <> p.filter_set OR ti.symbol <> p.symbol OR ti.currency <> p.currency THEN 'strategy_source_mismatch' WHEN p.currency <> 'USD' THEN 'unsupported_currency' WHEN ms.symbol <> p.symbol THEN 'symbol_mismatch'
+  WHEN seen < 0 THEN 'snapshot_precedes_position' WHEN seen > asked + 0.5 THEN 'snapshot_too_far_in_future' WHEN asked - seen > 5 THEN 'snapshot_stale' ELSE 'NONE' END AS problem, count(*) AS positions
+FROM ask LEFT JOIN p ON p.pid = ask.pid LEFT JOIN ms ON ms.sid = ask.sid LEFT JOIN e ON e.pid = p.pid AND e.version = p.version LEFT JOIN pf ON pf.fill_id = e.fill_id LEFT JOIN po ON po.order_id = pf.order_id LEFT JOIN ti ON ti.intent_id = po.intent_id LEFT JOIN sd ON sd.decision_id = ti.decision_id GROUP BY 1"""),
     "decision_sources": _with(SNAPSHOT_SQL, """
 SELECT strategy_id, CASE WHEN strategy_id = 'STRICT_V2' OR (strategy_id = 'STRICT_V1' AND day(session_date) = 3) THEN 'evaluation_missing' WHEN day(session_date) = 4 THEN 'duplicate_source' WHEN day(session_date) = 5 THEN 'invalid_score' ELSE 'NONE' END AS problem,
   count(*) AS candidates FROM snapshots, (VALUES ('STRICT_V1'), ('BALANCED_V1'), ('SCORE_ONLY_V1'), ('OBSERVATION_V1'), ('STRICT_V2')) s(strategy_id) GROUP BY ALL"""),
@@ -375,16 +436,36 @@ SELECT CAST(source_session_date AS VARCHAR) AS scoring_run_id, count(*) AS outco
 SELECT CAST(source_session_date AS VARCHAR) AS scoring_run_id, count(*) AS items, count(*) FILTER (number % 3 <> 0) AS snapshots FROM sitems
 WHERE number % 5 <> 0 AND day(source_session_date + INTERVAL 29 HOUR) % 6 <> 0 AND source_session_date + INTERVAL 30 HOUR <= TIMESTAMP '2024-01-20 05:30:00' GROUP BY 1"""),
     "outcome_chain": _with(_DATASET, """
-SELECT session_date, number % 5 <> 0 AND number % 7 <> 0 AND number % 11 <> 0 AND number % 13 <> 0 AND number % 17 <> 0 AND number % 19 <> 0 AS chain_valid, count(*) AS items FROM items GROUP BY ALL"""),
+, it AS (SELECT item_id AS key, symbol, session_date, CAST(session_date AS VARCHAR) AS run, reference_close, number AS n, CASE WHEN v >= 2 THEN 'READY' ELSE 'DEGRADED' END AS quality FROM items),
+si AS (SELECT *, 'r' || CASE WHEN n % 3 = 0 THEN 'B' ELSE 'A' END || run AS prun, CASE WHEN n % 47 = 0 THEN 'OTHER' ELSE quality END AS sq FROM it), ds AS (SELECT DISTINCT session_date, CAST(session_date AS VARCHAR) AS run, day(session_date) AS d FROM it),
+sr AS (SELECT run, 'r' || CASE WHEN d % 2 = 0 THEN 'A' ELSE 'B' END || run AS prun FROM ds WHERE d NOT IN (4, 5)),
+pr AS (SELECT 'r' || feed || run AS prun, feed = 'A' AND d BETWEEN 7 AND 14 AS odd, CASE WHEN d = 15 THEN 5 ELSE 3 END AS horizon, run AS asof, CASE d WHEN 16 THEN NULL WHEN 17 THEN session_date - 1 ELSE session_date END AS done FROM ds, (VALUES ('A'), ('B')) x(feed) WHERE NOT (d = 6 AND feed = 'B')),
+pi AS (SELECT key, 'r' || CASE WHEN n % 3 = 0 AND n % 5 <> 0 THEN 'B' ELSE 'A' END || run AS prun, CASE WHEN n % 11 = 0 THEN 'DATA_INSUFFICIENT' ELSE quality END AS outcome, CASE WHEN n % 13 = 0 THEN 'OTHER' ELSE quality END AS q, n % 17 = 0 AS other_shot, CASE WHEN n % 19 = 0 THEN 'OTHER' ELSE symbol END AS symbol,
+  n % 23 = 0 AS other_mic, CASE WHEN n % 29 <> 0 THEN session_date END AS done FROM it WHERE n % 7 <> 0),
+fs AS (SELECT key, CASE WHEN n % 37 = 0 THEN 'OTHER' ELSE symbol END AS symbol, CASE WHEN n % 41 = 0 THEN 1 ELSE 3 END AS horizon, CASE WHEN n % 43 = 0 THEN 'another' ELSE run END AS asof, CASE WHEN n % 61 = 0 THEN 'UNKNOWN' ELSE quality END AS q, CASE WHEN n % 67 = 0 THEN 'v2' ELSE 'v1' END AS version,
+  n % 53 = 0 AS short, CASE WHEN n % 59 = 0 THEN 0 ELSE reference_close END AS close FROM it WHERE n % 31 <> 0),
+judged AS (
+  SELECT si.session_date, fs.close, CASE WHEN pr.prun IS NULL THEN 'pipeline_run_missing' WHEN fs.key IS NULL THEN 'feature_snapshot_missing' WHEN sr.run IS NULL THEN 'scoring_run_missing' WHEN pi.key IS NULL THEN 'pipeline_item_missing' WHEN odd THEN 'pipeline_identity_mismatch' WHEN pr.done IS NULL THEN 'completed_session_missing'
+    WHEN sr.prun <> pr.prun THEN 'run_link_mismatch' WHEN pi.prun <> pr.prun THEN 'pipeline_item_of_another_run' WHEN pi.outcome <> quality THEN 'item_outcome_mismatch' WHEN pi.q <> quality THEN 'item_quality_mismatch' WHEN other_shot THEN 'item_snapshot_mismatch' WHEN pi.symbol <> si.symbol THEN 'item_symbol_mismatch'
+    WHEN other_mic THEN 'item_mic_mismatch' WHEN pi.q <> sq THEN 'source_quality_mismatch' WHEN pi.done IS NULL THEN 'item_session_missing' WHEN fs.version <> 'v1' THEN 'feature_set_mismatch' WHEN fs.horizon <> pr.horizon THEN 'horizon_mismatch' WHEN fs.asof <> pr.asof THEN 'as_of_mismatch'
+    WHEN fs.symbol <> si.symbol THEN 'snapshot_symbol_mismatch' WHEN fs.q <> sq THEN 'snapshot_quality_mismatch' WHEN pi.done <> pr.done THEN 'completed_session_mismatch' WHEN short THEN 'snapshot_contract_invalid' WHEN close <= 0 THEN 'reference_close_invalid' ELSE 'NONE' END AS problem
+  FROM si LEFT JOIN pr ON pr.prun = si.prun LEFT JOIN fs ON fs.key = si.key LEFT JOIN sr ON sr.run = si.run LEFT JOIN pi ON pi.key = si.key
+)
+SELECT session_date, problem, count(*) AS items, round(sum(CASE WHEN problem = 'NONE' THEN CAST(close AS DECIMAL(20, 2)) END)::DOUBLE, 2) AS reference FROM judged GROUP BY ALL"""),
     "source_violations": _with(_DATASET, """
 SELECT CASE WHEN number % 23 = 0 THEN 'POLICY_MISMATCH' WHEN number % 29 = 0 THEN 'HORIZON_MISMATCH' WHEN quality <> 'READY' THEN 'QUALITY_NOT_READY' WHEN number % 31 = 0 THEN 'RANK_OUT_OF_RANGE' WHEN number % 37 = 0 THEN 'UNSUPPORTED_MIC'
   WHEN number % 41 = 0 THEN 'SESSIONS_OUT_OF_ORDER' WHEN number % 43 = 0 THEN 'KEY_MALFORMED' WHEN number % 47 = 0 THEN 'DIGEST_MALFORMED' WHEN number % 53 = 0 THEN 'GENERATED_AFTER_RECORDED' WHEN number % 59 = 0 THEN 'AVAILABLE_AFTER_RECORDED'
   WHEN source_session_date + INTERVAL 91 HOUR > TIMESTAMP '2024-01-28' THEN 'AFTER_CUTOFF' ELSE 'NONE' END AS problem, count(*) AS rows FROM sitems GROUP BY 1"""),
     "input_violations": _with(_EVENTS, """
-, kept AS (SELECT symbol, number, day(session_date) AS d FROM ebars WHERE day(session_date) <= 28 OR symbol LIKE '%9'),
-r AS (SELECT symbol, any_value(number) AS n, list(d) AS ds FROM kept GROUP BY symbol)
-SELECT CASE WHEN n % 7 = 0 AND list_contains(ds, 9) AND len(ds) > 1 THEN 'MIXED_SYMBOLS' WHEN n % 11 = 0 AND list_contains(ds, 10) AND len(ds) > 1 THEN 'MIXED_SOURCES' WHEN n % 13 = 0 AND list_contains(ds, 11) THEN 'CURRENCY_NOT_USD'
-  WHEN n % 17 = 0 AND list_contains(ds, 12) THEN 'BASIS_NOT_SPLIT_ADJUSTED' WHEN list_max(ds) > 28 THEN 'BAR_NOT_KNOWN' WHEN symbol LIKE '%4' AND list_contains(ds, 13) THEN 'DUPLICATE_SESSION' ELSE 'NONE' END AS problem, count(*) AS runs FROM r GROUP BY 1"""),
+, b AS (SELECT symbol AS run, number AS n, day(session_date) AS d, session_date FROM ebars),
+bent AS (
+  SELECT run, CASE WHEN n % 7 = 0 THEN 'OTHER' ELSE run END AS symbol, CASE WHEN n % 11 = 0 AND d IN (10, 20) THEN 'SECOND' ELSE 'EVENTS' END AS source, CASE WHEN n % 13 = 0 AND d IN (11, 21) THEN 'EUR' ELSE 'USD' END AS currency, CASE WHEN n % 17 = 0 AND d IN (12, 22) THEN 'RAW' ELSE 'SPLIT_ADJUSTED' END AS basis,
+    session_date + INTERVAL 23 HOUR + CASE WHEN n % 5 = 0 AND d IN (3, 8) THEN INTERVAL 60 DAY ELSE INTERVAL 0 DAY END AS known_at, session_date, d FROM b
+),
+given AS (SELECT * FROM (SELECT * FROM bent UNION ALL SELECT * FROM bent WHERE d = 13 AND run LIKE '%4') WHERE NOT (run LIKE '%8' AND d > 15)),
+asked AS (SELECT DISTINCT run FROM b UNION ALL SELECT 'EMPTY'),
+r AS (SELECT a.run, bool_or(g.symbol <> a.run) AS f1, bool_or(source <> 'EVENTS') AS f2, bool_or(currency <> 'USD') AS f3, bool_or(basis <> 'SPLIT_ADJUSTED') AS f4, bool_or(known_at > TIMESTAMP '2024-02-10') AS f5, count(session_date) > count(DISTINCT session_date) AS f6 FROM asked a LEFT JOIN given g ON g.run = a.run GROUP BY a.run)
+SELECT CASE WHEN f1 THEN 'MIXED_SYMBOLS' WHEN f2 THEN 'MIXED_SOURCES' WHEN f3 THEN 'CURRENCY_NOT_USD' WHEN f4 THEN 'BASIS_NOT_SPLIT_ADJUSTED' WHEN f5 THEN 'BAR_NOT_KNOWN' WHEN f6 THEN 'DUPLICATE_SESSION' ELSE 'NONE' END AS problem, count(*) AS runs FROM r GROUP BY 1"""),
     "retry_requests": """
 WITH o AS (SELECT 'k' || (o_orderkey % 3000) AS k, o_orderkey FROM orders), s AS (SELECT DISTINCT k FROM o WHERE o_orderkey % 3 = 0)
 SELECT 'TO_DO' AS part, count(*) AS rows FROM o WHERE k NOT IN (SELECT k FROM s) UNION ALL SELECT 'ANSWERED', count(*) FROM s""",

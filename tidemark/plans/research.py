@@ -97,19 +97,31 @@ def relative_rank(spark, d):
     return scoring.ranked(scoring.component_scores(_items(spark, d))).select("run_id", "symbol", "quality_status", "overall_score", F.col("rank").cast("int").alias("rank"))
 
 
+def _fault():
+    """A number of supplier and month that decides which faults a row has, some of them several."""
+    return F.substring("symbol", 2, 20).cast("int") * 12 + F.month("session_date")
+
+
 def _feature_snapshots(spark, d):
-    """Snapshots of the runs' features. Some are lost, some were made for another horizon, some lack a value."""
-    made = features(spark, d).where("quality_status <> 'DATA_INSUFFICIENT'").withColumn("number", F.substring("symbol", 2, 20).cast("int"))
-    values = F.create_map(*(x for c in scoring.SNAPSHOT_VALUES for x in (F.lit(c), F.col(c).cast("string"))))
-    return made.where("number % 7 <> 0").select(
-        F.concat_ws("|", "run_id", "symbol").alias("feature_snapshot_id"), "symbol", F.when(F.col("number") % 11 == 0, 5).otherwise(HORIZON).alias("horizon"), F.col("run_id").alias("as_of"),
-        F.when(F.col("number") % 13 == 0, "UNKNOWN").otherwise(F.col("quality_status")).alias("quality_status"), F.array("source_code").alias("source_codes"),
-        F.when(F.col("number") % 17 == 0, F.map_filter(values, lambda k, v: k != "atr14_rate")).otherwise(values).alias("feature_values"),
+    """Snapshots of the runs' features. Some are lost, some are of another run, and some break a rule or two."""
+    made = features(spark, d).where("quality_status <> 'DATA_INSUFFICIENT'").withColumn("k", _fault())
+    k, text = F.col("k"), lambda c: F.col(c).cast("decimal(38,18)").cast("string")
+    degraded, volume = F.col("quality_status") == "DEGRADED", lambda c: c in VOLUME_FEATURES
+    given = {c: text(c) for c in scoring.SNAPSHOT_VALUES if c not in ("adjustment_basis", "completed_bar_count")}
+    given["one_day_return"] = F.when(k % 37 == 0, "1e-3").otherwise(given["one_day_return"])
+    given |= {c: F.when(degraded & (k % 9 == 1), "1.5").when(~degraded & (k % 41 == 0), None).otherwise(x) for c, x in given.items() if volume(c)}
+    given |= {"adjustment_basis": F.when(k % 19 == 0, "RAW").otherwise("SPLIT_ADJUSTED"), "completed_bar_count": F.when(k % 23 == 0, "20").otherwise(F.col("completed_bar_count").cast("string"))}
+    values = F.create_map(*(x for c, v in given.items() for x in (F.lit(c), v)))
+    reasons = F.when(degraded & (k % 5 == 2), F.array("quality_reason", F.lit("OTHER"))).when(degraded, F.array("quality_reason")).otherwise(F.array().cast("array<string>"))
+    return made.where("k % 7 <> 0").select(
+        F.concat_ws("|", "run_id", "symbol").alias("feature_snapshot_id"), "symbol", F.when(k % 11 == 0, 5).otherwise(HORIZON).alias("horizon"), F.col("run_id").alias("as_of"),
+        F.when(k % 13 == 0, "UNKNOWN").otherwise(F.col("quality_status")).alias("quality_status"), F.array(F.when(k % 43 == 0, "OTHER").otherwise(F.col("source_code"))).alias("source_codes"), reasons.alias("quality_reason_codes"),
+        F.when(k % 29 == 0, "OTHER").otherwise("US_EQUITY_DAILY_TECHNICAL").alias("feature_set_code"), F.when(k % 31 == 0, "v2").otherwise("v1").alias("feature_set_version"), F.when(k % 17 == 0, F.map_filter(values, lambda n, v: n != "atr14_rate")).otherwise(values).alias("feature_values"),
     )
 
 
 def _run_items(spark, d):
-    quality = F.when((F.col("quality_status") != "DATA_INSUFFICIENT") & (F.substring("symbol", 2, 20).cast("int") % 13 == 0), "UNKNOWN").otherwise(F.col("quality_status"))
+    quality = F.when((F.col("quality_status") != "DATA_INSUFFICIENT") & (_fault() % 13 == 0), "UNKNOWN").otherwise(F.col("quality_status"))
     return features(spark, d).select(
         "run_id", "symbol", F.when(F.col("quality_status") != "DATA_INSUFFICIENT", F.concat_ws("|", "run_id", "symbol")).alias("feature_snapshot_id"), F.col("quality_status").alias("item_outcome"), quality.alias("feature_quality"),
         F.lit(HORIZON).alias("horizon"), F.col("run_id").alias("as_of"), F.col("source_code").alias("provider_code"),
@@ -118,7 +130,7 @@ def _run_items(spark, d):
 
 def prepared_scoring_items(spark, d):
     """What becomes of each item of the runs, with the snapshots that are there."""
-    return scoring.prepared_items(_run_items(spark, d), _feature_snapshots(spark, d)).select("run_id", "symbol", "scoring_outcome")
+    return scoring.prepared_items(_run_items(spark, d), _feature_snapshots(spark, d)).select("run_id", "symbol", "scoring_outcome", "reason")
 
 
 def scoring_run_status(spark, d):

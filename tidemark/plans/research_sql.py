@@ -55,11 +55,26 @@ featured AS (
 features AS (SELECT * FROM featured QUALIFY row_number() OVER (PARTITION BY run_id, symbol ORDER BY session_date DESC) = 1)"""
 )
 
-_PREPARED = """,
+_PREPARED = r""",
+faults AS (SELECT *, CAST(substr(symbol, 2) AS INTEGER) * 12 + month(session_date) AS k, quality_status = 'DEGRADED' AS degraded FROM features),
+shots AS (
+  SELECT run_id, symbol, CASE WHEN k % 11 = 0 THEN 5 ELSE 3 END AS horizon, CASE WHEN k % 13 = 0 THEN 'UNKNOWN' ELSE quality_status END AS quality, CASE WHEN k % 43 = 0 THEN 'OTHER' ELSE 'LINEITEM' END AS source,
+    CASE WHEN degraded AND k % 5 = 2 THEN [quality_reason, 'OTHER'] WHEN degraded THEN [quality_reason] ELSE [] END AS reasons, CASE WHEN k % 29 = 0 THEN 'OTHER' ELSE 'US_EQUITY_DAILY_TECHNICAL' END AS code, CASE WHEN k % 31 = 0 THEN 'v2' ELSE 'v1' END AS version,
+    CASE WHEN k % 19 = 0 THEN 'RAW' ELSE 'SPLIT_ADJUSTED' END AS basis, CASE WHEN k % 23 = 0 THEN '20' ELSE CAST(completed_bar_count AS VARCHAR) END AS bars, 19 - CASE WHEN k % 17 = 0 THEN 1 ELSE 0 END AS members, CASE WHEN k % 37 = 0 THEN '1e-3' ELSE CAST(CAST(one_day_return AS DECIMAL(38, 18)) AS VARCHAR) END AS day_return,
+    CASE WHEN degraded AND k % 9 = 1 THEN '1.5' WHEN NOT degraded AND k % 41 = 0 THEN NULL ELSE CAST(volume_ratio_5_to_20 AS VARCHAR) END AS volume
+  FROM faults WHERE quality_status <> 'DATA_INSUFFICIENT' AND k % 7 <> 0
+),
+asked AS (SELECT run_id, symbol, quality_status AS item_outcome, CASE WHEN quality_status <> 'DATA_INSUFFICIENT' AND k % 13 = 0 THEN 'UNKNOWN' ELSE quality_status END AS wanted FROM faults),
+reasons AS (
+  SELECT a.run_id, a.symbol, s.quality, CASE WHEN item_outcome NOT IN ('READY', 'DEGRADED') THEN 'SOURCE_ITEM_' || item_outcome WHEN s.symbol IS NULL THEN 'FEATURE_SNAPSHOT_MISSING' WHEN s.horizon <> 3 OR s.quality <> a.wanted OR s.source <> 'LINEITEM' THEN 'FEATURE_SOURCE_MISMATCH'
+    WHEN code <> 'US_EQUITY_DAILY_TECHNICAL' THEN 'FEATURE_SET_CODE_MISMATCH' WHEN version <> 'v1' THEN 'FEATURE_SET_VERSION_MISMATCH' WHEN members <> 19 THEN 'FEATURE_KEY_CONTRACT_INVALID' WHEN basis <> 'SPLIT_ADJUSTED' THEN 'FEATURE_ADJUSTMENT_BASIS_INVALID'
+    WHEN bars <> '21' THEN 'FEATURE_COMPLETED_BAR_COUNT_INVALID' WHEN s.quality = 'READY' AND volume IS NULL THEN 'FEATURE_READY_VOLUME_INCOMPLETE'
+    WHEN NOT (s.quality = 'READY' OR s.quality = 'DEGRADED' AND len(reasons) = 1 AND reasons[1] IN ('VOLUME_DATA_INCOMPLETE', 'VOLUME_DATA_UNUSABLE')) THEN 'FEATURE_QUALITY_UNSUPPORTED' WHEN s.quality = 'DEGRADED' AND volume IS NOT NULL THEN 'FEATURE_DEGRADED_VOLUME_SHAPE_INVALID'
+    WHEN NOT regexp_full_match(day_return, '-?(0|[1-9][0-9]*)(\.[0-9]+)?') THEN 'FEATURE_NUMERIC_VALUE_INVALID' END AS reason
+  FROM asked a LEFT JOIN shots s ON s.run_id = a.run_id AND s.symbol = a.symbol
+),
 prepared AS (
-  SELECT run_id, symbol, CASE WHEN quality_status = 'DATA_INSUFFICIENT' THEN 'SOURCE_ITEM_NOT_SCORABLE' WHEN number % 7 = 0 THEN 'FEATURE_SNAPSHOT_MISSING' WHEN number % 11 = 0 THEN 'FEATURE_SOURCE_MISMATCH'
-    WHEN number % 13 = 0 THEN 'FEATURE_QUALITY_UNSUPPORTED' WHEN number % 17 = 0 THEN 'FEATURE_CONTRACT_INVALID' WHEN quality_status = 'READY' THEN 'SCORED_READY' ELSE 'SCORED_DEGRADED' END AS scoring_outcome
-  FROM (SELECT *, CAST(substr(symbol, 2) AS INTEGER) AS number FROM features)
+  SELECT run_id, symbol, reason, CASE WHEN reason IS NULL THEN 'SCORED_' || quality WHEN reason LIKE 'SOURCE_ITEM_%' THEN 'SOURCE_ITEM_NOT_SCORABLE' WHEN reason IN ('FEATURE_SNAPSHOT_MISSING', 'FEATURE_SOURCE_MISMATCH', 'FEATURE_QUALITY_UNSUPPORTED') THEN reason ELSE 'FEATURE_CONTRACT_INVALID' END AS scoring_outcome FROM reasons
 )"""
 
 _PRICES = "one_day_return five_day_return twenty_day_return latest_gap_return latest_intraday_return latest_range_rate close_vs_sma5 close_vs_sma10 close_vs_sma20 realized_volatility_20d atr14_rate distance_from_prior_20d_high distance_from_prior_20d_low".split()
@@ -230,7 +245,7 @@ JOIN (VALUES (1, DATE '1999-03-15'), (2, DATE '1999-03-10'), (3, DATE '1999-03-1
     "component_scores": _with(_SCORES, "SELECT * FROM scores"),
     "relative_rank": _with(_SCORES, """
 SELECT run_id, symbol, quality_status, overall_score, CAST(row_number() OVER (PARTITION BY run_id ORDER BY quality_status = 'READY' DESC, overall_score DESC, momentum_score DESC, trend_score DESC, mic_code, symbol) AS INTEGER) AS rank FROM scores"""),
-    "prepared_scoring_items": _with(_FEATURES + _PREPARED, "SELECT run_id, symbol, scoring_outcome FROM prepared"),
+    "prepared_scoring_items": _with(_FEATURES + _PREPARED, "SELECT run_id, symbol, scoring_outcome, reason FROM prepared"),
     "scoring_run_status": _with(_FEATURES + _PREPARED, """
 SELECT run_id, count(*) AS items, count(*) FILTER (starts_with(scoring_outcome, 'SCORED')) AS scored, count(*) FILTER (NOT starts_with(scoring_outcome, 'SCORED')) AS skipped,
   CASE WHEN count(*) FILTER (starts_with(scoring_outcome, 'SCORED')) = 0 THEN 'NO_SCORABLE_ITEMS' WHEN bool_or(NOT starts_with(scoring_outcome, 'SCORED')) THEN 'COMPLETED_WITH_UNSCORABLE' ELSE 'COMPLETED' END AS status
