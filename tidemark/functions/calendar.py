@@ -106,6 +106,12 @@ def resolve(code: str, version: str) -> tuple[date, date]:
     return CALENDARS[code, version]
 
 
+def coverage(asked: DataFrame) -> DataFrame:
+    """asked (code, version) with (first, last), the days that exactly this calendar covers; null for one that is not known."""
+    known = asked.sparkSession.createDataFrame([(*k, *v) for k, v in CALENDARS.items()], "code string, version string, first date, last date")
+    return asked.join(F.broadcast(known), ["code", "version"], "left")  # a handful of calendars
+
+
 def sessions_between(spark: SparkSession, first: date, last: date, code: str = "US_EQUITY_CORE", version: str = "2018-2026.v1") -> DataFrame:
     """Sessions from ``first`` to ``last``, both included, which have to lie within the calendar's coverage."""
     start, end = resolve(code, version)

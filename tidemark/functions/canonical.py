@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -129,18 +130,24 @@ SECRET_PARTS = (
 )
 
 
+#: A telling key has one of the parts somewhere, its words joined by an underscore, a dash or a blank.
+TELLING = "(?i)" + "|".join(part.replace("_", "[-_ ]") for part in SECRET_PARTS)
+
+
 def redacted(pairs: Column, mask: str = "<redacted>") -> Column:
     """A map of strings with the values of telling keys masked."""
-    telling = lambda k: F.translate(F.lower(F.trim(k)), "- ", "__").rlike("|".join(SECRET_PARTS))
-    return F.transform_values(pairs, lambda k, v: F.when(telling(k), F.lit(mask)).otherwise(v))
+    return F.transform_values(pairs, lambda k, v: F.when(k.rlike(TELLING), F.lit(mask)).otherwise(v))
+
+
+def _read_masked(text: str, mask: str = "<redacted>") -> object:
+    """JSON as it is read, each object with the values of its telling keys masked."""
+    telling = re.compile(TELLING).search
+    return json.loads(text, object_pairs_hook=lambda pairs: {k: mask if telling(k) else v for k, v in pairs})
 
 
 def redact(value: object, mask: str = "<redacted>") -> object:
-    """Nested maps and lists with the values of telling keys masked, at any depth."""
-    if isinstance(value, dict):
-        telling = lambda k: any(p in str(k).strip().lower().replace("-", "_").replace(" ", "_") for p in SECRET_PARTS)
-        return {k: mask if telling(k) else redact(v, mask) for k, v in value.items()}
-    return [redact(v, mask) for v in value] if isinstance(value, list | tuple) else value
+    """What JSON can hold, with the values of telling keys masked at any depth."""
+    return _read_masked(json.dumps(value), mask)
 
 
 @F.pandas_udf(StringType())
@@ -149,7 +156,7 @@ def redacted_json(texts: pd.Series) -> pd.Series:
 
     def one(text: str | None) -> str | None:
         try:
-            return None if text is None else json.dumps(redact(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+            return None if text is None else json.dumps(_read_masked(text), ensure_ascii=False, separators=(",", ":"))
         except ValueError:
             return None
 
@@ -163,6 +170,11 @@ LEAKING = (
 )
 
 
+def is_leaking(name: Column) -> Column:
+    """Whether a name must not be among features; null for null."""
+    return F.lower(name).isin(*LEAKING)
+
+
 def leaking_columns(columns: list[str]) -> list[str]:
     """The columns that must not be among features."""
     return [c for c in columns if c.casefold() in LEAKING]

@@ -76,9 +76,3 @@ def entry_decisions(evaluations: DataFrame) -> DataFrame:
     action = F.when(observing, "OBSERVE").when(F.col("passed"), "ENTER_LONG").otherwise("SKIP")
     lead = F.when(observing, "OBSERVATION_ONLY").when(F.col("passed"), "FILTER_PASSED").otherwise("FILTER_BLOCKED")
     return evaluations.withColumn("action", action).withColumn("reason_codes", F.concat(F.array(lead), F.when(F.col("action") == "SKIP", F.col("blocking_codes")).otherwise(F.array().cast("array<string>"))))
-
-
-def unmatched_decisions(decisions: DataFrame, evaluations: DataFrame, keys: list[str]) -> DataFrame:
-    """Decisions without exactly one evaluation of their set."""
-    n = evaluations.groupBy(*keys).agg(F.count(F.lit(1)).alias("found"))
-    return decisions.join(n, keys, "left").where(F.coalesce("found", F.lit(0)) != 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import datetime
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -310,8 +310,11 @@ def redacted_texts(spark, d):
 
 
 def leaking_names(spark, d):
-    names = ["close_price", "Label", "future_return", "volume", "TARGET", "sma5", "Virtual_Result"]
-    return spark.createDataFrame([(n,) for n in canonical.leaking_columns(names)], "name string")
+    """Names of columns, made of parts, that would leak the future into features, and how often each comes."""
+    k = F.col("p_partkey") % 7
+    name = F.when(k == 0, "Label").when(k == 1, "future_return").when(k == 2, "TARGET").when(k == 3, "Virtual_Result").when(k == 4, "close_price").otherwise(F.lower("p_brand"))
+    names = read(spark, d, "part").select(name.alias("name"))
+    return names.where(canonical.is_leaking(F.col("name"))).groupBy("name").agg(F.count(F.lit(1)).alias("columns"))
 
 
 def exact_snapshots(spark, d):
@@ -331,26 +334,24 @@ def exact_snapshots(spark, d):
 
 
 def calendar_guard(spark, d):
-    """Years whose sessions are not as many as they have to be, in a calendar that lost some days."""
+    """Years whose sessions are not as many as they have to be, in a calendar that lost the event days 5, 10, 15, 20, 25 and 30."""
+    lost = read(spark, d, "events").select(F.to_date("ts").alias("session_date")).distinct().where(_day() % 5 == 0)
     sessions = cal.sessions_between(spark, *cal.resolve("US_EQUITY_CORE", "2018-2026.v1"))
-    lost = sessions.where("not (family = 'NYSE_CORE' and session_date between '2020-03-02' and '2020-03-06')")
-    return cal.count_violations(lost)
+    return cal.count_violations(sessions.join(lost, "session_date", "left_anti"))
 
 
 def sessions_between(spark, d):
-    made = cal.sessions_between(spark, date(2024, 6, 28), date(2024, 12, 31))
+    """The sessions from the first event to the last one."""
+    first, last = read(spark, d, "events").agg(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).first()
+    made = cal.sessions_between(spark, first, last)
     return made.where("family = 'NASDAQ_CORE'").select("session_date", "kind", (F.unix_timestamp("close_at") - F.unix_timestamp("open_at")).alias("seconds"), F.hour("open_at").alias("open_hour"))
 
 
 def calendar_versions(spark, d):
-    """Which pairs of code and version are known; no other stands in for one that is not."""
-    rows = []
-    for code, version in (("US_EQUITY_CORE", "2018-2026.v1"), ("US_EQUITY_CORE", "2026.v1"), ("US_EQUITY_CORE", "2027.v1"), ("UK_EQUITY_CORE", "2026.v1")):
-        try:
-            rows.append((code, version, *cal.resolve(code, version)))
-        except ValueError:
-            rows.append((code, version, None, None))
-    return spark.createDataFrame(rows, "code string, version string, first date, last date")
+    """Which calendars that nations ask for are known; no other stands in for one that is not."""
+    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+    asked = read(spark, d, "nation").select("n_nationkey", F.when(k % 3 == 0, "UK_EQUITY_CORE").otherwise("US_EQUITY_CORE").alias("code"), F.when(r % 3 == 0, "2026.v1").when(r % 3 == 1, "2018-2026.v1").otherwise("2027.v1").alias("version"))
+    return cal.coverage(asked)
 
 
 def stored_lookup(spark, d):
@@ -502,12 +503,18 @@ SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN 'S' || (s_suppkey % 50) || C
   'A1,B,C' || s_nationkey AS codes FROM supplier""",
     "redacted_texts": """
 SELECT c_custkey, '{"API-Token":"<redacted>","name":"' || c_name || '","My Account":"<redacted>"}' AS flat, '{"outer":{"app secret":"<redacted>","list":[{"Chat-Id":"<redacted>","c_mktsegment":"' || c_mktsegment || '"}]}}' AS nested FROM customer""",
-    "leaking_names": "SELECT unnest(['Label', 'future_return', 'TARGET', 'Virtual_Result']) AS name",
-    "calendar_guard": "SELECT 'NYSE_CORE' AS family, 2020::INTEGER AS year, 248::BIGINT AS sessions, 253::BIGINT AS expected",
+    "leaking_names": """
+WITH n AS (SELECT CASE p_partkey % 7 WHEN 0 THEN 'Label' WHEN 1 THEN 'future_return' WHEN 2 THEN 'TARGET' WHEN 3 THEN 'Virtual_Result' WHEN 4 THEN 'close_price' ELSE lower(p_brand) END AS name FROM part)
+SELECT name, count(*) AS columns FROM n WHERE lower(name) IN ('label', 'future_return', 'target', 'virtual_result', 'outcome', 'prediction') GROUP BY name""",
+    "calendar_guard": _with(_CAL, """
+, lost AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events WHERE day(ts) % 5 = 0), y AS (SELECT CAST(year(d) AS INTEGER) AS year, count(*) FILTER (d NOT IN (SELECT d FROM lost)) AS sessions, count(*) AS expected FROM cal GROUP BY 1)
+SELECT family, year, sessions, expected FROM y, (VALUES ('NYSE_CORE'), ('NASDAQ_CORE')) f(family) WHERE sessions <> expected"""),
     "sessions_between": _with(_CAL, f"""
-SELECT d AS session_date, CASE WHEN d IN ({_EARLY}) THEN 'EARLY_CLOSE' ELSE 'REGULAR' END AS kind, CAST(epoch(close_at) - epoch(open_at) AS BIGINT) AS seconds, CAST(hour(open_at) AS INTEGER) AS open_hour FROM cal WHERE d BETWEEN DATE '2024-06-28' AND DATE '2024-12-31'"""),
+SELECT d AS session_date, CASE WHEN d IN ({_EARLY}) THEN 'EARLY_CLOSE' ELSE 'REGULAR' END AS kind, CAST(epoch(close_at) - epoch(open_at) AS BIGINT) AS seconds, CAST(hour(open_at) AS INTEGER) AS open_hour FROM cal
+WHERE d BETWEEN (SELECT CAST(min(ts) AS DATE) FROM events) AND (SELECT CAST(max(ts) AS DATE) FROM events)"""),
     "calendar_versions": """
-SELECT * FROM (VALUES ('US_EQUITY_CORE', '2018-2026.v1', DATE '2018-01-01', DATE '2026-12-31'), ('US_EQUITY_CORE', '2026.v1', DATE '2026-01-01', DATE '2026-12-31'), ('US_EQUITY_CORE', '2027.v1', NULL, NULL), ('UK_EQUITY_CORE', '2026.v1', NULL, NULL)) v(code, version, first, last)""",
+WITH a AS (SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'UK_EQUITY_CORE' ELSE 'US_EQUITY_CORE' END AS code, CASE n_regionkey % 3 WHEN 0 THEN '2026.v1' WHEN 1 THEN '2018-2026.v1' ELSE '2027.v1' END AS version FROM nation)
+SELECT a.*, first, last FROM a LEFT JOIN (VALUES ('US_EQUITY_CORE', '2018-2026.v1', DATE '2018-01-01', DATE '2026-12-31'), ('US_EQUITY_CORE', '2026.v1', DATE '2026-01-01', DATE '2026-12-31')) v(code, version, first, last) USING (code, version)""",
     "stored_lookup": _with(_EVENTS, "SELECT symbol || '|' || session_date AS bar_key, session_date, c AS close_price FROM ebars WHERE symbol = 'U7'"),
     "changed_records": _with(_BARS, "SELECT session_date, count(*) AS rows FROM revisions WHERE day(session_date) = 7 GROUP BY 1"),
     "exact_snapshots": _with(_FEATURES, """

@@ -90,11 +90,11 @@ def midrank_percentile(spark, d):
 
 
 def component_scores(spark, d):
-    return scoring.component_scores(_items(spark, d))
+    return scoring.component_scores(written(_items(spark, d)))  # read for percentiles and again for the items
 
 
 def relative_rank(spark, d):
-    return scoring.ranked(scoring.component_scores(_items(spark, d))).select("run_id", "symbol", "quality_status", "overall_score", F.col("rank").cast("int").alias("rank"))
+    return scoring.ranked(component_scores(spark, d)).select("run_id", "symbol", "quality_status", "overall_score", F.col("rank").cast("int").alias("rank"))
 
 
 def _fault():
@@ -138,9 +138,12 @@ def scoring_run_status(spark, d):
 
 
 def trading_sessions(spark, d):
-    return cal.trading_sessions(spark).where("family = 'NYSE_CORE'").groupBy(F.year("session_date").alias("year"), "kind").agg(
-        F.count(F.lit(1)).alias("sessions"), F.min("session_date").alias("first_session"), F.max("session_date").alias("last_session"), F.sum(F.unix_timestamp("close_at") - F.unix_timestamp("open_at")).alias("open_seconds")
-    )
+    """The sessions of the days that have events, and how many events fell into their hours."""
+    sessions = cal.trading_sessions(spark).where("family = 'NYSE_CORE'")
+    events = read(spark, d, "events").select(F.to_date("ts").alias("session_date"), F.col("ts").cast("timestamp").alias("at"))
+    inside = F.count_if(F.col("at").between(F.col("open_at"), F.col("close_at")))
+    made = events.join(F.broadcast(sessions), "session_date").groupBy("session_date", "kind", "open_at", "close_at").agg(F.count(F.lit(1)).alias("events"), inside.alias("inside"))  # a calendar of some thousand days
+    return made.select("session_date", "kind", (F.unix_timestamp("close_at") - F.unix_timestamp("open_at")).alias("open_seconds"), "events", "inside")
 
 
 def core_calendar(spark):

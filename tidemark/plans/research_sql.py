@@ -228,10 +228,9 @@ def _with(ctes: str, body: str) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
-    "trading_sessions": f"""
-WITH days AS (SELECT CAST(unnest(generate_series(TIMESTAMP '{FIRST}', TIMESTAMP '{LAST}', INTERVAL 1 DAY)) AS DATE) AS d),
-sessions AS (SELECT d, CASE WHEN d IN ({_EARLY}) THEN 'EARLY_CLOSE' ELSE 'REGULAR' END AS kind FROM days WHERE isodow(d) <= 5 AND d NOT IN ({_CLOSED}))
-SELECT CAST(year(d) AS INTEGER) AS year, kind, count(*) AS sessions, min(d) AS first_session, max(d) AS last_session, CAST(sum(CASE WHEN kind = 'REGULAR' THEN 23400 ELSE 12600 END) AS BIGINT) AS open_seconds FROM sessions GROUP BY ALL""",
+    "trading_sessions": _with(_CAL, f"""
+SELECT d AS session_date, CASE WHEN d IN ({_EARLY}) THEN 'EARLY_CLOSE' ELSE 'REGULAR' END AS kind, CAST(epoch(close_at) - epoch(open_at) AS BIGINT) AS open_seconds, count(*) AS events, count(*) FILTER (ts BETWEEN open_at AND close_at) AS inside
+FROM events JOIN cal ON CAST(ts AS DATE) = d GROUP BY d, open_at, close_at"""),
     "pit_latest_revision": _with(_BARS, """
 SELECT symbol, count(*) AS sessions, max(session_date) AS last_session, arg_max(c, session_date) AS last_close, round(arg_max(r, session_date), 6) AS one_day_return
 FROM (SELECT *, c / lag(c) OVER (PARTITION BY symbol ORDER BY session_date) - 1 AS r FROM (SELECT * FROM known QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY session_date DESC) <= 21)) GROUP BY symbol"""),

@@ -34,11 +34,6 @@ def append_new(stream: DataFrame, store: str, checkpoint: str, keys: tuple[str,
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def known_first(stream: DataFrame, late: str = "30 days") -> DataFrame:
-    """The stream without identities that came before, as far back as the watermark on available_at reaches."""
-    return stream.withWatermark("available_at", late).dropDuplicatesWithinWatermark(["bar_key"])
-
-
 def daily_counts(stream: DataFrame, late: str = "3 days") -> DataFrame:
     """Bars and revisions of each day of availability and source; a day closes when the watermark passes it."""
     return stream.withWatermark("available_at", late).groupBy(F.window("available_at", "1 day"), "source_code").agg(F.count(F.lit(1)).alias("bars"), F.approx_count_distinct("symbol").alias("symbols"))
