@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, held_out, shared_folder, table
+from tidemark.llm.common import WORD, held_out, lasting, shared_folder, table
 from tidemark.llm.jaccard_join import near_duplicates
 from tidemark.llm.mixing import mix
 from tidemark.llm.packing import pack_documents
@@ -51,13 +51,25 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("?"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+    """Each row as often as the mix takes it.
+
+    Rows are told apart by id, text and source, so those that reuse an id with another text or source are taken as often
+    as their own row is. Rows that are alike in all three share what the mix takes of them evenly; one of them stands for
+    what does not divide.
+    """
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), text, F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     keyed = docs.withColumn("_stage_key", key)
-    taken = mix(keyed, id_col="_stage_key").where("taken > 0")
-    times = taken.groupBy("_stage_key").agg(F.max(F.expr("cast(taken div size as int)")).alias("_stage_times"))
-    copies = F.explode(F.sequence(F.lit(1), F.col("_stage_times"))).alias("_stage_copy")
-    return keyed.join(times, "_stage_key").select(*docs.columns, copies).drop("_stage_copy")
+    copies = F.sum(F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0))
+    times = mix(keyed, id_col="_stage_key").groupBy("_stage_key").agg(copies.alias("_stage_taken"), F.count(F.lit(1)).alias("_stage_rows")).where("_stage_taken > 0")
+    times = lasting(times.selectExpr("_stage_key", "_stage_taken div _stage_rows AS _stage_each", "_stage_taken % _stage_rows AS _stage_more"))
+    again = lambda n: F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias("_stage_copy")
+    made = keyed.join(times.where("_stage_each > 0"), "_stage_key").select(*docs.columns, again("_stage_each")).drop("_stage_copy")
+    more = times.where("_stage_more > 0")
+    if not more.limit(1).count():  # only rows that are alike leave any
+        return made
+    one = keyed.join(more, "_stage_key").dropDuplicates(["_stage_key"])
+    return made.unionByName(one.select(*docs.columns, again("_stage_more")).drop("_stage_copy"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
