@@ -65,3 +65,24 @@ def test_extra_columns_with_clashing_names_pass(spark):
         assert made.columns == docs.columns, name
         assert made.where("n = 1 and size = 'x' and id = 2 and times = 4 and row_key = 'k'").count() == made.count() > 0
     assert corpus_pipeline.packing(spark, docs, SF).count() > 0
+
+
+def test_mixing_takes_what_the_mix_says_of_reused_ids_and_repeated_rows(spark):
+    from tidemark.llm.mixing import mix
+
+    text = lambda n, mark="w": " ".join(f"{mark}{k}" for k in range(n))
+    cases = [
+        [(1, text(10), "en", "s", 0), (1, text(3), "en", "s", 0)],  # one id, two texts
+        [(1, text(4), "en", "a", 0), (1, text(4), "en", "b", 0), (1, text(4), "en", None, 0)],  # one text, three sources
+        [(7, text(5), "en", "s", 0)] * 5 + [(8, text(2), "en", "s", 0)] * 3 + [(None, text(2), "en", "s", 0)] * 4,  # rows alike
+        [(k, text(1 + k % 6, f"x{k % 3}"), "en", "st"[k % 2], 0) for k in range(12)] + [(k, text(3, "y"), "en", "s", 0) for k in range(12)],
+    ]
+    for rows in cases:
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        said, made = mix(docs).collect(), corpus_pipeline.mixing(spark, docs, SF)
+        got = made.collect()
+        by_source = lambda pairs: {s: n for s, n in Counter({s: sum(n for x, n in pairs if x == s) for s in {p[0] for p in pairs}}).items() if n}
+        assert made.columns == docs.columns and by_source([(r.source, len(words(r.text))) for r in got]) == by_source([(r.source, r.taken) for r in said])
+        most = Counter((r.doc_id, r.text, r.source) for r in got)
+        have = Counter((r.doc_id, r.text, r.source) for r in docs.collect())
+        assert all(n <= 2 * have[k] for k, n in most.items())
