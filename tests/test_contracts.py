@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import catalog
-from tidemark.operators import chains, scoring
+from tidemark.operators import chains, datasets, scoring
+from tidemark.operators.runs import aggregate_violations
+from tidemark.plans.tables import TABLES
 
 SF = "/root/testdata/sf0.01"
 CODES = {
@@ -24,6 +26,8 @@ CODES = {
         "item_outcome_mismatch", "item_quality_mismatch", "item_snapshot_mismatch", "item_symbol_mismatch", "item_mic_mismatch", "source_quality_mismatch", "item_session_missing", "feature_set_mismatch", "horizon_mismatch",
         "as_of_mismatch", "snapshot_symbol_mismatch", "snapshot_quality_mismatch", "completed_session_mismatch", "snapshot_contract_invalid", "reference_close_invalid", "NONE"}),
     "input_violations": ("problem", {"MIXED_SYMBOLS", "MIXED_SOURCES", "CURRENCY_NOT_USD", "BASIS_NOT_SPLIT_ADJUSTED", "BAR_NOT_KNOWN", "DUPLICATE_SESSION", "NONE"}),
+    "aggregate_contracts": ("problem", {"RUN_MISSING", "ITEMS_MISSING", "TOTAL_MISMATCH", "ORDINALS_NOT_1_TO_N", "COUNT_MISMATCH:scored_count", "COUNT_MISMATCH:unscorable_count", "DIGEST_MISMATCH", "NONE"}),
+    "all_record_violations": ("table_name", set(TABLES)),
 }
 
 
@@ -76,3 +80,31 @@ def test_bars_have_to_be_those_that_were_asked_for(spark):
         spark.createDataFrame(bars, "run string, symbol string, source_code string, currency string, adjustment_basis string, available_at timestamp, session_date string"),
         spark.createDataFrame(asked, "run string, symbol string, source_code string"), F.lit(datetime(2024, 2, 1)))
     assert {r.run: r.problem for r in made.collect()} == {"r1": "MIXED_SYMBOLS", "r2": "MIXED_SOURCES", "r3": "DUPLICATE_SESSION", "r4": "CURRENCY_NOT_USD", "r5": "MIXED_SYMBOLS", "r6": None}
+
+
+ITEMS = "run string, place int, outcome string"
+STORED = "run string, total_count long, good long, content_digest string"
+
+
+def broken(spark, stored, items):
+    made = aggregate_violations(spark.createDataFrame(stored, STORED), spark.createDataFrame(items, ITEMS), "run", {"good": F.col("outcome") == "GOOD"}, ("outcome", "place"), ordinal="place")
+    return {r.run: r.problem for r in made.collect()}
+
+
+def test_aggregates_are_what_their_items_add_up_to(spark):
+    items = [("a", 1, "GOOD"), ("a", 2, None)]
+    of = lambda rows: datasets.content_digest(spark.createDataFrame(rows, ITEMS), ("outcome", "place"), "place", ("run",)).first().digest
+    d = of(items)
+    assert d == of(items[::-1]) != of([("a", 1, None), ("a", 2, "GOOD")])
+    more = [("lost", 1, "GOOD"), ("twice", 1, "GOOD"), ("twice", 1, "GOOD"), ("from 2", 2, "GOOD"), ("from 2", 3, "GOOD"), ("off", 1, "BAD"), ("null", 1, "GOOD")]
+    stored = [("a", 2, 1, d), ("twice", 2, 9, "x"), ("from 2", 2, 2, "x"), ("off", 1, 1, "x"), ("null", None, 1, "x"), ("none", 3, 0, "x"), ("empty", 0, 0, None)]
+    assert broken(spark, stored, items + more) == {
+        "a": None, "lost": "RUN_MISSING", "twice": "ORDINALS_NOT_1_TO_N", "from 2": "ORDINALS_NOT_1_TO_N", "off": "COUNT_MISMATCH:good", "null": "TOTAL_MISMATCH", "none": "ITEMS_MISSING", "empty": None}
+    assert broken(spark, [("a", 2, 1, d)], [("a", 1, "GOOD"), ("a", 2, "BAD")]) == {"a": "DIGEST_MISMATCH"}
+    assert broken(spark, [], []) == {}
+
+
+def test_digests_do_not_depend_on_how_rows_lie(spark):
+    rows = spark.range(1, 10_001).select(F.lit("a").alias("run"), F.col("id").cast("int").alias("place"), F.concat(F.lit("o"), "id").alias("outcome"))
+    one, many = (datasets.content_digest(x, ("outcome", "place"), "place").first()[0] for x in (rows.coalesce(1), rows.orderBy(F.desc("outcome")).repartition(7)))
+    assert one == many and datasets.content_digest(rows.limit(0), ("outcome", "place"), "place").first()[0]

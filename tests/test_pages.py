@@ -52,6 +52,8 @@ def test_bars_are_the_last_up_to_the_cutoff(spark, service):
 def test_symbols_asked_for_and_too_many_pages(spark, service):
     pages = read_service(spark, service, ["GOOD", "GOOD", "UNKNOWN"])
     assert pages.rdd.getNumPartitions() == 2
+    few = read_service(spark, service, symbols_per_task=5)
+    assert few.rdd.getNumPartitions() == 3 and sorted(map(str, few.collect())) == sorted(map(str, read_service(spark, service).collect()))
     assert sorted((r.symbol, r.page, r.problem) for r in pages.collect()) == [("GOOD", 0, None), ("GOOD", 1, None), ("GOOD", 2, None), ("UNKNOWN", 0, "NO_DATA")]
     assert answers(spark, service, symbols=["GOOD", "ONE"], most_pages=2) == {"GOOD": ("PAGINATION_INVALID", ["02", "03", "04", "05"]), "ONE": (None, ["02"])}
     assert read_service(spark, service + "-not-there").count() == 0

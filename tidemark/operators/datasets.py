@@ -236,20 +236,20 @@ def audit_levels(records: DataFrame) -> DataFrame:
 DIGESTED, BLOCK = ("label", "observation_mode", "ordinal", "outcome_id", "overall_score", "scoring_item_id"), 4096
 
 
-def content_digest(rows: DataFrame, columns: tuple[str, ...] = DIGESTED, ordinal: str = "ordinal") -> DataFrame:
-    """(digest) of a dataset: one row, a digest of its rows in the order of their ordinals.
+def content_digest(rows: DataFrame, columns: tuple[str, ...] = DIGESTED, ordinal: str = "ordinal", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, digest): for a dataset, or for each parent of ``by``, a digest of its rows in the order of their ordinals.
 
     Each row's canonical JSON is digested; then, three times over, up to BLOCK digests that follow each other by ordinal
     become one, which orders 6.8e10 rows without a task that holds them all. Scores have six places. Rows that share an
-    ordinal are ordered by their digests; an empty dataset has the digest of nothing.
+    ordinal are ordered by their digests; an empty dataset has the digest of nothing, a parent without rows none.
     """
     text = {c: (F.col(c).cast("decimal(20,6)").cast("string") if c == "overall_score" else F.col(c)) for c in columns}
-    made = rows.select((F.col(ordinal).cast("long") - 1).alias("i"), digest(canonical_json(**text)).alias("d"))
+    made = rows.select(*by, (F.col(ordinal).cast("long") - 1).alias("i"), digest(canonical_json(**text)).alias("d"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("i", "d"))), lambda x: x["d"])
     for _ in range(3):
-        ordered = F.transform(F.sort_array(F.collect_list(F.struct("i", "d"))), lambda x: x["d"])
-        made = made.groupBy(F.expr(f"i div {BLOCK}").alias("i")).agg(digest(F.array_join(ordered, "")).alias("d"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("i", "d"))), lambda x: x["d"])  # one, unless ordinals are out of range
-    return made.agg(F.when(F.count(F.lit(1)) == 1, F.max("d")).otherwise(digest(F.array_join(ordered, ""))).alias("digest"))
+        made = made.groupBy(*by, F.expr(f"i div {BLOCK}").alias("i")).agg(digest(F.array_join(ordered, "")).alias("d"))
+    last = F.when(F.count(F.lit(1)) == 1, F.max("d")).otherwise(digest(F.array_join(ordered, "")))  # one, unless ordinals are out of range
+    return made.groupBy(*by).agg(last.alias("digest")) if by else made.agg(last.alias("digest"))
 
 
 def dataset_validity(rows: DataFrame, stored_digest: str, listing: str = "dataset") -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from .datasets import content_digest
 from pyspark.sql.window import Window
 
 
@@ -44,3 +48,24 @@ def budget_known(members: Column, attempts: Column, available: Column) -> Column
     """(estimated, known, can_start): a run starts if its greatest cost is known and within what is left of the day."""
     cost = members * attempts
     return F.struct(cost.alias("estimated"), (cost.isNotNull() & available.isNotNull()).alias("known"), F.coalesce(cost <= available, F.lit(False)).alias("can_start"))
+
+
+def aggregate_violations(runs: DataFrame, items: DataFrame, run: str, counts: Mapping[str, Column], digested: tuple[str, ...], total: str = "total_count", ordinal: str = "ordinal", stored: str = "content_digest") -> DataFrame:
+    """(run, problem) for every run and every parent that items name: the first thing in which a run is not what its items add up to, or null.
+
+    RUN_MISSING, ITEMS_MISSING, TOTAL_MISMATCH, ORDINALS_NOT_1_TO_N, COUNT_MISMATCH:<column> in the order of ``counts`` (a
+    stored column and which items it counts), DIGEST_MISMATCH of the items' columns ``digested`` in the order of ordinals. A
+    run of no items with a total of 0 is sound. Items are summed by run in each task; no run is gathered whole.
+    """
+    n, o = F.count(F.lit(1)), F.col(ordinal)
+    sums = items.groupBy(run).agg(n.alias("_n"), F.min(o).alias("_first"), F.max(o).alias("_last"), F.countDistinct(o).alias("_places"), *(F.count_if(F.coalesce(x, F.lit(False))).alias(f"_{c}") for c, x in counts.items()))
+    found = sums.join(content_digest(items, digested, ordinal, (run,)).withColumnRenamed("digest", "_digest"), run)
+    made = runs.withColumn("_run", F.lit(True)).join(found, run, "full")
+    held = F.coalesce("_n", F.lit(0))
+    problem = (
+        F.when(F.col("_run").isNull(), "RUN_MISSING").when((held == 0) & (F.col(total) > 0), "ITEMS_MISSING").when(~held.eqNullSafe(F.col(total)), "TOTAL_MISMATCH")
+        .when((held > 0) & ~((F.col("_first") == 1) & (F.col("_last") == held) & (F.col("_places") == held)), "ORDINALS_NOT_1_TO_N")
+    )
+    for c in counts:
+        problem = problem.when(~F.coalesce(f"_{c}", F.lit(0)).eqNullSafe(F.col(c)), f"COUNT_MISMATCH:{c}")
+    return made.select(run, problem.when((held > 0) & ~F.col("_digest").eqNullSafe(F.col(stored)), "DIGEST_MISMATCH").alias("problem"))

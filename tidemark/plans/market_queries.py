@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import payloads
 from ..operators import asof, datasets, sketches
 from ..operators.features import day_windows
+from ..operators.runs import aggregate_violations
 from ..sources import bars as sources
 from ..sources.store import MONTH, ingest_months
 from . import sql_functions
-from .research import AS_OF, HORIZON, OBSERVED, core_calendar, dataset_rows, known, lineage, outcome_items, read, revisions, rounded
-from .research_sql import _BARS, _DATASET, _EVENTS, _OUTCOMES, _with
+from .research import AS_OF, HORIZON, OBSERVED, core_calendar, dataset_rows, known, lineage, outcome_items, prepared_scoring_items, read, revisions, rounded
+from .research_sql import _BARS, _DATASET, _EVENTS, _FEATURES, _OUTCOMES, _PREPARED, _with
 from .research_sql import ORACLE_SQL as RESEARCH_SQL
 from .session import new_path, written
 
@@ -142,7 +144,26 @@ def dataset_contracts(spark, d):
     return made
 
 
-QUERIES: dict = {f.__name__: f for f in (dataset_contracts, decision_bars, decision_sessions, decision_history, monthly_ingest, day_features, lineage_levels, sketched_months, payload_drift, sql_known_bars, sql_outcomes)}
+def aggregate_contracts(spark, d):
+    """Scoring runs against their items: some stored counts are off, some items were lost, moved or changed after the run was stored."""
+    k = F.regexp_replace("run_id", "-", "").cast("int")  # the month as a number
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("symbol"))
+    sound = written(prepared_scoring_items(spark, d).select("run_id", "symbol", "scoring_outcome", place.alias("ordinal")))
+    scored = F.col("scoring_outcome").startswith("SCORED")
+    digested = ("ordinal", "scoring_outcome", "symbol")
+    runs = sound.groupBy("run_id").agg(F.count(F.lit(1)).alias("total_count"), F.count_if(scored).alias("scored_count"), F.count_if(~scored).alias("unscorable_count"))
+    runs = runs.join(datasets.content_digest(sound, digested, by=("run_id",)).withColumnRenamed("digest", "content_digest"), "run_id").where(k % 23 != 0)
+    off = lambda c, n: (F.col(c) + F.when(k % n == 0, 1).otherwise(0)).alias(c)
+    runs = runs.select("run_id", off("total_count", 5), off("scored_count", 7), off("unscorable_count", 11), "content_digest")
+    o = F.col("ordinal")
+    items = sound.where(k % 19 != 0).select(
+        "run_id", "symbol", F.when((k % 13 == 0) & (o == 2), 1).otherwise(o).alias("ordinal"), F.when((k % 17 == 0) & (o == 1) & ~scored, "CHANGED").when((k % 17 == 0) & (o == 1), "SCORED_CHANGED").otherwise(F.col("scoring_outcome")).alias("scoring_outcome"),
+    )
+    made = aggregate_violations(runs, items, "run_id", {"scored_count": scored, "unscorable_count": ~scored}, digested)
+    return made.select("run_id", F.coalesce("problem", F.lit("NONE")).alias("problem"))
+
+
+QUERIES: dict = {f.__name__: f for f in (aggregate_contracts, dataset_contracts, decision_bars, decision_sessions, decision_history, monthly_ingest, day_features, lineage_levels, sketched_months, payload_drift, sql_known_bars, sql_outcomes)}
 
 _ASKED = _BARS + """,
 asked AS (
@@ -177,6 +198,17 @@ d3 AS (SELECT variant, sha256(string_agg(d, '' ORDER BY i, d)) AS d FROM d2 GROU
 facts AS (SELECT variant, count(*) AS items, bool_and(o = place) AS ordered FROM variants GROUP BY variant)"""
 
 ORACLE_SQL: dict[str, str] = {
+    "aggregate_contracts": _with(_FEATURES + _PREPARED, """
+, sound AS (SELECT run_id, CAST(replace(run_id, '-', '') AS INTEGER) AS k, symbol, scoring_outcome AS outcome, row_number() OVER (PARTITION BY run_id ORDER BY symbol) AS o FROM prepared),
+held AS (SELECT run_id, k, symbol, CASE WHEN k % 13 = 0 AND o = 2 THEN 1 ELSE o END AS o, CASE WHEN k % 17 = 0 AND o = 1 THEN CASE WHEN outcome LIKE 'SCORED%' THEN 'SCORED_CHANGED' ELSE 'CHANGED' END ELSE outcome END AS outcome FROM sound WHERE k % 19 <> 0),
+united AS (SELECT 's' AS t, * FROM sound UNION ALL BY NAME SELECT 'h' AS t, * FROM held),
+digested AS (SELECT t, run_id, k, outcome, o, sha256('{"ordinal":' || o || ',"scoring_outcome":"' || outcome || '","symbol":"' || symbol || '"}') AS d FROM united),
+b1 AS (SELECT t, run_id, (o - 1) // 4096 AS i, sha256(string_agg(d, '' ORDER BY o, d)) AS d FROM digested GROUP BY ALL), b2 AS (SELECT t, run_id, sha256(sha256(string_agg(d, '' ORDER BY i))) AS d FROM b1 GROUP BY t, run_id),
+sums AS (SELECT t, run_id, any_value(k) AS k, count(*) AS n, count(*) FILTER (outcome LIKE 'SCORED%') AS scored, min(o) AS lo, max(o) AS hi, count(DISTINCT o) AS places FROM digested GROUP BY t, run_id),
+runs AS (SELECT run_id, n + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS total, scored + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS scored, n - scored + CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END AS rest, d FROM sums JOIN b2 USING (t, run_id) WHERE t = 's' AND k % 23 <> 0),
+found AS (SELECT sums.*, d FROM sums JOIN b2 USING (t, run_id) WHERE t = 'h')
+SELECT run_id, CASE WHEN r.total IS NULL THEN 'RUN_MISSING' WHEN f.n IS NULL AND r.total > 0 THEN 'ITEMS_MISSING' WHEN f.n <> r.total THEN 'TOTAL_MISMATCH' WHEN lo <> 1 OR hi <> n OR places <> n THEN 'ORDINALS_NOT_1_TO_N' WHEN f.scored <> r.scored THEN 'COUNT_MISMATCH:scored_count'
+  WHEN n - f.scored <> r.rest THEN 'COUNT_MISMATCH:unscorable_count' WHEN f.d <> r.d THEN 'DIGEST_MISMATCH' ELSE 'NONE' END AS problem FROM runs r FULL JOIN found f USING (run_id)"""),
     "dataset_contracts": _with(_VARIANTS, f"""
 , ready AS (SELECT readiness FROM ({RESEARCH_SQL["readiness_audit"]}) r)
 SELECT variant, items, ordered AS canonical_order_valid, d = (SELECT d FROM d3 WHERE variant = 'STORED') AS content_digest_valid,

@@ -48,8 +48,8 @@ class FolderService:
 
 
 class SymbolPartition(InputPartition):
-    def __init__(self, symbol: str):
-        self.symbol = symbol
+    def __init__(self, symbols: list[str]):
+        self.symbols = symbols
 
 
 class PagedReader(DataSourceReader):
@@ -57,15 +57,19 @@ class PagedReader(DataSourceReader):
         self.source = source
 
     def partitions(self) -> list[InputPartition]:
-        """One a symbol that was asked for; all that the service names where none was."""
+        """One for each symbol, or each few, that was asked for; all that the service names where none was."""
         asked = self.source.options.get("symbols")
-        symbols = json.loads(asked) if asked else self.source.service().symbols()
-        return [SymbolPartition(s) for s in dict.fromkeys(symbols)] or [SymbolPartition("")]
+        symbols = list(dict.fromkeys(json.loads(asked) if asked else self.source.service().symbols()))
+        each = int(self.source.options.get("symbols_per_task", 1))
+        return [SymbolPartition(symbols[at : at + each]) for at in range(0, len(symbols), each)] or [SymbolPartition([])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if not partition.symbol:
-            return
-        service, symbol, number = self.source.service(), partition.symbol, 0
+        service = self.source.service() if partition.symbols else None
+        for symbol in partition.symbols:
+            yield from self._pages(service, symbol)
+
+    def _pages(self, service, symbol: str) -> Iterator[tuple]:
+        number = 0
         try:
             for body in fetch_pages(lambda token: service.fetch(symbol, token), int(self.source.options.get("most_pages", 100))):
                 yield symbol, number, body, None
@@ -81,9 +85,10 @@ class PagedReader(DataSourceReader):
 class PagedSource(DataSource):
     """Format ``tidemark_pages``: (symbol, page, body, problem), a row a page, and one of a problem where the pages break off.
 
-    Options: path, the service's root; symbols, a JSON list; most_pages, 100 by default. Subclasses answer from another
+    Options: path, the service's root; symbols, a JSON list; most_pages, 100 by default; symbols_per_task, 1 by default,
+    for services of many small symbols. Subclasses answer from another
     service by overriding ``name`` and ``service``, which has to give something with ``symbols()`` and ``fetch(symbol, token)``.
-    A task fetches one symbol's pages in order, as each token comes with the page before, and holds one page at a time.
+    A task fetches a symbol's pages in order, as each token comes with the page before, and holds one page at a time.
     """
 
     @classmethod
@@ -100,10 +105,10 @@ class PagedSource(DataSource):
         return PagedReader(self)
 
 
-def read_service(spark: SparkSession, path: str, symbols: list[str] | None = None, most_pages: int = 100, source: type[PagedSource] = PagedSource) -> DataFrame:
+def read_service(spark: SparkSession, path: str, symbols: list[str] | None = None, most_pages: int = 100, symbols_per_task: int = 1, source: type[PagedSource] = PagedSource) -> DataFrame:
     """The pages of the symbols of a service."""
     spark.dataSource.register(source)
-    reader = spark.read.format(source.name()).option("path", path).option("most_pages", most_pages)
+    reader = spark.read.format(source.name()).option("path", path).option("most_pages", most_pages).option("symbols_per_task", symbols_per_task)
     return (reader if symbols is None else reader.option("symbols", json.dumps(symbols))).load()
 
 
