@@ -187,8 +187,8 @@ def outcome_items(spark, d):
     return chains.with_chain(items, pipeline_items, snapshots).drop("pipeline_item_id", "feature_snapshot_id", "quality", "horizon")
 
 
-def outcomes_made(spark, d):
-    items = outcome_items(spark, d)
+def outcomes_made(spark, d, items=None):
+    items = outcome_items(spark, d) if items is None else items
     return outcomes.forward_outcomes(items, event_bars(read(spark, d, "events")), core_calendar(spark), HORIZON, ts(OBSERVED), 900)
 
 
@@ -205,9 +205,9 @@ def observation_summary(spark, d):
     return outcomes.observation_summary(outcomes_made(spark, d), "session_date")
 
 
-def scored_items(spark, d):
+def scored_items(spark, d, items=None):
     """Items of the outcomes' sessions with relative scores in their session, and the qualities that an audit reads."""
-    items = outcome_items(spark, d).withColumn("move", F.round(F.try_divide("close_price", "open_price") - 1, 9))
+    items = (outcome_items(spark, d) if items is None else items).withColumn("move", F.round(F.try_divide("close_price", "open_price") - 1, 9))
     items = scoring.midrank_percentile(items, "move", ["session_date"], "p")
     items = items.withColumn("overall_score", F.round(100 * F.col("p"), 6))
     rank = F.row_number().over(Window.partitionBy("session_date").orderBy(F.desc("overall_score"), "symbol"))
@@ -221,9 +221,9 @@ def scored_items(spark, d):
     )
 
 
-def outcome_revisions(spark, d):
+def outcome_revisions(spark, d, items=None):
     """Stored outcomes: each created one, and a second revision for even users, with what tells policies apart."""
-    made = outcomes_made(spark, d).where("outcome = 'OUTCOME_CREATED'").withColumn("number", F.substring("symbol", 2, 20).cast("int"))
+    made = outcomes_made(spark, d, items).where("outcome = 'OUTCOME_CREATED'").withColumn("number", F.substring("symbol", 2, 20).cast("int"))
     made = made.withColumn("revision", F.explode(F.when(F.col("number") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
     late = F.when(F.col("number") % 10 == 2, F.expr("interval 30 days")).otherwise(F.expr("interval 1 hour"))
     named = lambda n, a, b: F.when(F.col("number") % 10 == n, b).otherwise(a)
@@ -238,8 +238,9 @@ DATASET_AS_OF = "2024-01-30 00:00:00"
 
 
 def dataset_rows(spark, d):
-    items = scored_items(spark, d).drop("provider_code").where("policy_matches")
-    return datasets.calibration_dataset(items, outcome_revisions(spark, d), ts(DATASET_AS_OF), provider_code="EVENTS", calendar_code="US", policy_code="P1")
+    whole = outcome_items(spark, d)
+    items = scored_items(spark, d, whole).drop("provider_code").where("policy_matches")
+    return datasets.calibration_dataset(items, outcome_revisions(spark, d, whole), ts(DATASET_AS_OF), provider_code="EVENTS", calendar_code="US", policy_code="P1")
 
 
 def calibration_dataset(spark, d):
@@ -263,8 +264,9 @@ def dataset_labels(spark, d, made=None):
 
 def lineage(spark, d):
     """Items with the flags of their outcomes and labels. Outcomes are written once, as a store has them, and read twice."""
-    made = written(outcome_revisions(spark, d))
-    records = datasets.lineage_flags(scored_items(spark, d), made, dataset_labels(spark, d, made), ts(DATASET_AS_OF), "EVENTS", "US", "P1", "L1")
+    items = outcome_items(spark, d)
+    made = written(outcome_revisions(spark, d, items))
+    records = datasets.lineage_flags(scored_items(spark, d, items), made, dataset_labels(spark, d, made), ts(DATASET_AS_OF), "EVENTS", "US", "P1", "L1")
     scored = (F.col("scoring_outcome") == "SCORED_READY") & F.col("overall_score").isNotNull() & F.col("source_rank").isNotNull()
     included = F.col("policy_matches") & scored & F.col("has_policy_outcome") & F.col("has_matching_label")
     return records.withColumn("exclusion_reason", datasets.exclusion_reason(included, F.col("policy_matches")))
