@@ -153,3 +153,23 @@ def test_levels_of_an_audit(spark):
         alone = records.groupBy(*columns).agg(F.count(F.lit(1)).alias("total"), F.countDistinct("symbol").alias("symbols")).collect()
         assert sorted(((*(x[c] for c in columns), x.total, x.symbols) for x in by(level)), key=key) == sorted(((*(x[c] for c in columns), x.total, x.symbols) for x in alone), key=key)
     assert datasets.audit_levels(records.limit(0)).collect() == []
+
+
+def test_sums_before_over_ranges_and_hot_keys(spark):
+    from tidemark.operators.pit import summed_before
+
+    r = random.Random(3)
+    given = [("hot" if r.random() < 0.5 else r.choice(["a", "b", None]), n, r.randrange(5)) for n in range(3000)]
+    df = spark.createDataFrame(given, "k string, n int, x long").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # all ranges, so that keys span them
+    try:
+        found = {(x.k, x.n): (x.before, x.whole) for x in summed_before(df, ["k"], ["n"], "x").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    total, whole = {}, {}
+    for k, _, x in given:
+        whole[k] = whole.get(k, 0) + x
+    for k, n, x in given:
+        assert found[k, n] == (total.get(k, 0), whole[k])
+        total[k] = total.get(k, 0) + x
+    assert len(found) == len(given) and summed_before(df.limit(0), ["k"], ["n"], "x").count() == 0

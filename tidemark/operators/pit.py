@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.session import written
+
 SERIES = ("source_code", "symbol", "adjustment_basis")
 
 
@@ -109,3 +111,20 @@ def numbered(df: DataFrame, listing: str, within: list[str]) -> DataFrame:
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in part]
     joined = placed.join(starts, same)
     return joined.withColumn("ordinal", (F.col("_start") + F.col("_place")).cast("int")).drop("_start", "_place", *(f"_{c}" for c in part))
+
+
+def summed_before(df: DataFrame, keys: list[str], order: list[str], amount: str) -> DataFrame:
+    """df with (before, whole): the sum of ``amount`` over the rows of the same keys that come earlier in ``order``, and over all of them.
+
+    Rows are dealt out by ranges of (keys, order), so that keys that hold most of the rows lie on many tasks; sums within a
+    range start behind those of the ranges before it, of which there is one row a range and key. The order should be total.
+    """
+    ranged = written(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy(*keys, "_range").agg(F.sum(amount).alias("_sum"))
+    own, earlier = Window.partitionBy(*keys), (Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_sum").over(own.orderBy("_range").rowsBetween(*earlier)), F.lit(0))
+    starts = sums.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_range").alias("_of"), before.alias("_start"), F.sum("_sum").over(own).alias("whole"))
+    inside = F.coalesce(F.sum(amount).over(Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(*earlier)), F.lit(0))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    joined = ranged.withColumn("_inside", inside).join(starts, [*same, F.col("_range") == F.col("_of")])
+    return joined.withColumn("before", F.col("_start") + F.col("_inside")).drop("_range", "_of", "_start", "_inside", *(f"_{k}" for k in keys))

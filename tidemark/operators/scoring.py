@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .features import PRICE_FEATURES, VOLUME_FEATURES
+from .pit import summed_before
 
 #: The features of each component, and the weights of components (fixed values).
 GROUPS = {
@@ -24,14 +25,13 @@ def midrank_percentile(items: DataFrame, value: str, population: list[str], into
     """items with ((mean rank) - 1) / (n - 1) of ``value`` in its population: ties share, and one value alone is at 0.5.
 
     Null for null. Equal values are counted first, partly before any shuffle, and only the counts of distinct values are
-    summed in order, so ties cost nothing; items join their value's place.
+    summed in order, over ranges of values, so neither ties nor a large population gather in a task; items join their
+    value's place.
     """
-    w = Window.partitionBy(*population)
     counts = items.where(F.col(value).isNotNull()).groupBy(*population, value).agg(F.count(F.lit(1)).alias("_ties"))
-    below = F.coalesce(F.sum("_ties").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n = F.sum("_ties").over(w)
-    place = F.when(n == 1, F.lit(0.5)).otherwise(F.try_divide(below + (F.col("_ties") - 1) / F.lit(2.0), n - 1))
-    found = counts.select(*(F.col(c).alias(f"_{c}") for c in population), F.col(value).alias("_value"), place.alias(into))
+    summed = summed_before(counts, population, [value], "_ties")
+    place = F.when(F.col("whole") == 1, F.lit(0.5)).otherwise(F.try_divide(F.col("before") + (F.col("_ties") - 1) / F.lit(2.0), F.col("whole") - 1))
+    found = summed.select(*(F.col(c).alias(f"_{c}") for c in population), F.col(value).alias("_value"), place.alias(into))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in population]
     return items.join(found, [*same, F.col(value) == F.col("_value")], "left").drop("_value", *(f"_{c}" for c in population))
 

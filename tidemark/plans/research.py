@@ -86,7 +86,7 @@ def _items(spark, d):
 
 
 def midrank_percentile(spark, d):
-    return rounded(scoring.feature_percentiles(_items(spark, d)), 9, "percentile")
+    return rounded(scoring.feature_percentiles(written(_items(spark, d))), 9, "percentile")
 
 
 def component_scores(spark, d):
