@@ -64,7 +64,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents"), words=None)
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
