@@ -5,6 +5,9 @@ codebook of residuals, fitted on the same sample and shared by all nodes of the
 the model does not. Every vector goes down to its leaf. A query takes leaves from a priority queue of branches by
 distance. How many leaves is calibrated: some queries are answered by brute force over all rows, and visits widen until
 the leaves visited hold the wanted share of the true neighbours.
+
+Neighbouring leaves are one cell. A query is sent to a cell once, with the numbers of the leaves that it visits there, and
+is compared with the rows of these leaves only.
 """
 
 from __future__ import annotations
@@ -29,12 +32,13 @@ class Tree:
     """Nodes with centroids; node 0 is the root. children[i] is empty for the lowest nodes of the upper tree.
 
     ``levels`` are codebooks of what a vector differs by from the centroid above. A leaf's number holds the node and,
-    digit by digit, its place in each level.
+    digit by digit, its place in each level. Every ``span`` leaves that follow one another are a cell.
     """
 
     centroids: np.ndarray
     children: list[list[int]]
     levels: list[np.ndarray] = field(default_factory=list)
+    span: int = 1
 
     def count(self) -> int:
         return sum(not c for c in self.children) * math.prod(map(len, self.levels))
@@ -191,14 +195,22 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.9
     units = _units(_matrix(sample))
     tree = fit_tree(units, branch, leaf_rows)
     add_levels(tree, units, branch, size["count"] / most_rows)
+    for book in reversed(tree.levels):
+        if size["count"] * tree.span * len(book) > tree.count() * block:
+            break
+        tree.span *= len(book)
     held = spark.sparkContext.broadcast(tree)  # bounded by the sample and the logarithm of the rows
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            # Rows that repeat id and vector are one item anyway, and most of them end here.
+            frame = frame[~pd.Series(list(zip(frame["id"], (v.tobytes() for v in frame["v"]))), frame.index, dtype=object).duplicated()]
             if len(frame):
                 yield frame.assign(leaf=held.value.assign(_units(_matrix(frame["v"]))))
 
-    indexed = lasting(rows.mapInPandas(index, "id long, v array<double>, leaf long"))
+    # Rows of a cell are dealt into blocks by their own numbers, so that a repeated id does not gather in one.
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    indexed = lasting(numbered.mapInPandas(index, "id long, v array<double>, row long, leaf long"))
     queries = lasting(indexed.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")))
     others = indexed.select("id").distinct().limit(k + 1).count() - 1
     leaves = _calibrated(indexed, queries, held, k, recall, calibrate)
@@ -224,29 +236,41 @@ def _searched(indexed: DataFrame, queries: DataFrame, held, visits: int, k: int,
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for i, v, unit in zip(frame["id"], frame["v"], _units(_matrix(frame["v"])) if len(frame) else ()):
-                leaf = list(itertools.islice(held.value.visits(unit), visits))
-                yield pd.DataFrame({"leaf": leaf, "query_id": i, "q": pd.Series([v] * len(leaf), dtype=object)})
+                cells: dict[int, list[int]] = {}
+                for leaf in itertools.islice(held.value.visits(unit), visits):
+                    cells.setdefault(leaf // held.value.span, []).append(leaf)
+                yield pd.DataFrame({"cell": list(cells), "query_id": i, "q": pd.Series([v] * len(cells), dtype=object), "leaves": pd.Series(list(cells.values()), dtype=object)})
 
     parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a walk through the tree costs more than a row's size tells
-    probes = lasting(queries.repartition(parts, "id").mapInPandas(probe, "leaf long, query_id long, q array<double>"))
-    # A leaf's rows and the queries that visit it are both dealt into blocks, so neither a large leaf nor a popular one
+    probes = lasting(queries.repartition(parts, "id").mapInPandas(probe, "cell long, query_id long, q array<double>, leaves array<long>"))
+    # A cell's rows and the queries that visit it are both dealt into blocks, so neither a large cell nor a popular one
     # meets in one task.
-    asked = probes.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).alias("q_blocks"))
-    many = indexed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).alias("v_blocks")).join(asked, "leaf")
+    indexed = indexed.withColumn("cell", F.expr(f"leaf div {held.value.span}"))
+    asked = probes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("q_blocks"))
+    many = indexed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("v_blocks")).join(asked, "cell")
     many = lasting(many)
     number = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    left = probes.join(many, "leaf").withColumn("q_block", part("query_id", "q_blocks")).withColumn("v_block", number("v_blocks"))
-    right = indexed.join(many, "leaf").withColumn("v_block", part("id", "v_blocks")).withColumn("q_block", number("q_blocks"))
-    key = ["leaf", "v_block", "q_block"]
+    left = probes.join(many, "cell").withColumn("q_block", part("query_id", "q_blocks")).withColumn("v_block", number("v_blocks"))
+    right = indexed.join(many, "cell").withColumn("v_block", part("row", "v_blocks")).withColumn("q_block", number("q_blocks"))
+    key = ["cell", "v_block", "q_block"]
 
     def search(probes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(probes) or not len(rows):
-            return pd.DataFrame(columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        found = _top(probes["query_id"].to_numpy(), _matrix(probes["q"]), rows["id"].to_numpy(), _matrix(rows["v"]), k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    found = left.groupBy(*key).cogroup(right.select("id", "v", *key).groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score double")
+        out = []
+        if len(probes) and len(rows):
+            q_ids, q, ids, x = probes["query_id"].to_numpy(), _matrix(probes["q"]), rows["id"].to_numpy(), _matrix(rows["v"])
+            visitors: dict[int, list[int]] = {}
+            for n, leaves in enumerate(probes["leaves"]):
+                for leaf in leaves:
+                    visitors.setdefault(leaf, []).append(n)
+            for leaf, at in rows.groupby("leaf").indices.items():
+                if who := visitors.get(leaf):
+                    out += _top(q_ids[who], q[who], ids[at], x[at], k)
+        found = pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        found = found.sort_values(["score", "vec_id"], ascending=[False, True], kind="stable")
+        return found.drop_duplicates(["query_id", "vec_id"]).groupby("query_id").head(k)
+
+    found = left.groupBy(*key).cogroup(right.select("id", "v", "leaf", *key).groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     found = lasting(found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"))
