@@ -50,3 +50,20 @@ def test_a_smaller_share_is_visited_as_clustered_vectors_grow(spark):
         found = vector_tree.nearest(df, leaf_rows=40, most_rows=40, every=200).limit(1).collect()
         shares.append(found[0].leaves * 40 / n)
     assert shares[1] < shares[0] / 2
+
+
+def test_every_leaf_has_one_cell_of_bounded_size():
+    rng = np.random.default_rng(5)
+    x = clustered(rng, 4000)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for most, block in ((4000, 1500), (50, 500), (50, 40), (50, 10_000)):
+        tree = vector_tree.fit_tree(u[:800], 4, 100)
+        vector_tree.add_levels(tree, u[:800], 4, 4000 / most)
+        vector_tree.gather(tree, u[:800], 4000, block)
+        leaf = tree.assign(u)
+        cell = tree.cells(leaf)
+        assert len(set(cell.tolist())) <= len(set(leaf.tolist()))
+        assert len(set(zip(leaf.tolist(), cell.tolist()))) == len(set(leaf.tolist()))
+        sizes = np.unique(cell, return_counts=True)[1]
+        assert block != 10_000 or len(sizes) == 1
+        assert block not in (500, 1500) or 2 < len(sizes) < len(set(leaf.tolist()))

@@ -32,17 +32,26 @@ class Tree:
     """Nodes with centroids; node 0 is the root. children[i] is empty for the lowest nodes of the upper tree.
 
     ``levels`` are codebooks of what a vector differs by from the centroid above. A leaf's number holds the node and,
-    digit by digit, its place in each level. Every ``span`` leaves that follow one another are a cell.
+    digit by digit, its place in each level. ``above`` names for each lowest node the node whose leaves are its cell, or
+    -1 where every ``span`` leaves that follow one another are a cell.
     """
 
     centroids: np.ndarray
     children: list[list[int]]
     levels: list[np.ndarray] = field(default_factory=list)
     span: int = 1
+    above: np.ndarray | None = None
 
     def count(self) -> int:
         return sum(not c for c in self.children) * math.prod(map(len, self.levels))
 
+    def cells(self, leaves: np.ndarray) -> np.ndarray:
+        """The cell of each leaf: not negative for spans, -1 - node for the leaves below a node."""
+        if self.above is None:
+            return leaves
+        above = self.above[leaves // math.prod(map(len, self.levels))]
+        return np.where(above < 0, leaves // self.span, -1 - above)
+
     def assign(self, units: np.ndarray) -> np.ndarray:
         """The leaf that each vector comes to by always taking the nearest branch."""
         at = np.zeros(len(units), np.int64)
@@ -127,6 +136,25 @@ def add_levels(tree: Tree, sample: np.ndarray, branch: int, leaves: float, seed:
         rest = rest - book[_nearest(rest, book)]
 
 
+def gather(tree: Tree, sample: np.ndarray, rows: int, block: int) -> None:
+    """Puts leaves together to cells of about ``block`` of ``rows`` rows, by where the sample lies."""
+    here = np.bincount(Tree(tree.centroids, tree.children).assign(sample), minlength=len(tree.children)) * (rows / len(sample))
+    for node in range(len(here) - 1, 0, -1):  # children are numbered after their parents
+        for kid in tree.children[node]:
+            here[node] += here[kid]
+    here[0] = rows
+    tree.above = np.full(len(here), -1)
+    for node in range(len(here)):
+        if tree.above[node] < 0 and here[node] <= block:
+            tree.above[node] = node
+        for kid in tree.children[node]:
+            tree.above[kid] = tree.above[node]
+    for book in reversed(tree.levels):
+        if rows * tree.span * len(book) > tree.count() * block:
+            break
+        tree.span *= len(book)
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     """Vectors as rows, each times the power of two that brings its largest component near 1.
 
@@ -195,10 +223,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.9
     units = _units(_matrix(sample))
     tree = fit_tree(units, branch, leaf_rows)
     add_levels(tree, units, branch, size["count"] / most_rows)
-    for book in reversed(tree.levels):
-        if size["count"] * tree.span * len(book) > tree.count() * block:
-            break
-        tree.span *= len(book)
+    gather(tree, units, size["count"], block)
     held = spark.sparkContext.broadcast(tree)  # bounded by the sample and the logarithm of the rows
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,11 +231,12 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.9
             # Rows that repeat id and vector are one item anyway, and most of them end here.
             frame = frame[~pd.Series(list(zip(frame["id"], (v.tobytes() for v in frame["v"]))), frame.index, dtype=object).duplicated()]
             if len(frame):
-                yield frame.assign(leaf=held.value.assign(_units(_matrix(frame["v"]))))
+                leaf = held.value.assign(_units(_matrix(frame["v"])))
+                yield frame.assign(leaf=leaf, cell=held.value.cells(leaf))
 
     # Rows of a cell are dealt into blocks by their own numbers, so that a repeated id does not gather in one.
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    indexed = lasting(numbered.mapInPandas(index, "id long, v array<double>, row long, leaf long"))
+    indexed = lasting(numbered.mapInPandas(index, "id long, v array<double>, row long, leaf long, cell long"))
     queries = lasting(indexed.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")))
     others = indexed.select("id").distinct().limit(k + 1).count() - 1
     leaves = _calibrated(indexed, queries, held, k, recall, calibrate)
@@ -237,15 +263,15 @@ def _searched(indexed: DataFrame, queries: DataFrame, held, visits: int, k: int,
         for frame in frames:
             for i, v, unit in zip(frame["id"], frame["v"], _units(_matrix(frame["v"])) if len(frame) else ()):
                 cells: dict[int, list[int]] = {}
-                for leaf in itertools.islice(held.value.visits(unit), visits):
-                    cells.setdefault(leaf // held.value.span, []).append(leaf)
+                seen = list(itertools.islice(held.value.visits(unit), visits))
+                for leaf, cell in zip(seen, held.value.cells(np.array(seen)).tolist()):
+                    cells.setdefault(cell, []).append(leaf)
                 yield pd.DataFrame({"cell": list(cells), "query_id": i, "q": pd.Series([v] * len(cells), dtype=object), "leaves": pd.Series(list(cells.values()), dtype=object)})
 
     parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a walk through the tree costs more than a row's size tells
     probes = lasting(queries.repartition(parts, "id").mapInPandas(probe, "cell long, query_id long, q array<double>, leaves array<long>"))
     # A cell's rows and the queries that visit it are both dealt into blocks, so neither a large cell nor a popular one
     # meets in one task.
-    indexed = indexed.withColumn("cell", F.expr(f"leaf div {held.value.span}"))
     asked = probes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("q_blocks"))
     many = indexed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("v_blocks")).join(asked, "cell")
     many = lasting(many)
