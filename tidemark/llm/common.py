@@ -34,19 +34,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_BATCH, _MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+#: Settings of Arrow batches, and the most that ``lasting`` lets a batch hold.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def lasting(df: DataFrame) -> DataFrame:
     """The rows of ``df``, written to the shared folder, with a lineage that ends there.
 
     The shuffle files of that job go as soon as its rows are written, for nothing reads them again. Python tasks of the
-    job get 2,000 rows at a time at most, which keeps the texts that a worker holds few.
+    job get 2,000 rows or 8 MB at a time at most, a longer row alone, which keeps the texts that a worker holds few;
+    lower settings of the session stay. The settings are the session's while the job is planned and run: threads that
+    share one session may run with each other's, which changes sizes of batches and no result.
     """
     spark = df.sparkSession
     shared_folder(spark)
-    rows = int(spark.conf.get(_BATCH, "0"))
-    wanted = {_CLEANUP: "true", _BATCH: str(min(rows, _MOST_ROWS) if rows > 0 else _MOST_ROWS)}
+    wanted = {_CLEANUP: "true"}
+    for name, most in _BATCH.items():
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, None) or "0")
+        wanted[name] = str(min(now, most) if now > 0 else most)
     before = {k: spark.conf.get(k, None) for k in wanted}
     try:
         for k, v in wanted.items():
