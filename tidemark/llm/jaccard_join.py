@@ -2,19 +2,24 @@
 
 Shingles are put in one order for the whole corpus, rare ones first. Two sets that are similar enough must share a
 shingle among the first few (the prefix) of both. Documents with equal sets become one class; classes with the same
-prefix and size become one group, and only groups enter the index of prefix shingles. Group pairs that meet there are
-filtered by size and by how many prefix shingles they share, expanded to their member classes and verified on whole sets.
+prefix and size become one group, and only groups enter the index of prefix shingles. Pairs of groups that meet there are
+filtered by size, by the places of what they share and by how many prefix shingles they share; those that are left are
+expanded to their member classes and verified on whole sets.
 
 Rarity comes from a sketch of fixed size over all documents (any order gives a whole join; the order only decides how
-few candidates there are). Large clusters of near copies are not compared pair by pair: members of an index entry are
-first compared with one leader, the links found make components, and then only members of different components are.
+few candidates there are). Where the sketch is too small for the corpus, common shingles pass for rare ones and crowd the
+index. Such shingles are found there by exact counts, go to the end of the order, and only documents whose prefix holds
+one get a new prefix; this is repeated for as long as it halves the pairs to come.
+
+Large clusters of near copies are not compared pair by pair: members of an index entry are first compared with one
+leader, the links found make components, and then only members of different components are.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +30,9 @@ from .common import batches, components, forget, lasting, map_whole
 from .shingles import shingle_hashes, word_hashes
 
 _SKETCH_BITS, _BLOCK_BITS = 24, 18
+_MARK_BITS = 1 << 24
+#: An index entry with more components than this is crowded; at most this many shingles go to the end of the order a round.
+_CROWD, _MOST_LATE = 64, 1 << 20
 
 
 def _digest(data: bytes) -> bytes:
@@ -45,16 +53,16 @@ def _unpack(packed: bytes, n: int) -> np.ndarray:
     return counts
 
 
-def _sketch(texts: DataFrame, k: int) -> np.ndarray:
-    """How often shingles of each of 2**24 hash buckets occur, as a level of 0 to 255; one array whatever the corpus."""
-    size = 1 << _SKETCH_BITS
-    block = 1 << _BLOCK_BITS
+def _sketch(texts: DataFrame, k: int, bits: int) -> np.ndarray:
+    """How often shingles of each of 2**bits hash buckets occur, as a level of 0 to 255; one array whatever the corpus."""
+    size = 1 << bits
+    block = min(size, 1 << _BLOCK_BITS)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size, np.uint16)  # a count stops at 65,535 in a task, which changes no more than the order
         for frame in batches(frames, "text"):
             for words in word_hashes(list(frame["text"]), True):
-                at, n = np.unique(shingle_hashes(words, k) >> np.uint64(64 - _SKETCH_BITS), return_counts=True)
+                at, n = np.unique(shingle_hashes(words, k) >> np.uint64(64 - bits), return_counts=True)
                 at = at.astype(np.int64)
                 total[at] = np.minimum(total[at] + n, 65_535)
         parts = [(i, total[i * block : (i + 1) * block]) for i in range(size // block)]
@@ -79,12 +87,91 @@ def _sketch(texts: DataFrame, k: int) -> np.ndarray:
     return levels
 
 
+def _keys(values: pd.Series) -> np.ndarray:
+    """64 evenly spread bits of each value: a digest's first ones, or a shingle's hash."""
+    if not len(values):
+        return np.zeros(0, np.uint64)
+    return np.frombuffer(b"".join(values), "<u8")[::2] if isinstance(values.iloc[0], (bytes, bytearray)) else values.to_numpy(np.int64).view(np.uint64)
+
+
+def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    most = np.uint64(_MARK_BITS - 1)
+    return (keys & most).astype(np.int64), ((keys >> np.uint64(32)) & most).astype(np.int64)
+
+
+def _marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys are marked; a key that is not may be taken for one that is."""
+    found = np.ones(len(keys), bool)
+    for at in _places(keys):
+        found &= (marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return found
+
+
+def _marks(values: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size (2 MB) over the one column of ``values``."""
+
+    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(_MARK_BITS // 8, np.uint8)
+        for frame in frames:
+            for at in _places(_keys(frame.iloc[:, 0])):
+                np.bitwise_or.at(seen, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        if seen.any():
+            yield pd.DataFrame({"bits": [seen.tobytes()]})
+
+    marks = np.zeros(_MARK_BITS // 8, np.uint8)
+    for row in values.coalesce(16).mapInPandas(mark, "bits binary").toLocalIterator():
+        marks |= np.frombuffer(row.bits, np.uint8)
+    return marks
+
+
+def _cut(docs: DataFrame, keys: DataFrame, text_col: str, k: int, make: Callable[[np.ndarray], tuple], columns: str) -> DataFrame:
+    """(text_key, ...): what ``make`` gives for the distinct shingles of the texts whose digests are in ``keys`` (text_key).
+
+    A filter of fixed size keeps most other texts from being cut into words; the join behind it is exact.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(_marks(keys.select("text_key")))
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: set[bytes] = set()
+        for frame in batches(frames, "text"):
+            texts = {_digest(t.encode("utf-8", "surrogatepass")): t for t in frame["text"] if isinstance(t, str)}
+            own = pd.Series([x for x in texts if x not in done], dtype=object)
+            own = own[_marked(held.value, _keys(own))].tolist()
+            done.update(own)
+            made = list(zip(*(make(np.unique(shingle_hashes(w, k))) for w in word_hashes([texts[x] for x in own], True)))) or [()] * len(names)
+            yield pd.DataFrame({"text_key": pd.Series(own, dtype=object)} | {c: pd.Series(list(v), dtype="int64" if f"{c} long" in columns else object) for c, v in zip(names, made)})
+
+    whole = docs.select(F.col(text_col).alias("text")).mapInPandas(sets, f"text_key binary, {columns}")
+    found = lasting(whole.dropDuplicates(["text_key"]).join(keys.select("text_key").distinct(), "text_key"))
+    held.destroy()
+    return found
+
+
+class _Order:
+    """The order of shingles and the prefix that a set has in it. late: marks of shingles that go to the end."""
+
+    def __init__(self, levels, late, bits: int, threshold: int) -> None:
+        self.levels, self.late, self.bits, self.threshold = levels, late, bits, threshold
+
+    def prefix(self, found: np.ndarray) -> tuple[int, np.ndarray]:
+        """(group, prefix) of a set's distinct shingles."""
+        n = len(found)
+        level = self.levels.value[(found >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.uint64)
+        if self.late is not None:
+            level |= _marked(self.late.value, found).astype(np.uint64) << np.uint64(8)
+        order = np.argsort((level << np.uint64(55)) | (found >> np.uint64(9)), kind="stable")[: n - (n * self.threshold + 99) // 100 + 1]
+        prefix = found[order].astype(np.int64)
+        # A group goes by 64 bits of the digest of its size and prefix.
+        return int.from_bytes(_digest(n.to_bytes(8, "little") + prefix.tobytes())[:8], "little", signed=True), prefix
+
+
 def _needs(n1: str, n2: str, threshold: int):
     """The least overlap of two sets of these sizes that are similar enough: 100 o >= t (n1 + n2 - o)."""
     return F.expr(f"({threshold} * ({n1} + {n2}) + {99 + threshold}) div {100 + threshold}")
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = _SKETCH_BITS, crowd: int = _CROWD) -> DataFrame:
     """(id, n_shingles, set_key, component_id) for each row of ``docs``: groups of near copies by exact Jaccard similarity.
 
     Words are lower-cased in A-Z. A document's set holds its distinct runs of ``k`` words; with fewer words, the whole
@@ -92,9 +179,13 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, id_col: st
     links reach. Null and blank texts have an empty set and link with nothing, not even with each other. Rows with equal
     ids and texts are kept, each with the same component; a null id never names a component unless all its ids are
     null. An empty table gives an empty table. Only the id and text columns are read, so others may have any names.
+
+    ``sketch_bits`` (buckets of the sketch, as a power of two) and ``crowd`` (components in an index entry from which its
+    shingle goes to the end of the order) decide how many pairs are compared and never which links are found.
     """
     spark = docs.sparkSession
-    levels = spark.sparkContext.broadcast(_sketch(docs.select(F.col(text_col).alias("text")), k))
+    levels = spark.sparkContext.broadcast(_sketch(docs.select(F.col(text_col).alias("text")), k, sketch_bits))
+    order = _Order(levels, None, sketch_bits, threshold)
 
     def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
@@ -108,14 +199,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, id_col: st
                     rows.append((n, key, 0, None, None))
                     continue
                 seen.add(key)
-                level = levels.value[(found >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64)]
-                keep = n - (n * threshold + 99) // 100 + 1
-                order = np.argsort((level.astype(np.uint64) << np.uint64(56)) | (found >> np.uint64(8)), kind="stable")[:keep]
-                prefix = found[order].astype(np.int64)
-                # A group goes by 64 bits of the digest of its size and prefix. Should two groups share them, they are
-                # compared as one, and nothing is lost.
-                grp = int.from_bytes(_digest(n.to_bytes(8, "little") + prefix.tobytes())[:8], "little", signed=True)
-                rows.append((n, key, grp, prefix, _digest(text.encode("utf-8", "surrogatepass"))))
+                rows.append((n, key, *order.prefix(found), _digest(text.encode("utf-8", "surrogatepass"))))
             made = pd.DataFrame(rows, columns=["n_shingles", "set_key", "grp", "prefix", "text_key"])
             made.insert(0, "doc", frame["doc"].to_numpy())
             yield made
@@ -123,72 +207,82 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, id_col: st
     # The wide columns stand in the first row of a set in each task only, so copies are folded before any shuffle.
     made = map_whole(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), describe, "n_shingles long, set_key binary, grp long, prefix array<long>, text_key binary", "doc")
     made = lasting(made)
-    levels.destroy()
-    # One row for each class of equal sets.
-    wide = made.where("prefix is not null").groupBy("set_key").agg(F.first("n_shingles").alias("n"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix"), F.min("text_key").alias("text_key"))
-    classes = lasting(wide)
     rows = lasting(made.select("doc", "n_shingles", "set_key"))
-    forget(made)
-
-    # Sets under this size can only link with equal ones.
+    # One row for each class of equal sets. Sets under the least size can only link with equal ones.
     least = next(n for n in range(2, 10_000) if 100 * (n - 1) >= threshold * n) - 1 if threshold < 100 else 1 << 62
-    groups = lasting(classes.where(F.col("n") >= least).select("grp", "n", "prefix").dropDuplicates(["grp"]))
-    index = groups.select(F.posexplode("prefix").alias("at", "token"), "grp", F.col("n").cast("int").alias("n"))
-    # The first prefix shingle that two sets share stands at places i and j with n1 - i and n2 - j of the least overlap
-    # at least. ``most`` is the largest n2, times the threshold, that the place i allows; an entry is strong if it
-    # allows a set of its own size. The smaller set of a pair is strong, so weak entries never meet each other.
-    most = F.expr(f"{100 + threshold}L * (n - at) - {threshold} * n")
-    often = index.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.max(most >= threshold * F.col("n")).alias("strong")).where("groups > 1 and strong").select("token")
-    often = lasting(often)  # on its own, so that the entries of a frequent token can be split in the join
-    kept = lasting(index.join(often, "token"))
-    forget(groups, often)
-    shared = kept.withColumn("n", F.col("n").cast("long")).withColumn("most", most)
+    wide = made.where(F.col("prefix").isNotNull() & (F.col("n_shingles") >= least)).groupBy(F.col("set_key").alias("cls")).agg(F.first("n_shingles").alias("n"), F.min(F.struct("text_key", "grp", "prefix")).alias("of"))
+    wide = lasting(wide.select("cls", "n", "of.*"))
+    forget(made)
+    members = lasting(wide.select("cls", "n", "grp", "text_key"))
+    groups = lasting(wide.select("grp", "n", "prefix").dropDuplicates(["grp"]))
+    forget(wide)
+    index = _index(groups, threshold)
 
-    members = classes.where(F.col("n") >= least).select("grp", F.col("set_key").alias("cls"), "n")
+    # First comparisons: of groups with the leader of each index entry, which has the entry nearest to its front as a text
+    # that others are copies of has, and of members with the head of their group.
     heads = lasting(members.groupBy("grp").agg(F.min("cls").alias("head"), F.count(F.lit(1)).alias("size")))
-
-    # First comparisons: with the leader of each index entry, which has the entry nearest to its front as a text that
-    # others are copies of has, and with the head of the group.
-    leaders = shared.where(f"most >= {threshold} * n").groupBy("token").agg(F.min(F.struct("at", "n", "grp", "most")).alias("leader"))
-    leaders = lasting(leaders)
+    leaders = lasting(index.where(f"most >= {threshold} * n").groupBy("token").agg(F.min(F.struct("at", "n", "grp", "most")).alias("leader")))
     fits = f"grp <> leader.grp and most >= {threshold} * leader.n and leader.most >= {threshold} * n"
-    stars = shared.join(leaders, "token").where(fits).select(F.col("grp"), F.col("leader.grp").alias("of")).distinct()
+    stars = _alike(index.join(leaders, "token").where(fits).select(F.col("grp").alias("g1"), F.col("leader.grp").alias("g2")).distinct(), groups, threshold)
     head = heads.select("grp", "head")
     stars = (
-        stars.join(head, "grp").join(head.select(F.col("grp").alias("of"), F.col("head").alias("to")), "of")
+        stars.join(head.select(F.col("grp").alias("g1"), "head"), "g1").join(head.select(F.col("grp").alias("g2"), F.col("head").alias("to")), "g2")
         .select(F.least("head", "to").alias("a"), F.greatest("head", "to").alias("b"))
     )
     inner = members.join(heads.where("size > 1").select("grp", "head"), "grp").where("cls <> head").select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b"))
-    links = _verified(docs, classes, stars.unionByName(inner).distinct(), threshold, k, text_col)
+    links = _verified(docs, members, stars.unionByName(inner).distinct(), threshold, k, text_col)
     found = components(links, "a", "b")
-    forget(links)
-
-    # The rest: members of the same entry, or of the same group, that are still in different components.
-    placed = members.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    placed = lasting(placed)
-    own = F.expr("100 * n").alias("most")
-    by_token = shared.select(F.col("token").cast("string").cast("binary").alias("entry"), "grp", "most").join(placed.select("grp", "cls", "n", "component"), "grp")
-    by_group = placed.join(heads.where("size > 1").select("grp"), "grp").select(F.concat(F.lit("g"), F.col("grp").cast("string")).cast("binary").alias("entry"), "cls", "n", "component", own)
-    spread = by_token.select("entry", "cls", "n", "component", "most").unionByName(by_group)
-    parts = spread.groupBy("entry", "component").agg(
-        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("most").alias("most"), F.max(F.expr(f"most >= {threshold} * n")).alias("strong")
-    )
-    sides = lasting(parts)
-    mixed = sides.groupBy("entry").agg(F.count(F.lit(1)).alias("c"), F.max("strong").alias("s")).where("c > 1 and s").select("entry")
-    mixed = lasting(mixed)
-    parts = lasting(sides.join(mixed, "entry"))
-    forget(sides, mixed)
+    forget(links, leaders, heads)
+
+    # Crowded shingles go to the end of the order while that halves the pairs of components that would meet.
+    late, last = None, None
+    while True:
+        placed = lasting(members.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+        spread, sides, parts = _entries(index, placed, threshold)
+        crowded = parts.where("not own").groupBy("entry").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > crowd)
+        crowded = lasting(crowded.select(F.col("entry").cast("string").cast("long").alias("token"), "c", F.floor(F.log2("c")).alias("scale")))
+        scales = crowded.groupBy("scale").agg(F.count(F.lit(1)).alias("tokens"), F.expr("sum(double(c) * c)").alias("pairs")).orderBy(F.desc("scale")).collect()  # a row for each power of two
+        total = sum(r.pairs for r in scales)
+        if not scales or (last is not None and 2 * total > last):
+            forget(crowded)
+            break
+        last, lowest, tokens = total, scales[0].scale, 0
+        for r in scales:
+            tokens += r.tokens
+            lowest = r.scale if tokens <= _MOST_LATE else lowest
+        marks = _marks(crowded.where(F.col("scale") >= lowest).select("token"))
+        if late is not None:
+            marks |= late.value
+            late.destroy()
+        late = spark.sparkContext.broadcast(marks)
+        forget(crowded, parts, sides, placed)
+        members, groups = _reordered(docs, members, groups, _Order(levels, late, sketch_bits, threshold), k, text_col)
+        forget(index)
+        index = _index(groups, threshold)
+    levels.destroy()
+
+    # The rest: groups of the same entry, or members of the same group, that are still in different components. Pairs of
+    # groups are filtered and then expanded to their members.
     left, right = (parts.select("entry", "strong", *(F.col(c).alias(f"{c}{i}") for c in ("component", "lo", "hi", "most"))) for i in (1, 2))
     apart = f"component1 <> component2 and 100 * hi1 >= {threshold} * lo2 and 100 * hi2 >= {threshold} * lo1 and most1 >= {threshold} * lo2 and most2 >= {threshold} * lo1"
     meet = lasting(left.where("strong").join(right.drop("strong"), "entry").where(apart).select("entry", "component1", "component2"))
-    one, two = (spread.select("entry", *(F.col(c).alias(f"{c}{i}") for c in ("cls", "n", "component", "most"))) for i in (1, 2))
-    pairs = (
-        meet.join(one, ["entry", "component1"]).join(two, ["entry", "component2"])
-        .where(f"100 * least(n1, n2) >= {threshold} * greatest(n1, n2) and most1 >= {threshold} * n2 and most2 >= {threshold} * n1")
-        .select(F.least("cls1", "cls2").alias("a"), F.greatest("cls1", "cls2").alias("b")).distinct()
+    one, two = (spread.select("entry", "own", *(F.col(c).alias(f"{c}{i}") for c in ("grp", "n", "component", "most"))) for i in (1, 2))
+    side = lambda i: F.struct(F.col(f"grp{i}").alias("grp"), F.col(f"component{i}").alias("component"))
+    met = (
+        meet.join(one, ["entry", "component1"]).join(two.drop("own"), ["entry", "component2"])
+        .where(f"100 * least(n1, n2) >= {threshold} * greatest(n1, n2) and most1 >= {threshold} * n2 and most2 >= {threshold} * n1 and (own or grp1 <> grp2)")
+        .select(F.least(side(1), side(2)).alias("x"), F.greatest(side(1), side(2)).alias("y")).distinct()
+        .select(F.col("x.grp").alias("g1"), F.col("x.component").alias("c1"), F.col("y.grp").alias("g2"), F.col("y.component").alias("c2"))
     )
-    more = _verified(docs, classes, pairs, threshold, k, text_col)
-    forget(kept, leaders, placed, parts, meet, heads, classes)
+    met = lasting(met)
+    others = _alike(met.where("g1 <> g2").select("g1", "g2").distinct(), groups, threshold)
+    met_pairs = met.where("g1 <> g2").join(others, ["g1", "g2"]).unionByName(met.where("g1 = g2"))
+    a, b = (placed.select(F.col("grp").alias(f"g{i}"), F.col("component").alias(f"c{i}"), F.col("cls").alias(f"m{i}")) for i in (1, 2))
+    pairs = met_pairs.join(a, ["g1", "c1"]).join(b, ["g2", "c2"]).select(F.least("m1", "m2").alias("a"), F.greatest("m1", "m2").alias("b")).distinct()
+    more = _verified(docs, members, pairs, threshold, k, text_col)
+    if late is not None:
+        late.destroy()
+    forget(index, placed, sides, parts, meet, met, members, groups)
     joined = (
         more.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
         .join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
@@ -209,62 +303,89 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, id_col: st
     return rows.join(ids, "set_key", "left").select(F.col("doc").alias(id_col), "n_shingles", "set_key", F.coalesce("component_id", "doc").alias("component_id"))
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: int, k: int, text_col: str) -> DataFrame:
-    """(a, b): the pairs of ``classes`` (set_key, n, prefix, text_key) that are similar enough, by their whole sets.
+def _index(groups: DataFrame, threshold: int) -> DataFrame:
+    """(token, at, grp, n, most): the prefix shingles that several groups hold, with those groups.
 
-    Two sets overlap by at most what their prefixes share and all that stands behind a prefix; pairs that this rules out
-    go first. For the others one text of each class is read again. A Bloom filter of fixed size keeps most other texts
-    from being cut into words; the join behind it is exact.
+    The first prefix shingle that two sets share stands at places i and j with n1 - i and n2 - j of the least overlap at
+    least. ``most`` is the largest n2, times the threshold, that the place i allows; an entry is strong if it allows a set
+    of its own size. The smaller set of a pair is strong, so weak entries never meet each other.
     """
-    spark = docs.sparkSession
-    pairs = lasting(pairs)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
-    known = lasting(classes.join(needed, "set_key", "left_semi"))
-    a, b = (known.select(F.col("set_key").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefix").alias(f"p_{c}")) for c in "ab")
-    behind = F.expr("greatest(n_a - size(p_a), n_b - size(p_b))")
-    both = F.size(F.array_intersect("p_a", "p_b")) + behind
-    asked, pairs = pairs, lasting(pairs.join(a, "a").join(b, "b").where(both >= _needs("n_a", "n_b", threshold)).select("a", "b"))
-    forget(asked)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
-    keys = lasting(known.select("set_key", "text_key").join(needed, "set_key"))
-    forget(known)
-    bits = 1 << 24
+    most = F.expr(f"{100 + threshold}L * (n - at) - {threshold} * n")
+    index = groups.select(F.posexplode("prefix").alias("at", "token"), "grp", F.col("n").cast("int").alias("n"))
+    often = index.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.max(most >= threshold * F.col("n")).alias("strong")).where("groups > 1 and strong").select("token")
+    often = lasting(often)  # on its own, so that the entries of a frequent token can be split in the join
+    kept = lasting(index.join(often, "token").withColumn("n", F.col("n").cast("long")).withColumn("most", most))
+    forget(often)
+    return kept
 
-    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(bits // 8, np.uint8)
-        for frame in frames:
-            at = np.frombuffer(b"".join(frame["text_key"]), "<u4") % bits
-            np.bitwise_or.at(seen, at // 8, np.uint8(1) << (at % 8).astype(np.uint8))
-        if seen.any():
-            yield pd.DataFrame({"bits": [seen.tobytes()]})
 
-    bloom = np.zeros(bits // 8, np.uint8)
-    for row in keys.select("text_key").coalesce(16).mapInPandas(mark, "bits binary").toLocalIterator():  # 2 MB each
-        bloom |= np.frombuffer(row.bits, np.uint8)
-    held = spark.sparkContext.broadcast(bloom)
+def _alike(pairs: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (g1, g2) of groups whose members can be similar enough.
 
-    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done: set[bytes] = set()
-        for frame in batches(frames, "text"):
-            kept, names = [], []
-            for text in frame["text"]:
-                if not isinstance(text, str):
-                    continue
-                key = _digest(text.encode("utf-8", "surrogatepass"))
-                at = np.frombuffer(key, "<u4") % bits
-                if key not in done and (held.value[at // 8] >> (at % 8).astype(np.uint8) & 1).all():
-                    done.add(key)
-                    kept.append(text)
-                    names.append(key)
-            found = [np.unique(shingle_hashes(w, k)).astype(np.int64) for w in word_hashes(kept, True)]
-            yield pd.DataFrame({"text_key": pd.Series(names, dtype=object), "shingles": pd.Series(found, dtype=object)})
-
-    whole = docs.select(F.col(text_col).alias("text")).mapInPandas(sets, "text_key binary, shingles array<long>")
-    whole = lasting(whole.dropDuplicates(["text_key"]).join(keys, "text_key").select("set_key", "shingles"))
-    held.destroy()
-    a, b = (whole.select(F.col("set_key").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab")
+    Two sets overlap by at most what their prefixes share and all that stands behind a prefix.
+    """
+    a, b = (groups.select(F.col("grp").alias(f"g{i}"), F.col("n").alias(f"n{i}"), F.col("prefix").alias(f"p{i}")) for i in (1, 2))
+    both = F.size(F.array_intersect("p1", "p2")) + F.expr("greatest(n1 - size(p1), n2 - size(p2))")
+    return pairs.join(a, "g1").join(b, "g2").where(both >= _needs("n1", "n2", threshold)).select("g1", "g2")
+
+
+def _entries(index: DataFrame, placed: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What meets: (entry, own, grp, n, component, most), the written table under it, and one written row for each entry
+    and component of it.
+
+    An entry is a shingle of the index or, where ``own`` is true, a group with several members. Only entries with several
+    components, one of them strong, are in the second table.
+    """
+    sides = lasting(placed.groupBy("grp", "component").agg(F.first("n").alias("n")))
+    by_token = index.select(F.col("token").cast("string").cast("binary").alias("entry"), F.lit(False).alias("own"), "grp", "most").join(sides, "grp")
+    several = sides.groupBy("grp").agg(F.count(F.lit(1)).alias("components")).where("components > 1").select("grp")
+    by_group = sides.join(several, "grp").select(F.concat(F.lit("g"), F.col("grp").cast("string")).cast("binary").alias("entry"), F.lit(True).alias("own"), "grp", "n", "component", F.expr("100 * n").alias("most"))
+    spread = by_token.select("entry", "own", "grp", "n", "component", "most").unionByName(by_group)
+    all_parts = spread.groupBy("entry", "own", "component").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("most").alias("most"), F.max(F.expr(f"most >= {threshold} * n")).alias("strong")
+    )
+    all_parts = lasting(all_parts)
+    mixed = lasting(all_parts.groupBy("entry").agg(F.count(F.lit(1)).alias("c"), F.max("strong").alias("s")).where("c > 1 and s").select("entry"))
+    parts = lasting(all_parts.join(mixed, "entry"))
+    forget(all_parts, mixed)
+    return spread, sides, parts
+
+
+def _reordered(docs: DataFrame, members: DataFrame, groups: DataFrame, order: _Order, k: int, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``members`` and ``groups`` in a new order; the given tables are deleted.
+
+    A prefix without a late shingle stays as it is, for all that stands behind it stands behind it in the new order too.
+    The texts of the other classes are cut again.
+    """
+
+    def touched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sizes = frame["prefix"].map(len).to_numpy()
+            if len(sizes):
+                hit = _marked(order.late.value, np.concatenate(list(frame["prefix"])).astype(np.int64).view(np.uint64))
+                yield frame.loc[np.logical_or.reduceat(hit, np.cumsum(sizes) - sizes), ["grp"]]
+
+    changed = lasting(groups.select("grp", "prefix").mapInPandas(touched, "grp long"))
+    moved = lasting(members.join(changed, "grp", "left_semi").select("cls", "n", "text_key"))
+    new = _cut(docs, moved, text_col, k, order.prefix, "grp long, prefix array<long>")
+    wide = lasting(moved.join(new, "text_key").select("cls", "n", "grp", "text_key", "prefix"))
+    made = lasting(members.join(changed, "grp", "left_anti").select("cls", "n", "grp", "text_key").unionByName(wide.drop("prefix")))
+    fresh = groups.join(changed, "grp", "left_anti").select("grp", "n", "prefix").unionByName(wide.select("grp", "n", "prefix"))
+    fresh = lasting(fresh.dropDuplicates(["grp"]))
+    forget(changed, moved, new, wide, members, groups)
+    return made, fresh
+
+
+def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, threshold: int, k: int, text_col: str) -> DataFrame:
+    """(a, b): the pairs of classes that are similar enough, by their whole sets; one text of each class is read again."""
+    pairs = lasting(pairs)
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    keys = lasting(members.select("cls", "text_key").join(needed, "cls"))
+    cut = _cut(docs, keys, text_col, k, lambda found: (found.astype(np.int64),), "shingles array<long>")
+    whole = cut.join(keys, "text_key")
+    a, b = (whole.select(F.col("cls").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab")
     both = pairs.join(a, "a").join(b, "b").withColumn("o", F.size(F.array_intersect("a_set", "b_set")).cast("long"))
     ok = both.where(F.expr(f"100 * o >= {threshold} * (size(a_set) + size(b_set) - o)"))
     ok = lasting(ok.select("a", "b"))
-    forget(pairs, keys, whole)
+    forget(pairs, keys, cut)
     return ok
