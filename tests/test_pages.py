@@ -78,3 +78,16 @@ def test_another_service(spark):
             return Answers()
 
     assert sorted((r.symbol, r.page, r.body) for r in read_service(spark, "", source=Counted).collect()) == [(s, k, f"{s}{k}") for s in "AB" for k in range(3)]
+
+
+def test_a_service_of_many_symbols_makes_few_folders_and_tasks(spark, tmp_path):
+    import os
+
+    path, n = str(tmp_path / "many"), 5_000
+    ids = spark.range(n).select(F.concat(F.lit("é/"), "id").alias("symbol"), F.lit(None).cast("string").alias("token"), F.lit('{"bars": []}').alias("body"))
+    write_service(ids.unionByName(ids.limit(1).withColumn("symbol", F.lit(None).cast("string"))), path)
+    pages = read_service(spark, path)
+    assert sum(len(folders) for _, folders, _ in os.walk(path)) < 10 and pages.rdd.getNumPartitions() < 10
+    assert {r.symbol for r in pages.collect()} == {f"é/{k}" for k in range(n)} | {None} and pages.where("problem is not null").count() == 0
+    asked_for = read_service(spark, path, ["é/7", "é/4999", "lost"])
+    assert sorted((r.symbol, r.problem) for r in asked_for.collect()) == [("lost", "NO_DATA"), ("é/4999", None), ("é/7", None)]

@@ -96,11 +96,11 @@ def _service(spark, d):
 
 
 def _paged(spark, d):
-    return read_service(spark, _service(spark, d), symbols_per_task=20).select("*", F.lit("XNYS").alias("mic_code"), F.to_date(F.lit("2024-01-27")).alias("cutoff"), ts("2024-02-01 00:00:00").alias("observed_at"))
+    return read_service(spark, _service(spark, d)).select("*", F.lit("XNYS").alias("mic_code"), F.to_date(F.lit("2024-01-27")).alias("cutoff"), ts("2024-02-01 00:00:00").alias("observed_at"))
 
 
 def paged_bars(spark, d):
-    """Bars of the symbols whose pages can be used, fetched by token on executors, some symbols a task."""
+    """Bars of the symbols whose pages can be used, fetched by token on executors, a shard of symbols a task."""
     return sources.parse_paged(_paged(spark, d), 12).select("symbol", "session_date", F.col("close_price").cast("double").alias("close_price"), "volume")
 
 
