@@ -128,3 +128,43 @@ def summed_before(df: DataFrame, keys: list[str], order: list[str], amount: str)
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     joined = ranged.withColumn("_inside", inside).join(starts, [*same, F.col("_range") == F.col("_of")])
     return joined.withColumn("before", F.col("_start") + F.col("_inside")).drop("_range", "_of", "_start", "_inside", *(f"_{k}" for k in keys))
+
+
+#: Into so many ranges of values a population is cut, beside the values that are ends of ranges; larger tables of them are not sent to every task.
+CUTS, MOST_SENT = 32, 200_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """df, written, and marked to be sent to every task where it is small."""
+    kept = written(df)
+    return F.broadcast(kept) if kept.count() <= MOST_SENT else kept
+
+
+def cut(df: DataFrame, keys: list[str], value: str, share: float = 0.1) -> DataFrame:
+    """df with (_cut): the range of ``value`` in its population (``keys``), in the order of values, null for null.
+
+    Ends of ranges are quantiles of a share of the rows, written once. They only decide how even the ranges are, so any
+    share gives the same results. An even range lies between two ends, an odd one holds the rows of a single value, that
+    of an end, so a value that makes up a good part of a population is alone in its range.
+    """
+    ends = F.array_sort(F.array_distinct(F.percentile_approx(value, [k / CUTS for k in range(1, CUTS)], 1_000)))
+    drawn = df.where(F.col(value).isNotNull()).select(*keys, value).sample(share, 7)
+    found = sent(drawn.groupBy(*keys).agg(ends.alias("_ends")).select(*(F.col(c).alias(f"_of_{c}") for c in keys), "_ends"))
+    joined = df.join(found, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys], "left")
+    v, ends = F.col(value), F.coalesce("_ends", F.slice(F.array(value), 1, 0))
+    place = 2 * F.size(F.filter(ends, lambda end: end < v)) + F.array_contains(ends, v).cast("int")
+    return joined.withColumn("_cut", F.when(v.isNotNull(), place)).drop("_ends", *(f"_of_{c}" for c in keys))
+
+
+def cut_starts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(_of_<keys>, _of_cut, _start, _rows, whole): the rows before each range of ``cut`` in its population, in it, and in all."""
+    own = Window.partitionBy(*keys)
+    counts = rows.where(F.col("_cut").isNotNull()).groupBy(*keys, "_cut").agg(F.count(F.lit(1)).alias("_rows"))
+    start = F.coalesce(F.sum("_rows").over(own.orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sent(counts.select(*(F.col(c).alias(f"_of_{c}") for c in keys), F.col("_cut").alias("_of_cut"), start.alias("_start"), "_rows", F.sum("_rows").over(own).alias("whole")))
+
+
+def in_cuts(rows: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with (_start, _rows, whole) of their range."""
+    same = [*(F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys), F.col("_cut") == F.col("_of_cut")]
+    return rows.join(starts, same, "left").drop("_of_cut", *(f"_of_{c}" for c in keys))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .features import PRICE_FEATURES, VOLUME_FEATURES
-from .pit import summed_before
+from .pit import CUTS, cut, cut_starts, in_cuts, sent
 
 #: The features of each component, and the weights of components (fixed values).
 GROUPS = {
@@ -24,16 +24,20 @@ WEIGHTS = {"momentum": 25, "trend": 25, "breakout": 20, "price_action": 10, "sta
 def midrank_percentile(items: DataFrame, value: str, population: list[str], into: str = "percentile") -> DataFrame:
     """items with ((mean rank) - 1) / (n - 1) of ``value`` in its population: ties share, and one value alone is at 0.5.
 
-    Null for null. Equal values are counted first, partly before any shuffle, and only the counts of distinct values are
-    summed in order, over ranges of values, so neither ties nor a large population gather in a task; items join their
-    value's place.
+    Null for null. Rows are shuffled once, by ranges of values (``pit.cut``), and places within a range start behind the
+    rows before it. A value that fills a range of its own needs no order, so its rows are dealt out over tasks, and
+    neither ties nor a large population gather in one. items are read three times: write them first if they are costly.
     """
-    counts = items.where(F.col(value).isNotNull()).groupBy(*population, value).agg(F.count(F.lit(1)).alias("_ties"))
-    summed = summed_before(counts, population, [value], "_ties")
-    place = F.when(F.col("whole") == 1, F.lit(0.5)).otherwise(F.try_divide(F.col("before") + (F.col("_ties") - 1) / F.lit(2.0), F.col("whole") - 1))
-    found = summed.select(*(F.col(c).alias(f"_{c}") for c in population), F.col(value).alias("_value"), place.alias(into))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in population]
-    return items.join(found, [*same, F.col(value) == F.col("_value")], "left").drop("_value", *(f"_{c}" for c in population))
+    ranged = cut(items, population, value)
+    starts = cut_starts(ranged, population)
+    alone = F.col("_cut") % 2 == 1
+    w = Window.partitionBy(*population, "_cut", "_deal").orderBy(value)
+    dealt = ranged.withColumn("_deal", F.when(alone | F.col("_cut").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1_024))).otherwise(-1).cast("int"))
+    ranked_ = dealt.withColumns({"_rank": F.rank().over(w), "_ties": F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))})
+    before = F.col("_start") + F.when(alone, 0).otherwise(F.col("_rank") - 1)
+    ties = F.when(alone, F.col("_rows")).otherwise(F.col("_ties"))
+    place = F.when(F.col("whole") == 1, F.lit(0.5)).otherwise(F.try_divide(before + (ties - 1) / F.lit(2.0), F.col("whole") - 1))
+    return in_cuts(ranked_, starts, population).withColumn(into, place).drop("_cut", "_deal", "_rank", "_ties", "_start", "_rows", "whole")
 
 
 def feature_percentiles(items: DataFrame, run: str = "run_id") -> DataFrame:
@@ -70,10 +74,19 @@ def component_scores(items: DataFrame, run: str = "run_id") -> DataFrame:
 def ranked(scores: DataFrame, run: str = "run_id") -> DataFrame:
     """scores with (rank): READY before DEGRADED, then overall, momentum and trend from the top, then exchange and symbol.
 
-    Ranks are of the rounded scores.
+    Ranks are of the rounded scores. A run is ordered by ranges of the overall score of either quality, so that none
+    gathers in a task. scores are read three times: write them first if they are costly.
     """
-    order = [F.desc(F.col("quality_status") == "READY"), F.desc("overall_score"), F.desc("momentum_score"), F.desc("trend_score"), F.asc("mic_code"), F.asc("symbol")]
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy(run).orderBy(*order)))
+    order = [F.desc("overall_score"), F.desc("momentum_score"), F.desc("trend_score"), F.asc("mic_code"), F.asc("symbol")]
+    first = (F.coalesce(F.col("quality_status") == "READY", F.lit(False))).cast("int")
+    keyed = scores.withColumns({"_behind": 1 - first, "_down": -F.col("overall_score")})
+    ranged = cut(keyed, [run, "_behind"], "_down").withColumn("_cut", F.coalesce("_cut", F.lit(2 * CUTS)))
+    starts = cut_starts(ranged, [run, "_behind"])
+    ahead = starts.where("_of__behind = 0").groupBy(f"_of_{run}").agg(F.max("whole").alias("_ahead")).withColumnRenamed(f"_of_{run}", "_run")
+    place = F.row_number().over(Window.partitionBy(run, "_behind", "_cut").orderBy(*order))
+    placed = in_cuts(ranged.withColumn("_place", place), starts, [run, "_behind"]).join(sent(ahead), F.col(run).eqNullSafe(F.col("_run")), "left")
+    before = F.when(F.col("_behind") == 1, F.coalesce("_ahead", F.lit(0))).otherwise(0)
+    return placed.withColumn("rank", before + F.col("_start") + F.col("_place")).drop("_behind", "_down", "_cut", "_place", "_start", "_rows", "whole", "_run", "_ahead")
 
 
 #: Names that the values of a snapshot have to have, and no others; reasons for which a snapshot may be degraded; the form of a number (fixed values).
