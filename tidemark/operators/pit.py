@@ -93,15 +93,17 @@ LISTINGS = {
 }
 
 
-def numbered(df: DataFrame, listing: str, within: list[str]) -> DataFrame:
+def numbered(df: DataFrame, listing: str, within: list[str], small: bool = False) -> DataFrame:
     """df with (ordinal): places from 1 within each parent, or, without ``within``, over the whole table.
 
+    With ``small`` parents have a few rows by nature, as a candidate has its strategies: one window orders them, and df is read once.
+
     A parent may be large, so no task orders it whole: rows are ordered within each value of the listing's first column,
     and start behind the counts of the values before it. Only those counts, one row for each value, are summed in order.
     """
     first, *rest = LISTINGS[listing]
-    if not rest:
-        return df.withColumn("ordinal", F.row_number().over(Window.partitionBy(*within).orderBy(first)))
+    if not rest or (small and within):
+        return df.withColumn("ordinal", F.row_number().over(Window.partitionBy(*within).orderBy(first, *rest)))
     part = [*within, first]
     here = Window.partitionBy(*within).orderBy(F.col(first).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     counts = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))

@@ -227,17 +227,17 @@ def candidate_listing(spark, d):
 
 
 def evaluation_listing(spark, d):
-    rows = evaluations(spark, d).select("candidate_id", F.concat_ws("|", "candidate_id", "filter_set").alias("evaluation_id"), F.when(F.col("filter_set") == "STRICT", ts("2024-01-02 00:00:00")).otherwise(ts("2024-01-01 00:00:00")).alias("evaluated_at"))
-    return pit.numbered(rows, "evaluations", ["candidate_id"]).select("evaluation_id", "ordinal")
+    rows = evaluations(spark, d).select("symbol", "candidate_id", F.concat_ws("|", "candidate_id", "filter_set").alias("evaluation_id"), F.when(F.col("filter_set") == "STRICT", ts("2024-01-02 00:00:00")).otherwise(ts("2024-01-01 00:00:00")).alias("evaluated_at"))
+    return pit.numbered(rows, "evaluations", ["symbol", "candidate_id"], small=True).select("evaluation_id", "ordinal")
 
 
 def decision_listing(spark, d):
     """A candidate's decisions; those that belong to a position are not among them."""
     rows = decisions(spark, d).select(
-        "candidate_id", F.concat_ws("|", "candidate_id", "filter_set").alias("decision_id"), F.col("filter_set").alias("strategy_id"), F.when(F.col("action") == "SKIP", ts("2024-01-01 00:00:00")).otherwise(ts("2024-01-02 00:00:00")).alias("decided_at"),
+        "symbol", "candidate_id", F.concat_ws("|", "candidate_id", "filter_set").alias("decision_id"), F.col("filter_set").alias("strategy_id"), F.when(F.col("action") == "SKIP", ts("2024-01-01 00:00:00")).otherwise(ts("2024-01-02 00:00:00")).alias("decided_at"),
         F.when((_day() % 5 == 0) & (F.col("filter_set") == "OBSERVATION"), F.col("symbol")).alias("position_id"),
     )
-    return pit.numbered(rows.where("position_id is null"), "decisions", ["candidate_id"]).select("decision_id", "ordinal")
+    return pit.numbered(rows.where("position_id is null"), "decisions", ["symbol", "candidate_id"], small=True).select("decision_id", "ordinal")
 
 
 def fill_listing(spark, d):
