@@ -12,12 +12,21 @@ from tidemark.operators import scoring
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
 def test_listings_of_a_candidate_read_their_rows_once(spark):
     for name in ("decision_listing", "evaluation_listing"):
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution()
         assert plan.optimizedPlan().toString().count("Relation [") == 1 and "Join" not in plan.optimizedPlan().toString(), name
 
 
+def test_fills_come_from_one_written_table(spark):
+    for name in ("fill_violations",):
+        assert scans(catalog.QUERIES[name](spark, SF)) == 0, name
+
+
 def test_midranks_of_many_ties_and_runs_as_by_hand(spark):
     r = random.Random(5)
     given = [(run, k, r.choice([None, 0.0, -0.0, 0.0, 0.5, r.random(), r.random()])) for run in ("a", "b", None) for k in range(700)]

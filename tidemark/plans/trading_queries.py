@@ -123,13 +123,14 @@ def paper_fills(spark, d):
 
 def fill_violations(spark, d):
     """Fills that were changed on purpose, by what is wrong with them."""
-    made = fills(spark, d)
+    asked = written(orders(spark, d).select("order_id", "session_date", "price", "quantity", "accepted_at"))  # made into fills, and their plan
+    made = trading.split_fills(asked).withColumns({"fee": F.lit(0.0), "executed_at": F.col("accepted_at") + F.expr("interval 1 minute")})
     day = F.dayofmonth("session_date")
     bent = made.withColumns({
         "quantity": F.when((day == 3) & (F.col("fill_sequence") == 2), F.col("quantity") + 1).otherwise(F.col("quantity")), "fee": F.when(day == 4, 0.5).otherwise(F.col("fee")),
         "executed_at": F.when(day == 6, F.col("accepted_at") - F.expr("interval 1 second")).otherwise(F.col("executed_at")),
     })
-    found = trading.fill_violations(bent, orders(spark, d))
+    found = trading.fill_violations(bent, asked)
     return found.groupBy(F.coalesce("violation", F.lit("none")).alias("violation")).agg(F.count(F.lit(1)).alias("fills"))
 
 
