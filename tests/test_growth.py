@@ -22,8 +22,8 @@ def test_listings_of_a_candidate_read_their_rows_once(spark):
         assert plan.optimizedPlan().toString().count("Relation [") == 1 and "Join" not in plan.optimizedPlan().toString(), name
 
 
-def test_fills_come_from_one_written_table(spark):
-    for name in ("fill_violations",):
+def test_fills_and_decisions_come_from_one_written_table(spark):
+    for name in ("fill_violations", "decision_sources"):
         assert scans(catalog.QUERIES[name](spark, SF)) == 0, name
 
 

@@ -97,9 +97,9 @@ def exit_sources(spark, d):
 
 def decision_sources(spark, d):
     """Candidates and strategies whose evaluation is missing, comes twice or has no score."""
-    shots = written(snapshots(spark, d).select("candidate_id", "session_date"))
-    e = filters.filter_evaluations(filters.filter_checks(snapshots(spark, d))).select("candidate_id", "filter_set", F.lit("v1").alias("version"), F.when(_day() != 5, F.col("score")).alias("score"), "session_date")
-    e = written(e)
+    checked = written(filters.filter_checks(snapshots(spark, d)).select("candidate_id", "session_date", *(c.lower() for c in filters.CHECKS)))
+    shots = checked.select("candidate_id", "session_date")
+    e = filters.filter_evaluations(checked).select("candidate_id", "filter_set", F.lit("v1").alias("version"), F.when(_day() != 5, F.col("score")).alias("score"), "session_date")
     bent = e.where(~((_day() == 3) & (F.col("filter_set") == "STRICT"))).unionByName(e.where(_day() == 4))
     strategies = {f"{name}_V1": (name, "v1") for name in filters.FILTER_SETS} | {"STRICT_V2": ("STRICT", "v2")}
     return _counts(chains.decision_sources(shots, bent, strategies), "strategy_id", count="candidates")
