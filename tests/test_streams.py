@@ -101,6 +101,18 @@ def test_items_and_bars_expire(spark, tmp_path, calendar):
     assert got == [(f"A|{d[0]}", 1, "OUTCOME_CREATED"), (f"B|{d[0]}", 0, "FUTURE_BARS_INCOMPLETE")]
 
 
+def test_a_series_is_one_row_of_state_and_lets_go_of_all_that_is_past(spark, tmp_path, calendar):
+    feed = Feed(spark, tmp_path, lambda i, b: streams.outcome_revisions(streams.feed(i, b, calendar, 2), late="1 day", keep_days=5))
+    d = sessions(spark, date(2024, 3, 4), date(2024, 4, 30))
+    feed.send([item("A", day) for day in d[:9]] + [item("B", day) for day in d[:9]], [bar("A", day) for day in d[:9]])
+    assert feed.held() <= 6  # not a row for each item, bar and session
+    feed.send([], [bar("C", d[35])])
+    feed.send([], [bar("C", d[36])])  # one batch behind a watermark that passed all sessions at once
+    got = [(r.item_id, r.revision) for r in feed.rows().collect()]
+    assert sorted(k for k, n in got if n == 0) == sorted([f"A|{d[7]}", f"A|{d[8]}", *(f"B|{day}" for day in d[:9])])
+    assert sorted(k for k, n in got if n == 1) == [f"A|{day}" for day in d[:7]]
+
+
 def test_paths_of_two_streams_and_their_state(spark, tmp_path, calendar):
     d = sessions(spark, date(2024, 1, 2), date(2024, 7, 31))
     items, bars = [item(s, day) for s in "AB" for day in d[:-4]], [bar(s, day, 23, 10.0 + n % 3) for s in "AB" for n, day in enumerate(d)]

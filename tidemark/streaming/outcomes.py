@@ -5,10 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from datetime import UTC, date, datetime, timedelta
+from datetime import date
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -16,6 +15,8 @@ from ..operators.outcomes import future_sessions
 
 SERIES = ("source_code", "symbol", "adjustment_basis")
 _REVISION = "source_code string, symbol string, adjustment_basis string, item_id string, revision int, outcome string, path_digest string, return_rate double, mfe_rate double, mae_rate double, latest_input long"
+_MADE = Row(*(c.split()[0] for c in _REVISION.split(", ")))
+_EPOCH = date(1970, 1, 1).toordinal()
 
 
 def feed(items: DataFrame, bars: DataFrame, calendar: DataFrame, horizon: int, made_at: str = "made_at") -> DataFrame:
@@ -30,28 +31,45 @@ def feed(items: DataFrame, bars: DataFrame, calendar: DataFrame, horizon: int, m
 
 
 class PathRevisions(StatefulProcessor):
-    """State of a series: its open items with their last path, and the latest revision of each of its recent bars."""
+    """State of a series: its open items with their last path, and the latest revision of each of its recent bars.
+
+    A call needs all of it, so it is one text: it is read and written once a call, however many items and bars it holds. One
+    timer a series waits for what expires first.
+    """
 
     def __init__(self, keep_days: int):
         self.keep_days = keep_days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.items = handle.getMapState("items", "item_id string", "reference_close double, expected string, digest string, revision int")
-        self.bars = handle.getMapState("bars", "session string", "at long, bar_key string, high double, low double, close double")
+        self.series = handle.getValueState("series", "held string")
 
     def close(self) -> None:
         pass
 
     def _gone(self, session: str) -> int:
         """When what belongs to a session expires, in milliseconds."""
-        day = date.fromisoformat(session) + timedelta(days=self.keep_days)
-        return int(datetime(day.year, day.month, day.day, tzinfo=UTC).timestamp() * 1000)
-
-    def _revised(self, key, item_id: str, item: list, bars: dict) -> tuple | None:
+        return (date.fromisoformat(session).toordinal() - _EPOCH + self.keep_days) * 86_400_000
+
+    def _held(self) -> tuple[dict, dict, int | None]:
+        """Items (reference_close, expected sessions, digest, revision), bars (at, bar_key, high, low, close), and the time of the timer."""
+        held = self.series.get()
+        return tuple(json.loads(held[0])) if held else ({}, {}, None)
+
+    def _hold(self, items: dict, bars: dict, timer: int | None) -> None:
+        if not items and not bars:
+            self.series.clear()
+            return
+        first = min(self._gone(day) for day in (*(x[1][-1] for x in items.values()), *bars))
+        if timer is None or first < timer:
+            self.handle.registerTimer(first)
+            timer = first
+        self.series.update((json.dumps([items, bars, timer], separators=(",", ":"), ensure_ascii=False),))
+
+    def _revised(self, key, item_id: str, item: list, bars: dict) -> Row | None:
         """The next revision of an item, if its path is whole and not the one that it had."""
         reference, expected, digest, revision = item
-        path = [bars.get(day) for day in json.loads(expected)]
+        path = [bars.get(day) for day in expected]
         if None in path:
             return None
         now = hashlib.sha256(json.dumps([b[1] for b in path], separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
@@ -61,54 +79,48 @@ class PathRevisions(StatefulProcessor):
         sound = reference is not None and reference > 0 and all(x is not None and x > 0 for b in path for x in b[2:])
         rates = [path[-1][4] / reference - 1, max(b[2] for b in path) / reference - 1, min(b[3] for b in path) / reference - 1] if sound else [None] * 3
         ordered = sound and rates[2] <= rates[0] <= rates[1]
-        return (*key, item_id, revision + 1, "OUTCOME_CREATED" if ordered else "FUTURE_BAR_CONTRACT_INVALID", now, *(rates if ordered else [None] * 3), max(b[0] for b in path))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        came = pd.concat(list(rows))  # of one series in one batch
-        came = came.assign(is_bar=came["item_id"].isna()).sort_values(["at", "is_bar", "bar_key"])
-        items = {k[0]: list(v) for k, v in self.items.iterator()}
-        bars = {k[0]: tuple(v) for k, v in self.bars.iterator()}
-        made, moved_items, moved_bars = [], set(), set()
-        for row in came.itertuples(index=False):
-            session = str(row.session_date)
-            if row.is_bar:
-                new = (int(row.at), row.bar_key, row.high, row.low, row.close)
+        return _MADE(*key, item_id, revision + 1, "OUTCOME_CREATED" if ordered else "FUTURE_BAR_CONTRACT_INVALID", now, *(rates if ordered else [None] * 3), max(b[0] for b in path))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        came = sorted(rows, key=lambda r: (r.at, r.item_id is None, r.bar_key is None, r.bar_key or ""))  # of one series in one batch
+        items, bars, timer = self._held()
+        wanting: dict[str, list[str]] = {}
+        for k, item in items.items():
+            for day in item[1]:
+                wanting.setdefault(day, []).append(k)
+        moved = False
+        for row in came:
+            if row.item_id is None:
+                new = [row.at, row.bar_key, row.high, row.low, row.close]
+                session = row.session_date
                 if session in bars and bars[session][:2] >= new[:2]:
                     continue  # it came before, or a later revision did
                 bars[session] = new
-                moved_bars.add(session)
-                asked = [k for k, v in items.items() if session in v[1]]
+                asked = wanting.get(session, ())
             else:
                 if row.item_id in items:
                     continue
-                items[row.item_id] = [row.reference_close, row.expected, "", 0]
-                moved_items.add(row.item_id)
-                asked = [row.item_id]
+                items[row.item_id] = [row.reference_close, json.loads(row.expected), "", 0]
+                for day in items[row.item_id][1]:
+                    wanting.setdefault(day, []).append(row.item_id)
+                asked = (row.item_id,)
+            moved = True
             for k in asked:
                 if revised := self._revised(key, k, items[k], bars):
-                    made.append(revised)
-                    moved_items.add(k)
-        for k in moved_items:
-            self.items.updateValue((k,), tuple(items[k]))
-        for k in moved_bars:
-            self.bars.updateValue((k,), bars[k])
-        for gone in {self._gone(json.loads(items[k][1])[-1]) for k in moved_items} | {self._gone(k) for k in moved_bars}:
-            self.handle.registerTimer(gone)
-        if made:
-            yield pd.DataFrame(made, columns=[c.split()[0] for c in _REVISION.split(", ")])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, lost = expiredTimerInfo.getExpiryTimeInMs(), []
-        for (k,), (_, expected, _, revision) in list(self.items.iterator()):
-            if self._gone(json.loads(expected)[-1]) <= now:
-                self.items.removeKey((k,))
-                if not revision:
-                    lost.append((*key, k, 0, "FUTURE_BARS_INCOMPLETE", None, None, None, None, None))
-        for (k,), _ in list(self.bars.iterator()):
-            if self._gone(k) <= now:
-                self.bars.removeKey((k,))
-        if lost:
-            yield pd.DataFrame(lost, columns=[c.split()[0] for c in _REVISION.split(", ")])
+                    yield revised
+        if moved:
+            self._hold(items, bars, timer)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        # All that is behind the watermark goes at once, for a timer in the past would wait for the next batch.
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        items, bars, _ = self._held()
+        for k in [k for k, item in items.items() if self._gone(item[1][-1]) <= now]:
+            if not items.pop(k)[3]:
+                yield _MADE(*key, k, 0, "FUTURE_BARS_INCOMPLETE", None, None, None, None, None)
+        for day in [day for day in bars if self._gone(day) <= now]:
+            del bars[day]
+        self._hold(items, bars, None)
 
 
 def outcome_revisions(stream: DataFrame, late: str = "10 days", keep_days: int = 60) -> DataFrame:
@@ -123,7 +135,7 @@ def outcome_revisions(stream: DataFrame, late: str = "10 days", keep_days: int =
     """
     keyed = stream.withWatermark("at", late).withColumn("_us", F.unix_micros("at"))
     rows = keyed.select(*SERIES, F.col("at").alias("_event"), F.col("_us").alias("at"), "item_id", F.col("session_date").cast("string").alias("session_date"), "reference_close", "expected", "bar_key", "high", "low", "close")
-    made = rows.groupBy(*SERIES).transformWithStateInPandas(PathRevisions(keep_days), _REVISION, "append", "eventtime")
+    made = rows.groupBy(*SERIES).transformWithState(PathRevisions(keep_days), _REVISION, "append", "eventtime")
     return made.withColumn("latest_input", F.timestamp_micros("latest_input")).withColumnRenamed("latest_input", "latest_input_available_at")
 
 
