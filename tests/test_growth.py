@@ -53,3 +53,10 @@ def test_ranks_of_a_run_lie_on_several_tasks(spark):
     order = sorted(given, key=lambda x: (x[3] != "READY", -x[4], -x[5], -x[6], x[2], x[1]))
     assert [x.symbol for x in sorted(found, key=lambda x: x.rank)] == [x[1] for x in order] and {x.rank for x in found} == set(range(1, 901))
     assert len({x.at for x in found}) > 1
+
+
+def test_passing_is_told_without_the_codes_that_block(spark):
+    for name in ("position_events_currency", "trade_intents"):
+        assert "HARD_FAIL" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString(), name
+    made = catalog.QUERIES["filter_evaluations"](spark, SF)
+    assert made.where("passed <> (blocking = '')").count() == 0 and made.where("not passed").count() > 0

@@ -54,10 +54,10 @@ def filter_evaluations(checked: DataFrame) -> DataFrame:
     The score is the weight of the checks that pass. Hard FAILs, hard NOT_EVALUABLEs and a score below the least block,
     in that order; OBSERVATION always passes. Four literal sets are unfolded in place: no join is needed.
     """
-    sets = F.explode(F.array(*(F.struct(F.lit(k).alias("filter_set"), F.lit(v[1]).alias("least"), F.array(*(F.lit(c) for c in v[0])).cast("array<string>").alias("hard")) for k, v in FILTER_SETS.items())))
+    sets = F.explode(F.array(*(F.struct(F.lit(k).alias("filter_set"), F.lit(v[1]).alias("least")) for k, v in FILTER_SETS.items())))
     rows = checked.withColumn("s", sets).select(*checked.columns, "s.*")
     score = sum((F.when(F.col(c.lower()) == "PASS", WEIGHTS[c]).otherwise(0) for c in CHECKS), F.lit(0))
-    hard = lambda c: F.array_contains("hard", c)
+    hard = lambda c: F.col("filter_set").isin(*(k for k, v in FILTER_SETS.items() if c in v[0]))
     fails = [F.when(hard(c) & (F.col(c.lower()) == "FAIL"), F.lit(f"HARD_FAIL_{c}")) for c in CHECKS]
     unknown = [F.when(hard(c) & (F.col(c.lower()) == "NOT_EVALUABLE"), F.lit(f"HARD_NOT_EVALUABLE_{c}")) for c in CHECKS]
     rows = rows.withColumn("score", score)
@@ -65,9 +65,13 @@ def filter_evaluations(checked: DataFrame) -> DataFrame:
     observing = F.col("filter_set") == "OBSERVATION"
     codes = F.when(observing, F.array().cast("array<string>")).otherwise(ordered_codes(F.array(*fails, *unknown, low)))
     count = lambda what: sum((F.when(F.col(c.lower()) == what, 1).otherwise(0) for c in CHECKS), F.lit(0))
-    rows = rows.withColumn("blocking_codes", codes).withColumn("passed", F.size("blocking_codes") == 0)
+    # Whether a row passes is told without its codes, so that plans which do not read them never make them.
+    blocked = F.col("score") < F.col("least")
+    for c in CHECKS:
+        blocked = blocked | F.coalesce(hard(c) & F.col(c.lower()).isin("FAIL", "NOT_EVALUABLE"), F.lit(False))
+    rows = rows.withColumn("blocking_codes", codes).withColumn("passed", observing | ~blocked)
     details = canonical_json(counts=F.struct(count("FAIL").alias("fail"), count("NOT_EVALUABLE").alias("not_evaluable"), count("PASS").alias("pass")), filter_set_name=F.col("filter_set"), blocking_reason_codes=F.col("blocking_codes"))
-    return rows.withColumn("details", details).drop("least", "hard")
+    return rows.withColumn("details", details).drop("least")
 
 
 def entry_decisions(evaluations: DataFrame) -> DataFrame:
