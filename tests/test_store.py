@@ -80,3 +80,22 @@ def test_exact_snapshots_have_the_known_key_and_digest(spark):
     assert found.snapshot_key == "feature-snapshot:v1:e71831fdd8f47692183dc623651999be70458e4d19fe50415af2d4118f5e60d0"
     assert found.content_digest == "fccd188eb3200bc40113f77f0056d8b78335653ca02af769df507e3dbd94155a"
     assert feature_snapshots(bars.limit(20), datetime(2027, 1, 1, 23), 3).count() == 0
+
+
+def test_a_batch_is_written_and_shuffled_by_identity_once(spark, tmp_path, monkeypatch):
+    from tidemark.sources import store
+
+    kept = []
+    monkeypatch.setattr(store, "written", lambda df: kept.append(df) or df.localCheckpoint())
+    rows = spark.createDataFrame([("S", f"A|{k}", f"2024-0{1 + k % 3}-0{1 + k % 9}", k) for k in range(40)], "source_code string, bar_key string, day string, available_at int")
+    rows = rows.selectExpr("source_code", "'A' AS symbol", "bar_key", "to_date(day) AS session_date", "available_at").localCheckpoint()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for n, batch in enumerate((rows.where("available_at < 20"), rows), 1):
+            made = store.ingest_months(batch, str(tmp_path / "months")).groupBy("status").agg({"bars": "sum"}).collect()
+            assert len(kept) == n and dict(map(tuple, made)) == ({"CREATED": 20} if n == 1 else {"CREATED": 20, "ALREADY_EXISTS": 20})
+        assert kept[-1]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # the batch's and the store's
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")

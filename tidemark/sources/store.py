@@ -46,15 +46,17 @@ def ingest_months(bars: DataFrame, path: str, keys: tuple[str, ...] = ("bar_key"
 
     The first row of an identity stays for good: of rows of one batch the first by ``order``. An identity has one session
     date, so it can only be stored in the month of its row. A batch that comes again finds itself in the store and adds
-    nothing; rows without a session date are counted and left out.
+    nothing; rows without a session date are counted and left out. The batch is shuffled by identity once, for its turns and
+    the lookup in the store, and judged rows are written once. bars are read twice if there is a store: write them first if
+    they are costly or may change.
     """
     spark = bars.sparkSession
     turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    batch = written(with_month(bars).withColumn("_turn", turn))
+    batch = with_month(bars).withColumn("_turn", turn)
     there = F.lit(None).cast("boolean")
     if exists(spark, path):
-        have = stored_months(spark, path, batch).select(*keys, MONTH, F.lit(True).alias("_have")).dropDuplicates([*keys, MONTH])
-        batch, there = batch.join(have, [*keys, MONTH], "left"), F.col("_have")
+        have = stored_months(spark, path, with_month(bars)).groupBy(*keys).agg(F.collect_set(MONTH).alias("_months"))
+        batch, there = batch.join(have, list(keys), "left"), F.array_contains("_months", F.col(MONTH))
     status = F.when(F.col("session_date").isNull(), "NO_SESSION_DATE").when(F.coalesce(there, F.lit(False)) | (F.col("_turn") > 1), "ALREADY_EXISTS").otherwise("CREATED")
     judged = written(batch.withColumn("status", status))
     append_months(judged.where("status = 'CREATED'").select(*bars.columns), path)
