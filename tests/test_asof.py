@@ -173,3 +173,35 @@ def test_sums_before_over_ranges_and_hot_keys(spark):
         assert found[k, n] == (total.get(k, 0), whole[k])
         total[k] = total.get(k, 0) + x
     assert len(found) == len(given) and summed_before(df.limit(0), ["k"], ["n"], "x").count() == 0
+
+
+def test_last_sessions_of_a_series_on_many_ranges(spark):
+    r = random.Random(4)
+    bars = [bar("HOT" if r.random() < 0.9 else "B", d := r.randrange(200), 24 * d + r.choice([23, 71, 900, 3000]), f"k{n}", float(n)) for n in range(1500)]
+    requests = [asked(n, r.choice(["HOT", "HOT", "B", "NONE"]), r.randrange(8000)) for n in range(900)]
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16", "spark.sql.execution.arrow.maxRecordsPerBatch": "40"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        made = asof.sessions_known_at(spark.createDataFrame(requests, ASKED).drop("session_date"), spark.createDataFrame(bars, BARS), 5, columns=("close_price",))
+        rows = made.select("request_id", "position", "session_date", "available_at", "bar_key", "close_price", F.spark_partition_id().alias("at")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    expected = []
+    for k, _, symbol, _, at, _ in requests:
+        known = {}
+        for b in sorted((b for b in bars if b[1] == symbol and b[4] <= at), key=lambda b: (b[4], b[5])):
+            known[b[3]] = (b[4], b[5], b[6])
+        expected += [(k, n, day, *known[day]) for n, day in enumerate(sorted(known)[-5:], 1)]
+    assert sorted(x[:6] for x in rows) == sorted(expected)
+    hot = {x[0] for x in requests if x[2] == "HOT"}
+    assert len({x["at"] for x in rows if x.request_id in hot}) > 4  # before, one month of a series lay in one task
+
+
+def test_last_sessions_read_their_rows_once(spark):
+    made = asof.sessions_known_at(spark.createDataFrame([asked(1, "A", 40)], ASKED), spark.createDataFrame([bar("A", 1, 30, "a"), bar("A", None, 31, "none")], BARS), 5, columns=("close_price",))
+    assert [(x.position, x.bar_key) for x in made.collect()] == [(1, "a")]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and "Exchange" not in plan

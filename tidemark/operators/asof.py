@@ -7,10 +7,18 @@ into it as one row. No range join is made, so nothing grows with the product of
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
+from ..plans.session import written
 from .pit import SERIES
 
 PRICES = ("open_price", "high_price", "low_price", "close_price", "volume")
@@ -49,27 +57,83 @@ def known_at(requests: DataFrame, bars: DataFrame, keys: tuple[str, ...] = SERIE
 def sessions_known_at(requests: DataFrame, bars: DataFrame, limit: int, id_col: str = "request_id", keys: tuple[str, ...] = SERIES, at: str = "asked_at", columns: tuple[str, ...] = PRICES, period: str = "month") -> DataFrame:
     """(id_col, position, session_date, ...): the last ``limit`` sessions that each request knew, in time order from 1.
 
-    A session is known from its first revision on: each request takes the greatest sessions of those, then each one's
-    revision at its own time, both by ``known_at``'s union and running maximum. Only ``limit`` sessions are carried from
-    period to period; within one, a task holds the sessions that first became known in it. A request that knew nothing has
-    no rows. Ids of requests should be unique: those that share one also share positions.
+    A session is known from its first revision on, in the revision of the request's own time. Bars and requests are dealt
+    out once, by ranges of series and time, written, and passed in order with the last sessions so far in hand; a series
+    that fills several ranges begins each with what the ranges before it came to, which is ``limit`` bars a range. So no
+    row is compared with more than ``limit`` others, however many a series or a ``period`` has; the latter changes nothing.
+    A request that knew nothing has no rows, and bars without a session, a time or a key are known to nobody. Ids of
+    requests should be unique: those that share one also share positions.
     """
-    keys = list(keys)
-    firsts = bars.groupBy(*keys, "session_date").agg(F.min("available_at").alias("available_at"))
-    top = _last_sessions(requests, firsts, limit, id_col, keys, at, period)
-    return known_at(top, bars, (*keys, "session_date"), at, columns, period).where("known is not null").select(id_col, "position", "session_date", *(F.col(f"known.{c}").alias(c) for c in ("available_at", "bar_key", *columns)))
+    keys, columns = list(keys), [c for c in columns if c not in ("session_date", "available_at", "bar_key")]
+    whole = lambda df, *names: df.where(" and ".join(f"`{c}` is not null" for c in (*keys, *names)))
+    given = whole(bars, "available_at", "session_date").select(*keys, F.col("available_at").alias("_time"), F.lit(0).alias("_kind"), "session_date", "bar_key", *columns)
+    asked = whole(requests, at).select(*keys, F.col(at).alias("_time"), F.lit(1).alias("_kind"), F.col(id_col).alias("_id"))
+    rows = given.unionByName(asked, allowMissingColumns=True)
+    ranged = rows.repartitionByRange(*keys, "_time", "_kind").sortWithinPartitions(*keys, "_time", "_kind", "bar_key", *columns)
+    ranged = written(ranged.withColumn("_range", F.spark_partition_id()))
 
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = []
+        for batch in batches:
+            rows = pa.Table.from_batches([*kept, batch])
+            rows = rows.slice(int(np.flatnonzero(_starts(rows, keys))[-1]))
+            kept = rows.take(_passed(rows, keys, limit)[3]).to_batches()
+        yield from kept
 
-def _last_sessions(requests: DataFrame, firsts: DataFrame, limit: int, id_col: str, keys: list[str], at: str, period: str) -> DataFrame:
-    """(id_col, keys, at, position, session_date): the greatest ``limit`` sessions of ``firsts`` available at each request's time."""
-    given = firsts.where("available_at is not null").select(*keys, F.col("available_at").alias("_time"), F.lit(0).alias("_kind"), F.array("session_date").alias("_days"))
-    asked = requests.select(*keys, F.col(at).alias("_time"), F.lit(1).alias("_kind"), F.col(id_col).alias("_id"))
-    rows = given.unionByName(asked, allowMissingColumns=True).withColumn("_period", F.date_trunc(period, "_time"))
-    best = lambda days: F.slice(F.sort_array(days, asc=False), 1, limit)
-    ends = rows.groupBy(*keys, "_period").agg(best(F.flatten(F.collect_list("_days"))).alias("_last"))
-    before = Window.partitionBy(*keys).orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.withColumn("_days", best(F.flatten(F.collect_list("_last").over(before)))).where("size(_days) > 0").select(*keys, F.col("_period").alias("_time"), F.lit(-1).alias("_kind"), "_days", "_period")
-    so_far = Window.partitionBy(*keys, "_period").orderBy("_time", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.unionByName(carried, allowMissingColumns=True).withColumn("_seen", F.collect_list("_days").over(so_far)).where("_kind = 1 and _time is not null")
-    days = seen.withColumn("_best", F.reverse(best(F.flatten("_seen"))))
-    return days.select(F.col("_id").alias(id_col), *keys, F.col("_time").alias(at), F.posexplode("_best").alias("position", "session_date")).withColumn("position", F.col("position") + 1)
+    before = ranged.mapInArrow(ends, ranged.schema).toArrow().sort_by("_range")  # at most ``limit`` rows a range
+    before = ranged.sparkSession.sparkContext.broadcast(before)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if kept is None:
+                kept = before.value.cast(rows.schema)
+                same = pc.less(kept["_range"], rows["_range"][0])
+                for k in keys:
+                    same = pc.and_(same, pc.equal(kept[k], rows[k][0]))
+                kept = kept.filter(same)
+            rows = pa.concat_tables([kept, rows]).combine_chunks()
+            by, position, bar, last = _passed(rows, keys, limit)
+            kept, bars = rows.take(last), rows.take(bar)
+            yield from pa.table([rows["_id"].take(by), position, *(bars[c] for c in ("session_date", "_time", "bar_key", *columns))], names=names).to_batches()
+
+    kinds = ranged.schema
+    made = [(id_col, kinds["_id"]), ("position", None), ("session_date", kinds["session_date"]), ("available_at", kinds["_time"]), ("bar_key", kinds["bar_key"]), *((c, kinds[c]) for c in columns)]
+    names = [name for name, _ in made]
+    return ranged.mapInArrow(known, StructType([StructField(name, kind.dataType if kind else IntegerType()) for name, kind in made]))
+
+
+def _starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where the rows of another series begin."""
+    starts = np.zeros(rows.num_rows, bool)
+    starts[:1] = True
+    for k in keys:
+        starts[1:] |= pc.not_equal(rows[k].combine_chunks()[1:], rows[k].combine_chunks()[:-1]).to_numpy(zero_copy_only=False)
+    return starts
+
+
+def _passed(rows: pa.Table, keys: list[str], limit: int) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+    """Places of requests, positions and places of the bars that they know; and places of the bars known at the end.
+
+    A session that has left the last ones never comes back to them, for sessions only get more.
+    """
+    day = rows["session_date"]
+    day = (day.cast(pa.int32()) if pa.types.is_date32(day.type) else day).to_pylist()
+    by, position, found = [], [], []
+    days, bars = [], {}
+    for i, (start, kind, session) in enumerate(zip(_starts(rows, keys).tolist(), rows["_kind"].to_pylist(), day)):
+        if start:
+            days, bars = [], {}
+        if kind:
+            by.extend([i] * len(days))
+            position.extend(range(1, len(days) + 1))
+            found.extend([bars[x] for x in days])
+        elif session in bars:
+            bars[session] = i
+        elif len(days) < limit or session > days[0]:
+            if len(days) == limit:
+                del bars[days.pop(0)]
+            insort(days, session)
+            bars[session] = i
+    return pa.array(by, pa.int64()), pa.array(position, pa.int32()), pa.array(found, pa.int64()), pa.array([bars[x] for x in days], pa.int64())

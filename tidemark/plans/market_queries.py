@@ -42,7 +42,7 @@ def decision_sessions(spark, d):
 
 def decision_history(spark, d):
     """The last five sessions that each decision knew, each in the revision of that time."""
-    made = asof.sessions_known_at(decisions_asked(spark, d).drop("session_date"), revisions(spark, d), 5)
+    made = asof.sessions_known_at(decisions_asked(spark, d).drop("session_date"), revisions(spark, d), 5, columns=("close_price",))
     return made.select("request_id", "position", "session_date", "bar_key", "close_price")
 
 
