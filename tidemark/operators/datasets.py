@@ -152,13 +152,14 @@ def provider_distribution(records: DataFrame) -> DataFrame:
 
 
 def price_only_reason(values: str = "feature_values") -> Column:
-    """Why an item could not be used for its prices alone, first match; null if it could. ``values`` is a map of texts."""
+    """Why an item could not be used for its prices alone, first match; null if it could. ``values`` is a map of texts.
+
+    Prices are judged in one pass over the map: a look-up for each would make a task's code too long to be compiled.
+    """
     one = lambda k: F.try_element_at(F.col(values), F.lit(k))
-    lacking = F.lit(False)
-    invalid = F.lit(False)
-    for k in PRICE_FEATURES:
-        lacking = lacking | ~F.map_contains_key(values, k)
-        invalid = invalid | ~F.coalesce(one(k).rlike(r"^(0|-?(0|[1-9][0-9]*)(\.[0-9]*[1-9])?)$") & (one(k) != "-0"), F.lit(False))
+    prices = F.map_values(F.map_filter(values, lambda k, _: k.isin(*PRICE_FEATURES)))
+    lacking = F.size(prices) < len(PRICE_FEATURES)
+    invalid = F.exists(prices, lambda v: ~F.coalesce(v.rlike(r"^(0|-?(0|[1-9][0-9]*)(\.[0-9]*[1-9])?)$") & (v != "-0"), F.lit(False)))
     reasons = F.col("quality_reason_codes")
     volume_only = (F.size(reasons) > 0) & (F.size(F.array_except(reasons, F.array(F.lit("VOLUME_DATA_INCOMPLETE"), F.lit("VOLUME_DATA_UNUSABLE")))) == 0)
     quality = F.col("feature_quality_status")
