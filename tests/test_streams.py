@@ -137,3 +137,14 @@ def test_empty_streams(spark, tmp_path, calendar):
     feed = Feed(spark, tmp_path, lambda i, b: streams.outcome_revisions(streams.feed(i, b, calendar, 2)))
     feed.send()
     assert spark.read.schema("item_id string").parquet(feed.out).count() == 0
+
+
+def test_a_join_keeps_one_store_a_partition_and_writes_what_changed(spark, tmp_path, calendar):
+    d = sessions(spark, date(2024, 1, 2), date(2024, 2, 15))
+    feed = Feed(spark, tmp_path, lambda i, b: streams.paths(i, b, calendar, 3))
+    feed.send([item("A", day) for day in d[:6]], [bar("A", day) for day in d[:3]])
+    feed.send([], [bar("A", day) for day in d[3:9]])
+    assert feed.rows().count() == 18
+    stores = [p for p in (tmp_path / "state" / "state" / "0").iterdir() if p.name.isdigit()]
+    assert stores and not [x for p in stores for x in p.iterdir() if x.is_dir() and "keyTo" in x.name]
+    assert [x for p in stores for x in p.glob("*.changelog")]
