@@ -529,3 +529,21 @@ def test_evolution_keeps_every_document_and_never_gets_worse():
     other = packing.best_fit(lengths, [], 1024)
     child = packing.crossover(start, other, 1024, rng)
     assert sorted(n for b in child for n in b) == sorted(lengths)
+
+
+def test_a_long_path_is_unfolded_without_more_partitions(spark, monkeypatch):
+    """Each doubling round of a long chain writes as many partitions as the first, so tasks do not grow with the depth twice over."""
+    rows = [(1, i, "user" if i % 2 else "assistant", f"t{i}") for i in range(200)]
+    seen, lasting = [], chat_tree.lasting
+
+    def written(df):
+        made = lasting(df)
+        if made.columns == ["tree_id", "branch", "node_id", "depth"]:
+            seen.append(made.rdd.getNumPartitions())
+        return made
+
+    monkeypatch.setattr(chat_tree, "lasting", written)
+    nodes = chat_tree.thread_nodes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    found = [(r.depth, r.node_id) for r in chat_tree.best_paths(nodes).orderBy("depth").collect()]
+    assert found == [(i, i + 1) for i in range(200)]
+    assert seen and max(seen) <= int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import lasting, map_whole
+from .common import forget, lasting, map_whole
 
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 #: Control strings of this and other templates, and the escape sign; each gets an escape sign behind its first character.
 _CONTROL = re.compile(r"\\|<(?=\||/?s>)|\[(?=/?INST\])|\|(?=>)")
+#: So many joins of a walk go into one plan, and trees of more rounds than this are looked through for cycles.
+_TOGETHER = 4
 _TURN = re.compile(re.escape(OPEN) + r"(.*?)" + MIDDLE + r"(.*?)" + re.escape(CLOSE), re.S)
 
 
@@ -74,24 +76,26 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     name of a tree like any other. Trees without a root (cycles) give nothing.
     """
     nodes = nodes.select(_key(), "node_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    have = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.lit(1).alias("known"))
+    have = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.lit(1).alias("known"), F.col("score").alias("above"))
     nodes = lasting(nodes.join(have, ["tree_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("known") == 1, F.col("parent_id"))).drop("known"))
-    # jumps[k]: the ancestor 2**k steps up, and the sum of scores on the way, the node's own included and the ancestor's not.
-    jumps = [nodes.where("parent_id is not null").select("tree_id", "node_id", F.col("parent_id").alias("up"), "score")]
-    largest = nodes.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0
-    endless = None
+    # jumps[k]: the ancestor 2**k steps up, and the sum of scores on the way, the ancestor's included and the node's own not.
+    jumps = [nodes.where("parent_id is not null").select("tree_id", "node_id", F.col("parent_id").alias("up"), F.col("above").alias("score"))]
+    largest, endless = None, None
     while True:
         last = jumps[-1]
         step = last.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"))
         far = lasting(last.join(step, ["tree_id", "up"]).select("tree_id", "node_id", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score")))
-        if not far.limit(1).count():
+        if not far.take(1):
+            forget(far)
             break
-        if 1 << len(jumps) > largest:  # a node with more ancestors than its tree has nodes stands below a cycle
+        if largest is None and len(jumps) >= _TOGETHER:  # shallow trees without cycles need no sizes
+            largest = nodes.groupBy("tree_id").count().agg(F.max("count")).first()[0]
+        if largest is not None and 1 << len(jumps) > largest:  # a node with more ancestors than its tree has nodes stands below a cycle
             endless = far
             break
         jumps.append(far)
-    inner = nodes.where("parent_id is not null").select("tree_id", F.col("parent_id").alias("node_id")).distinct()
-    leaves = nodes.join(inner, ["tree_id", "node_id"], "left_anti").select("tree_id", F.col("node_id").alias("leaf"), F.col("node_id").alias("at"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("top"))
+    inner = nodes.where("parent_id is not null").select("tree_id", F.col("parent_id").alias("node_id"))
+    leaves = nodes.join(inner, ["tree_id", "node_id"], "left_anti").select("tree_id", F.col("node_id").alias("leaf"), F.col("node_id").alias("at"), F.col("score").alias("sum"), F.lit(0).cast("long").alias("top"))
     if endless is not None:
         leaves = leaves.join(endless.select("tree_id", F.col("node_id").alias("at")), ["tree_id", "at"], "left_anti").select("tree_id", "leaf", "at", "sum", "top")
     for k in range(len(jumps) - 1, -1, -1):
@@ -100,14 +104,20 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
         leaves = leaves.join(jump, ["tree_id", "at"], "left").select(
             "tree_id", "leaf", F.coalesce("up", "at").alias("at"), F.when(up, F.col("sum") + F.col("more")).otherwise(F.col("sum")).alias("sum"), F.when(up, F.col("top") + (1 << k)).otherwise(F.col("top")).alias("top")
         )
-    roots = nodes.select("tree_id", F.col("node_id").alias("at"), "score")
-    worth = leaves.join(roots, ["tree_id", "at"]).withColumn("worth", (F.col("sum") + F.col("score")) / (F.col("top") + 1))
+        if k and k % _TOGETHER == 0:
+            leaves = lasting(leaves)
+    worth = leaves.where("leaf is not null").withColumn("worth", F.col("sum") / (F.col("top") + 1))
     rank = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("worth"), "leaf"))
     chosen = lasting(worth.withColumn("branch", rank).where(F.col("branch") <= branches).select("tree_id", "branch", "leaf", "top"))
     paths = chosen.select("tree_id", "branch", F.col("leaf").alias("node_id"), F.col("top").alias("depth"))
     for k in range(len(jumps) - 1, -1, -1):
-        up = paths.join(jumps[k].select("tree_id", "node_id", "up"), ["tree_id", "node_id"]).select("tree_id", "branch", F.col("up").alias("node_id"), (F.col("depth") - (1 << k)).alias("depth"))
-        paths = lasting(paths.unionByName(up))
+        # Each node of a path and, where it has one, its ancestor: a round has as many partitions as the one before.
+        here = F.struct("node_id", "depth")
+        above = F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("node_id"), (F.col("depth") - (1 << k)).alias("depth")))
+        both = F.filter(F.array(here, above), lambda x: x.isNotNull())
+        paths = paths.join(jumps[k].select("tree_id", "node_id", "up"), ["tree_id", "node_id"], "left").select("tree_id", "branch", F.inline(both))
+        if k % _TOGETHER == 0:
+            paths = lasting(paths)
     return paths.select(F.col("tree_id.tree_id").alias("tree_id"), "branch", "depth", "node_id")
 
 
@@ -118,6 +128,7 @@ def format_trees(nodes: DataFrame, branches: int = 1) -> DataFrame:
     gives an empty table. A conversation is one row, so its turns meet in one task and have to fit its memory; what a
     tree holds beside the chosen branches does not.
     """
+    nodes = lasting(nodes.select("tree_id", "node_id", "parent_id", "score", "role", "text"))  # read three times, made once
     paths = best_paths(nodes, branches).withColumn("tree_id", _key())
     turns = paths.join(nodes.select(_key(), "node_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), ["tree_id", "node_id"])
     each = turns.groupBy(F.col("tree_id.tree_id").alias("tree_id"), "branch").agg(F.sort_array(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
