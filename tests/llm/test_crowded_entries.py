@@ -73,3 +73,23 @@ def test_the_order_changes_no_link(spark, monkeypatch):
     want = brute_components(rows, 80, 5)
     for bits, crowd in ((1, 1), (24, 1)):
         assert compared(spark, monkeypatch, rows, sketch_bits=bits, crowd=crowd)[0] == want
+
+
+def test_few_pairs_are_not_worth_a_new_order(spark, monkeypatch):
+    """Documents are cut and indexed anew only where more pairs would meet at crowded shingles than the index has entries."""
+    calls, reordered = [], jaccard_join._reordered
+    monkeypatch.setattr(jaccard_join, "_reordered", lambda *a: calls.append(1) or reordered(*a))
+    rows = [(i, " ".join([f"c{min(i // 2, 28)}x{k}" for k in range(4)] + [f"w{i}x{k}" for k in range(60)])) for i in range(59)]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold=50, k=1, sketch_bits=2, crowd=2).collect()}
+    assert found == brute_components(rows, 50, 1) and not calls
+
+
+def test_the_sketch_tells_rare_from_common_under_any_load(spark):
+    """Shingles that come in ten documents stand above most that come once, though a bucket holds many of either."""
+    from tidemark.llm.shingles import shingle_hashes, word_hashes
+
+    texts = [" ".join([f"w{i}x{k}" for k in range(200)] + [f"s{i // 10}x{k}" for k in range(20)]) for i in range(200)]
+    levels = jaccard_join._sketch(spark.createDataFrame([(t,) for t in texts], "text string"), 1, 14)
+    of = lambda w: [int(levels[x >> 1] >> 4 * (x & 1) & 15) for x in (int(h) >> 50 for h in shingle_hashes(next(word_hashes([w], True)), 1))]
+    once, often = of(" ".join(f"w{i}x0" for i in range(200))), of(" ".join(f"s{i}x0" for i in range(20)))
+    assert sorted(once)[100] < min(often) and len(set(once)) > 1

@@ -123,7 +123,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         new = lasting(nearer.join(jump, "to", "left").select("node", F.least("to", "on").alias("component"), "was"))
         forget(labels)
         labels = new
-        if not labels.where("component <> was").limit(1).count():
+        if not labels.where("component <> was").take(1):
             forget(both)
             return labels.select("node", "component")
 

@@ -9,7 +9,7 @@ expanded to their member classes and verified on whole sets.
 Rarity comes from a sketch of fixed size over all documents (any order gives a whole join; the order only decides how
 few candidates there are). Where the sketch is too small for the corpus, common shingles pass for rare ones and crowd the
 index. Such shingles are found there by exact counts, go to the end of the order, and only documents whose prefix holds
-one get a new prefix; this is repeated for as long as it halves the pairs to come.
+one get a new prefix; this is repeated for as long as it halves the pairs to come and these are more than the entries.
 
 Large clusters of near copies are not compared pair by pair: members of an index entry are first compared with one
 leader, the links found make components, and then only members of different components are.
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import batches, components, forget, lasting, map_whole
 from .shingles import shingle_hashes, word_hashes
 
-_SKETCH_BITS, _BLOCK_BITS = 24, 18
+_SKETCH_BITS, _BLOCK_BITS = 25, 18
+#: The shares of all occurrences that lie below the levels of the sketch from 1 on.
+_CUTS = [0.01, 0.02, 0.04, 0.07, 0.11, 0.16, 0.22, 0.3, 0.45, 0.65, 0.8, 0.9, 0.95, 0.98, 0.995]
 _MARK_BITS = 1 << 24
 #: An index entry with more components than this is crowded; at most this many shingles go to the end of the order a round.
 _CROWD, _MOST_LATE = 64, 1 << 20
@@ -40,33 +42,41 @@ def _digest(data: bytes) -> bytes:
 
 
 def _pack(counts: np.ndarray) -> bytes:
-    """Counts as one compressed byte each, and the places and values of those above 254."""
-    large = np.flatnonzero(counts > 254).astype(np.uint32)
-    return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + large.tobytes() + counts[large].astype(np.uint32).tobytes(), 1)
+    """The counts of a block in a byte each; where few are not 0, their gaps and values instead."""
+    at = np.flatnonzero(counts)
+    if 5 * len(at) >= len(counts):
+        return b"d" + zlib.compress(counts.tobytes(), 1)
+    gaps = np.diff(at, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return b"s" + zlib.compress(gaps.tobytes() + counts[at].tobytes(), 1)
 
 
 def _unpack(packed: bytes, n: int) -> np.ndarray:
-    raw = zlib.decompress(packed)
-    counts = np.frombuffer(raw, np.uint8, n).astype(np.uint32)
-    large, values = np.frombuffer(raw[n:], np.uint32).reshape(2, -1)
-    counts[large] = values
+    raw = np.frombuffer(zlib.decompress(packed[1:]), np.uint8)
+    if packed[:1] == b"d":
+        return raw
+    found = len(raw) // 5
+    counts = np.zeros(n, np.uint8)
+    counts[np.cumsum(np.ascontiguousarray(raw[: 4 * found].reshape(4, found).T).view("<u4").ravel())] = raw[4 * found :]
     return counts
 
 
 def _sketch(texts: DataFrame, k: int, bits: int) -> np.ndarray:
-    """How often shingles of each of 2**bits hash buckets occur, as a level of 0 to 255; one array whatever the corpus."""
+    """How often shingles of each of 2**bits hash buckets occur, as a level of 0 to 15, two to a byte; one array whatever the corpus.
+
+    The levels are cut where given shares of all occurrences lie below, so that they tell rare buckets apart under any load.
+    """
     size = 1 << bits
     block = min(size, 1 << _BLOCK_BITS)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size, np.uint16)  # a count stops at 65,535 in a task, which changes no more than the order
+        total = np.zeros(size, np.uint8)  # a count stops at 255 in a task, which changes no more than the order
         for frame in batches(frames, "text"):
             for words in word_hashes(list(frame["text"]), True):
                 at, n = np.unique(shingle_hashes(words, k) >> np.uint64(64 - bits), return_counts=True)
                 at = at.astype(np.int64)
-                total[at] = np.minimum(total[at] + n, 65_535)
+                total[at] = np.minimum(total[at] + n, 255)
         parts = [(i, total[i * block : (i + 1) * block]) for i in range(size // block)]
-        parts = [(i, _pack(x.astype(np.uint32))) for i, x in parts if x.any()]
+        parts = [(i, _pack(x)) for i, x in parts if x.any()]
         if parts:
             yield pd.DataFrame(parts, columns=["block", "counts"])
 
@@ -74,16 +84,37 @@ def _sketch(texts: DataFrame, k: int, bits: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for frame in frames:
             for i, x in zip(frame["block"], frame["counts"]):
-                part = _unpack(x, block).astype(np.uint64)
+                part = _unpack(x, block).astype(np.uint32)
                 sums[i] = sums[i] + part if i in sums else part
         for i, x in sums.items():
-            yield pd.DataFrame({"block": [i], "counts": [_pack(np.minimum(x, 2**32 - 1).astype(np.uint32))]})
+            fine = np.minimum(255, np.round(8 * np.log2(1.0 + x))).astype(np.uint8)
+            yield pd.DataFrame({"block": [i], "fine": [zlib.compress(fine.tobytes(), 1)]})
 
-    parts = texts.select("text").mapInPandas(count, "block int, counts binary").repartition("block").mapInPandas(add, "block int, counts binary")
-    levels = np.zeros(size, np.uint8)
-    for row in parts.toLocalIterator():  # at most 64 rows of 1 MB
-        counts = _unpack(row.counts, block)
-        levels[row.block * block : (row.block + 1) * block] = np.minimum(255, np.round(8 * np.log2(1.0 + counts)))
+    def weigh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(256, np.int64)
+        for frame in frames:
+            for x in frame["fine"]:
+                seen += np.bincount(np.frombuffer(zlib.decompress(x), np.uint8), minlength=256)
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"level": at, "n": seen[at] * (2.0 ** (at / 8) - 1)})
+
+    parts = texts.select("text").mapInPandas(count, "block int, counts binary").repartition("block").mapInPandas(add, "block int, fine binary")
+    parts = lasting(parts)
+    share = np.zeros(257)
+    for row in parts.mapInPandas(weigh, "level int, n double").groupBy("level").agg(F.sum("n").alias("n")).collect():  # at most 256 rows
+        share[row.level + 1] = row.n
+    of = np.searchsorted(_CUTS, np.cumsum(share)[:256] / max(share.sum(), 1.0), side="right").astype(np.uint8)
+
+    def level(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i, x in zip(frame["block"], frame["fine"]):
+                two = of[np.frombuffer(zlib.decompress(x), np.uint8)].reshape(-1, 2)
+                yield pd.DataFrame({"block": [i], "levels": [zlib.compress((two[:, 0] | two[:, 1] << 4).tobytes(), 1)]})
+
+    levels = np.zeros(size // 2, np.uint8)
+    for row in parts.mapInPandas(level, "block int, levels binary").toLocalIterator():  # at most 128 rows of 128 KB
+        levels[row.block * block // 2 : (row.block + 1) * block // 2] = np.frombuffer(zlib.decompress(row.levels), np.uint8)
+    forget(parts)
     return levels
 
 
@@ -157,7 +188,8 @@ class _Order:
     def prefix(self, found: np.ndarray) -> tuple[int, np.ndarray]:
         """(group, prefix) of a set's distinct shingles."""
         n = len(found)
-        level = self.levels.value[(found >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.uint64)
+        at = (found >> np.uint64(64 - self.bits)).astype(np.int64)
+        level = (self.levels.value[at >> 1] >> ((at & 1) << 2).astype(np.uint8) & 15).astype(np.uint64)
         if self.late is not None:
             level |= _marked(self.late.value, found).astype(np.uint64) << np.uint64(8)
         order = np.argsort((level << np.uint64(55)) | (found >> np.uint64(9)), kind="stable")[: n - (n * self.threshold + 99) // 100 + 1]
@@ -234,7 +266,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, id_col: st
     found = components(links, "a", "b")
     forget(links, leaders, heads)
 
-    # Crowded shingles go to the end of the order while that halves the pairs of components that would meet.
+    # Crowded shingles go to the end of the order while more pairs would meet at them than the index has entries, and that
+    # halves them: pairs in proportion to the entries cost less than a new order.
     late, last = None, None
     while True:
         placed = lasting(members.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
@@ -243,7 +276,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, k: int = 5, id_col: st
         crowded = lasting(crowded.select(F.col("entry").cast("string").cast("long").alias("token"), "c", F.floor(F.log2("c")).alias("scale")))
         scales = crowded.groupBy("scale").agg(F.count(F.lit(1)).alias("tokens"), F.expr("sum(double(c) * c)").alias("pairs")).orderBy(F.desc("scale")).collect()  # a row for each power of two
         total = sum(r.pairs for r in scales)
-        if not scales or (last is not None and 2 * total > last):
+        if not scales or (last is not None and 2 * total > last) or total <= parts.count():
             forget(crowded)
             break
         last, lowest, tokens = total, scales[0].scale, 0
