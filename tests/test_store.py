@@ -99,3 +99,51 @@ def test_a_batch_is_written_and_shuffled_by_identity_once(spark, tmp_path, monke
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def _bars(spark, n=400):
+    rows = spark.range(n).selectExpr("'S' AS source_code", "'A' AS symbol", "concat('A|', id) AS bar_key", "date_add(date'2024-01-01', cast(id % 90 as int)) AS session_date", "cast(id as int) AS available_at")
+    return rows.localCheckpoint()
+
+
+def test_an_ingest_writes_no_row_besides_the_store_and_keeps_no_shuffle(spark, tmp_path, monkeypatch):
+    from tidemark.sources import store
+
+    rows, path, setting = _bars(spark), str(tmp_path / "months"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept, plans, append, before = [], [], store.append_months, spark.conf.get(setting)
+    monkeypatch.setattr(store, "written", lambda df: kept.append(df.localCheckpoint()) or kept[-1])
+    monkeypatch.setattr(store, "append_months", lambda df, path: plans.append((df._jdf.queryExecution().executedPlan().toString(), spark.conf.get(setting))) or append(df, path))
+    for batch, found in ((rows.where("available_at < 100"), {"CREATED": 100}), (rows, {"CREATED": 300, "ALREADY_EXISTS": 100}), (rows, {"ALREADY_EXISTS": 400})):
+        assert dict(map(tuple, store.ingest_months(batch, path).groupBy("status").agg({"bars": "sum"}).collect())) == found
+    assert len(kept) == 3 and max(k.count() for k in kept) <= 6  # months and statuses alone, no bars
+    assert all(p.count("Exchange hashpartitioning") == 1 and "Join" not in p and on == "true" for p, on in plans)  # batch and store together
+    assert len(plans) == 3 and spark.conf.get(setting) == before
+    assert sorted(r.bar_key for r in spark.read.parquet(path).collect()) == sorted(r.bar_key for r in rows.collect())
+
+
+def test_an_ingest_by_parts_stores_the_same(spark, tmp_path, monkeypatch):
+    from tidemark.sources import store
+
+    jobs, append = [], store.append_months
+    monkeypatch.setattr(store, "append_months", lambda df, path: jobs.append(df.rdd.getNumPartitions()) or append(df, path))
+    monkeypatch.setattr(store, "MOST_SHUFFLED", 150)
+    monkeypatch.setattr(store, "MOST_COMPARED", 10)
+    rows = _bars(spark)
+    # an identity in two months, one without a date and one without a key: the first by order of each stays
+    odd = spark.sql("select * from values ('S', 'A', 'B|1', date'2024-02-01', 2), ('S', 'A', 'B|1', date'2024-01-01', 1), ('S', 'A', 'B|2', cast(null as date), 1), ('S', 'A', 'B|2', date'2024-01-01', 2), ('S', 'A', null, date'2024-01-01', 5) t(source_code, symbol, bar_key, session_date, available_at)")
+    path, batch = str(tmp_path / "months"), rows.unionByName(rows.where("available_at < 50")).unionByName(odd)
+    total = lambda made: {r.status: r.bars for r in made.groupBy("status").agg(F.sum("bars").alias("bars")).collect()}
+    assert total(store.ingest_months(batch, path)) == {"CREATED": 403, "ALREADY_EXISTS": 51, "NO_SESSION_DATE": 1}
+    assert jobs == [12] * 4  # 455 rows, of which 150 at once and 10 a task
+    assert total(store.ingest_months(batch, path)) == {"ALREADY_EXISTS": 454, "NO_SESSION_DATE": 1}
+    stored = {(r.bar_key, str(r.session_date)) for r in spark.read.parquet(path).where("bar_key is null or bar_key like 'B%'").collect()}
+    assert stored == {("B|1", "2024-01-01"), ("B|2", "2024-01-01"), (None, "2024-01-01")}
+    assert spark.read.parquet(path).count() == 403
+
+
+def test_an_empty_first_batch_leaves_a_store_that_takes_the_next(spark, tmp_path):
+    from tidemark.sources.store import ingest_months
+
+    rows, path = _bars(spark), str(tmp_path / "months")
+    assert ingest_months(rows.limit(0), path).collect() == []
+    assert {r.status for r in ingest_months(rows, path).collect()} == {"CREATED"} and spark.read.parquet(path).count() == 400
