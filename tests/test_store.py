@@ -147,3 +147,19 @@ def test_an_empty_first_batch_leaves_a_store_that_takes_the_next(spark, tmp_path
     rows, path = _bars(spark), str(tmp_path / "months")
     assert ingest_months(rows.limit(0), path).collect() == []
     assert {r.status for r in ingest_months(rows, path).collect()} == {"CREATED"} and spark.read.parquet(path).count() == 400
+
+
+def test_monthly_ingest_makes_bars_by_parts_of_suppliers(spark, monkeypatch):
+    import duckdb
+
+    from tidemark.plans import market_queries
+
+    made, revisions = [], sources.lineitem_revisions
+    monkeypatch.setattr(market_queries, "MOST_LINES", 500)
+    monkeypatch.setattr(market_queries.sources, "lineitem_revisions", lambda lines: made.append(lines.count()) or revisions(lines))
+    d = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{d}/lineitem.parquet'")
+    theirs = sorted(map(tuple, duck.execute(market_queries.ORACLE_SQL["monthly_ingest"]).fetchall()))
+    assert sorted(map(tuple, market_queries.monthly_ingest(spark, d).collect())) == theirs
+    assert len(made) > 1 and sum(made) == spark.read.parquet(f"{d}/lineitem.parquet").count()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,7 +12,7 @@ from ..operators import asof, datasets, sketches
 from ..operators.features import day_windows
 from ..operators.runs import aggregate_violations
 from ..sources import bars as sources
-from ..sources.store import MONTH, ingest_months, stored_fields
+from ..sources.store import MONTH, MOST_SHUFFLED, ingest_months, stored_fields
 from . import sql_functions
 from .research import AS_OF, HORIZON, OBSERVED, core_calendar, dataset_rows, known, lineage, outcome_items, prepared_scoring_items, read, revisions, rounded
 from .research_sql import _BARS, _DATASET, _EVENTS, _FEATURES, _OUTCOMES, _PREPARED, _with
@@ -46,11 +48,20 @@ def decision_history(spark, d):
     return made.select("request_id", "position", "session_date", "bar_key", "close_price")
 
 
+#: About so many lines are made bars of in a task. More lines go by parts, a job each, so that tasks need no room on disk.
+MOST_LINES = 2_000_000
+
+
 def monthly_ingest(spark, d):
     """Three ingests into a store by month: the first days of months, all of every second month, and everything twice."""
     path, bars = new_path(spark, "months"), new_path(spark, "bars")
+    lines = read(spark, d, "lineitem")
+    most = min(MOST_SHUFFLED, MOST_LINES * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, math.ceil(lines.count() / most))
     with brief_shuffles(spark):
-        revisions(spark, d).write.option("compression", "zstd").parquet(bars)
+        for n in range(parts):  # a supplier's lines are of one part
+            part = lines.where(F.pmod(F.xxhash64("l_suppkey"), F.lit(parts)) == n) if parts > 1 else lines
+            sources.lineitem_revisions(part).write.mode("append").option("compression", "zstd").parquet(bars)
     b = spark.read.parquet(bars)
     day, month = F.dayofmonth("session_date"), F.month("session_date")
     made = None
